@@ -1,11 +1,13 @@
 """Registered queries of the training-data operators and their DuckDB counterparts."""
 
-from tallyspark.llm import quality
+from tallyspark.llm import quality, secrets
 
 QUERIES = {
     "op3_line_frequency": quality.op3_line_frequency,
+    "op10_linked_secrets": secrets.op10_linked_secrets,
 }
 
 ORACLE_SQL = {
     "op3_line_frequency": quality.ORACLE,
+    "op10_linked_secrets": secrets.oracle(),
 }
