@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their DuckDB counterparts."""
 
-from tallyspark.llm import quality, secrets
+from tallyspark.llm import quality, secrets, simhash
 
 QUERIES = {
+    "op2_simhash_components": simhash.op2_simhash_components,
     "op3_line_frequency": quality.op3_line_frequency,
     "op10_linked_secrets": secrets.op10_linked_secrets,
 }
