@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their DuckDB counterparts."""
 
-from tallyspark.llm import quality, secrets, simhash
+from tallyspark.llm import mixing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_entropy_balanced_mix": mixing.op1_entropy_balanced_mix,
     "op2_simhash_components": simhash.op2_simhash_components,
     "op3_line_frequency": quality.op3_line_frequency,
     "op10_linked_secrets": secrets.op10_linked_secrets,
