@@ -74,7 +74,8 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame
     crowds = Staged(index.groupBy("seg", "val").count().filter(F.col("count") > crowd).select("seg", "val"), "crowds").df
     n = crowds.count()
     sparse = index if n == 0 else index.join(small(crowds, n), ["seg", "val"], "left_anti")
-    found = probes.join(sparse, ["seg", "val"]).filter((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
+    # Both sides are many times their table's size, which Spark does not see: it must not broadcast either.
+    found = probes.join(sparse.hint("merge"), ["seg", "val"]).filter((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
     if n:
         into = probes.join(small(crowds, n), ["seg", "val"], "left_semi")
         left = F.when(F.col("flip") == 0, F.array(*[F.lit(m).cast("long") for m in _masks(radius)]))
