@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators and their DuckDB counterparts."""
 
-from tallyspark.llm import bpe, mixing, neighbours, quality, secrets, simhash, tokenfiles, warc
+from tallyspark.llm import bpe, language, mixing, neighbours, quality, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_entropy_balanced_mix": mixing.op1_entropy_balanced_mix,
     "op2_simhash_components": simhash.op2_simhash_components,
     "op3_line_frequency": quality.op3_line_frequency,
+    "op4_maxent_scores": language.op4_maxent_scores,
     "op5_ranked_token_files": tokenfiles.op5_ranked_token_files,
     "op6_multiprobe_neighbours": neighbours.op6_multiprobe_neighbours,
     "op7_warc_transactions": warc.op7_warc_transactions,
