@@ -1,4 +1,798 @@
 """Registered queries of the count engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import expr as X
+from tallyspark.operators import lists as L
+from tallyspark.operators import model as M
+from tallyspark.operators import sampling as S
+from tallyspark.operators import stats as T
+from tallyspark.sources import matrices as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The retail matrix in SQL: counts, dense grid and reference counts.
+RETAIL = """
+WITH cnt AS (SELECT o_custkey AS cell_id, p_brand AS gene_id, count(*)::BIGINT AS k FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+obs AS (SELECT c_custkey AS cell_id, c_mktsegment AS label FROM customer),
+var AS (SELECT DISTINCT p_brand AS gene_id FROM part),
+dense AS (SELECT cell_id, label, gene_id, coalesce(k, 0)::BIGINT AS k FROM obs CROSS JOIN var LEFT JOIN cnt USING (cell_id, gene_id)),
+ref AS (SELECT cell_id, label, sum(k)::BIGINT AS n FROM dense GROUP BY ALL),
+tot AS (SELECT gene_id, sum(k)::BIGINT AS total, count_if(k <> 0)::BIGINT AS detected FROM dense GROUP BY ALL),
+"""
+
+#: Uniform priors on 16 points and the posterior of every cell and gene under them, in SQL (binomial).
+POSTERIOR = (
+    RETAIL
+    + """
+mean AS (SELECT avg(n) AS s FROM ref WHERE n > 0),
+obsn AS (SELECT d.cell_id, d.gene_id, d.k, r.n::DOUBLE AS n FROM dense d JOIN ref r USING (cell_id) WHERE r.n > 0),
+top AS (SELECT gene_id, least(greatest(greatest(max(k / n * s), max(k)) / max(s), 1e-12), 1) AS t FROM obsn, mean GROUP BY gene_id),
+grid AS (SELECT gene_id, j, least(greatest(t * 1.5::DOUBLE, 1e-12), 1) * j / 15 AS p, 1.0::DOUBLE / 16 AS q FROM top, (SELECT unnest(range(16)) AS j)),
+keys AS (SELECT DISTINCT gene_id, k, n FROM obsn),
+joint AS (SELECT gene_id, k, n, j, p, q, k * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (n - k) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)) + ln(q) AS z
+    FROM keys JOIN grid USING (gene_id)),
+soft AS (SELECT *, exp(z - max(z) OVER w) / sum(exp(z - mz)) OVER w AS pp FROM (SELECT *, max(z) OVER (PARTITION BY gene_id, k, n) AS mz FROM joint)
+    WINDOW w AS (PARTITION BY gene_id, k, n)),
+"""
+)
+
+_CONFIG = M.FitConfig(points=16)
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; sql: the same rows in DuckDB, where it can express them."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> F.Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+# Aggregates and summaries
+
+
+@query("reference_counts", RETAIL + "z AS (SELECT 1) SELECT cell_id, n AS n_ref FROM ref")
+def _(s, d):
+    return T.reference_counts(D.retail(s, d)).select("cell_id", "n_ref")
+
+
+@query("reference_subset", RETAIL + "z AS (SELECT 1) SELECT cell_id, coalesce(sum(k) FILTER (gene_id LIKE 'Brand#1%'), 0)::BIGINT AS n_ref FROM dense GROUP BY cell_id")
+def _(s, d):
+    m = D.retail(s, d)
+    return T.reference_counts(m, m.var.filter(F.col("gene_id").startswith("Brand#1"))).select("cell_id", "n_ref")
+
+
+@query("exposure", RETAIL + "z AS (SELECT 1) SELECT cell_id, round(n / avg(n) OVER (PARTITION BY label) * 15.0::DOUBLE, 6) AS n_eff FROM ref")
+def _(s, d):
+    return rounded(T.exposure(T.reference_counts(D.retail(s, d)), 15.0, ["label"]).select("cell_id", "n_eff"), "n_eff")
+
+
+@query("gene_totals", RETAIL + "z AS (SELECT 1) SELECT gene_id, total, detected FROM tot")
+def _(s, d):
+    return T.gene_totals(D.retail(s, d))
+
+
+@query("cell_zero_fraction", RETAIL + "z AS (SELECT 1) SELECT cell_id, round(1 - count_if(k <> 0) / count(*), 6) AS zero_fraction FROM dense GROUP BY cell_id")
+def _(s, d):
+    return rounded(T.zero_fractions(D.retail(s, d)), "zero_fraction")
+
+
+@query(
+    "gene_summary",
+    RETAIL
+    + """z AS (SELECT 1) SELECT gene_id, sum(k)::DOUBLE AS total, round(avg(k), 6) AS mean, quantile_cont(k::DOUBLE, 0.5) AS median,
+    round(quantile_cont(k::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(k::DOUBLE, 0.99), 6) AS p99, max(k)::DOUBLE AS max, count_if(k <> 0)::BIGINT AS detected,
+    round(count_if(k <> 0) / count(*), 6) AS detected_fraction, round(1 - count_if(k <> 0) / count(*), 6) AS zero_fraction,
+    round(coalesce(CASE WHEN stddev_pop(k) > 1e-12 AND stddev_pop(n) > 1e-12 THEN corr(k, n) END, 0), 6) AS total_corr
+    FROM dense JOIN ref USING (cell_id) GROUP BY gene_id""",
+)
+def _(s, d):
+    return rounded(T.gene_summary(D.retail(s, d)), "mean", "p90", "p99", "detected_fraction", "zero_fraction", "total_corr")
+
+
+@query(
+    "dataset_summary",
+    RETAIL
+    + """z AS (SELECT 1) SELECT count(*)::BIGINT AS cells, (SELECT count(*) FROM var)::BIGINT AS genes, count(DISTINCT label)::BIGINT AS labels,
+    round(avg(n), 6) AS mean_total, round(quantile_cont(n::DOUBLE, 0.5), 6) AS median_total, round(quantile_cont(n::DOUBLE, 0.99), 6) AS p99_total FROM ref""",
+)
+def _(s, d):
+    return rounded(T.dataset_summary(D.retail(s, d)), "mean_total", "median_total", "p99_total")
+
+
+@query(
+    "scale_diagnostics",
+    RETAIL
+    + """z AS (SELECT 1) SELECT count(*)::BIGINT AS positive_cells, round(avg(n), 6) AS mean_reference, round(avg(n), 6) AS suggested_scale,
+    round(quantile_cont(n::DOUBLE, 0.9), 6) AS q90_reference FROM ref WHERE n > 0""",
+)
+def _(s, d):
+    return rounded(T.scale_diagnostics(T.reference_counts(D.retail(s, d))), "mean_reference", "suggested_scale", "q90_reference")
+
+
+@query(
+    "class_mean_reference",
+    RETAIL + "c AS (SELECT label, avg(n) AS m FROM ref GROUP BY label) SELECT label, round(m, 6) AS class_mean, round((SELECT avg(m) FROM c), 6) AS mean_of_means FROM c",
+)
+def _(s, d):
+    return rounded(T.class_means(T.reference_counts(D.retail(s, d))), "class_mean", "mean_of_means")
+
+
+_NORM = RETAIL + "goal AS (SELECT quantile_cont(n::DOUBLE, 0.5) AS g FROM ref), nv AS (SELECT d.cell_id, d.gene_id, ln(1 + d.k / greatest(n, 1.0::DOUBLE) * g) AS v FROM dense d JOIN ref USING (cell_id), goal), "
+
+
+@query("normalize_total_log1p", _NORM + "z AS (SELECT 1) SELECT cell_id, gene_id, round(v, 6) AS value FROM nv WHERE v <> 0")
+def _(s, d):
+    return rounded(T.normalized(D.retail(s, d)), "value")
+
+
+@query(
+    "lognorm_variance",
+    _NORM + "z AS (SELECT 1) SELECT gene_id, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(var_pop(v) / greatest(avg(v), 1e-12), 6) AS dispersion FROM nv GROUP BY gene_id",
+)
+def _(s, d):
+    m = D.retail(s, d)
+    return rounded(T.moments(m, T.normalized(m)), "mean", "variance", "dispersion")
+
+
+@query(
+    "vector_variance",
+    "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) "
+    "SELECT printf('d%02d', i) AS gene_id, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance FROM v GROUP BY i",
+)
+def _(s, d):
+    m = D.vectors(s, d)
+    return rounded(T.moments(m, m.counts), "mean", "variance").drop("dispersion")
+
+
+@query(
+    "gene_fano",
+    RETAIL
+    + """z AS (SELECT 1) SELECT gene_id, round(avg(k), 6) AS mean, round(stddev_pop(k), 6) AS std, round(stddev_pop(k) / nullif(avg(k), 0), 6) AS cv,
+    round(var_pop(k) / nullif(avg(k), 0), 6) AS fano FROM dense GROUP BY gene_id""",
+)
+def _(s, d):
+    return rounded(T.fano(D.retail(s, d)), "mean", "std", "cv", "fano")
+
+
+@query("event_totals", "SELECT event_type AS gene_id, count(*)::BIGINT AS total, count(DISTINCT user_id)::BIGINT AS detected FROM events GROUP BY 1")
+def _(s, d):
+    return T.gene_totals(D.events(s, d))
+
+
+@query("layer_quantity", "SELECT o_custkey AS cell_id, p_brand AS gene_id, round(sum(l_quantity), 6) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def _(s, d):
+    return rounded(D.quantity(s, d), "value")
+
+
+@query("log_signal", RETAIL + "z AS (SELECT 1) SELECT cell_id, gene_id, round(ln(1 + greatest(k - 2, 0)), 6) AS value FROM dense")
+def _(s, d):
+    return D.retail(s, d).dense().select("cell_id", "gene_id", r6(T.log_signal(F.col("value") - 2)).alias("value"))
+
+
+@query(
+    "raw_proxy",
+    RETAIL + "z AS (SELECT 1) SELECT d.cell_id, d.gene_id, round(d.k * 10.0::DOUBLE / avg(n) OVER (), 6) AS proxy FROM dense d JOIN ref USING (cell_id)",
+)
+def _(s, d):
+    o = M.observations(D.retail(s, d))
+    return o.select("cell_id", "gene_id", r6(F.col("k") * 10.0 / F.col("n_mean")).alias("proxy"))
+
+
+@query("obs_filter", RETAIL + "z AS (SELECT 1) SELECT cell_id, label FROM obs WHERE label IN ('BUILDING', 'MACHINERY')")
+def _(s, d):
+    return D.retail(s, d).obs.filter(F.col("label").cast("string").isin("BUILDING", "MACHINERY"))
+
+
+@query("cell_total_filter", RETAIL + "z AS (SELECT 1) SELECT cell_id, n AS n_ref FROM ref WHERE n >= 40")
+def _(s, d):
+    return T.reference_counts(D.retail(s, d)).filter("n_ref >= 40").select("cell_id", "n_ref")
+
+
+@query("positive_reference", RETAIL + "z AS (SELECT 1) SELECT cell_id FROM ref WHERE n > 0")
+def _(s, d):
+    return T.positive_reference(T.reference_counts(D.retail(s, d))).select("cell_id")
+
+
+@query(
+    "label_detect",
+    """WITH c AS (SELECT 'c_mktsegment' AS c, count(DISTINCT c_mktsegment) AS n FROM customer UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey) FROM customer
+    UNION ALL SELECT 'c_custkey', count(DISTINCT c_custkey) FROM customer)
+    SELECT c AS "column", n::BIGINT AS distinct_values, row_number() OVER (ORDER BY c <> 'c_nationkey', c)::INT AS position FROM c WHERE n BETWEEN 2 AND 64""",
+)
+def _(s, d):
+    return T.label_columns(D.read(s, d, "customer"), ["c_mktsegment", "c_nationkey", "c_custkey"], ["c_nationkey"])
+
+
+@query("label_counts", RETAIL + "z AS (SELECT 1) SELECT label, count(*)::BIGINT AS cells FROM obs GROUP BY label HAVING count(*) >= 8 ORDER BY cells DESC, label LIMIT 3")
+def _(s, d):
+    return T.label_counts(D.retail(s, d).obs, 3, 8)
+
+
+@query(
+    "histogram_bins",
+    RETAIL
+    + """e AS (SELECT gene_id, min(k)::DOUBLE AS lo, max(k)::DOUBLE AS hi FROM dense GROUP BY gene_id)
+    SELECT gene_id, least(coalesce(floor((k - lo) / nullif((hi - lo) / 8, 0)), 0), 7)::INT AS bin, count(*)::BIGINT AS n FROM dense JOIN e USING (gene_id) GROUP BY ALL""",
+)
+def _(s, d):
+    return T.histogram(D.retail(s, d).dense(), 8, ["gene_id"])
+
+
+@query(
+    "class_alignment",
+    RETAIL
+    + """m AS (SELECT label, gene_id, sum(k) / count(*) AS m FROM dense GROUP BY ALL),
+    f AS (SELECT label FROM obs GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), r AS (SELECT gene_id, m AS rm FROM m JOIN f USING (label))
+    SELECT label, gene_id, round(coalesce(least(greatest(rm / nullif(m, 0), 0.5::DOUBLE), 2.0::DOUBLE), 1), 6) AS factor FROM m JOIN r USING (gene_id)""",
+)
+def _(s, d):
+    return rounded(T.class_alignment(D.retail(s, d)), "factor")
+
+
+_SET = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")
+
+
+@query(
+    "group_zscore",
+    RETAIL
+    + f"""g AS (SELECT cell_id, coalesce(sum(log2(k + 1.0::DOUBLE)) FILTER (gene_id IN {_SET}), 0) AS score FROM dense GROUP BY cell_id)
+    SELECT cell_id, round(score, 6) AS score, round((score - avg(score) OVER ()) / nullif(stddev_samp(score) OVER (), 0), 6) AS z FROM g""",
+)
+def _(s, d):
+    return rounded(T.group_zscore(D.retail(s, d), list(_SET)), "score", "z")
+
+
+@query(
+    "marker_corr",
+    RETAIL
+    + f"""g AS (SELECT *, avg(k) OVER (PARTITION BY cell_id) AS sm FROM dense WHERE gene_id IN {_SET})
+    SELECT gene_id, round(corr(k, sm), 6) AS corr, corr(k, sm) >= 0.3::DOUBLE AS kept FROM g GROUP BY gene_id""",
+)
+def _(s, d):
+    return rounded(T.marker_correlation(D.retail(s, d), list(_SET), 0.3), "corr")
+
+
+_MW = (
+    RETAIL
+    + """v AS (SELECT gene_id, label = 'BUILDING' AS a, k FROM dense WHERE label IN ('BUILDING', 'MACHINERY')),
+    t AS (SELECT gene_id, k, count(*) AS t, count_if(a) AS t1 FROM v GROUP BY ALL),
+    r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY gene_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM t),
+    q AS (SELECT gene_id, sum(rk * t1) AS r1, sum(t1)::DOUBLE AS n1, sum(t - t1)::DOUBLE AS n2, sum(t::DOUBLE ** 3 - t) AS ties,
+      sum(k * t1) / sum(t1) AS m1, sum(k * (t - t1)) / sum(t - t1) AS m2 FROM r GROUP BY gene_id),
+    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM q)
+    SELECT gene_id, round(u, 6) AS u, round((abs(u - n1 * n2 / 2) - 0.5::DOUBLE) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z,
+      round(log2((m1 + 1e-9) / (m2 + 1e-9)), 6) AS log2_fold_change FROM u"""
+)
+
+
+@query("deg_mannwhitney", _MW)
+def _(s, d):
+    return rounded(T.mann_whitney(D.retail(s, d).dense(), "BUILDING", "MACHINERY"), "u", "z", "log2_fold_change")
+
+
+@query("deg_fdr")
+def _(s, d):
+    rows = T.mann_whitney(D.retail(s, d).dense(), "BUILDING", "MACHINERY")
+    # Normal tail by the rational approximation of Abramowitz and Stegun 26.2.17.
+    x = F.greatest("z", F.lit(0.0))
+    t = 1 / (1 + 0.2316419 * x)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return rounded(T.benjamini_hochberg(rows.withColumn("p", F.least(2 * F.exp(-x * x / 2) / 2.5066282746310002 * poly, F.lit(1.0)))), "u", "z", "log2_fold_change", "p", "fdr")
+
+
+@query("hvg_seurat")
+def _(s, d):
+    return rounded(T.hvg_seurat(D.retail(s, d)), "dispersions_norm")
+
+
+# Ranking and lists
+
+
+def _scores(s, d) -> DataFrame:
+    return T.gene_totals(D.retail(s, d)).select("gene_id", F.col("total").cast("double").alias("score"))
+
+
+@query("rank_topn", RETAIL + "z AS (SELECT 1) SELECT gene_id, total::DOUBLE AS score, row_number() OVER (ORDER BY total DESC, gene_id)::INT AS rank FROM tot QUALIFY rank <= 10")
+def _(s, d):
+    return L.ranked(_scores(s, d)).filter("rank <= 10")
+
+
+_WANTED = [(0, "Brand#22"), (1, "Brand#11"), (2, "none"), (3, "Brand#13")]
+_WANTED_SQL = "w(pos, gene_id) AS (VALUES (0::BIGINT, 'Brand#22'), (1, 'Brand#11'), (2, 'none'), (3, 'Brand#13'))"
+
+
+def _wanted(s) -> DataFrame:
+    return s.createDataFrame(_WANTED, "pos long, gene_id string")
+
+
+@query("rank_restrict", RETAIL + _WANTED_SQL + " SELECT pos, gene_id, total::DOUBLE AS score FROM w JOIN tot USING (gene_id)")
+def _(s, d):
+    return L.restricted(_scores(s, d), _wanted(s))
+
+
+@query("list_missing", RETAIL + _WANTED_SQL + " SELECT pos, gene_id FROM w WHERE gene_id NOT IN (SELECT gene_id FROM var)")
+def _(s, d):
+    return L.missing(_wanted(s), D.retail(s, d).var)
+
+
+@query("subset_genes", RETAIL + _WANTED_SQL + " SELECT pos, gene_id FROM w WHERE gene_id IN (SELECT gene_id FROM var)")
+def _(s, d):
+    return L.subset_strict(_wanted(s), D.retail(s, d).var, strict=False)
+
+
+@query("subset_genes_strict", RETAIL + _WANTED_SQL + " SELECT pos, gene_id FROM w WHERE gene_id <> 'none'")
+def _(s, d):
+    return L.subset_strict(_wanted(s).filter("gene_id <> 'none'"), D.retail(s, d).var)
+
+
+_LISTS_SQL = (
+    RETAIL
+    + """s AS (SELECT p_brand AS gene_id, sum(p_retailprice) AS price, count(*) AS parts, avg(p_size) AS size FROM part GROUP BY 1),
+    lists AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY total DESC, gene_id) - 1 AS pos, gene_id FROM tot QUALIFY pos < 12
+    UNION ALL SELECT 1, row_number() OVER (ORDER BY parts DESC, gene_id) - 1 AS pos, gene_id FROM s QUALIFY pos < 15
+    UNION ALL SELECT 2, row_number() OVER (ORDER BY size DESC, gene_id) - 1 AS pos, gene_id FROM s QUALIFY pos < 18)
+    """
+)
+
+
+def _lists(s, d) -> DataFrame:
+    parts = D.read(s, d, "part").groupBy(F.col("p_brand").alias("gene_id"))
+    by = [
+        (_scores(s, d), 12),
+        (parts.agg(F.count(F.lit(1)).cast("double").alias("score")), 15),
+        (parts.agg(F.avg("p_size").alias("score")), 18),
+    ]
+    out = None
+    for i, (scores, n) in enumerate(by):
+        one = L.ranked(scores).filter(F.col("rank") <= n).select(F.lit(i).alias("list_no"), (F.col("rank") - 1).cast("long").alias("pos"), "gene_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("list_intersect_first", _LISTS_SQL + "SELECT row_number() OVER (ORDER BY min(pos) FILTER (list_no = 0)) - 1 AS pos, gene_id FROM lists GROUP BY gene_id HAVING count(DISTINCT list_no) = 3")
+def _(s, d):
+    return L.intersect(_lists(s, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("list_intersect_alpha", _LISTS_SQL + "SELECT row_number() OVER (ORDER BY gene_id) - 1 AS pos, gene_id FROM lists GROUP BY gene_id HAVING count(DISTINCT list_no) = 3")
+def _(s, d):
+    return L.intersect(_lists(s, d), "alpha").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("list_union", _LISTS_SQL + "SELECT row_number() OVER (ORDER BY min(list_no * 1000 + pos)) - 1 AS pos, gene_id FROM lists GROUP BY gene_id")
+def _(s, d):
+    return L.union(_lists(s, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "list_rank_sum",
+    _LISTS_SQL
+    + """, n AS (SELECT list_no, count(*) AS size FROM lists GROUP BY 1), g AS (SELECT g.gene_id, sum(coalesce(pos, size))::BIGINT AS rank_sum, avg(coalesce(pos, size)) AS mean_rank
+    FROM (SELECT DISTINCT gene_id FROM lists) g CROSS JOIN n LEFT JOIN lists l ON l.gene_id = g.gene_id AND l.list_no = n.list_no GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY rank_sum, mean_rank, gene_id) - 1 AS pos, gene_id, rank_sum, round(mean_rank, 6) AS mean_rank FROM g""",
+)
+def _(s, d):
+    return rounded(L.rank_sum(_lists(s, d)).withColumn("pos", F.col("pos").cast("long")), "mean_rank")
+
+
+@query(
+    "list_subset",
+    _LISTS_SQL
+    + """, a AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, gene_id FROM lists WHERE list_no = 1 AND gene_id IN (SELECT gene_id FROM lists WHERE list_no = 2)
+    AND gene_id NOT IN (SELECT gene_id FROM lists WHERE list_no = 0)) SELECT pos, gene_id FROM a WHERE pos >= 1 AND pos < 3""",
+)
+def _(s, d):
+    x = _lists(s, d)
+    one = lambda i: x.filter(F.col("list_no") == i)
+    return L.sliced(one(1), start=1, top=2, only=one(2), but=one(0)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("nuisance_filter", "SELECT DISTINCT p_name AS gene_id FROM part WHERE NOT (p_name IN ('part 1') OR starts_with(p_name, 'part 2') OR regexp_full_match(p_name, '.*[aeiou]\\d?'))")
+def _(s, d):
+    names = D.read(s, d, "part").select(F.col("p_name").alias("gene_id")).distinct()
+    return L.filtered(names, (("part 1",), ("part 2",), (r".*[aeiou]\d?",)))
+
+
+@query("gene_search", RETAIL + "z AS (SELECT 1) SELECT gene_id, total FROM tot WHERE contains(lower(gene_id), 'd#3') ORDER BY total DESC, gene_id LIMIT 3")
+def _(s, d):
+    return L.search(T.gene_totals(D.retail(s, d)), " D#3", 3).select("gene_id", "total")
+
+
+@query(
+    "gene_resolve",
+    RETAIL
+    + """i AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS gene_idx FROM var), q(query) AS (VALUES ('Brand#12'), ('3'), ('brand#44'), ('missing')),
+    f AS (SELECT query, gene_id, gene_idx, CASE WHEN query = gene_id THEN 0 WHEN query = gene_idx::VARCHAR THEN 1 ELSE 2 END AS w FROM q JOIN i
+    ON query = gene_id OR query = gene_idx::VARCHAR OR lower(query) = lower(gene_id))
+    SELECT query, gene_id, gene_idx FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY w, gene_idx) = 1""",
+)
+def _(s, d):
+    from pyspark.sql.window import Window
+
+    genes = D.retail(s, d).var.withColumn("gene_idx", (F.row_number().over(Window.orderBy("gene_id")) - 1).cast("long"))
+    return L.resolve(genes, s.createDataFrame([("Brand#12",), ("3",), ("brand#44",), ("missing",)], "query string"))
+
+
+@query("browse_page", RETAIL + "z AS (SELECT 1) SELECT gene_id, total, detected, row_number() OVER (ORDER BY total DESC, gene_id)::INT AS place FROM tot QUALIFY place > 10 AND place <= 20")
+def _(s, d):
+    return L.page(T.gene_totals(D.retail(s, d)), [F.desc("total"), F.asc("gene_id")], 2, 10)
+
+
+@query("unique_names", "SELECT p_partkey, p_type, CASE WHEN n = 0 THEN p_type ELSE p_type || '_' || n END AS unique_name FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS n FROM part)")
+def _(s, d):
+    return L.numbered(D.read(s, d, "part").select("p_partkey", "p_type"), "p_type", "p_partkey")
+
+
+@query("gene_shards", RETAIL + "i AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS pos FROM var) SELECT pos, gene_id, pos % 3 AS shard, (pos // 3 // 4)::BIGINT AS batch FROM i")
+def _(s, d):
+    out = L.shards(D.retail(s, d).var.withColumn("pos", F.col("gene_id")), 3, 4)
+    return out.select(F.col("pos").cast("long"), "gene_id", F.col("shard").cast("long").alias("shard"), "batch")
+
+
+# Strings
+
+
+@query("label_split", "SELECT p_partkey, regexp_extract(x, '^([^_]+)_(.+)$', 1) AS batch, regexp_extract(x, '^([^_]+)_(.+)$', 2) AS perturbation FROM (SELECT p_partkey, replace(p_type, ' ', '_') AS x FROM part)")
+def _(s, d):
+    x = F.replace("p_type", F.lit(" "), F.lit("_"))
+    get = lambda i: F.regexp_extract(x, "^([^_]+)_(.+)$", i)
+    return D.read(s, d, "part").select("p_partkey", get(1).alias("batch"), get(2).alias("perturbation"))
+
+
+@query(
+    "condition_normalise",
+    """WITH c AS (SELECT p_partkey, list_filter(list_transform(string_split(lower(p_type), ' '), lambda x: CASE WHEN x IN ('small', 'control', 'ctrl') THEN 'ctrl' ELSE x END), lambda x: x <> '') AS w FROM part),
+    g AS (SELECT p_partkey, list_sort(list_distinct(list_filter(w, lambda x: x <> 'ctrl'))) AS g FROM c)
+    SELECT p_partkey, CASE WHEN len(g) = 0 THEN 'ctrl' WHEN len(g) = 1 THEN 'ctrl+' || g[1] ELSE array_to_string(g, '+') END AS condition FROM g""",
+)
+def _(s, d):
+    words = F.filter(F.split(F.lower("p_type"), " "), lambda x: (x != "") & ~x.isin("small", "control", "ctrl"))
+    g = F.array_sort(F.array_distinct(words))
+    text = F.when(F.size(g) == 0, "ctrl").when(F.size(g) == 1, F.concat(F.lit("ctrl+"), F.get(g, F.lit(0)))).otherwise(F.array_join(g, "+"))
+    return D.read(s, d, "part").select("p_partkey", text.alias("condition"))
+
+
+@query(
+    "guide_target_parse",
+    "SELECT p_partkey, array_to_string(list_filter(string_split(string_split(p_type || '__x', '__')[1], ' '), lambda x: x NOT IN ('SMALL', 'LARGE')), '+') AS target FROM part",
+)
+def _(s, d):
+    head = F.split(F.concat("p_type", F.lit("__x")), "__")[0]
+    return D.read(s, d, "part").select("p_partkey", F.array_join(F.filter(F.split(head, " "), lambda x: ~x.isin("SMALL", "LARGE")), "+").alias("target"))
+
+
+@query("suffix_group", "SELECT c_custkey, try_cast(nullif(regexp_extract(c_name, '#0*(\\d+)$', 1), '') AS BIGINT) AS gem_group FROM customer")
+def _(s, d):
+    got = F.nullif(F.regexp_extract("c_name", r"#0*(\d+)$", 1), F.lit(""))
+    return D.read(s, d, "customer").select("c_custkey", got.try_cast("long").alias("gem_group"))
+
+
+@query("annotation_text", "SELECT s_suppkey, 'balance=' || coalesce(printf('%.2f', s_acctbal), 'NA') || ', nation=' || s_nationkey AS text FROM supplier")
+def _(s, d):
+    t = D.read(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return t.select("s_suppkey", D.annotation_text(t, ["s_suppkey"], ["balance", "nation"]).alias("text"))
+
+
+@query("alias_check", "SELECT p_type AS alias, count(DISTINCT p_brand)::BIGINT AS genes, count(DISTINCT p_brand) > 1 AS ambiguous FROM part GROUP BY 1")
+def _(s, d):
+    rows = D.read(s, d, "part").groupBy(F.col("p_type").alias("alias")).agg(F.countDistinct("p_brand").alias("genes"))
+    return rows.withColumn("ambiguous", F.col("genes") > 1)
+
+
+@query("json_property", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _(s, d):
+    return D.read(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("layer_sum", "SELECT l_suppkey AS cell_id, p_brand AS gene_id, sum(v)::BIGINT AS value FROM (SELECT l_suppkey, l_partkey, 1 AS v FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_suppkey, l_partkey, 2 FROM lineitem WHERE l_returnflag = 'A') JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def _(s, d):
+    lines, parts = D.read(s, d, "lineitem"), D.read(s, d, "part").select("p_partkey", F.col("p_brand").alias("gene_id"))
+    part = lambda flag, v: lines.filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("cell_id"), "l_partkey", F.lit(v).alias("v"))
+    both = part("R", 1).union(part("A", 2)).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return both.groupBy("cell_id", "gene_id").agg(F.sum("v").alias("value"))
+
+
+# Sampling
+
+_KEY = "md5('{0}|' || cell_id)"
+
+
+@query("fit_subsample", RETAIL + f"z AS (SELECT 1) SELECT cell_id, label FROM obs ORDER BY {_KEY.format(7)}, cell_id LIMIT 60")
+def _(s, d):
+    return S.subsample(D.retail(s, d).obs, 60, 7)
+
+
+@query(
+    "stratified_downsample",
+    RETAIL
+    + f"""q AS (SELECT label, least(greatest(round_even(count(*) * 0.25::DOUBLE, 0)::BIGINT, 3), count(*)) AS q FROM obs GROUP BY label)
+    SELECT cell_id, label FROM obs JOIN q USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_KEY.format(42)}, cell_id) <= any_value(q) OVER (PARTITION BY label)""",
+)
+def _(s, d):
+    return S.stratified(D.retail(s, d).obs, 0.25, 3, 42)
+
+
+@query(
+    "train_split",
+    RETAIL
+    + f"""u AS (SELECT cell_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_KEY.format(3)}, cell_id) - 1) / count(*) OVER (PARTITION BY label) AS u FROM obs)
+    SELECT cell_id, label, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS part FROM u""",
+)
+def _(s, d):
+    return S.split(D.retail(s, d).obs, (0.7, 0.15), 3)
+
+
+_PLAN = (
+    RETAIL
+    + """c AS (SELECT label, count(*)::BIGINT AS cells, avg(n) AS m FROM ref GROUP BY label HAVING count(*) >= 3),
+    plan AS (SELECT label, cells, greatest(1, round_even(5 * m / (SELECT avg(m) FROM c), 0)::BIGINT) AS target, (cells * (cells - 1) * (cells - 2) // 6)::BIGINT AS ways FROM c),
+    """
+)
+
+
+@query("kbulk_plan", _PLAN + "z AS (SELECT 1) SELECT label, cells, target, least(target, ways) AS realized FROM plan")
+def _(s, d):
+    return S.plan(T.reference_counts(D.retail(s, d)), 3, 5, True)
+
+
+_COMBOS = _PLAN + (
+    "smp AS (SELECT label, unnest(range(1, least(target, ways) + 1)) AS sample_id FROM plan), "
+    "cho AS (SELECT label, sample_id, cell_id FROM obs JOIN smp USING (label) "
+    "QUALIFY row_number() OVER (PARTITION BY label, sample_id ORDER BY md5('11|' || label || '|' || sample_id || '|' || cell_id), cell_id) <= 3), "
+    "agg AS (SELECT label, sample_id, gene_id, sum(k)::BIGINT AS k_sum, sum(k) / 3 AS mean, 1 - count_if(k <> 0) / 3 AS zero_fraction FROM cho JOIN dense USING (label, cell_id) GROUP BY ALL), "
+    "ex AS (SELECT label, sample_id, sum(n)::BIGINT AS exposure_sum FROM cho JOIN ref USING (label, cell_id) GROUP BY ALL), "
+)
+
+
+def _kbulk(s, d) -> DataFrame:
+    m = D.retail(s, d)
+    ref = T.reference_counts(m)
+    chosen = S.combinations(m.obs, S.plan(ref, 3, 5, True), 3, 11)
+    return S.aggregate(m.counts, ref, chosen, m.var, 3)
+
+
+@query("kbulk_combinations", _COMBOS + "z AS (SELECT 1) SELECT label, sample_id::INT AS sample_id, cell_id FROM cho")
+def _(s, d):
+    m = D.retail(s, d)
+    return S.combinations(m.obs, S.plan(T.reference_counts(m), 3, 5, True), 3, 11)
+
+
+@query("kbulk_mean", _COMBOS + "z AS (SELECT 1) SELECT label, sample_id::INT AS sample_id, gene_id, k_sum, round(mean, 6) AS mean, round(zero_fraction, 6) AS zero_fraction, exposure_sum FROM agg JOIN ex USING (label, sample_id)")
+def _(s, d):
+    return rounded(_kbulk(s, d), "mean", "zero_fraction")
+
+
+@query("kbulk_unique")
+def _(s, d):
+    m = D.retail(s, d)
+    return S.unique_combinations(m.obs, S.plan(T.reference_counts(m), 3, 5, True), 3, 11)
+
+
+@query("kbulk_signals")
+def _(s, d):
+    rows = _kbulk(s, d).select(F.lit("global").alias("scope"), "label", "sample_id", "gene_id", F.col("k_sum").alias("k"), F.col("exposure_sum").alias("n_ref"))
+    out = M.infer(rows, _priors(s, d), _CONFIG, raw_exposure=True)
+    return rounded(out.select("label", "sample_id", "gene_id", "signal", "posterior_entropy", "mutual_information"), "signal", "posterior_entropy", "mutual_information")
+
+
+# Grids, likelihoods, posteriors
+
+
+def _rows(s, d) -> DataFrame:
+    return M.compressed(D.retail(s, d))
+
+
+def _scale(s, d) -> F.Column:
+    return F.lit(M.scale_of(D.retail(s, d)))
+
+
+def _priors(s, d, config: M.FitConfig = _CONFIG) -> DataFrame:
+    return M.initial_priors(M.support_tops(_rows(s, d), _scale(s, d), config), config)
+
+
+@query("compressed_observations", RETAIL + "z AS (SELECT 1) SELECT gene_id, k, n AS n_ref, count(*)::BIGINT AS weight FROM dense JOIN ref USING (cell_id) WHERE n > 0 GROUP BY ALL")
+def _(s, d):
+    return _rows(s, d).select("gene_id", "k", "n_ref", "weight")
+
+
+@query("support_grid_observed", POSTERIOR + "z AS (SELECT 1) SELECT gene_id, j::INT AS j, round(p, 9) AS p FROM grid")
+def _(s, d):
+    return _priors(s, d).select("gene_id", F.posexplode("support").alias("j", "p")).select("gene_id", "j", F.round("p", 9).alias("p"))
+
+
+@query(
+    "support_grid_sqrt",
+    POSTERIOR + "z AS (SELECT 1) SELECT gene_id, j::INT AS j, round(least(greatest(t * 1.5::DOUBLE, 1e-12), 1) * (j / 15) ** 2, 9) AS p FROM top, (SELECT unnest(range(16)) AS j)",
+)
+def _(s, d):
+    return _priors(s, d, M.FitConfig(points=16, spacing="sqrt")).select("gene_id", F.posexplode("support").alias("j", "p")).select("gene_id", "j", F.round("p", 9).alias("p"))
+
+
+@query("support_top_quantile", POSTERIOR + "z AS (SELECT 1) SELECT gene_id, round(least(greatest(quantile_cont(k / n, 0.95), 1e-12), 1), 9) AS top FROM obsn GROUP BY gene_id")
+def _(s, d):
+    rows = _rows(s, d)
+    return M.support_tops(rows, _scale(s, d), M.FitConfig(support_from="quantile")).select("gene_id", F.round("top", 9).alias("top"))
+
+
+@query("rate_grid", POSTERIOR + "z AS (SELECT 1) SELECT gene_id, j::INT AS j, round(greatest(max(k) * 1.5::DOUBLE, 1e-12) * j / 15, 9) AS p FROM obsn, (SELECT unnest(range(16)) AS j) GROUP BY gene_id, j")
+def _(s, d):
+    return _priors(s, d, M.FitConfig(points=16, likelihood="poisson")).select("gene_id", F.posexplode("support").alias("j", "p")).select("gene_id", "j", F.round("p", 9).alias("p"))
+
+
+_SUMMARY = (
+    "su AS (SELECT gene_id, k, n, arg_min(p, j) FILTER (pp = mp) AS sup, -sum(pp * ln(greatest(pp, 1e-12))) AS h, -sum(q * ln(q)) AS h0 "
+    "FROM (SELECT *, max(pp) OVER (PARTITION BY gene_id, k, n) AS mp FROM soft) GROUP BY ALL) "
+)
+
+
+@query(
+    "map_signal",
+    POSTERIOR
+    + _SUMMARY
+    + """SELECT cell_id, gene_id, round(sup * s, 6) AS signal, round(h, 6) AS posterior_entropy, round(h0, 6) AS prior_entropy, round(greatest(h0 - h, 0), 6) AS mutual_information,
+    round(sup, 6) AS map_probability FROM obsn JOIN su USING (gene_id, k, n), mean""",
+)
+def _(s, d):
+    rows = M.observations(D.retail(s, d)).filter("n_ref > 0")
+    out = M.infer(rows, _priors(s, d), _CONFIG)
+    return rounded(
+        out.select("cell_id", "gene_id", "signal", "posterior_entropy", "prior_entropy", "mutual_information", "map_probability"),
+        "signal", "posterior_entropy", "prior_entropy", "mutual_information", "map_probability",
+    )
+
+
+def _other(kind: str) -> str:
+    """SQL summary of the posterior under another likelihood, on a rate grid or the probability grid."""
+    if kind == "poisson":
+        grid = "g2 AS (SELECT gene_id, j, greatest(max(k) * 1.5::DOUBLE, 1e-12) * j / 15 AS p FROM obsn, (SELECT unnest(range(16)) AS j) GROUP BY gene_id, j)"
+        ll = "k * ln(greatest(p, 1e-12)) - greatest(p, 1e-12)"
+    else:
+        grid = "g2 AS (SELECT gene_id, j, p FROM grid)"
+        mean = "(n * least(greatest(p, 1e-12), 1 - 1e-12))"
+        ll = f"k * ln({mean} + 1e-12) - (k + 100) * ln(100 + {mean})"
+    return (
+        POSTERIOR
+        + f"""{grid}, j2 AS (SELECT gene_id, k, n, j, p, {ll} AS z FROM keys JOIN g2 USING (gene_id)), m2 AS (SELECT *, max(z) OVER (PARTITION BY gene_id, k, n) AS mz FROM j2),
+    s2 AS (SELECT *, exp(z - mz) / sum(exp(z - mz)) OVER (PARTITION BY gene_id, k, n) AS pp FROM m2)
+    SELECT gene_id, k, n::BIGINT AS n_ref, round(-sum(pp * ln(greatest(pp, 1e-12))), 6) AS posterior_entropy, round(sum(p * pp), 6) AS posterior_mean FROM s2 GROUP BY ALL"""
+    )
+
+
+def _posteriors(s, d, likelihood: str) -> DataFrame:
+    config = M.FitConfig(points=16, likelihood=likelihood)
+    rows = _rows(s, d)
+    out = M.infer(rows, _priors(s, d, config), config, channels=("posterior", "support"))
+    mean = X.total(F.zip_with("posterior", "support", lambda a, b: a * b))
+    return out.select("gene_id", "k", "n_ref", r6("posterior_entropy").alias("posterior_entropy"), r6(mean).alias("posterior_mean"))
+
+
+@query("posterior_binomial", POSTERIOR + "z AS (SELECT 1) SELECT gene_id, k, n::BIGINT AS n_ref, round(-sum(pp * ln(greatest(pp, 1e-12))), 6) AS posterior_entropy, round(sum(p * pp), 6) AS posterior_mean FROM soft GROUP BY ALL")
+def _(s, d):
+    return _posteriors(s, d, "binomial")
+
+
+@query("posterior_negbin", _other("negative_binomial"))
+def _(s, d):
+    return _posteriors(s, d, "negative_binomial")
+
+
+@query("posterior_poisson", _other("poisson"))
+def _(s, d):
+    return _posteriors(s, d, "poisson")
+
+
+@query(
+    "posterior_label_prior",
+    RETAIL
+    + """lm AS (SELECT label, avg(n) AS nm FROM ref WHERE n > 0 GROUP BY label), o AS (SELECT DISTINCT label, gene_id, k, r.n::DOUBLE AS n FROM dense d JOIN ref r USING (cell_id, label) WHERE r.n > 0),
+    t AS (SELECT label, gene_id, least(greatest(greatest(max(k / n * nm), max(k)) / max(nm), 1e-12), 1) AS t, max(nm) AS nm FROM o JOIN lm USING (label) GROUP BY ALL),
+    g AS (SELECT label, gene_id, j, nm, least(t * 1.5::DOUBLE, 1) * j / 15 AS p FROM t, (SELECT unnest(range(16)) AS j)),
+    z1 AS (SELECT label, gene_id, k, n, j, p, k * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (n - k) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)) AS z FROM o JOIN g USING (label, gene_id)),
+    z2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY label, gene_id, k, n)) AS e FROM z1), z3 AS (SELECT *, e / sum(e) OVER (PARTITION BY label, gene_id, k, n) AS pp FROM z2)
+    SELECT 'label:' || label AS scope, gene_id, k, n::BIGINT AS n_ref, round(-sum(pp * ln(greatest(pp, 1e-12))), 6) AS posterior_entropy FROM z3 GROUP BY ALL""",
+)
+def _(s, d):
+    rows = M.compressed(D.retail(s, d), by_label=True)
+    priors = M.initial_priors(M.support_tops(rows, F.col("n_mean"), _CONFIG), _CONFIG)
+    return M.infer(rows, priors, _CONFIG).select("scope", "gene_id", "k", "n_ref", r6("posterior_entropy").alias("posterior_entropy"))
+
+
+_NLL = """, lz AS (SELECT gene_id, k, n, max(z) + ln(sum(exp(z - mz))) + lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) AS lz
+    FROM (SELECT *, max(z) OVER (PARTITION BY gene_id, k, n) AS mz FROM joint) GROUP BY gene_id, k, n, mz)"""
+
+
+@query("gene_nll", POSTERIOR.rstrip(", \n") + _NLL + " SELECT gene_id, round(-avg(lz), 6) AS nll FROM obsn JOIN lz USING (gene_id, k, n) GROUP BY gene_id")
+def _(s, d):
+    return M.gene_nll(_rows(s, d), _priors(s, d), _CONFIG).select("gene_id", r6("nll").alias("nll"))
+
+
+_EM1 = (
+    POSTERIOR.rstrip(", \n")
+    + """, wt AS (SELECT gene_id, k, n, count(*) AS w FROM obsn GROUP BY ALL),
+    e1 AS (SELECT gene_id, j, greatest(sum(w * pp), 1e-12) AS u, any_value(p) AS p FROM soft JOIN wt USING (gene_id, k, n) GROUP BY gene_id, j),
+    p1 AS (SELECT gene_id, j, p, u / sum(u) OVER (PARTITION BY gene_id) AS q FROM e1)"""
+)
+
+
+@query("em_one_step", _EM1 + " SELECT gene_id, j::INT AS j, round(q, 6) AS prob FROM p1")
+def _(s, d):
+    return _exploded(M.em_step(_rows(s, d), _priors(s, d), _CONFIG))
+
+
+def _exploded(priors: DataFrame) -> DataFrame:
+    return priors.select("gene_id", F.posexplode("prob").alias("j", "p")).select("gene_id", "j", r6("p").alias("prob"))
+
+
+_EM2 = (
+    _EM1
+    + """, y1 AS (SELECT j1.gene_id, j1.k, j1.n, j1.j, p1.p, z - ln(j1.q) + ln(greatest(p1.q, 1e-12)) AS z FROM joint j1 JOIN p1 ON p1.gene_id = j1.gene_id AND p1.j = j1.j),
+    y2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY gene_id, k, n)) AS e FROM y1), y3 AS (SELECT *, e / sum(e) OVER (PARTITION BY gene_id, k, n) AS pp FROM y2),
+    e2 AS (SELECT gene_id, j, greatest(sum(w * pp), 1e-12) AS u, any_value(p) AS p FROM y3 JOIN wt USING (gene_id, k, n) GROUP BY gene_id, j),
+    p2 AS (SELECT gene_id, j, p, u / sum(u) OVER (PARTITION BY gene_id) AS q FROM e2)"""
+)
+
+
+@query("em_two_step", _EM2 + " SELECT gene_id, j::INT AS j, round(q, 6) AS prob FROM p2")
+def _(s, d):
+    rows = _rows(s, d)
+    return _exploded(M.em_step(rows, M.em_step(rows, _priors(s, d), _CONFIG), _CONFIG))
+
+
+def _step(s, d) -> DataFrame:
+    return M.em_step(_rows(s, d), _priors(s, d), _CONFIG)
+
+
+@query("prior_entropy_rank", _EM1 + ", h AS (SELECT gene_id, -sum(q * ln(greatest(q, 1e-12))) AS h FROM p1 GROUP BY 1) SELECT gene_id, round(h, 6) AS score, row_number() OVER (ORDER BY round(h, 9) DESC, gene_id)::INT AS rank FROM h")
+def _(s, d):
+    return rounded(L.ranked(_step(s, d).select("gene_id", F.round(X.entropy(F.col("prob")), 9).alias("score"))), "score")
+
+
+@query("curve_cdf", _EM1 + " SELECT gene_id, j::INT AS j, round(sum(q) OVER (PARTITION BY gene_id ORDER BY j), 6) AS cdf FROM p1")
+def _(s, d):
+    return _step(s, d).select("gene_id", F.posexplode(X.cumulative(F.col("prob"))).alias("j", "c")).select("gene_id", "j", r6("c").alias("cdf"))
+
+
+@query("support_diagnostics", _EM1 + """, c AS (SELECT *, sum(q) OVER (PARTITION BY gene_id ORDER BY j) AS c, max(q) OVER (PARTITION BY gene_id) AS mq FROM p1),
+    x AS (SELECT gene_id, coalesce(min(j) FILTER (c >= 0.99::DOUBLE), 15) AS qi, min(j) FILTER (q = mq) AS mi, max(q) FILTER (j = 15) AS em, sum(q) FILTER (j >= 14) AS tm FROM c GROUP BY gene_id)
+    SELECT gene_id, qi::INT AS quantile_index, mi::INT AS map_index, round(em, 6) AS edge_mass, round(tm, 6) AS tail_mass,
+    qi >= 15 OR mi >= 15 OR em >= 0.01 OR ((qi >= 14 OR mi >= 14) AND tm >= 0.05) AS expand FROM x""")
+def _(s, d):
+    return rounded(M.diagnostics(_step(s, d)).drop("scope"), "edge_mass", "tail_mass")
+
+
+@query("em_converged")
+def _(s, d):
+    out = M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=64))
+    return out.select("scope", "gene_id", "n_iter", r6("final_objective").alias("final_objective"), r6(X.entropy(F.col("prob"))).alias("prior_entropy"))
+
+
+@query("adaptive_fit")
+def _(s, d):
+    out = M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=32, max_iterations=50, adaptive=True), batch=8)
+    return out.select("gene_id", "rounds", "n_iter", r6(F.element_at("support", -1)).alias("top"), r6("final_objective").alias("final_objective"))
+
+
+@query("fit_by_label")
+def _(s, d):
+    out = M.fit_priors(M.compressed(D.retail(s, d), True), F.col("n_mean"), M.FitConfig(points=32, max_iterations=20))
+    return out.select("scope", "gene_id", "n_iter", r6("final_objective").alias("final_objective"))
