@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their DuckDB counterparts."""
 
-from tallyspark.llm import bpe, language, mixing, neighbours, quality, secrets, simhash, tokenfiles, warc
+from tallyspark.llm import bpe, language, mixing, neighbours, quality, repeats, secrets, simhash, tokenfiles, warc
 
 QUERIES = {
     "op1_entropy_balanced_mix": mixing.op1_entropy_balanced_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_ranked_token_files": tokenfiles.op5_ranked_token_files,
     "op6_multiprobe_neighbours": neighbours.op6_multiprobe_neighbours,
     "op7_warc_transactions": warc.op7_warc_transactions,
+    "op8_removed_repeats": repeats.op8_removed_repeats,
     "op9_streaming_bpe": bpe.op9_streaming_bpe,
     "op10_linked_secrets": secrets.op10_linked_secrets,
 }
