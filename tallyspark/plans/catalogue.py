@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import expr as X
+from tallyspark.operators import curves as C
+from tallyspark.operators import cycle as Y
 from tallyspark.operators import lists as L
+from tallyspark.operators import mixture as G
 from tallyspark.operators import model as M
 from tallyspark.operators import sampling as S
 from tallyspark.operators import stats as T
 from tallyspark.sources import matrices as D
+from tallyspark.streaming.scoring import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -796,3 +800,195 @@ def _(s, d):
 def _(s, d):
     out = M.fit_priors(M.compressed(D.retail(s, d), True), F.col("n_mean"), M.FitConfig(points=32, max_iterations=20))
     return out.select("scope", "gene_id", "n_iter", r6("final_objective").alias("final_objective"))
+
+
+# Curves, labels, checkpoints
+
+
+@query("curve_density", _EM1 + " SELECT gene_id, j::INT AS j, round(p * s, 6) AS x, round(q, 6) AS prob FROM p1, mean")
+def _(s, d):
+    return rounded(C.curve_points(_step(s, d)).select("gene_id", "j", "x", "prob"), "x", "prob")
+
+
+@query(
+    "curve_summary",
+    _EM1
+    + """, c AS (SELECT *, max(q) OVER (PARTITION BY gene_id) AS mq FROM p1) SELECT gene_id, round(sum(p * q * s), 6) AS mean, round(arg_min(p * s, j) FILTER (q = mq), 6) AS map,
+    round(-sum(q * ln(greatest(q, 1e-12))), 6) AS entropy FROM c, mean GROUP BY gene_id""",
+)
+def _(s, d):
+    return rounded(C.curve_summaries(_step(s, d)).drop("scope"), "mean", "map", "entropy")
+
+
+@query(
+    "display_cutoff",
+    _EM1 + ", c AS (SELECT *, sum(q) OVER (PARTITION BY gene_id ORDER BY j) AS c FROM p1) SELECT gene_id, round(coalesce(min(p * s) FILTER (c >= 0.95::DOUBLE), max(p * s)), 6) AS cutoff FROM c, mean GROUP BY gene_id",
+)
+def _(s, d):
+    return rounded(C.display_cutoff(_step(s, d), 0.95).drop("scope"), "cutoff")
+
+
+_LABELS = (
+    RETAIL
+    + """lm AS (SELECT label, avg(n) AS nm FROM ref WHERE n > 0 GROUP BY label), o AS (SELECT label, gene_id, d.k, r.n::DOUBLE AS n, count(*) AS w FROM dense d JOIN ref r USING (cell_id, label) WHERE r.n > 0 GROUP BY ALL),
+    t AS (SELECT label, gene_id, least(greatest(greatest(max(k / n * nm), max(k)) / max(nm), 1e-12), 1) AS t, max(nm) AS nm FROM o JOIN lm USING (label) GROUP BY ALL),
+    g AS (SELECT label, gene_id, j, nm, least(t * 1.5::DOUBLE, 1) * j / 15 AS p FROM t, (SELECT unnest(range(16)) AS j)),
+    z1 AS (SELECT label, gene_id, k, n, j, p, nm, w, k * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (n - k) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)) AS z FROM o JOIN g USING (label, gene_id)),
+    z2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY label, gene_id, k, n)) AS e FROM z1), z3 AS (SELECT *, e / sum(e) OVER (PARTITION BY label, gene_id, k, n) AS pp FROM z2),
+    e1 AS (SELECT label, gene_id, j, any_value(p * nm) AS x, greatest(sum(w * pp), 1e-12) AS u FROM z3 GROUP BY label, gene_id, j),
+    pr AS (SELECT label, gene_id, x, u / sum(u) OVER (PARTITION BY label, gene_id) AS q FROM e1), ls AS (SELECT DISTINCT label FROM pr),
+    ab AS (SELECT a.label AS a, b.label AS b FROM ls a, ls b),
+    un AS (SELECT a, b, gene_id, x, q AS p, 0.0::DOUBLE AS q FROM pr JOIN ab ON label = a UNION ALL SELECT a, b, gene_id, x, 0.0, q FROM pr JOIN ab ON label = b),
+    al AS (SELECT a, b, gene_id, x, sum(p) AS p, sum(q) AS q FROM un GROUP BY ALL),
+    js AS (SELECT a, b, gene_id, sum(0.5::DOUBLE * p * ln(greatest(p, 1e-12) / greatest((p + q) / 2, 1e-12)) + 0.5::DOUBLE * q * ln(greatest(q, 1e-12) / greatest((p + q) / 2, 1e-12))) AS jsd, sum(least(p, q)) AS ov FROM al GROUP BY ALL)
+    """
+)
+
+
+def _label_priors(s, d) -> DataFrame:
+    rows = M.compressed(D.retail(s, d), by_label=True)
+    return M.em_step(rows, M.initial_priors(M.support_tops(rows, F.col("n_mean"), _CONFIG), _CONFIG), _CONFIG)
+
+
+@query("label_jsd", _LABELS + "SELECT 'label:' || a AS label_a, 'label:' || b AS label_b, round(avg(jsd), 6) AS value FROM js GROUP BY a, b")
+def _(s, d):
+    return rounded(C.label_similarity(_label_priors(s, d)), "value")
+
+
+@query("label_overlap", _LABELS + "SELECT 'label:' || a AS label_a, 'label:' || b AS label_b, round(avg(ov), 6) AS value FROM js GROUP BY a, b")
+def _(s, d):
+    return rounded(C.label_similarity(_label_priors(s, d), "overlap"), "value")
+
+
+@query("checkpoint_merge", _EM1 + " SELECT gene_id, count(*)::INT AS points, round(sum(q), 6) AS mass FROM p1 GROUP BY gene_id")
+def _(s, d):
+    p = _step(s, d)
+    halves = [p.filter(F.crc32("gene_id") % 2 == i) for i in (0, 1)]
+    return C.merge_checkpoints(halves).select("gene_id", F.size("support").alias("points"), r6(X.total(F.col("prob"))).alias("mass"))
+
+
+@query("checkpoint_inspect", _EM1 + " SELECT 'global' AS scope, count(DISTINCT gene_id)::BIGINT AS genes, 16 AS points, round(max(s), 6) AS scale_min, round(max(s), 6) AS scale_max FROM p1, mean")
+def _(s, d):
+    return rounded(C.inspect(_step(s, d)), "scale_min", "scale_max")
+
+
+@query(
+    "full_matrix_layout",
+    POSTERIOR + _SUMMARY + "SELECT o.cell_id, v.gene_id, round(sup * s, 6) AS signal FROM obs o CROSS JOIN var v LEFT JOIN (SELECT * FROM obsn WHERE gene_id LIKE 'Brand#1%') x USING (cell_id, gene_id) LEFT JOIN su ON su.gene_id = x.gene_id AND su.k = x.k AND su.n = x.n, mean",
+)
+def _(s, d):
+    m = D.retail(s, d)
+    rows = M.observations(m).filter((F.col("n_ref") > 0) & F.col("gene_id").startswith("Brand#1"))
+    return rounded(C.full_matrix(M.infer(rows, _priors(s, d), _CONFIG), m.obs, m.var), "signal")
+
+
+@query("bin_edges", _EM1 + """, e AS (SELECT gene_id, j, p, lead(p) OVER (PARTITION BY gene_id ORDER BY j) AS nx FROM p1)
+    SELECT gene_id, (j + 1)::INT AS i, round((p + nx) / 2, 9) AS edge FROM e WHERE nx IS NOT NULL UNION ALL SELECT gene_id, 0, round(min(p), 9) FROM e GROUP BY gene_id
+    UNION ALL SELECT gene_id, 16, round(max(p), 9) FROM e GROUP BY gene_id""")
+def _(s, d):
+    return _step(s, d).select("gene_id", F.posexplode(X.bin_edges(F.col("support"))).alias("i", "edge")).select("gene_id", "i", F.round("edge", 9).alias("edge"))
+
+
+@query(
+    "interpolate_grid",
+    _EM1
+    + """, m AS (SELECT gene_id, j, p, q, lead(p) OVER w AS p1, lead(q) OVER w AS q1, max(p) OVER (PARTITION BY gene_id) AS mp FROM p1 WINDOW w AS (PARTITION BY gene_id ORDER BY j)),
+    g AS (SELECT DISTINCT gene_id, i, mp * i / 30 AS x FROM m, (SELECT unnest(range(31)) AS i)),
+    v AS (SELECT g.gene_id, i, greatest(max(q + (q1 - q) * (x - p) / (p1 - p)), 1e-12) AS v FROM g JOIN m ON m.gene_id = g.gene_id AND m.p1 IS NOT NULL AND x >= p - 1e-15 AND x <= p1 + 1e-15 GROUP BY ALL)
+    SELECT gene_id, i::INT AS i, round(v / sum(v) OVER (PARTITION BY gene_id), 6) AS prob FROM v""",
+)
+def _(s, d):
+    grid = X.linear_grid(F.element_at("support", -1), 31)
+    p = X.interpolated(F.col("support"), F.col("prob"), grid)
+    return _step(s, d).select("gene_id", F.posexplode(p).alias("i", "p")).select("gene_id", "i", r6("p").alias("prob"))
+
+
+@query(
+    "peak_indices",
+    _EM1 + ", l AS (SELECT gene_id, j, q, lag(q) OVER w AS a, lead(q) OVER w AS b FROM p1 WINDOW w AS (PARTITION BY gene_id ORDER BY j)) SELECT gene_id, j::INT AS peak FROM l WHERE (a IS NULL OR a < q) AND (b IS NULL OR b < q)",
+)
+def _(s, d):
+    return _step(s, d).select("gene_id", F.explode(G.peak_indices(F.col("prob"))).alias("peak"))
+
+
+@query(
+    "prior_distances",
+    _EM1
+    + """, u AS (SELECT gene_id, q, 1.0::DOUBLE / 16 AS v FROM p1) SELECT gene_id, round(sum(q * ln((q + 1e-12) / (v + 1e-12))), 6) AS kl,
+    round(sum(0.5::DOUBLE * q * ln((q + 1e-12) / ((q + v) / 2 + 1e-12)) + 0.5::DOUBLE * v * ln((v + 1e-12) / ((q + v) / 2 + 1e-12))), 6) AS jsd, round(sum(least(q, v)), 6) AS overlap,
+    round(greatest(1 + sum(q * ln(greatest(q, 1e-12))) / ln(16), 0), 6) AS confidence FROM u GROUP BY gene_id""",
+)
+def _(s, d):
+    p, u = F.col("prob"), X.uniform(16)
+    return _step(s, d).select("gene_id", r6(X.kl(p, u)).alias("kl"), r6(X.jsd(p, u)).alias("jsd"), r6(X.overlap(p, u)).alias("overlap"), r6(X.confidence(p)).alias("confidence"))
+
+
+@query("lgamma_values", "SELECT l_orderkey, l_linenumber, round(lgamma(l_quantity + 1), 6) AS v FROM lineitem")
+def _(s, d):
+    return D.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(X.lgamma(F.col("l_quantity") + 1)).alias("v"))
+
+
+@query(
+    "posterior_mean",
+    POSTERIOR.rstrip(", \n") + ", wt AS (SELECT gene_id, k, n, count(*) AS w FROM obsn GROUP BY ALL) SELECT gene_id, j::INT AS j, round(sum(w * pp) / sum(w), 6) AS prob FROM soft JOIN wt USING (gene_id, k, n) GROUP BY gene_id, j",
+)
+def _(s, d):
+    out = M.infer(_rows(s, d), _priors(s, d), _CONFIG, channels=("posterior",))
+    rows = out.select("gene_id", "weight", F.posexplode("posterior").alias("j", "p")).groupBy("gene_id", "j")
+    return rows.agg(r6(F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("prob"))
+
+
+_PHASE = (
+    RETAIL
+    + """w AS (SELECT cell_id, list(k ORDER BY gene_id) AS v FROM dense WHERE gene_id IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') GROUP BY cell_id),
+    c AS (SELECT cell_id, i, CASE WHEN list_stddev_pop(v) > 1e-12 THEN (v[i] - list_avg(v)) / (2 * list_stddev_pop(v)) ELSE 0 END AS r FROM w, (SELECT unnest(range(1, 6)) AS i))
+    """
+)
+
+
+@query("phase_assign", _PHASE + "SELECT cell_id, (arg_min(i, struct_pack(a := -round(r, 9), b := i)) - 1)::INT AS phase, round(max(r), 6) AS best FROM c GROUP BY cell_id")
+def _(s, d):
+    return Y.phases(D.retail(s, d), list(_SET)).select("cell_id", "phase", r6("best").alias("best"))
+
+
+@query(
+    "cycle_order",
+    _PHASE
+    + """, a AS (SELECT cell_id, (arg_min(i, struct_pack(a := -round(r, 9), b := i)) - 1)::INT AS phase, list(round(r, 9) ORDER BY i) AS rs FROM c GROUP BY cell_id),
+    p AS (SELECT cell_id, phase, round(rs[(phase + 4) % 5 + 1] - rs[(phase + 1) % 5 + 1], 6) AS progress FROM a)
+    SELECT cell_id, phase, progress, round((row_number() OVER (PARTITION BY phase ORDER BY progress DESC, cell_id) - 1) / nullif(count(*) OVER (PARTITION BY phase) - 1, 0), 6) AS place FROM p""",
+)
+def _(s, d):
+    return rounded(Y.cycle_order(Y.phases(D.retail(s, d), list(_SET))).drop("best"), "place")
+
+
+@query("gmm_search")
+def _(s, d):
+    priors = M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=48, max_iterations=30))
+    return rounded(G.mixtures(priors, G.MixtureConfig(max_components=4)).select("gene_id", "k", "error"), "error")
+
+
+@query("gmm_fit")
+def _(s, d):
+    priors = M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=48, max_iterations=30))
+    out = G.mixtures(priors, G.MixtureConfig(max_components=3), fit=True)
+    return out.select("gene_id", "k", r6("error").alias("error"), F.explode("components").alias("c")).select("gene_id", "k", "error", r6("c.weight").alias("weight"), r6("c.mean").alias("mean"), r6("c.std").alias("std"))
+
+
+@query("stream_scores")
+def _(s, d):
+    rows = _rows(s, d)
+    mean = float(rows.agg(F.max("n_mean")).first()[0])
+    out = score_stream(rows.select("gene_id", "k", "n_ref"), _priors(s, d), mean, _CONFIG)
+    return rounded(out, "signal", "posterior_entropy")
+
+
+@query("kbulk_server")
+def _(s, d):
+    m = D.retail(s, d)
+    ref = T.exposure(T.reference_counts(m), M.scale_of(m), ["label"]).select("cell_id", "label", F.col("n_eff").alias("n_ref"))
+    agg = S.aggregate(m.counts, ref, S.combinations(m.obs, S.plan(ref, 8, 24, False), 8, 5), m.var, 8)
+    rows = agg.select(F.lit("global").alias("scope"), "label", "sample_id", "gene_id", F.col("k_sum").alias("k"), F.col("exposure_sum").alias("n_ref"))
+    out = M.infer(rows, _priors(s, d), _CONFIG, raw_exposure=True)
+    stats = out.groupBy("label", "gene_id").agg(F.avg("signal").alias("mean"), F.stddev_pop("signal").alias("std"), F.avg("posterior_entropy").alias("entropy"))
+    return rounded(stats, "mean", "std", "entropy")
