@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.ship import ship  # noqa: F401  (for the operators)
+
 #: What separates words: space and the ASCII controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -78,17 +78,3 @@ def without(text: Column, chars: str) -> Column:
     for c in chars:
         text = F.replace(text, F.lit(c), F.lit(""))
     return text
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for a session; without it workers could not import its functions."""
-    context = spark.sparkContext
-    if getattr(context, "_tallyspark_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    where = Path(tempfile.mkdtemp()) / "tallyspark.zip"
-    with zipfile.ZipFile(where, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(where))
-    context._tallyspark_shipped = True
