@@ -37,10 +37,8 @@ def word_array(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), f"tallyspark-{os.getpid()}")
-        os.makedirs(base, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # as in tests: a folder of this session on this machine
+        base = os.path.join(tempfile.gettempdir(), f"tallyspark-{spark.sparkContext.applicationId}")
     return base.rstrip("/") + "/tallyspark"
 
 
