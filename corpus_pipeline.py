@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.llm.bpe import token_digests
 from tallyspark.llm.common import Staged, table
 from tallyspark.llm.mixing import mixed_rows
-from tallyspark.llm.quality import line_quality
+from tallyspark.llm.quality import pass_quality
 from tallyspark.llm.secrets import redact_secrets
 from tallyspark.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the line-frequency rule."""
-    return line_quality(docs).filter("kept").select(*docs.columns)
+    return pass_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

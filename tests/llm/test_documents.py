@@ -259,3 +259,11 @@ def test_repeats(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     same([tuple(r) for r in repeats.remove_repeats(frame).collect()], want)
     assert repeats.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_passing_quality_equals_the_verdicts(spark, docs):
+    rows = [(i, "shared boiler plate line one two three\n" + f"own {i} " * 30, "h") for i in range(30)]
+    rows += [(100 + i, "shared boiler plate line one two three\n" * 3 + f"x{i}", "h") for i in range(3)]
+    for frame in (docs, spark.createDataFrame(rows, SCHEMA), docs.limit(0)):
+        want = quality.line_quality(frame).filter("kept").select(*frame.columns)
+        same(map(tuple, quality.pass_quality(frame).collect()), map(tuple, want.collect()))
