@@ -173,7 +173,8 @@ def mixed_rows(docs: DataFrame, size: Column | None = None, key: str = "doc_id",
     taken = mix(docs.filter(F.col(key).isNotNull()), words() if size is None else size, key=key, **options)
     many = taken.groupBy(F.col(key).alias("__key")).agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
     many = Staged(many, "copies").df
-    out = docs.join(many, F.col(key) == F.col("__key"))
+    # One row for each document: as large a table as its files are small, so it must not be broadcast.
+    out = docs.join(many.hint("merge"), F.col(key) == F.col("__key"))
     repeated = many.filter("__rows > 1").limit(1).count() > 0
     nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))) if repeated else F.lit(1)
     here = F.floor(F.col("__all") / F.col("__rows")) + F.when(nth <= F.col("__all") % F.col("__rows"), 1).otherwise(0)
