@@ -24,7 +24,7 @@ from tallyspark.llm.common import Staged, shared_dir, ship, small, table
 from tallyspark.llm.tokenfiles import _file_system
 
 #: Bytes of an anchor gram, of text in a part, and of text for each group of anchors or passages.
-GRAM, PART, GROUP = 16, 8 << 20, 16 << 20
+GRAM, PART, GROUP = 16, 2 << 20, 8 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
