@@ -1,0 +1,158 @@
+"""Near copies by the similarity of their sets of shingles.
+
+Candidates share all hashes of a band of MinHash signatures; a group of candidates is then compared by their complete
+sets of shingles. At BANDS x BAND = 30 x 5 a pair of similarity 0.8 meets in no band once in 150,000 pairs, a more alike
+pair less often. Of each group only a spanning forest of its links is told, so copies cost rows in proportion.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import Staged, ship, small
+from tallyspark.llm.graph import components
+
+#: Bands of a signature and hashes of each.
+BANDS, BAND = 30, 5
+#: Small rows (a key and two hashes) that may be broadcast.
+MOST = 200_000
+
+_DRAWN = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * BAND, 1), dtype=np.uint64)
+_SALT, _ODD = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of so many words of a UTF-8 text; a shorter text is one run."""
+    words = text.lower().split()
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], "<u8")
+    pieces = map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(42)), "<u8", len(words) - size + 1))
+
+
+def bands(found: np.ndarray, block: int = 1 << 10) -> np.ndarray:
+    """One hash for each band of a set's signature."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), block):
+        np.minimum(least, ((found[None, at : at + block] ^ _SALT) * _ODD).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)], np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common members (Jaccard) of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _signed(size: int):
+    def sign(texts: pa.Array) -> pa.Array:
+        values = texts.cast(pa.binary())
+        nodes, each = np.zeros(len(values), np.uint64), np.zeros((len(values), BANDS), np.uint64)
+        for i, t in enumerate(values):  # one text at a time, as sets take more room than texts
+            found = shingles(t.as_py() or b"", size)
+            nodes[i], each[i] = xxhash.xxh64_intdigest(found.tobytes(), 7), bands(found)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * BANDS, pa.int32()), pa.array(each.ravel().view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), lists], ["node", "bands"])
+
+    return sign
+
+
+def _sets(size: int):
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t or b"", size).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return sets
+
+
+def _linked(least: float):
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links that join all of a group's members that chains of alike pairs join."""
+        nodes, sets = pdf["node"].tolist(), [np.frombuffer(r, "<u8") for r in pdf["raw"]]
+        out: list[tuple[int, int]] = []
+        clusters: list[list[int]] = []
+
+        def alike(i: int, j: int) -> bool:
+            a, b = sets[i], sets[j]
+            return min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 and similarity(a, b) >= least - 1e-12
+
+        for i in range(len(nodes)):
+            met, others = [], []
+            for c in clusters:
+                j = next((j for j in c if alike(i, j)), None)
+                (others if j is None else met).append(c)
+                if j is not None:
+                    out.append((nodes[j], nodes[i]))
+            own = max(met, key=len, default=[])
+            for c in met:
+                if c is not own:
+                    own.extend(c)
+            own.append(i)
+            clusters = [*others, own]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return link
+
+
+def _digests(text: str) -> dict[str, Column]:
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return {"__d1": F.xxhash64(whole), "__d2": F.xxhash64(F.lit("second"), whole)}
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with exactly one row of each group: that with the smallest key (null keys come last), of equal keys that
+    with the least hash of its text. groups: __id, __d1, __d2 (key and hashes of the text) and group of every row.
+
+    The dropped rows are fewer than the kept ones, so only where they are very many does the join shuffle texts.
+    """
+    each = groups.groupBy("group", "__id", "__d1", "__d2").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("__id").isNull().alias("no"), "__id", "__d1", "__d2")
+    first = groups.groupBy(F.col("group").alias("of")).agg(F.min(rank).alias("first"))
+    # eqNullSafe, as a group of documents without a key may be one of null.
+    met = each.join(first.hint("merge"), F.col("group").eqNullSafe(F.col("of"))).withColumn("stays", rank.eqNullSafe(F.col("first")))
+    settled = met.filter("NOT stays OR n > 1").select("__id", "__d1", "__d2", "stays")
+    settled = Staged(settled.withColumnsRenamed({"__id": "__s0", "__d1": "__s1", "__d2": "__s2"}), "settled").df
+    same = F.col(key).eqNullSafe(F.col("__s0")) & (F.col("__d1") == F.col("__s1")) & (F.col("__d2") == F.col("__s2"))
+    rows = docs.withColumns(_digests(text))
+    out = rows.join(small(settled, settled.count(), MOST), same, "left_anti")
+    again = settled.filter("stays")
+    n = again.count()
+    if n:
+        out = out.unionByName(rows.join(small(again, n, MOST), same, "left_semi").dropDuplicates([key, "__d1", "__d2"]))
+    return out.select(*docs.columns)
+
+
+def keep_one_alike(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group that chains of texts of similarity `least` or more join; see keep_rows().
+
+    Similarity is that of the sets of runs of `size` words, A-Z in lower case. A null text counts as empty, and texts
+    without words are alike.
+    """
+    ship(docs.sparkSession)
+    signed = F.arrow_udf(_signed(size), "struct<node:long,bands:array<long>>")
+    rows = docs.select(F.col(key).alias("__id"), *[c.alias(n) for n, c in _digests(text).items()], signed(F.col(text)).alias("s"))
+    rows = Staged(rows.select("__id", "__d1", "__d2", "s.node", "s.bands"), "signatures").df
+    sets = rows.groupBy("node").agg(F.min(F.struct("__d1", "__d2")).alias("d"), F.first("bands").alias("bands"))
+    sets = Staged(sets.select("node", "d.__d1", "d.__d2", "bands"), "distinct").df
+    index = sets.select("node", F.explode("bands").alias("band"))
+    met = index.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    # Bands with the same members need to be compared once.
+    met = met.filter("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("band").alias("band")).select("band")
+    members = Staged(index.join(met.hint("merge"), "band"), "members").df
+    named = sets.select("node", F.col("__d1").alias("__s1"), F.col("__d2").alias("__s2"))
+    named = Staged(named.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "candidates").df
+    texts = docs.select(F.col(text).alias("t"), *[c.alias(n) for n, c in _digests(text).items()])
+    texts = texts.join(small(named, named.count(), MOST), (F.col("__d1") == F.col("__s1")) & (F.col("__d2") == F.col("__s2")))
+    raw = Staged(texts.select("node", F.arrow_udf(_sets(size), "binary")(F.col("t")).alias("raw")).dropDuplicates(["node"]), "sets", "none").df
+    links = members.join(raw.hint("merge"), "node").groupBy("band").applyInPandas(_linked(least), "a long, b long")
+    roots = components(links)
+    named = roots.withColumnRenamed("node", "of").hint("merge")
+    groups = rows.join(named, F.col("node") == F.col("of"), "left")
+    groups = groups.select("__id", "__d1", "__d2", F.coalesce("root", "node").alias("group"))
+    return keep_rows(docs, Staged(groups, "groups").df, key, text)
