@@ -129,7 +129,8 @@ def _group(h: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(part, seq, id, bytes end to end, bounds) of the texts of each part in a batch."""
+    """(part, seq, id, bytes end to end, bounds) of the texts of each part in a batch. A part may come in several pieces, as
+    batches and scan tasks may cut it."""
     for batch in batches:
         part, seq, ids = (batch.column(c).to_numpy() for c in ("part", "seq", "id"))
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -153,21 +154,21 @@ def _by_group(g: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _told(least: int, groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of a part, dealt to groups."""
+    """The distinct anchors of each piece of a part, dealt to groups."""
     for part, _, _, data, bounds in _parts(batches):
         h = np.unique(anchors(Hashes(data), bounds, least)[0])
         yield from _rows([(g, part, _pack(h[own])) for g, own in _by_group(_group(h, groups))], ("g", "part", "raw"))
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each part its anchors that other parts hold too."""
+    """For each part its anchors that other parts, or other pieces of it, hold too."""
     each = [_unpack(r, "<u8")[0] for r in pdf["raw"]]
     h, of = np.concatenate(each), np.repeat(pdf["part"].to_numpy(), [len(x) for x in each])
-    pairs = np.unique(np.stack([h, of.astype(np.uint64)], axis=1), axis=0) if pdf["part"].duplicated().any() else np.stack([h, of.astype(np.uint64)], axis=1)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    # A piece tells an anchor once, so an anchor that one part tells twice is in two of its pieces.
+    pairs = np.stack([h, of.astype(np.uint64)], axis=1)[np.argsort(h, kind="stable")]
     same = pairs[1:, 0] == pairs[:-1, 0]
     both = pairs[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    out = [(p, _pack(np.sort(both[own, 0]))) for p, own in _by_group(both[:, 1])]
+    out = [(p, _pack(np.unique(both[own, 0]))) for p, own in _by_group(both[:, 1])]
     return pd.DataFrame(out, columns=["part", "raw"])
 
 

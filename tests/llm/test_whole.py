@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.llm import alike
+from tallyspark.llm import alike, repeats
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -54,3 +54,15 @@ def test_pipeline_drops_a_text_with_two_edited_words(spark):
     text = " ".join(f"w{k}" for k in range(300))
     pair = spark.createDataFrame([(1, text, "s"), (2, text.replace("w40 ", "x ").replace("w90 ", "y "), "s")], SCHEMA)
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, pair, "").collect()] == [1]
+
+
+def test_repeats_in_one_part_across_arrow_batches(spark):
+    rnd = random.Random(7)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(80))
+    rows = [(i, f"{i} own {i * 7919} {passage if i % 3 == 0 else ''} end {i}") for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == 0 and all((got[i] >= 80) == (i % 3 == 0) for i in range(1, 40))
