@@ -18,13 +18,11 @@ from tallyspark.llm.common import GAP, Staged, let, small, table, without, word_
 class LineRules:
     """Limits of the rules.
 
-    max_documents: distinct documents of one host that may share a line. line_words: longest line that counts as
-    boilerplate; longer lines are prose, whose copies are a matter for deduplication. min_words, min_share: what has to
-    be left of a document in words and as a share.
+    max_documents: distinct documents of one host that may share a line, of any length. min_words, min_share: what has
+    to be left of a document in words and as a share.
     """
 
     max_documents: int = 20
-    line_words: int = 16
     min_words: int = 10
     min_share: float = 0.3
 
@@ -92,13 +90,9 @@ def _scanned(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
 
 
-def _short(lines: Column, longest: int) -> Column:
-    return F.filter(lines, lambda x: (x["words"] > 0) & (x["words"] <= longest))
-
-
-def _lines(text: Column, longest: int) -> Column:
-    """Normalised lines worth counting, as structs of hash and words."""
-    return _short(_scanned(text), longest)
+def _lines(text: Column) -> Column:
+    """Normalised lines with words, as structs of hash and words."""
+    return F.filter(_scanned(text), lambda x: x["words"] > 0)
 
 
 def line_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source") -> DataFrame:
@@ -129,7 +123,7 @@ def _verdicts(docs: DataFrame, rules: LineRules, text: str, host: str):
         return df.select("*", *_keys(text, host), text_stats(F.col(text)).alias("__s"))
 
     lines = docs.select(
-        F.col(host).alias("host"), *_keys(text, host), _lines(F.col(text), rules.line_words).alias("__lines")
+        F.col(host).alias("host"), *_keys(text, host), _lines(F.col(text)).alias("__lines")
     ).filter(F.size("__lines") > 0)
     return rows, _removed(lines, rules)
 
@@ -177,7 +171,7 @@ def line_verdicts(docs: DataFrame, rules: LineRules = LineRules(), key: str = "d
         F.col(host).alias("host"),
         *_keys(text, host),
         text_stats(F.col(text)).alias("__s"),
-        _lines(F.col(text), rules.line_words).alias("__lines"),
+        _lines(F.col(text)).alias("__lines"),
     )
     once = Staged(once, "quality").df
     removed = _removed(once.filter(F.size("__lines") > 0).select("host", "__k1", "__k2", "__lines"), rules)
@@ -192,9 +186,9 @@ def pass_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "t
     Only keys of depleted documents are joined with the texts, and these are few where the rules spare most documents;
     so texts are not shuffled unless more than BROADCAST_ROWS distinct ones are depleted.
     """
-    each = docs.select(F.col(host).alias("host"), *_keys(text, host), _scanned(F.col(text)).alias("__all"))
-    total = F.aggregate("__all", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    each = each.select("host", "__k1", "__k2", total.alias("n"), _short(F.col("__all"), rules.line_words).alias("__lines"))
+    each = docs.select(F.col(host).alias("host"), *_keys(text, host), _lines(F.col(text)).alias("__lines"))
+    total = F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    each = each.select("host", "__k1", "__k2", total.alias("n"), "__lines")
     lines = Staged(each.filter(F.size("__lines") > 0), "scanned").df
     size = lines.groupBy(F.col("__k1").alias("__g1"), F.col("__k2").alias("__g2")).agg(F.max("n").alias("n"))
     left = F.col("n") - F.col("__removed")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.llm import alike, repeats
+from tallyspark.llm import alike, quality, repeats
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -56,6 +56,15 @@ def test_pipeline_drops_a_text_with_two_edited_words(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, pair, "").collect()] == [1]
 
 
+def test_long_lines_of_many_documents_are_removed(spark):
+    notice = " ".join(f"licence{k}" for k in range(40))
+    rows = [(i, f"{notice}\nmy{i} own{i}", "h") for i in range(25)] + [(100, f"{notice}\nmine", "other")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in quality.line_verdicts(frame).collect()}
+    assert got == {i: (40, False) for i in range(25)} | {100: (0, True)}
+    assert [r["doc_id"] for r in quality.pass_quality(frame).collect()] == [100]
+
+
 def test_repeats_in_one_part_across_arrow_batches(spark):
     rnd = random.Random(7)
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(80))
