@@ -180,7 +180,7 @@ def nearest(
         queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")), "vec"
     ).filter(F.size("vec") == length["n"])
     asked = asked.dropDuplicates(["id"])
-    first = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    first = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))  # equal rows count once
     few = rows.withColumn("nth", first).filter(F.col("nth") <= k + 1).groupBy("vec")
     distinct = Staged(few.agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("ids")), "vectors").df
     total = distinct.count()

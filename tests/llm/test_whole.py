@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.llm import alike, quality, repeats
+from tallyspark.llm import alike, neighbours, quality, repeats
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -75,3 +75,9 @@ def test_repeats_in_one_part_across_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got[0] == 0 and all((got[i] >= 80) == (i % 3 == 0) for i in range(1, 40))
+
+
+def test_repeated_rows_do_not_take_neighbours_places(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(20) for _ in range(2)] + [(50 + i, [3.0 + i, 2.0]) for i in range(20)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, i, i, 0.0) for i in range(1, 11)]
