@@ -81,3 +81,10 @@ def test_repeated_rows_do_not_take_neighbours_places(spark):
     rows = [(i, [1.0, 2.0]) for i in range(20) for _ in range(2)] + [(50 + i, [3.0 + i, 2.0]) for i in range(20)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, i, i, 0.0) for i in range(1, 11)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a, "s"), (5, b, "s"), (3, b, "t"), (7, a, "s"), (5, a, "s"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (9, None, "s")]
+    kept = alike.keep_one_alike(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, a, "s"), (3, b, "t"), (None, c, "s"), (9, None, "s")]))
