@@ -14,7 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import ship, table
 
 
+#: Code points that are split at once, and those of the longest pre-token that is remembered.
+_BLOCK, _LONG = 1 << 20, 64
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -32,6 +37,45 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class KeyTable:
+    """Numbers 64-bit keys in the order in which they are added; open addressing in an array of at most half as many keys."""
+
+    def __init__(self):
+        self.bits, self.keys = 10, np.zeros(0, np.uint64)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_MULTIPLIER)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, -1 where it is not held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        slot = self._slot(keys)
+        out = self.slots[slot].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            out[open_] = self.slots[slot[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[out[open_]] != keys[open_])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Hold further keys, of which the first of equal ones counts; the keys must not be held yet."""
+        old = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 2 * len(self.keys) > len(self.slots):
+            self.bits = max(self.bits, (2 * len(self.keys)).bit_length())
+            self.slots, old = np.full(1 << self.bits, -1, np.int32), 0
+        waiting = np.arange(len(self.keys) - 1, old - 1, -1)  # backwards, as the last to claim a slot gets it
+        slot = self._slot(self.keys[waiting])
+        while len(waiting):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = waiting[free]
+            lost = self.keys[self.slots[slot]] != self.keys[waiting]
+            waiting, slot = waiting[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+
 class Merges:
     """A merge list: pairs of token ids by rank, with the encoder's window."""
 
@@ -44,8 +88,8 @@ class Merges:
         self.lookahead = self._reach(pairs)
         self.base = max(widths) + 1
         keys = np.array([a * self.base + b for a, b, _ in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
+        self.rules = KeyTable()
+        self.rules.add(keys.view(np.uint64))
         self.made = np.array([c for _, _, c in pairs], np.int64)
         self.window = self.lookahead + max(4 * self.widest, 256)
 
@@ -100,27 +144,25 @@ class Merges:
                     kept = kept[done:]
         yield from self.merged([self.first[b] for b in kept])
 
-    def encode_many(self, words: list[bytes]) -> list[list[int]]:
-        """stream() of each word; those that fit into a window pass through it side by side, a rule at a time each."""
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """stream() of each word, end to end, and how many ids each has; words that fit into a window pass through it
+        side by side, a rule at a time each."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        out: list[list[int]] = [[]] * len(words)
+        done = []
         for i in np.flatnonzero(sizes >= self.window).tolist():
-            out[i] = list(self.stream([words[i]]))
+            long = np.fromiter(self.stream([words[i]]), np.int64)
+            done.append((np.full(len(long), i), long))
         fit = np.flatnonzero((sizes > 0) & (sizes < self.window))
         ids = np.array(self.first, np.int64)[np.frombuffer(b"".join([words[i] for i in fit.tolist()]), np.uint8)]
         of = np.repeat(fit, sizes[fit])
-        done = []
-        none = len(self.ranks)
+        none = len(self.made)
         while len(ids):
-            key = ids[:-1] * self.base + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1) if none else np.zeros(len(key), np.int64)
             rank = np.full(len(ids), none)
-            if none:
-                rank[:-1] = np.where((self.keys[at] == key) & (of[:-1] == of[1:]), self.ranks[at], none)
+            found = self.rules.find((ids[:-1] * self.base + ids[1:]).view(np.uint64))
+            rank[:-1] = np.where((found >= 0) & (of[:-1] == of[1:]), found, none)
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            sizes = np.diff(np.append(starts, len(ids)))
             least = np.minimum.reduceat(rank, starts)
-            best = np.repeat(least, sizes)
+            best = np.repeat(least, np.diff(np.append(starts, len(ids))))
             open_ = best < none
             done.append((of[~open_], ids[~open_]))
             merge = np.flatnonzero(open_ & (rank == best))
@@ -131,14 +173,14 @@ class Merges:
             ids[merge] = self.made[rank[merge]]
             open_[merge + 1] = False
             ids, of = ids[open_], of[open_]
-        if done:
-            of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
-            order = np.argsort(of, kind="stable")
-            of, flat = of[order], ids[order].tolist()
-            bounds = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-            for i, a, b in zip(of[bounds[:-1]].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                out[i] = flat[a:b]
-        return out
+        of, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*done, strict=True) if done else ((), ())))
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+
+    def encode_many(self, words: list[bytes]) -> list[list[int]]:
+        """encode_flat() as lists."""
+        flat, sizes = self.encode_flat(words)
+        ends = np.cumsum(sizes)
+        return [flat[b - n : b].tolist() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 class Tokens:
@@ -228,11 +270,6 @@ def split_points(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-#: Code points that are split at once.
-_BLOCK = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15
-
-
 @lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
@@ -244,10 +281,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] times, for all i."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Memory:
+    """Ids of pre-tokens by a hash of their code points, which are kept to tell equal hashes apart."""
+
+    def __init__(self):
+        self.table = KeyTable()
+        self.start, self.size, self.at, self.width = (np.zeros(0, np.int64) for _ in range(4))
+        self.points, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, points: np.ndarray, size: np.ndarray, ids: np.ndarray, width: np.ndarray) -> None:
+        self.table.add(keys)
+        self.start = np.concatenate([self.start, len(self.points) + np.cumsum(size) - size])
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(width) - width])
+        self.size, self.width = np.concatenate([self.size, size]), np.concatenate([self.width, width])
+        self.points, self.ids = np.concatenate([self.points, points]), np.concatenate([self.ids, ids])
+
+
 class Encoder:
-    """Encodes batches of texts. Pre-tokens recur, so each distinct one passes the transducer once and is remembered."""
+    """Encodes batches of texts. Short pre-tokens recur, so each passes the transducer once and is remembered.
+
+    Texts go through in blocks of _BLOCK code points, cut where a pre-token begins; a pre-token longer than a block is
+    streamed. So what is held besides a text does not grow with it.
+    """
 
-    REMEMBERED = 200_000
+    REMEMBERED = 400_000
 
     def __init__(self, spec: dict, library=None):
         """spec: a byte-level tokenizer file's content. library: encode pre-tokens with it instead of the transducer."""
@@ -267,67 +330,96 @@ class Encoder:
             pairs.append((vocab[a], vocab[b], vocab[a + b]))
         self.merges = Merges([vocab[c] for c in letters], pairs, {i: len(p) for i, p in enumerate(pieces) if p})
         self.tokens = Tokens(pieces)
-        self.memory: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        self.library = library
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        if len(self.memory) > self.REMEMBERED:  # two generations: what recurs moves on to the newer
-            self.memory, self.older = {}, self.memory
-        memory, older = self.memory, self.older
-        memory.update((w, older[w]) for w in words if w in older)
-        new = [w for w in words if w not in memory]
-        coded = self.merges.encode_many([w.encode() for w in new]) if self.library is None else self.library(new)
-        memory.update(zip(new, coded, strict=True))
-        return [memory[w] for w in words]
+        self.memory = _Memory()
+        self.flat = self._transduced if library is None else library
+
+    def _transduced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.merges.encode_flat([w.encode() for w in words])
+
+    def _words(self, whole: str, points: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens of a block, end to end, and how many each has."""
+        n = len(points)
+        power, inverse = _powers(1 << max(10, n.bit_length()))
+        mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed * power[:n], out=sums[1:])
+        keys = (sums[starts + size] - sums[starts]) * inverse[starts]
+        if len(self.memory.size) > self.REMEMBERED:
+            self.memory = _Memory()
+        memory = self.memory
+        row = memory.table.find(keys)
+        short = size <= _LONG
+        miss = np.flatnonzero((row < 0) & short)
+        if len(miss):
+            new, first = np.unique(keys[miss], return_index=True)
+            first = miss[first]
+            ids, width = self.flat([whole[a:b] for a, b in zip(starts[first].tolist(), (starts + size)[first].tolist(), strict=True)])
+            memory.add(new, points[_spread(starts[first], size[first])], size[first], ids, width)
+            row[miss] = memory.table.find(keys[miss])
+        known = row >= 0
+        known[known] = memory.size[row[known]] == size[known]
+        of = np.flatnonzero(known)
+        here, there = _spread(starts[of], size[of]), _spread(memory.start[row[of]], size[of])
+        if (points[here] != memory.points[there]).any():  # equal hashes of different pre-tokens
+            differ = np.bincount(np.repeat(of, size[of]), points[here] != memory.points[there], len(known)) > 0
+            known &= ~differ
+        at, width = memory.at[row], memory.width[row]
+        table_ = memory.ids
+        other = np.flatnonzero(~known)
+        if len(other):
+            ids, wide = self.flat([whole[a:b] for a, b in zip(starts[other].tolist(), (starts + size)[other].tolist(), strict=True)])
+            at[other], width[other] = len(table_) + np.cumsum(wide) - wide, wide
+            table_ = np.concatenate([table_, ids])
+        return table_[_spread(at, width)], width
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, end to end, and how many each has."""
         sizes = np.array([len(t) for t in texts], np.int64)
         whole = "".join(texts)
-        n = len(whole)
-        if not n:
+        if not whole:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(sizes)
-        begins = (ends - sizes)[sizes > 0]
-        starts = split_points(points, begins)
-        stops = np.append(starts[1:], n)
-        power, inverse = _powers(1 << max(10, (n - 1).bit_length()))
-        mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed * power[:n], out=sums[1:])
-        keys = (sums[stops] - sums[starts]) * inverse[starts]
-        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        long = stops - starts
-        alike = starts[at][which]
-        if (long != long[at][which]).any() or (points != points[np.arange(n) + np.repeat(alike - starts, long)]).any():
-            index: dict[str, int] = {}
-            which = np.array([index.setdefault(whole[a:b], len(index)) for a, b in zip(starts, stops, strict=True)])
-            words = list(index)
-        else:
-            words = [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
-        coded = self._words(words)
-        flat = np.fromiter(chain.from_iterable(coded), np.int64)
-        width = np.fromiter(map(len, coded), np.int64, len(coded))
-        n_each = width[which]
-        last = np.cumsum(n_each)
-        ids = flat[np.repeat((np.cumsum(width) - width)[which] - (last - n_each), n_each) + np.arange(last[-1])]
-        upto = np.concatenate([[0], last])[np.searchsorted(starts, np.concatenate([[0], ends]))]
+        starts = split_points(points, (ends - sizes)[sizes > 0])
+        ids, width = self._words(whole, points, starts, np.diff(np.append(starts, len(points))))
+        upto = np.concatenate([[0], np.cumsum(width)])[np.searchsorted(starts, np.concatenate([[0], ends]))]
         return ids, np.diff(upto)
 
+    def _pieces(self, text: str, block: int) -> Iterator[np.ndarray]:
+        """Ids of a text without special tokens, a block at a time. Where a pre-token begins within a block is certain
+        up to a few code points before its end: the pattern looks no further ahead than "'re" and what follows it."""
+        ahead, at, n = 8, 0, len(text)
+        while n - at > block + ahead:
+            piece = text[at : at + block + ahead]
+            starts = split_points(np.frombuffer(piece.encode("utf-32-le"), np.uint32), np.zeros(1, np.int64))
+            cut = int(starts[starts <= block][-1])
+            if cut:
+                yield self._plain([piece[:cut]])[0]
+                at += cut
+            else:
+                end = self._end(text, at, block, ahead)
+                chunks = (text[i : min(i + block, end)].encode() for i in range(at, end, block))
+                ids = self.merges.stream(chunks)
+                while len(some := np.fromiter(islice(ids, block), np.int64)):
+                    yield some
+                at = end
+        if at < n:
+            yield self._plain([text[at:]])[0]
+
     @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Parts of a text that split as the whole does: cuts stand where white space follows something else."""
-        parts, at = [], 0
-        while len(text) - at > 2 * _BLOCK:
-            i = at + _BLOCK
-            while i < len(text) and not (_classes()[ord(text[i])] == _SPACE and _classes()[ord(text[i - 1])] != _SPACE):
-                i += 1
-            parts.append(text[at:i])
-            at = i
-        return [*parts, text[at:]]
+    def _end(text: str, at: int, block: int, ahead: int) -> int:
+        """Where the pre-token that begins at `at` ends, looking at a block of the text at a time."""
+        i = at
+        while i + block + ahead < len(text):
+            i += block
+            # With the code point before it, a block splits as the whole does, but for its very beginning.
+            piece = text[i - 1 : i + block + ahead]
+            starts = split_points(np.frombuffer(piece.encode("utf-32-le"), np.uint32), np.zeros(1, np.int64))
+            starts = starts[(starts > 0) & (starts <= block + 1)]
+            if len(starts):
+                return i - 1 + int(starts[0])
+        return len(text)
 
     def _parts(self, text: str) -> list[str | int]:
         """The text's plain parts and the ids of special tokens between them."""
@@ -341,25 +433,33 @@ class Encoder:
                 else:
                     split.append(part)
             out = split
-        return [y for x in out for y in (self._cut(x) if isinstance(x, str) else [x])]
+        return out
 
-    def batches(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(index of the first text, ids, ids of each text) for runs of texts, in order."""
+    def batches(self, texts: list[str | None], block: int = _BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """(index of the first text, ids, ids of each text, whether more of the last text follows) for runs of texts, in
+        order. A text longer than a block comes in several runs of its own."""
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= _BLOCK):
+            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= block):
                 size += len(texts[stop] or "")
                 stop += 1
             run = [t or "" for t in texts[at:stop]]
-            if size <= 2 * _BLOCK and not any(c in t for c in self.special for t in run):
-                yield (at, *self._plain(run))
+            marked = any(c in t for c in self.special for t in run)
+            if size <= block and not marked:
+                yield (at, *self._plain(run), False)
             else:
-                each = []
-                for t in run:
-                    coded = [np.array([p]) if isinstance(p, int) else self._plain([p])[0] for p in self._parts(t)]
-                    each.append(np.concatenate(coded))
-                yield at, np.concatenate(each), np.array([len(x) for x in each], np.int64)
+                for k, t in enumerate(run):
+                    held: list[np.ndarray] = []
+                    for part in self._parts(t):
+                        for ids in [np.array([part])] if isinstance(part, int) else self._pieces(part, block):
+                            held.append(ids)
+                            if sum(map(len, held)) >= block:
+                                ids = np.concatenate(held)
+                                yield at + k, ids, np.array([len(ids)], np.int64), True
+                                held = []
+                    ids = np.concatenate([np.zeros(0, np.int64), *held])
+                    yield at + k, ids, np.array([len(ids)], np.int64), False
             at = stop
 
 
@@ -375,27 +475,45 @@ def _library(content: bytes):
 
     model = Tokenizer.from_buffer(content).model
     letters = dict(enumerate(byte_letters()))
-    return lambda words: [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+
+    def flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [model.tokenize(w.encode().decode("latin-1").translate(letters)) for w in words]
+        return np.array([t.id for c in coded for t in c], np.int64), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    return flat
+
+
+class _Digest:
+    """Digests of a text's ids and of what they decode to, fed a piece at a time."""
+
+    def __init__(self, tokens: Tokens):
+        self.n, self.digits, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(tokens)
+
+    def feed(self, ids: np.ndarray, step: int = 1 << 16) -> None:
+        for i in range(0, len(ids), step):
+            piece = Tokens.joined(self.decoder.tokens.digits, ids[i : i + step])
+            self.digits.update(b"," + piece[:-1] if self.n + i else piece[:-1])
+            self.text.update(self.decoder.feed(ids[i : i + step]).encode())
+        self.n += len(ids)
+
+    def finish(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.finish().encode())
+        return self.n, self.digits.hexdigest(), self.text.hexdigest()
 
 
 def _digests(content, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(content.value)
-    step = 1 << 16
     for batch in batches:
-        counts, by_ids, by_text = [], [], []
-        for _, ids, each in own.batches(batch.column("text").to_pylist()):
+        rows, now = [], _Digest(own.tokens)
+        for _, ids, each, more in own.batches(batch.column("text").to_pylist()):
             at = 0
             for n in each.tolist():
-                mine, at = ids[at : at + n], at + n
-                digits, text, decoder = hashlib.sha256(), hashlib.sha256(), TextDecoder(own.tokens)
-                for i in range(0, n, step):
-                    piece = Tokens.joined(own.tokens.digits, mine[i : i + step])
-                    digits.update(piece if i + step < n else piece[:-1])
-                    text.update(decoder.feed(mine[i : i + step]).encode())
-                text.update(decoder.finish().encode())
-                counts.append(n)
-                by_ids.append(digits.hexdigest())
-                by_text.append(text.hexdigest())
+                now.feed(ids[at : at + n])
+                at += n
+                if not more:
+                    rows.append(now.finish())
+                    now = _Digest(own.tokens)
+        counts, by_ids, by_text = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column("key"), pa.array(counts, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())],
             ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -406,7 +524,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """key, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 of every row of docs.
 
     path: a byte-level tokenizer file on the driver. A null text is empty and has no tokens. Rows are independent of
-    each other, so repeated rows and null keys need no care.
+    each other, so repeated rows and null keys need no care. Texts of any length pass in blocks.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -423,11 +541,11 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 def _coded(content, by_library: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(content.value, by_library)
     for batch in batches:
-        ids, sizes = [], []
-        for _, part, each in own.batches(batch.column("text").to_pylist()):
+        ids, sizes = [], np.zeros(len(batch), np.int64)
+        for at, part, each, _ in own.batches(batch.column("text").to_pylist()):
             ids.append(part.astype(np.int32))
-            sizes.append(each)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int32)
+            sizes[at : at + len(each)] += each
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
         coded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("key"), coded], ["key", "ids"])
