@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,13 +36,24 @@ def word_array(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs on this machine,
+    as in tests, a folder of the session; on a cluster there is no such folder to fall back on."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # as in tests: a folder of this session on this machine
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), f"tallyspark-{spark.sparkContext.applicationId}")
     return base.rstrip("/") + "/tallyspark"
 
 
+def made_dir(spark: SparkSession, path: str) -> str:
+    """path, made if need be, with the scheme that Hadoop gives a path without one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    return store.makeQualified(where).toString()
+
+
 class Staged:
     """A table written to the shared folder and read back, which cuts the lineage."""
 
@@ -71,6 +83,17 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without(text: Column, chars: str) -> Column:
     """text less every one of chars."""
     for c in chars:

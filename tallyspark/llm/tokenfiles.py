@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm.bpe import encoder
-from tallyspark.llm.common import Staged, shared_dir, ship, small, table
+from tallyspark.llm.common import Staged, made_dir, shared_dir, ship, small, table
 
 MAGIC = b"TLYTOK1\n"
 #: Ids of a block (more only where one document has more), encoded bytes at which a file ends, ids for one writing task.
@@ -49,20 +49,21 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of control bytes and data, by looking lengths up in a table."""
     long = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     at = np.cumsum(long) - long
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    value = raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16 | raw[at + 3] << 24
-    return value & _KEEP[long]
+    padded = bytes(data) + b"\0\0\0"
+    four = np.ndarray(len(data), "<u4", padded, strides=(1,))  # the four bytes from each byte on
+    return four[at] & _KEEP[long]
 
 
-def block(keys: list[int | None], sizes: np.ndarray, ranks: np.ndarray) -> bytes:
+def block(keys: np.ndarray, null: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
     control, data = pack(ranks)
     head = np.array([len(keys), len(ranks), len(data)], "<u8").tobytes()
-    known = np.array([k or 0 for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], np.uint8).tobytes()
+    known = keys.astype("<i8").tobytes() + null.astype(np.uint8).tobytes()
     return head + known + sizes.astype("<u4").tobytes() + control + data
 
 
-def blocks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """(keys, numbers of ids, ids) of each block of a file."""
+def blocks(content) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, which are null, numbers of ids, ids) of each block of a file's bytes."""
+    content = memoryview(content)
     if content[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file")
     at = len(MAGIC) + 8
@@ -73,13 +74,13 @@ def blocks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nd
         docs, ids, size = (int(x) for x in np.frombuffer(content, "<u8", 3, at))
         at += 24
         keys = np.frombuffer(content, "<i8", docs, at)
-        null = np.frombuffer(content, np.uint8, docs, at + 8 * docs)
+        null = np.frombuffer(content, np.uint8, docs, at + 8 * docs) > 0
         sizes = np.frombuffer(content, "<u4", docs, at + 9 * docs)
         at += 13 * docs
         mid = at + -(-ids // 4)
         ranks = unpack(content[at:mid], content[mid : mid + size], ids)
         at = mid + size
-        yield [None if x else int(k) for k, x in zip(keys, null, strict=True)], sizes.astype(np.int64), by_rank[ranks]
+        yield keys, null, sizes.astype(np.int64), by_rank[ranks]
 
 
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -89,41 +90,49 @@ def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def _encoded(content, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of every text, and in a last row how often the task met each id."""
     own = encoder(content.value, True)
-    kind = np.dtype("<u2") if len(own.tokens.pieces[2]) <= 1 << 16 and end < 1 << 16 else np.dtype("<u4")
+    most = max(len(own.tokens.pieces[2]), end + 1)
+    kind = np.dtype("<u2" if most <= 1 << 16 else "<u4")
+    tally = np.zeros(most, np.int64)
+    names = ["key", "n", "width", "ids", "tally"]
     for batch in batches:
-        counts, coded = [], []
-        for _, ids, each in own.batches(batch.column("text").to_pylist()):
-            raw, at = ids.astype(kind).tobytes(), 0
-            last = np.array([end], kind).tobytes()
-            for n in each.tolist():
-                coded.append(raw[at : at + n * kind.itemsize] + last)
-                at += n * kind.itemsize
-                counts.append(n + 1)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(counts, pa.int64()), pa.array([kind.itemsize] * len(counts), pa.int32()), pa.array(coded, pa.binary())],
-            ["key", "n", "width", "ids"],
-        )
-
-
-def _ids(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if width == 2 else "<u4")
+        parts, counts = [], np.zeros(len(batch), np.int64)
+        for at, ids, each, more in own.batches(batch.column("text").to_pylist()):
+            counts[at : at + len(each)] += each
+            ends = np.cumsum(each)[: len(each) - more]
+            ids = np.insert(ids, ends, end)
+            counts[at : at + len(ends)] += 1
+            tally += np.bincount(ids, minlength=most)
+            parts.append(ids.astype(kind))
+        flat = np.concatenate([np.zeros(0, kind), *parts])
+        offsets = np.concatenate([[0], np.cumsum(counts) * kind.itemsize]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        width = pa.array(np.full(len(batch), kind.itemsize, np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts), width, coded, pa.nulls(len(batch), pa.binary())], names)
+    none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([*none, pa.array([tally.astype("<i8").tobytes()], pa.binary())], names)
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    all_ = np.zeros(1, np.int64)
+    all_ = np.zeros(0, np.int64)
     for batch in batches:
-        for width, raw in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            here = np.bincount(_ids(raw, width), minlength=len(all_))
-            if len(here) > len(all_):
-                here[: len(all_)] += all_
-                all_ = here
-            else:
-                all_[: len(here)] += here
+        for raw in batch.column("tally").to_pylist():
+            here = np.frombuffer(raw, "<i8")
+            all_ = here + (all_ if len(all_) else 0)
     some = np.flatnonzero(all_)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(all_[some], pa.int64())], ["id", "n"])
 
 
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    """The ids of all rows of a binary column, end to end."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view("<u2" if width == 2 else "<u4")
+
+
 def _written(path: str, ranking, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Writes the rows of a task, in their order, to files of its own; tells their names."""
     by_rank = ranking.value
@@ -133,9 +142,8 @@ def _written(path: str, ranking, batches: Iterator[pa.RecordBatch]) -> Iterator[
     task = TaskContext.get()
     head = MAGIC + np.array([len(by_rank)], "<u8").tobytes() + by_rank.astype("<u4").tobytes()
     names: list[str] = []
-    out, size = None, 0
-    keys: list[int | None] = []
-    waiting: list[np.ndarray] = []
+    out, size, held = None, 0, 0
+    waiting: list[tuple[np.ndarray, ...]] = []
 
     def close() -> None:
         nonlocal out, size
@@ -147,29 +155,38 @@ def _written(path: str, ranking, batches: Iterator[pa.RecordBatch]) -> Iterator[
             out, size = None, 0
 
     def flush() -> None:
-        nonlocal out, size
-        if keys:
+        nonlocal out, size, held
+        if waiting:
             if out is None:
                 out = store.open_output_stream(f"{folder}/.try-{task.taskAttemptId()}")
                 out.write(head)
-            data = block(keys, np.array([len(x) for x in waiting]), rank[np.concatenate(waiting)])
+            data = block(*[np.concatenate(x) for x in zip(*waiting, strict=True)])
             out.write(data)
             size += len(data)
-            keys.clear()
             waiting.clear()
+            held = 0
             if size >= FILE_BYTES:
                 close()
 
-    held = 0
     for batch in batches:
-        for key, width, raw in zip(*[batch.column(c).to_pylist() for c in ("key", "width", "ids")], strict=True):
-            ids = _ids(raw, width)
-            if held and held + len(ids) > BLOCK_IDS:
-                flush()
-                held = 0
-            keys.append(key)
-            waiting.append(ids)
-            held += len(ids)
+        if not len(batch):
+            continue
+        width = batch.column("width")[0].as_py()
+        keys, null = batch.column("key").fill_null(0).to_numpy(), batch.column("key").is_null().to_numpy(zero_copy_only=False)
+        sizes, ranks = batch.column("n").to_numpy(), rank[_flat(batch.column("ids"), width)]
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(keys):
+            begin = int(ends[at] - sizes[at])
+            stop = int(np.searchsorted(ends, begin + BLOCK_IDS - held, side="right"))
+            if stop <= at:
+                if held:
+                    flush()
+                    continue
+                stop = at + 1  # a document of more ids than a block
+            waiting.append((keys[at:stop], null[at:stop], sizes[at:stop], ranks[begin : int(ends[stop - 1])]))
+            held += int(ends[stop - 1]) - begin
+            at = stop
     flush()
     close()
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
@@ -185,31 +202,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
     with open(tokenizer, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())  # a vocabulary file, of a few MB
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    coded = Staged(rows.mapInArrow(lambda b: _encoded(content, end, b), "key long, n long, width int, ids binary"), "ids")
-    tally = coded.df.mapInArrow(_tallied, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    coded = Staged(rows.mapInArrow(lambda b: _encoded(content, end, b), "key long, n long, width int, ids binary, tally binary"), "ids")
+    tally = coded.df.select("tally").filter("tally IS NOT NULL").mapInArrow(_tallied, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(((-r["n"], r["id"]) for r in tally.collect()))  # a row for each id of the vocabulary at most
     ranking = spark.sparkContext.broadcast(np.array([i for _, i in ranked], np.int64))
     tasks = max(1, -(-int(coded.df.agg(F.sum("n")).first()[0] or 0) // TASK_IDS), spark.sparkContext.defaultParallelism)
     order = F.col("key").asc_nulls_last()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
-    dealt = coded.df.select("key", "width", "ids").repartitionByRange(tasks, order).sortWithinPartitions(order)
+    path = made_dir(spark, path)
+    dealt = coded.df.filter("n IS NOT NULL").select("key", "n", "width", "ids").repartitionByRange(tasks, order).sortWithinPartitions(order)
     dealt.mapInArrow(lambda b: _written(path, ranking, b), "file string").write.format("noop").mode("overwrite").save()
     coded.drop()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("file", "nth", "doc_id", "before", "n_tokens", "ids_crc32")
+    names = ["file", "nth", "doc_id", "before", "n_tokens", "ids_crc32"]
     for batch in batches:
         for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             before = nth = 0
-            for keys, sizes, ids in blocks(content.as_py()):
-                raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
-                for key, n in zip(keys, sizes.tolist(), strict=True):
-                    rows.append((file, nth, key, before, n, zlib.crc32(raw[at : at + 4 * n])))
-                    at, before, nth = at + 4 * n, before + n, nth + 1
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+            for keys, null, sizes, ids in blocks(content.as_buffer()):
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes)
+                sums = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                columns = [pa.array([file] * len(keys)), np.arange(nth, nth + len(keys)), pa.array(keys, pa.int64(), mask=null), before + ends - sizes, sizes, pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
+                before, nth = before + int(ends[-1]), nth + len(keys)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

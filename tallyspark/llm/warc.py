@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Staged, shared_dir, ship, small, table
+from tallyspark.llm.common import Staged, made_dir, shared_dir, ship, small, table
 from tallyspark.llm.tokenfiles import _file_system
 
 #: Compressed bytes at which an archive ends, and parsed bytes at which a batch of records does.
@@ -117,8 +117,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     twice = Staged(digests.groupBy("d").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "last"), "payloads").df
     joined = rows.join(small(twice, twice.count(), 200_000), long_enough & (F.sha1("html") == F.col("d")), "left")
     dealt = joined.select("page", "url", F.col("html").cast("binary").alias("html"), "last", F.col("d").isNotNull().alias("copies"))
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    path = made_dir(spark, path)
     dealt.mapInArrow(lambda b: _written(path, b), "file string").write.format("noop").mode("overwrite").save()
 
 
