@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised and hashed; for each host the distinct documents (by content) that hold a line are counted; lines
-that more documents hold than allowed count as removed, and a document that keeps too little is rejected.
+Lines are normalised and hashed; for each host the distinct documents that hold a line are counted; lines that more
+documents hold than allowed count as removed, and a document that keeps too little is rejected.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ class LineRules:
     """Limits of the rules.
 
     max_documents: distinct documents of one host that may share a line, of any length. min_words, min_share: what has
-    to be left of a document in words and as a share.
+    to be left of a document in words and as a share. distinct_texts: documents of one host with equal texts count as
+    one, for use before copies are settled, when text that is copied often has to stay once.
     """
 
     max_documents: int = 20
     min_words: int = 10
     min_share: float = 0.3
+    distinct_texts: bool = False
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -95,108 +97,113 @@ def _lines(text: Column) -> Column:
     return F.filter(_scanned(text), lambda x: x["words"] > 0)
 
 
-def line_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source") -> DataFrame:
+def line_quality(
+    docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text", host: str = "source"
+) -> DataFrame:
     """docs with the columns of STATS, base_failed, removed_words and kept.
 
     kept is false for a document that fails the base rules, or that has fewer than min_words words or less than
     min_share of its words left without the lines that more than max_documents distinct documents of its host hold.
-    A null text has no words and is not kept; null hosts form one host; exact copies of a text within a host count as
-    one document and get equal verdicts, as do repeated rows. Input columns that bear an output's name are replaced;
-    all other columns stay. An empty table gives an empty result.
+    Documents are told apart by key and text: rows that repeat both count once (as rows without a key do that repeat a
+    text). A null text has no words and is not kept; null hosts form one host; documents of one host with equal texts
+    get equal verdicts. Input columns that bear an output's name are replaced, all other columns stay whatever they are
+    called. An empty table gives an empty result.
     """
     out = (*STATS, "base_failed", "removed_words", "kept")
-    kept_columns = [c for c in docs.columns if c.lower() not in {*out, "__s", "__k1", "__k2", "__lines", "__removed"}]
-    rows, removed = _verdicts(docs, rules, text, host)
-    keyed = rows(docs.select(*kept_columns))
-    return _with_verdict(keyed, removed, rules).select(*kept_columns, *out)
+    mine = [c for c in docs.columns if c.lower() not in out]
+    row = F.struct(*[F.col(c) for c in mine]).alias("row") if mine else F.struct(F.lit(0)).alias("row")
+    lines = docs.select(*_ids(key, text, host), _lines(F.col(text)).alias("lines")).filter(F.size("lines") > 0)
+    keyed = docs.select(row, *_ids(key, text, host), text_stats(F.col(text)).alias("stats"))
+    return _with_verdict(keyed, _removed(lines, rules), rules).select(*[F.col("row")[c].alias(c) for c in mine], *out)
 
 
-def _keys(text: str, host: str) -> list[Column]:
+def _ids(key: str, text: str, host: str) -> list[Column]:
+    """The host, two hashes of host and text, and one of the document."""
     t, h = F.coalesce(F.col(text), F.lit("")), F.col(host)
-    return [F.xxhash64(h, t).alias("__k1"), F.xxhash64(t, h, F.length(t)).alias("__k2")]
-
-
-def _verdicts(docs: DataFrame, rules: LineRules, text: str, host: str):
-    """What adds keys and statistics to rows, and the words that each key loses."""
-
-    def rows(df: DataFrame) -> DataFrame:
-        return df.select("*", *_keys(text, host), text_stats(F.col(text)).alias("__s"))
-
-    lines = docs.select(
-        F.col(host).alias("host"), *_keys(text, host), _lines(F.col(text)).alias("__lines")
-    ).filter(F.size("__lines") > 0)
-    return rows, _removed(lines, rules)
+    document = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), t)).otherwise(F.xxhash64(F.lit("no key"), t))
+    return [h.alias("host"), F.xxhash64(h, t).alias("k1"), F.xxhash64(t, h, F.length(t)).alias("k2"), document.alias("d")]
 
 
 def _removed(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """Words that each text (k1, k2) loses. lines: host, k1, k2, d and lines of every row.
+
+    A text's lines are exploded once for all its copies, each then counting as many documents as hold the text.
+    """
+    texts = lines.dropDuplicates(["k1", "k2"]).select("host", "k1", "k2", "lines")
+    if rules.distinct_texts:
+        texts = texts.withColumn("documents", F.lit(1).cast("long"))
+    else:
+        copies = lines.groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.countDistinct("d").alias("many"))
+        copies = Staged(copies.filter("many > 1"), "copies").df
+        same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+        texts = texts.join(small(copies, copies.count(), 200_000), same, "left").withColumn("documents", F.coalesce("many", F.lit(1)))
     each = (
-        lines.dropDuplicates(["__k1", "__k2"])
-        .select("host", "__k1", "__k2", F.explode("__lines").alias("x"))
-        .groupBy("host", "__k1", "__k2", F.col("x.h").alias("h"))
-        .agg(F.sum("x.words").alias("words"))
+        texts.select("host", "k1", "k2", "documents", F.explode("lines").alias("x"))
+        .groupBy("host", "k1", "k2", F.col("x.h").alias("h"))
+        .agg(F.sum("x.words").alias("words"), F.first("documents").alias("documents"))
     )
     each = Staged(each, "lines").df
-    often = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rules.max_documents)
+    often = each.groupBy("host", "h").agg(F.sum("documents").alias("n")).filter(F.col("n") > rules.max_documents)
     often = Staged(often.select(F.col("host").alias("host_"), F.col("h").alias("h_")), "often").df
     hit = each.join(
         small(often, often.count()), F.col("host").eqNullSafe(F.col("host_")) & (F.col("h") == F.col("h_")), "left_semi"
     )
-    gone = hit.groupBy(F.col("__k1").alias("__g1"), F.col("__k2").alias("__g2")).agg(F.sum("words").alias("__removed"))
+    gone = hit.groupBy(F.col("k1").alias("g1"), F.col("k2").alias("g2")).agg(F.sum("words").alias("removed"))
     return Staged(gone, "removed").df
 
 
+def _same_text() -> Column:
+    return (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
+
+
 def _with_verdict(keyed: DataFrame, removed: DataFrame, rules: LineRules) -> DataFrame:
-    s = F.col("__s")
-    left = s["n_words"] - F.coalesce(F.col("__removed"), F.lit(0))
+    """keyed, which has k1, k2 and stats, with the outputs."""
+    s = F.col("stats")
+    left = s["n_words"] - F.coalesce(F.col("removed"), F.lit(0))
     failed = base_failed(s)
     ok = (left >= rules.min_words) & (left >= rules.min_share * s["n_words"])
-    joined = keyed.join(
-        small(removed, removed.count()),
-        (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")),
-        "left",
-    )
-    return joined.select(
+    return keyed.join(small(removed, removed.count()), _same_text(), "left").select(
         "*",
         *[s[c].alias(c) for c in STATS],
         failed.alias("base_failed"),
-        F.coalesce(F.col("__removed"), F.lit(0)).cast("long").alias("removed_words"),
+        F.coalesce(F.col("removed"), F.lit(0)).cast("long").alias("removed_words"),
         (~failed & ok).alias("kept"),
     )
 
 
-def line_verdicts(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def line_verdicts(
+    docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text", host: str = "source"
+) -> DataFrame:
     """line_quality() without the texts: key and the outputs, with every text read and scanned once."""
     once = docs.select(
-        key,
-        F.col(host).alias("host"),
-        *_keys(text, host),
-        text_stats(F.col(text)).alias("__s"),
-        _lines(F.col(text)).alias("__lines"),
+        F.col(key).alias("key"), *_ids(key, text, host), text_stats(F.col(text)).alias("stats"), _lines(F.col(text)).alias("lines")
     )
     once = Staged(once, "quality").df
-    removed = _removed(once.filter(F.size("__lines") > 0).select("host", "__k1", "__k2", "__lines"), rules)
-    return _with_verdict(once.drop("host", "__lines"), removed, rules).select(
-        key, *STATS, "base_failed", "removed_words", "kept"
-    )
+    removed = _removed(once.filter(F.size("lines") > 0).select("host", "k1", "k2", "d", "lines"), rules)
+    out = _with_verdict(once.select("key", "k1", "k2", "stats"), removed, rules)
+    return out.select(F.col("key").alias(key), *STATS, "base_failed", "removed_words", "kept")
 
 
-def pass_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that line_quality() keeps, with docs' columns only.
+def pass_quality(
+    docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text", host: str = "source"
+) -> DataFrame:
+    """The rows of docs that line_quality() keeps, with docs' columns only, whatever they are called.
 
-    Only keys of depleted documents are joined with the texts, and these are few where the rules spare most documents;
-    so texts are not shuffled unless more than BROADCAST_ROWS distinct ones are depleted.
+    Texts are scanned once; only the verdicts on distinct texts are joined with them. The texts that the base rules or
+    the depletion reject are listed by their hashes, and texts are not shuffled unless very many of them are rejected.
     """
-    each = docs.select(F.col(host).alias("host"), *_keys(text, host), _lines(F.col(text)).alias("__lines"))
-    total = F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    each = each.select("host", "__k1", "__k2", total.alias("n"), "__lines")
-    lines = Staged(each.filter(F.size("__lines") > 0), "scanned").df
-    size = lines.groupBy(F.col("__k1").alias("__g1"), F.col("__k2").alias("__g2")).agg(F.max("n").alias("n"))
-    left = F.col("n") - F.col("__removed")
-    gone = _removed(lines.drop("n"), rules).join(size, ["__g1", "__g2"])
-    gone = Staged(gone.filter((left < rules.min_words) | (left < rules.min_share * F.col("n"))).select("__g1", "__g2"), "depleted").df
-    keyed = docs.select("*", *_keys(text, host)).filter(~base_failed(text_stats(F.col(text))))
-    same = (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2"))
-    return keyed.join(small(gone, gone.count()), same, "left_anti").select(*docs.columns)
+    each = docs.select(*_ids(key, text, host), base_failed(text_stats(F.col(text))).alias("failed"), _lines(F.col(text)).alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    lines = Staged(each.withColumn("n", total), "scanned").df
+    sizes = lines.groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("failed").alias("failed"))
+    removed = _removed(lines.filter(F.size("lines") > 0).select("host", "k1", "k2", "d", "lines"), rules)
+    left = F.col("n") - F.coalesce("removed", F.lit(0))
+    depleted = (left < rules.min_words) | (left < rules.min_share * F.col("n"))
+    gone = sizes.join(small(removed, removed.count()), _same_text(), "left").filter(F.col("failed") | depleted)
+    gone = Staged(gone.select(F.col("k1").alias("g1"), F.col("k2").alias("g2")), "rejected").df
+    _, k1, k2, _ = _ids(key, text, host)
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), k1, k2)
+    return keyed.join(small(gone, gone.count(), 200_000), _same_text(), "left_anti").select("row.*")
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +229,10 @@ WITH d AS (
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE len(lw) > 0 GROUP BY r
 ), n AS (
-  SELECT l.r, d.source, d.t, array_to_string(lw, ' ') AS h, len(lw) AS words
-  FROM l JOIN d USING (r) WHERE len(lw) BETWEEN 1 AND 16
+  SELECT l.r, d.source, d.doc_id, d.t, array_to_string(lw, ' ') AS h, len(lw) AS words
+  FROM l JOIN d USING (r) WHERE len(lw) > 0
 ), often AS (
-  SELECT source, h FROM n GROUP BY source, h HAVING count(DISTINCT t) > 20
+  SELECT source, h FROM n GROUP BY source, h HAVING count(DISTINCT (doc_id, hash(t))) > 20
 ), gone AS (
   SELECT n.r, sum(words) AS removed FROM n JOIN often o ON n.h = o.h AND n.source IS NOT DISTINCT FROM o.source GROUP BY n.r
 ), s AS (

@@ -88,3 +88,24 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(5, a, "s"), (5, b, "s"), (3, b, "t"), (7, a, "s"), (5, a, "s"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (9, None, "s")]
     kept = alike.keep_one_alike(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, a, "s"), (3, b, "t"), (None, c, "s"), (9, None, "s")]))
+
+
+def test_lines_are_counted_by_documents_of_a_host(spark):
+    shared = " ".join(f"shared{k}" for k in range(15))
+    rows = [(i, shared, "copied") for i in range(40)] + [(7, shared, "repeated")] * 40 + [(None, shared, "keyless")] * 40
+    rows += [(i, f"{shared}\n" + " ".join(f"own{i}x{k}" for k in range(30)), None) for i in range(21)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["source"], r["removed_words"], r["kept"]) for r in quality.line_quality(frame).collect()}
+    assert got == {("copied", 15, False), ("repeated", 0, True), ("keyless", 0, True), (None, 15, True)}
+    once = quality.pass_quality(frame, quality.LineRules(distinct_texts=True))
+    assert once.count() == len(rows) and quality.pass_quality(frame).count() == len(rows) - 40
+
+
+def test_quality_with_clashing_columns(spark):
+    names = ["host", "k1", "k2", "d", "g1", "removed", "row", "stats", "lines", "failed", "__s"]
+    rows = [(1, "w " * 3 + " ".join(f"x{k}" for k in range(20)), "s", *names), (2, None, None, *names)]
+    frame = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in names))
+    assert [tuple(r) for r in quality.pass_quality(frame).collect()] == rows[:1]
+    got = {r["doc_id"]: r.asDict() for r in quality.line_quality(frame).collect()}
+    assert all(got[i][n] == n for i in (1, 2) for n in names) and got[1]["kept"] and not got[2]["kept"]
+    assert quality.line_verdicts(frame).count() == 2 and quality.line_verdicts(frame.limit(0)).count() == 0
