@@ -9,13 +9,14 @@ from tallyspark.llm.alike import keep_one_alike
 from tallyspark.llm.bpe import token_digests
 from tallyspark.llm.common import Staged, table
 from tallyspark.llm.mixing import mixed_rows
-from tallyspark.llm.quality import pass_quality
+from tallyspark.llm.quality import LineRules, pass_quality
 from tallyspark.llm.secrets import redact_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the line-frequency rule."""
-    return pass_quality(docs)
+    """Documents that pass the base rules and the line-frequency rule. Copies are the next stage's business: here they
+    count as one, as else every copy of a text that a source holds more than 20 times would go."""
+    return pass_quality(docs, LineRules(distinct_texts=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
