@@ -109,21 +109,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return rows.join(each, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component, that with the smallest key. Documents without a key all stay; of rows
-    that repeat the kept key, one stays."""
-    groups = near_duplicates(docs, key, text, radius).filter(F.col(key).isNotNull())
-    stays = F.max((F.col(key) == F.col("component_id")).cast("int"))
-    each = groups.groupBy(F.col(key).alias("__id")).agg(stays.alias("stays"), F.count(F.lit(1)).alias("n"))
-    each = Staged(each.filter("stays = 0 OR n > 1"), "settled").df
-    # The dropped keys are fewer than the kept ones, so only where they are very many does the join shuffle texts.
-    gone = each.filter("stays = 0").select("__id")
-    out = docs.join(small(gone, gone.count()), F.col(key) == F.col("__id"), "left_anti")
-    if each.filter("stays = 1").limit(1).count():
-        out = out.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
-    return out
-
-
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     groups = near_duplicates(table(spark, sf_dir, "documents"))

@@ -95,8 +95,6 @@ def test_fingerprints_and_components(docs):
             least[root[k]] = min(least.get(root[k], i), i)
     want = [(i, fps[k] - (1 << 64) if fps[k] >> 63 else fps[k], least.get(root[k])) for k, (i, _, _) in enumerate(rows)]
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], want)
-    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({c for i, _, c in want if i == c}) and kept.count(None) == 1
 
 
 @pytest.mark.parametrize("crowd", [1024, 4])

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyspark.llm import alike, neighbours, quality, repeats
+from tallyspark.llm import neighbours, quality, repeats, similar
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -45,8 +45,8 @@ def test_near_copies_with_edited_words_go(spark):
         least[g] = min(least.get(g, i), i)
     assert 25 < len(least) < len(rows) - 60
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(r["doc_id"] for r in alike.keep_one_alike(frame).collect()) == sorted(least.values())
-    assert alike.keep_one_alike(frame.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in similar.keep_one(frame).collect()) == sorted(least.values())
+    assert similar.keep_one(frame.limit(0)).count() == 0
 
 
 def test_pipeline_drops_a_text_with_two_edited_words(spark):
@@ -86,7 +86,7 @@ def test_repeated_rows_do_not_take_neighbours_places(spark):
 def test_one_row_of_each_group_stays(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
     rows = [(5, a, "s"), (5, b, "s"), (3, b, "t"), (7, a, "s"), (5, a, "s"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (9, None, "s")]
-    kept = alike.keep_one_alike(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = similar.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, a, "s"), (3, b, "t"), (None, c, "s"), (9, None, "s")]))
 
 
