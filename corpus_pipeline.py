@@ -5,12 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.alike import keep_one_alike
 from tallyspark.llm.bpe import token_digests
 from tallyspark.llm.common import Staged, table
 from tallyspark.llm.mixing import mixed_rows
 from tallyspark.llm.quality import LineRules, pass_quality
 from tallyspark.llm.secrets import redact_secrets
+from tallyspark.llm.similar import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    return keep_one_alike(docs)
+    return keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
