@@ -5,10 +5,10 @@ each word's upper bits are a segment of the index. Of a segment's Hamming ball o
 copies fall into: flips of the bits that the fewest shingles decide. Two texts meet where their parts of the balls do.
 Complete distances of fingerprints are verified first, then the complete sets of shingles.
 
-A bucket of the index links its members to its smallest one only. What these links join loosely has a middle, the text
-nearest to the majority of its bits (the original, where copies were edited each for itself). Every text is first
-compared with its nearest candidate and with the middle; further pairs are looked at only between texts that are not
-connected by then, so groups of copies cost rows in proportion to their size.
+A bucket of the index links its members to its smallest one only, and what these links join loosely has a middle, the text nearest to the majority of its bits (the original, where copies were edited each for itself). Every
+text is compared with its nearest candidate and with the middle. Of a loose group that this leaves in several parts,
+texts of different parts are compared if their sets share one of their rarest shingles, which sets of the required
+similarity must; so no pair of a loose group is lost, and groups of copies cost rows in proportion to their size.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from tallyspark.llm.graph import components
 
 #: Words of a fingerprint, each one segment.
 SEGMENTS = 24
-#: Differing bits of all of them (of 768) up to which texts belong together loosely, and up to which sets are compared
-#: (at similarity 0.8: 116, give or take 10), and of the first 64 (at 0.8: 10, give or take 3).
-FAR, NEAR, SKETCH_FAR = 200, 165, 22
+#: Differing bits of all of them (of 768) up to which texts belong together loosely (at similarity 0.8: 116, give or
+#: take 10).
+FAR = 200
 #: Bits of a segment that are indexed: so many more than the number of texts has, and the fewest and most.
 SPARE, NARROW, WIDE = 6, 24, 32
 #: Small rows (a key and two hashes) that may be broadcast.
@@ -138,19 +138,17 @@ def _digests(text: str) -> list[Column]:
     return [F.xxhash64(whole).alias("d1"), F.xxhash64(F.lit("second"), whole).alias("d2")]
 
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members) of texts (node, fp, firm): a, b and apart (differing bits, FAR at most) of each text b with the
-    smallest texts of its buckets, and key, node, sketch in all buckets of three or more."""
+def candidates(sets: DataFrame) -> DataFrame:
+    """a, b and apart (differing bits, FAR at most) of each text b (node, fp, firm) with the smallest text of its buckets."""
     n = sets.count()
     width = min(WIDE, max(NARROW, n.bit_length() + SPARE))
     flips = 3 + (width - NARROW) // 4
     key = F.arrow_udf(_keys(width, flips), "array<long>")(F.col("fp"), F.col("firm"))
-    index = sets.select("node", _sketch().alias("sketch"), F.explode(key).alias("key"))
-    met = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    met = Staged(met, "buckets").df
-    members = Staged(index.join(met.withColumnRenamed("key", "of").hint("merge"), F.col("key") == F.col("of")).drop("of"), "members").df
-    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    return _near(pairs, sets), members.filter("n > 2").select("key", "node", "sketch")
+    index = sets.select("node", F.explode(key).alias("key"))
+    met = index.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = Staged(met.select("of", "least"), "buckets").df
+    members = index.join(met.hint("merge"), F.col("key") == F.col("of")).filter("node <> least")
+    return _near(members.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), sets)
 
 
 def _sketch() -> Column:
@@ -173,13 +171,13 @@ def middles(loose: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(best.hint("merge"), F.col("root") == F.col("r_")).select(F.col("x.node").alias("a"), F.col("node").alias("b")).filter("a <> b")
 
 
-def _near(pairs: DataFrame, sets: DataFrame, far: int = FAR) -> DataFrame:
-    """Pairs whose fingerprints differ in `far` bits at most, with their number."""
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose fingerprints differ in FAR bits at most, with their number."""
     one = sets.select(F.col("node").alias("a_"), F.col("fp").alias("fp_a"))
     two = sets.select(F.col("node").alias("b_"), F.col("fp").alias("fp_b"))
     both = pairs.join(one.hint("merge"), F.col("a") == F.col("a_")).join(two.hint("merge"), F.col("b") == F.col("b_"))
     apart = both.select("a", "b", F.arrow_udf(_apart, "int")(F.col("fp_a"), F.col("fp_b")).alias("apart"))
-    return Staged(apart.filter(F.col("apart") <= far), "near").df
+    return Staged(apart.filter(F.col("apart") <= FAR), "near").df
 
 
 def _verified(pairs: DataFrame, raw: DataFrame, least: float) -> DataFrame:
@@ -191,11 +189,34 @@ def _verified(pairs: DataFrame, raw: DataFrame, least: float) -> DataFrame:
     return Staged(both.select("a", "b", F.arrow_udf(_alike, "double")(F.col("raw_a"), F.col("raw_b")).alias("s")).filter(F.col("s") >= least - 1e-12).select("a", "b"), "links").df
 
 
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends have different roots."""
-    a, b = (roots.select(F.col("node").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")).hint("merge") for x in "ab")
-    both = pairs.join(a, F.col("a") == F.col("n_a"), "left").join(b, F.col("b") == F.col("n_b"), "left")
-    return both.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(*pairs.columns)
+def _listed(raw: pa.Array) -> pa.Array:
+    each = [np.frombuffer(r, "<i8") for r in raw.to_pylist()]
+    offsets = np.cumsum([0, *map(len, each)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+
+
+def rarest(raw: DataFrame, loose: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of texts of one loose group, but with different roots, that share one of their rarest shingles: of n
+    shingles, sorted by how many texts hold them, a text of the required similarity holds one of the first
+    n - ceil(least * n) + 1, and that among its own first ones. Groups of two texts are settled already."""
+    rooted = loose.select("node", F.col("root").alias("loose")).join(roots.select(F.col("node").alias("n_"), "root").hint("merge"), F.col("node") == F.col("n_"), "left")
+    rooted = Staged(rooted.select("node", "loose", F.coalesce("root", "node").alias("root")), "rooted").df
+    split = rooted.groupBy(F.col("loose").alias("l_")).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi")
+    split = Staged(rooted.join(split.select("l_").hint("merge"), F.col("loose") == F.col("l_"), "left_semi"), "split").df
+    held = raw.join(split.select(F.col("node").alias("n_"), "loose", "root").hint("merge"), F.col("node") == F.col("n_")).select("node", "loose", "root", F.explode(F.arrow_udf(_listed, "array<long>")(F.col("raw"))).alias("t"))
+    held = Staged(held, "shingles").df
+    many = held.groupBy(F.col("loose").alias("l_"), F.col("t").alias("t_")).agg(F.count(F.lit(1)).alias("texts"))
+    counted = held.join(many.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).groupBy("node", "loose", "root").agg(F.array_sort(F.collect_list(F.struct("texts", "t"))).alias("x"))
+    length = F.size("x") - F.ceil(F.size("x") * F.lit(least) - 1e-9).cast("int") + 1
+    first = counted.select("node", "loose", "root", F.explode(F.slice("x", F.lit(1), length)).alias("x")).filter("x.texts > 1")
+    first = Staged(first.select("node", "loose", "root", F.col("x.t").alias("t")), "rarest").df
+    parts = first.groupBy("loose", "t", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("loose").alias("l_"), F.col("t").alias("t_"))
+    main = parts.agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("l_", "t_", F.col("x.root").alias("main"))
+    mixed = Staged(first.join(main.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).drop("l_", "t_"), "mixed").df
+    # All but a shingle's largest part meet all of it: pairs within the largest one are connected anyway.
+    rest = mixed.filter("root <> main").select(F.col("loose").alias("l_"), F.col("t").alias("t_"), F.col("node").alias("b"), F.col("root").alias("r_"))
+    met = mixed.join(rest.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_")) & (F.col("root") != F.col("r_")))
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, key: str, text: str, size: int, least: float) -> DataFrame:
@@ -206,11 +227,13 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int, least: float
     rows = Staged(rows.select("id", "d1", "d2", "s.*"), "signatures").df
     sets = rows.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("d"), F.first("fp").alias("fp"), F.first("firm").alias("firm"))
     sets = Staged(sets.select("node", "d.d1", "d.d2", "fp", "firm"), "distinct").df
-    near, members = candidates(sets.select("node", "fp", "firm"))
+    near = candidates(sets.select("node", "fp", "firm"))
+    loose = Staged(components(near), "loose").df
 
     # Every text with its nearest candidate and with the middle of its group.
-    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
-    centred = _near(middles(components(near), sets), sets).select("a", "b")
+    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = both.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b"))
+    centred = _near(middles(loose, sets), sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     nearest = Staged(nearest.union(centred).distinct(), "nearest").df
     nodes = near.select(F.col("a").alias("of")).union(near.select("b")).distinct()
     named = sets.select("node", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
@@ -222,26 +245,7 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int, least: float
     first = _verified(nearest, raw, least)
     roots = Staged(components(first), "roots").df
 
-    # What is left between texts that this does not connect: other candidates, and other pairs of a bucket.
-    rooted = members.join(roots.select(F.col("node").alias("n_"), "root").hint("merge"), F.col("node") == F.col("n_"), "left")
-    rooted = Staged(rooted.select("key", "node", "sketch", F.coalesce("root", "node").alias("root")), "rooted").df
-    most = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("k_")).agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots"))
-    main = most.filter("roots > 1").select("k_", F.col("x.root").alias("main"))
-    mixed = Staged(rooted.join(main.hint("merge"), F.col("key") == F.col("k_")).drop("k_"), "mixed").df
-    rest = mixed.filter("root <> main").select(F.col("key").alias("key_"), F.col("node").alias("b"), F.col("sketch").alias("sketch_"), F.col("root").alias("root_"))
-    close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_"))) <= SKETCH_FAR
-    open_ = (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & close
-    more = mixed.join(rest.hint("merge"), open_).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    more = _near(more, sets, NEAR).select("a", "b")
-    further = _between(near.filter(F.col("apart") <= NEAR).select("a", "b"), roots).union(more).distinct()
-    extra = further.select(F.col("a").alias("of")).union(further.select("b")).distinct()
-    lacking = sets.join(extra.hint("merge"), F.col("node") == F.col("of"), "left_semi").join(raw.select(F.col("node").alias("has")).hint("merge"), F.col("node") == F.col("has"), "left_anti")
-    lacking = Staged(lacking.select("node", F.col("d1").alias("e1"), F.col("d2").alias("e2")), "lacking").df
-    n = lacking.count()
-    if n:
-        texts = docs.select(F.col(text).alias("t"), *_digests(text)).join(small(lacking, n, MOST), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-        raw = raw.unionByName(Staged(texts.select("node", F.arrow_udf(_sets(size), "binary")(F.col("t")).alias("raw")).dropDuplicates(["node"]), "sets", "none").df)
-    second = _verified(further, raw, least)
+    second = _verified(rarest(raw, loose, roots, least), raw, least)
     roots = components(first.union(second)).withColumnRenamed("node", "of").hint("merge")
     groups = rows.select("id", "d1", "d2", "node").join(roots, F.col("node") == F.col("of"), "left")
     return Staged(groups.select("id", "d1", "d2", F.coalesce("root", "node").alias("group")), "groups").df
@@ -274,7 +278,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """docs with one row of each group that chains of texts of similarity `least` or more join; see keep_rows().
 
     Similarity is that of the sets of runs of `size` words, A-Z in lower case. A null text counts as empty, and texts
-    without words are alike. Of pairs at just 0.8 one in some 800 shares no bucket, of more alike ones fewer; pairs that
-    do are settled exactly. All columns stay, whatever they are called. An empty table gives an empty result.
+    without words are alike. Of pairs at just 0.8 one in some 800 shares no bucket, of more alike ones fewer; all pairs of
+    texts that buckets join, directly or not, are settled exactly. All columns stay, whatever they are called. An empty table gives an empty result.
     """
     return keep_rows(docs, similar_groups(docs, key, text, size, least), key, text)
