@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import expr as X
+from tallyspark.functions.text import display_source
+from tallyspark.operators.checkpoints import check_same_genes
 
 #: Version that a checkpoint must bear.
 SCHEMA_VERSION = "1"
@@ -91,17 +93,65 @@ def merge_checkpoints(shards: list[DataFrame]) -> DataFrame:
     return out.drop("shard")
 
 
-def check_priors(priors: DataFrame) -> None:
-    """Raises on probabilities that are negative or do not sum to 1, on supports out of their domain, and on scopes
-    that do not hold the same genes."""
-    bad = F.exists("prob", lambda p: p < 0) | (F.abs(X.total(F.col("prob")) - 1) > 1e-6) | F.exists("support", lambda x: x < 0)
+def check_priors(priors: DataFrame, rate: bool = False) -> None:
+    """Raises on probabilities that are negative or do not sum to 1, on supports out of their domain (0 to 1, and for
+    rates from 0), and on scopes that do not hold the same genes."""
+    low = F.exists("support", lambda x: (x < 0) | x.isNull() | F.isnan(x))
+    high = F.lit(False) if rate else F.exists("support", lambda x: x > 1)
+    bad = F.exists("prob", lambda p: p < 0) | (F.abs(X.total(F.col("prob")) - 1) > 1e-6) | low | high
     if priors.filter(bad).limit(1).count():
         raise ValueError("invalid prior")
-    sets = priors.groupBy("scope").agg(F.hash(F.array_sort(F.collect_set("gene_id"))).alias("h")).select("h").distinct()
-    if sets.limit(2).count() > 1:
-        raise ValueError("scopes hold different genes")
+    check_same_genes(priors)
 
 
 def full_matrix(signals: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
     """cell_id, gene_id, signal for all cells and genes; null where nothing was extracted."""
     return obs.select("cell_id").crossJoin(F.broadcast(var.select("gene_id"))).join(signals.select("cell_id", "gene_id", "signal"), ["cell_id", "gene_id"], "left")
+
+
+def curve_rows(checkpoints: dict[str, DataFrame], genes: DataFrame, axis: str = "auto", missing: str = "error", rate: bool = False) -> DataFrame:
+    """Points of the curves of genes (pos, gene_id) in several checkpoints, one row each: source, checkpoint, scope,
+    label, gene_id, gene_pos, j, support, scaled_support, x, prob, cdf, scale. missing: "error" raises on a gene that no
+    source has, "skip" leaves it out. axis auto: support for rates, else scaled."""
+    if missing not in ("error", "skip"):
+        raise ValueError(f"unknown policy {missing!r}")
+    all_ = None
+    for name, priors in checkpoints.items():
+        one = priors.select(F.lit(name).alias("checkpoint"), "scope", "gene_id", "scale", "support", "prob")
+        all_ = one if all_ is None else all_.unionByName(one)
+    if all_ is None:
+        raise ValueError("at least one checkpoint is needed")
+    if missing == "error" and (lost := genes.join(all_.select("gene_id").distinct(), "gene_id", "left_anti").limit(1).collect()):
+        raise ValueError(f"no source has the gene {lost[0]['gene_id']}")
+    source = display_source(F.col("scope"), F.col("checkpoint") if len(checkpoints) > 1 else None)
+    label = F.when(F.col("scope") != "global", F.expr("substring(scope, 7)"))
+    scaled = F.transform("support", lambda x: x * F.col("scale"))
+    x = F.col("support") if axis in ("support", "rate") or (axis == "auto" and rate) else scaled
+    points = F.arrays_zip(F.col("support").alias("s"), scaled.alias("t"), x.alias("x"), F.col("prob").alias("p"), X.cumulative(F.col("prob")).alias("c"))
+    rows = all_.join(genes.select("gene_id", F.col("pos").alias("gene_pos")), "gene_id")
+    rows = rows.select(source.alias("source"), "checkpoint", "scope", label.alias("label"), "gene_id", "gene_pos", "scale", F.posexplode(points).alias("j", "z"))
+    return rows.select(
+        "source", "checkpoint", "scope", "label", "gene_id", "gene_pos", "j", F.col("z.s").alias("support"), F.col("z.t").alias("scaled_support"),
+        F.col("z.x").alias("x"), F.col("z.p").alias("prob"), F.col("z.c").alias("cdf"), "scale",
+    )
+
+
+def grid_curves(priors: DataFrame, genes: DataFrame, grid: DataFrame) -> DataFrame:
+    """batch, perturbation, gene_id, scale, support, prob of label priors laid out on a grid of labels (see
+    sources.matrices.label_grid); raises on labels without priors and on genes that no label of the grid has."""
+    own = priors.withColumn("label", F.expr("substring(scope, 7)")).filter(F.startswith("scope", F.lit("label:")))
+    if lost := grid.join(own.select("label").distinct(), "label", "left_anti").limit(1).collect():
+        raise ValueError(f"unknown label {lost[0]['label']}")
+    rows = own.join(grid.select("label", "batch", "perturbation"), "label").join(genes.select("gene_id"), "gene_id", "left_semi")
+    if lost := genes.join(rows.select("gene_id").distinct(), "gene_id", "left_anti").limit(1).collect():
+        raise ValueError(f"no label of the grid has the gene {lost[0]['gene_id']}")
+    return rows.select("batch", "perturbation", "gene_id", "scale", "support", "prob")
+
+
+def distribution_rows(values: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of finite values (gene_id, layer and others in by): n, mean, median, p10, p90, min and max."""
+    v = F.col("value").cast("double")
+    rows = values.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    q = F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), q.alias("q"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return out.select(*by, "n", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[2].alias("p90"), "min", "max")

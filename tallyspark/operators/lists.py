@@ -10,8 +10,26 @@ from tallyspark.functions.expr import full_match
 
 # Built-in nuisance rules, as exact names, prefixes and full-match patterns.
 RULES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
-    "human": (("MALAT1", "NEAT1", "XIST"), ("MT-", "RPL", "RPS", "MRPL", "MRPS", "HSP"), (r"HB[ABDEGMQZ]\d?",)),
-    "mouse": (("Malat1", "Neat1", "Xist"), ("mt-", "Rpl", "Rps", "Mrpl", "Mrps", "Hsp"), (r"Hb[abdegmqz](-.*)?",)),
+    "human": (
+        ("MALAT1", "NEAT1", "XIST", "FTL", "FTH1"),
+        ("MT-", "RPL", "RPS", "MRPL", "MRPS"),
+        (r"HB[A-Z]\d?", r"HSP(?:90|A|B|D|E|H)\w*", r"DNAJ[A-C]\d+", r"FOS[BL]?", r"JUN[BD]?", r"EGR[1-4]", r"IER[1-5][A-Z]?", r"DUSP[1-9]\d?"),
+    ),
+    "mouse": (
+        ("Malat1", "Neat1", "Xist", "Ftl1", "Fth1"),
+        ("mt-", "Rpl", "Rps", "Mrpl", "Mrps"),
+        (r"Hb[a-z].*", r"Hsp(?:90|a|b|d|e|h)\w*", r"Dnaj[a-c]\d+", r"Fos[bl]?", r"Jun[bd]?", r"Egr[1-4]", r"Ier[1-5][a-z]?", r"Dusp[1-9]\d?"),
+    ),
+    "ecoli": (
+        ("tsf", "infA", "infB", "infC", "ssrA"),
+        ("rpl", "rps", "rpm"),
+        (r"rr[slf][A-H]", r"tuf[AB]?", r"fus[A-Z]?", r"gro[ELS]+", r"dna[KJ]\w*", r"clp[ABPX]\w*", r"csp[A-I]"),
+    ),
+    "bsub": (
+        ("tsf", "infA", "infB", "infC", "ssrA"),
+        ("rpl", "rps", "rpm"),
+        (r"rrn[A-Z]", r"tuf[A-Z]?", r"fus[A-Z]?", r"groE[SL]\w*", r"dna[KJ]\w*", r"clp[CEPQXY]\w*", r"csp[A-Z]", r"sig[A-Z]", r"hbs\w*"),
+    ),
 }
 
 
@@ -119,14 +137,13 @@ def search(totals: DataFrame, text: str, limit: int) -> DataFrame:
 
 def resolve(genes: DataFrame, asked: DataFrame) -> DataFrame:
     """query, gene_id, gene_idx: an exact name first, then an index in digits, then a name in any case."""
-    found = asked.join(
-        genes,
-        (F.col("query") == F.col("gene_id"))
-        | (F.col("query") == F.col("gene_idx").cast("string"))
-        | (F.lower("query") == F.lower("gene_id")),
-    )
-    way = F.when(F.col("query") == F.col("gene_id"), 0).when(F.col("query") == F.col("gene_idx").cast("string"), 1).otherwise(2)
-    best = found.groupBy("query").agg(F.min(F.struct(way.alias("way"), "gene_idx", "gene_id")).alias("x"))
+    ways = [F.col("gene_id"), F.col("gene_idx").cast("string"), F.lower("gene_id")]
+    sides = [F.col("query"), F.col("query"), F.lower("query")]
+    found = None
+    for i, (name, side) in enumerate(zip(ways, sides, strict=True)):
+        hit = asked.withColumn("k", side).join(genes.select("gene_id", "gene_idx", name.alias("k")), "k").select("query", F.lit(i).alias("way"), "gene_idx", "gene_id")
+        found = hit if found is None else found.union(hit)
+    best = found.groupBy("query").agg(F.min(F.struct("way", "gene_idx", "gene_id")).alias("x"))
     return best.select("query", "x.gene_id", "x.gene_idx")
 
 

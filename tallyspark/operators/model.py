@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import expr as X
 from tallyspark.functions.ship import ship
+from tallyspark.operators.checkpoints import warm_start
 from tallyspark.operators.stats import reference_counts
 from tallyspark.sources.matrices import Matrix
 
@@ -50,7 +51,9 @@ def observations(m: Matrix, reference: DataFrame | None = None, by_label: bool =
     """cell_id, scope, gene_id, k, n_ref, n_mean (mean reference of the scope), zeros included."""
     ref = reference_counts(m) if reference is None else reference
     scope = F.concat(F.lit("label:"), F.coalesce(F.col("label").cast("string"), F.lit("nan"))) if by_label else F.lit("global")
-    ref = ref.withColumn("scope", scope).withColumn("n_mean", F.avg("n_ref").over(Window.partitionBy("scope")))
+    ref = ref.withColumn("scope", scope)
+    # A row for each scope, so no task gets all cells of one.
+    ref = ref.join(F.broadcast(ref.groupBy("scope").agg(F.avg("n_ref").alias("n_mean"))), "scope")
     grid = ref.select("cell_id", "scope", "n_ref", "n_mean").crossJoin(F.broadcast(m.var.select("gene_id")))
     return grid.join(m.counts, ["cell_id", "gene_id"], "left").select("cell_id", "scope", "gene_id", F.coalesce("value", F.lit(0)).alias("k"), "n_ref", "n_mean")
 
@@ -126,7 +129,7 @@ def em_step(rows: DataFrame, priors: DataFrame, config: FitConfig) -> DataFrame:
     """priors after one EM step: the weighted mean of posteriors, clamped and normalised."""
     n = F.col("n_ref") / F.col("n_mean") * F.col("scale")
     k = F.col("k").cast("double")
-    met = rows.join(F.broadcast(priors), ["scope", "gene_id"])
+    met = rows.join(priors, ["scope", "gene_id"])
     post = met.select("scope", "gene_id", "weight", F.posexplode(X.posterior(log_likelihood(config, k, n, F.col("support")), F.col("prob"))).alias("j", "p"))
     sums = post.groupBy("scope", "gene_id", "j").agg(F.sum(F.col("p") * F.col("weight")).alias("w"))
     new = sums.groupBy("scope", "gene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda x: x["w"]).alias("w"))
@@ -140,10 +143,9 @@ def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: b
     Posteriors are computed once for each distinct (scope, gene, k, n_ref) and joined back. raw_exposure takes n_ref as
     it is, as aggregates of several cells do.
     """
-    keys = ["scope", "gene_id", "k", "n_ref"]
+    keys = ["scope", "gene_id", "k", "n_ref"] if raw_exposure else ["scope", "gene_id", "k", "n_ref", "n_mean"]
     n = F.col("n_ref").cast("double") if raw_exposure else F.col("n_ref") / F.col("n_mean") * F.col("scale")
-    distinct = rows.select(*keys, "n_mean").distinct() if not raw_exposure else rows.select(*keys).distinct()
-    met = distinct.join(F.broadcast(priors), ["scope", "gene_id"])
+    met = rows.select(*keys).distinct().join(priors, ["scope", "gene_id"])
     post = X.posterior(log_likelihood(config, F.col("k").cast("double"), n, F.col("support")), F.col("prob"))
     rate = config.likelihood == "poisson"
 
@@ -171,7 +173,7 @@ def gene_nll(rows: DataFrame, priors: DataFrame, config: FitConfig) -> DataFrame
     n = F.col("n_ref") / F.col("n_mean") * F.col("scale")
     k = F.col("k").cast("double")
     z = X.log_evidence(log_likelihood(config, k, n, F.col("support")), F.col("prob")) + constant_term(config, k, n)
-    met = rows.join(F.broadcast(priors), ["scope", "gene_id"]).select("scope", "gene_id", "weight", z.alias("z"))
+    met = rows.join(priors, ["scope", "gene_id"]).select("scope", "gene_id", "weight", z.alias("z"))
     return met.groupBy("scope", "gene_id").agg((-F.sum(F.col("z") * F.col("weight")) / F.sum("weight")).alias("nll"))
 
 
@@ -286,23 +288,21 @@ def _fitted(config: FitConfig):
     return fit
 
 
-def fit_priors(rows: DataFrame, scale: Column, config: FitConfig = FitConfig(), batch: int = 1, warm: DataFrame | None = None) -> DataFrame:
+def fit_priors(rows: DataFrame, scale: Column, config: FitConfig = FitConfig(), batch: int = 1, warm: DataFrame | None = None, same_likelihood: bool = True) -> DataFrame:
     """Priors fitted to convergence from compressed observations: FIT_SCHEMA.
 
     Genes of a batch stop together; batch 1 stops each gene by itself. warm: priors to start from (scope, gene_id,
-    support, prob), used where they cover a whole batch. A group holds the distinct (k, n_ref) of a batch's genes,
-    which grows with the spread of counts, not with cells.
+    prob), used where they cover a whole batch, see checkpoints.warm_start(). Raises where a count exceeds its effective
+    exposure under a binomial. A group holds the distinct (k, n_ref) of a batch's genes, which grows with the spread of
+    counts, not with cells.
     """
     ship(rows.sparkSession)
     priors = initial_priors(support_tops(rows, scale, config), config)
-    if warm is not None:
-        old = warm.select("scope", "gene_id", F.col("support").alias("s_"), F.col("prob").alias("p_"))
-        priors = priors.join(F.broadcast(old), ["scope", "gene_id"], "left").select(
-            "scope", "gene_id", "scale", F.coalesce("s_", "support").alias("support"), F.coalesce(X.normalised(F.col("p_")), "prob").alias("prob")
-        )
-    met = rows.join(F.broadcast(priors), ["scope", "gene_id"]).withColumn("k", F.col("k").cast("double"))
     place = priors.select("scope", "gene_id").withColumn("b", F.floor((F.row_number().over(Window.partitionBy("scope").orderBy("gene_id")) - 1) / batch))
-    met = met.join(F.broadcast(place), ["scope", "gene_id"])
+    if warm is not None:
+        priors = warm_start(priors, warm, place, same_likelihood)
+    met = rows.join(priors, ["scope", "gene_id"]).withColumn("k", F.col("k").cast("double"))
+    met = met.join(place, ["scope", "gene_id"])
     return met.groupBy("scope", "b").applyInPandas(_fitted(config), FIT_SCHEMA)
 
 
@@ -311,3 +311,43 @@ def scale_of(m: Matrix) -> float:
     return float(reference_counts(m).filter("n_ref > 0").agg(F.avg("n_ref")).first()[0])
 
 
+
+
+class PriorEngine:
+    """Priors of a matrix, fitted gene by gene as they are asked for. A fit covers the genes that have none yet; priors
+    are tables, so get_prior() is lazy."""
+
+    def __init__(self, m: Matrix, config: FitConfig = FitConfig(), scale: float | None = None, by_label: bool = False):
+        self.matrix, self.config, self.by_label = m, config, by_label
+        self.scale = F.col("n_mean") if scale is None else F.lit(float(scale))
+        self.priors: DataFrame | None = None
+
+    def missing(self, genes: DataFrame) -> DataFrame:
+        return genes if self.priors is None else genes.join(self.priors.select("gene_id").distinct(), "gene_id", "left_anti")
+
+    def is_fitted(self, gene: str) -> bool:
+        return self.priors is not None and self.priors.filter(F.col("gene_id") == gene).limit(1).count() > 0
+
+    def is_all_fitted(self, genes: DataFrame) -> bool:
+        return self.missing(genes.select("gene_id")).limit(1).count() == 0
+
+    def fit(self, genes: DataFrame, batch: int = 1) -> DataFrame:
+        """Fit the genes that have no prior yet; returns the report of this fit."""
+        todo = self.missing(genes.select("gene_id"))
+        rows = compressed(self.matrix, self.by_label).join(todo, "gene_id", "left_semi")
+        new = fit_priors(rows, self.scale, self.config, batch)
+        self.priors = new if self.priors is None else self.priors.unionByName(new)
+        return report(new)
+
+    def get_prior(self, gene: str) -> DataFrame:
+        if not self.is_fitted(gene):
+            raise KeyError(gene)
+        return self.priors.filter(F.col("gene_id") == gene)
+
+
+def report(fitted: DataFrame) -> DataFrame:
+    """scope, genes, iterations (most of any batch), adaptive rounds, mean final objective, and the mean entropy of priors."""
+    h = X.entropy(F.col("prob"))
+    return fitted.groupBy("scope").agg(
+        F.count(F.lit(1)).alias("genes"), F.max("n_iter").alias("iterations"), F.max("rounds").alias("rounds"), F.avg("final_objective").alias("objective"), F.avg(h).alias("prior_entropy")
+    )

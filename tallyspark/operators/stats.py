@@ -3,6 +3,10 @@ except where quantiles need them."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +23,15 @@ def reference_counts(m: Matrix, genes: DataFrame | None = None) -> DataFrame:
 
 def exposure(reference: DataFrame, scale: float | None = None, by: list[str] | None = None) -> DataFrame:
     """reference with n_eff = n_ref / mean(n_ref) * scale, the mean over the cells of a scope; scale defaults to it."""
-    mean = F.avg("n_ref").over(Window.partitionBy(*(by or [])))
-    return reference.withColumn("n_eff", F.col("n_ref") / mean * (mean if scale is None else F.lit(float(scale))))
+    # One row of means for each scope is broadcast; a window would bring all cells of a scope into one task.
+    keys = by or []
+    means = reference.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.avg("n_ref").alias("__mean"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = reference.join(F.broadcast(means), same) if keys else reference.crossJoin(F.broadcast(means))
+    n_eff = F.col("n_ref") / F.col("__mean") * (F.col("__mean") if scale is None else F.lit(float(scale)))
+    return both.withColumn("n_eff", n_eff).select(*reference.columns, "n_eff")
 
 
 def positive_reference(reference: DataFrame) -> DataFrame:
@@ -49,19 +60,36 @@ def safe_corr(x: str, y: str) -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(F.try_divide(cov, F.stddev_pop(x) * F.stddev_pop(y)))
 
 
+def frequencies(m: Matrix) -> DataFrame:
+    """gene_id, value, n: how many cells have each value, zeros among them, without writing zeros out."""
+    seen = m.counts.filter("value <> 0").groupBy("gene_id", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    hits = seen.groupBy("gene_id").agg(F.sum("n").alias("hits"))
+    cells = m.obs.agg(F.count(F.lit(1)).alias("cells"))
+    zeros = m.var.join(hits, "gene_id", "left").crossJoin(F.broadcast(cells))
+    zeros = zeros.select("gene_id", F.lit(0.0).alias("value"), (F.col("cells") - F.coalesce("hits", F.lit(0))).alias("n")).filter("n > 0")
+    return seen.unionByName(zeros)
+
+
 def gene_summary(m: Matrix) -> DataFrame:
-    """Per gene over all cells: total, mean, median, p90, p99, max, detected share, and correlation with cell totals."""
-    totals = reference_counts(m).select("cell_id", F.col("n_ref").cast("double").alias("cell_total"))
-    rows = m.dense().withColumn("value", F.col("value").cast("double")).join(totals, "cell_id")
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = rows.groupBy("gene_id").agg(
-        F.sum("value").alias("total"), F.avg("value").alias("mean"), q.alias("q"), F.max("value").alias("max"),
-        F.count_if(F.col("value") != 0).alias("detected"), F.count(F.lit(1)).alias("cells"), safe_corr("value", "cell_total").alias("total_corr"),
-    )
-    share = F.col("detected") / F.col("cells")
-    return out.select(
-        "gene_id", "total", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "max",
-        "detected", share.alias("detected_fraction"), (1 - share).alias("zero_fraction"), "total_corr",
+    """Per gene over all cells: total, mean, median, p90, p99, max, detected share, and correlation with cell totals (0
+    where either is constant). Quantiles come from the frequencies of values, the rest from sums over non-zeros."""
+    totals = reference_counts(m).select("cell_id", F.col("n_ref").cast("double").alias("y"))
+    whole = totals.agg(F.count(F.lit(1)).alias("cells"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    x = F.col("value").cast("double")
+    sums = m.counts.join(totals, "cell_id").groupBy("gene_id").agg(
+        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * F.col("y")).alias("sxy"), F.count_if(x != 0).alias("detected")
+    )
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n"))
+    spread = frequencies(m).groupBy("gene_id").agg(q.alias("q"), F.max("value").alias("max"))
+    rows = spread.join(sums, "gene_id", "left").na.fill(0, ["sx", "sxx", "sxy", "detected"]).crossJoin(F.broadcast(whole))
+    n = F.col("cells")
+    var_x, var_y = F.col("sxx") / n - F.pow(F.col("sx") / n, F.lit(2)), F.col("syy") / n - F.pow(F.col("sy") / n, F.lit(2))
+    cov = F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n
+    corr = F.when((n < 2) | (var_x <= 1e-12) | (var_y <= 1e-12), F.lit(0.0)).otherwise(cov / F.sqrt(F.greatest(var_x, F.lit(0.0)) * F.greatest(var_y, F.lit(0.0))))
+    share = F.col("detected") / n
+    return rows.select(
+        "gene_id", F.col("sx").alias("total"), (F.col("sx") / n).alias("mean"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"),
+        F.col("q")[2].alias("p99"), "max", "detected", share.alias("detected_fraction"), (1 - share).alias("zero_fraction"), corr.alias("total_corr"),
     )
 
 
@@ -177,7 +205,24 @@ def mann_whitney(values: DataFrame, target: str, reference: str) -> DataFrame:
     """Per gene, ranks of target against reference cells (columns gene_id, label, value, zeros included): u, z (tie and
     continuity corrected) and log2 fold change. Values repeat, so ranks come from counts by value."""
     both = values.filter(F.col("label").isin(target, reference))
-    tied = both.groupBy("gene_id", "value").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("label") == target).alias("t1"))
+    return _rank_test(both.groupBy("gene_id", "value").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("label") == target).alias("t1")))
+
+
+def mann_whitney_sparse(m: Matrix, target: str, reference: str) -> DataFrame:
+    """mann_whitney() of a matrix's counts; zeros are what is left of the cells of either label."""
+    cells = m.obs.filter(F.col("label").isin(target, reference))
+    sizes = cells.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == target).alias("n1"))
+    hits = m.counts.filter("value <> 0").join(cells.select("cell_id", "label"), "cell_id")
+    tied = hits.groupBy("gene_id", "value").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("label") == target).alias("t1"))
+    seen = tied.groupBy("gene_id").agg(F.sum("t").alias("s"), F.sum("t1").alias("s1"))
+    zeros = m.var.join(seen, "gene_id", "left").crossJoin(F.broadcast(sizes))
+    kind = dict(m.counts.dtypes)["value"]
+    zeros = zeros.select("gene_id", F.lit(0).cast(kind).alias("value"), (F.col("n") - F.coalesce("s", F.lit(0))).alias("t"), (F.col("n1") - F.coalesce("s1", F.lit(0))).alias("t1"))
+    return _rank_test(tied.unionByName(zeros.filter("t > 0")))
+
+
+def _rank_test(tied: DataFrame) -> DataFrame:
+    """The test from gene_id, value, t (cells that have the value) and t1 (those of the target among them)."""
     before = Window.partitionBy("gene_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = tied.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
     ranked = ranked.groupBy("gene_id").agg(
@@ -206,7 +251,10 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
 def hvg_seurat(m: Matrix, bins: int = 20) -> DataFrame:
     """gene_id, dispersions_norm: log dispersion of exp(x) - 1, z-scored within equal-width bins of log mean (published
     formula; a bin of one gene gives 1)."""
-    values = normalized(m, 1e4).withColumn("value", F.expm1("value"))
+    return _seurat(m, normalized(m, 1e4).withColumn("value", F.expm1("value")), bins)
+
+
+def _seurat(m: Matrix, values: DataFrame, bins: int = 20) -> DataFrame:
     n = F.col("n")
     rows = moments(m, values).crossJoin(F.broadcast(m.obs.agg(F.count(F.lit(1)).alias("n"))))
     mean = F.greatest("mean", F.lit(1e-12))
@@ -217,3 +265,87 @@ def hvg_seurat(m: Matrix, bins: int = 20) -> DataFrame:
     w = Window.partitionBy("bin")
     z = (F.col("d") - F.avg("d").over(w)) / F.nullif(F.stddev_samp("d").over(w), F.lit(0.0))
     return rows.select("gene_id", F.coalesce(z, F.lit(1.0)).alias("dispersions_norm"))
+
+
+def _with_bins(rows: DataFrame, edges: list[float]) -> DataFrame:
+    """rows (gene_id, mean) with the number of percentiles of the mean that lie below it."""
+    cuts = rows.agg(F.percentile("mean", F.array(*[F.lit(e) for e in edges])).alias("cuts"))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("mean")))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("bin", below).drop("cuts")
+
+
+def hvg_cell_ranger(m: Matrix) -> DataFrame:
+    """gene_id, dispersions_norm: dispersion of exp(x) - 1 less the median of its bin of means, by the bin's median
+    absolute deviation (times 1 / 0.6745); bins end at the 10th, 15th ... 100th percentile. Published formula."""
+    values = normalized(m, 1e4).withColumn("value", F.expm1("value"))
+    n = F.col("n")
+    rows = moments(m, values).crossJoin(F.broadcast(m.obs.agg(F.count(F.lit(1)).alias("n"))))
+    mean = F.greatest("mean", F.lit(1e-12))
+    rows = _with_bins(rows.select("gene_id", mean.alias("mean"), (F.col("variance") * n / (n - 1) / mean).alias("d")), [p / 100 for p in range(10, 101, 5)])
+    middle = rows.groupBy("bin").agg(F.median("d").alias("m"))
+    off = rows.join(F.broadcast(middle), "bin").withColumn("off", F.abs(F.col("d") - F.col("m")))
+    mad = off.groupBy("bin").agg((F.median("off") / 0.6744897501960817).alias("mad"))
+    out = off.join(F.broadcast(mad), "bin")
+    return out.select("gene_id", F.coalesce((F.col("d") - F.col("m")) / F.nullif("mad", F.lit(0.0)), F.lit(0.0)).alias("dispersions_norm"))
+
+
+def _smooth(x: np.ndarray, y: np.ndarray, span: float = 0.3, block: int = 256) -> np.ndarray:
+    """Local regression of degree 2 with tricube weights, at each x."""
+    n = len(x)
+    k = min(n, max(3, math.ceil(span * n)))
+    out = np.empty(n)
+    for a in range(0, n, block):
+        d = np.abs(x[a : a + block, None] - x)
+        reach = np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1 : k], 1e-12)
+        w = np.clip(1 - (d / reach) ** 3, 0, None) ** 3
+        off = x - x[a : a + block, None]
+        moments_ = np.stack([(w * off**p).sum(axis=1) for p in range(5)], axis=1)
+        left = moments_[:, np.arange(3)[:, None] + np.arange(3)] + 1e-12 * np.eye(3)
+        right = np.stack([(w * off**p * y).sum(axis=1) for p in range(3)], axis=1)
+        out[a : a + block] = np.linalg.solve(left, right[..., None])[:, 0, 0]
+    return out
+
+
+def _expected(pdf: pd.DataFrame) -> pd.DataFrame:
+    some = (pdf["variance"] > 0).to_numpy()
+    sd = np.zeros(len(pdf))
+    if some.sum() > 3:
+        x, y = np.log10(pdf["mean"].to_numpy()[some]), np.log10(pdf["variance"].to_numpy()[some])
+        sd[some] = np.sqrt(10 ** _smooth(x, y))
+    else:
+        sd[some] = np.sqrt(pdf["variance"].to_numpy()[some])
+    return pdf[["gene_id", "mean"]].assign(sd=sd)
+
+
+def hvg_seurat_v3(m: Matrix) -> DataFrame:
+    """gene_id, variances_norm: variance of counts standardised by what the mean leads to expect (a local regression of
+    log variance on log mean), values clipped at sqrt(cells) deviations. A row for each gene enters the regression."""
+    cells = m.obs.agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    stats = moments(m, m.counts).crossJoin(F.broadcast(cells)).select(F.lit(0).alias("one"), "gene_id", "mean", (F.col("variance") * n / (n - 1)).alias("variance"))
+    fitted = stats.groupBy("one").applyInPandas(_expected, "gene_id string, mean double, sd double")
+    rows = m.counts.join(fitted, "gene_id").crossJoin(F.broadcast(cells))
+    clip = F.least(F.col("value").cast("double"), F.col("mean") + F.col("sd") * F.sqrt(n))
+    sums = rows.groupBy("gene_id").agg(F.sum(clip).alias("s"), F.sum(clip * clip).alias("ss"))
+    out = fitted.join(sums, "gene_id", "left").na.fill(0.0, ["s", "ss"]).crossJoin(F.broadcast(cells))
+    v = (n * F.col("mean") * F.col("mean") + F.col("ss") - 2 * F.col("s") * F.col("mean")) / ((n - 1) * F.col("sd") * F.col("sd"))
+    return out.select("gene_id", F.when(F.col("sd") > 0, v).otherwise(F.lit(0.0)).alias("variances_norm"))
+
+
+def signal_hvg(m: Matrix, signals: DataFrame) -> DataFrame:
+    """gene_id, dispersions_norm of a layer of signals: missing and negative ones as 0, log1p, then the seurat flavour."""
+    layer = signals.select("cell_id", "gene_id", log_signal(F.col("signal")).alias("value")).filter("value <> 0")
+    return _seurat(m, layer.withColumn("value", F.expm1("value")))
+
+
+FLAVOURS = {
+    "seurat": hvg_seurat, "cell_ranger": hvg_cell_ranger, "seurat_v3": hvg_seurat_v3, "seurat_v3_paper": hvg_seurat_v3,
+}
+
+
+def hvg(m: Matrix, flavour: str = "seurat") -> DataFrame:
+    """gene_id, score: highly variable genes by one of FLAVOURS."""
+    if flavour not in FLAVOURS:
+        raise ValueError(f"unknown flavour {flavour!r}")
+    out = FLAVOURS[flavour](m)
+    return out.select("gene_id", F.col(out.columns[1]).alias("score"))
