@@ -61,7 +61,7 @@ def capture(page: int | None, url: str | None, payload: bytes, refers: int | Non
         "request", name("request", page), f"GET {uri} HTTP/1.1\r\n\r\n".encode(), **shared,
         WARC_Concurrent_To=f"<{own}>", Content_Type="application/http;msgtype=request",
     )
-    fields = {"pageId": page, "payloadBytes": len(payload), "refersToPage": refers if revisit else None}
+    fields = {"pageId": page}
     about = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None).encode()
     more = record("metadata", name("metadata", page), about, **shared, WARC_Concurrent_To=f"<{own}>", Content_Type="application/warc-fields")
     return [ask, main, more]
@@ -138,7 +138,7 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 _FIELDS = {
     "record_id": "string", "type": "string", "concurrent_to": "string", "uri": "string", "date": "string",
-    "payload_digest": "string", "refers_to": "string", "payload_bytes": "long", "content": "binary",
+    "payload_digest": "string", "refers_to": "string", "payload_bytes": "long", "payload_sha1": "string", "content": "binary",
 }
 
 
@@ -154,10 +154,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h, body in records(content.as_py()):
                 head, gap, payload = body.partition(b"\r\n\r\n")
                 http = gap and h.get("content-type", "").startswith("application/http")
+                body_of = payload if http else body
                 name = lambda k, h=h: h[k].strip("<>") if k in h else None
                 rows.append((
                     name("warc-record-id"), h.get("warc-type"), name("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"),
-                    h.get("warc-payload-digest"), name("warc-refers-to"), len(payload) if http else len(body), body,
+                    h.get("warc-payload-digest"), name("warc-refers-to"), len(body_of), digest(body_of), body,
                 ))
                 size += len(body) + 300
                 if size >= BATCH_BYTES:
@@ -199,15 +200,30 @@ def field(metadata: str, name: str) -> F.Column:
     return F.when(got != "", got)
 
 
+def with_payloads(captures: DataFrame) -> DataFrame:
+    """transactions() with full_bytes and full_sha1: those of the payload itself, computed from what was read. A revisit
+    has them from the response that it refers to, with that one's row as `original` (null where there is none)."""
+    first = captures.filter(F.col("type") == "response").select(F.col("record_id").alias("r_"), F.struct("payload_bytes", "payload_sha1", "metadata").alias("original"))
+    first = first.dropDuplicates(["r_"])  # repeated rows of a page have one name
+    both = captures.join(first, (F.col("type") == "revisit") & (F.col("refers_to") == F.col("r_")), "left").drop("r_")
+    own = F.col("type") == "response"
+    return both.withColumns({
+        "full_bytes": F.when(own, F.col("payload_bytes")).otherwise(F.col("original.payload_bytes")),
+        "full_sha1": F.when(own, F.col("payload_sha1")).otherwise(F.col("original.payload_sha1")),
+    })
+
+
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as archives, read back and assembled."""
+    """All pages written as archives, read back and assembled. digest_agrees: whether the header's digest is the payload's."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    rows = transactions(Staged(read_warc(spark, path), "records").df)
+    read = Staged(read_warc(spark, path).withColumn("content", F.when(F.col("type") == "metadata", F.col("content"))), "records").df
+    rows = with_payloads(transactions(read))
     return rows.select(
         field("metadata", "pageId").cast("long").alias("page_id"),
-        F.when(F.col("type") == "revisit", field("metadata", "payloadBytes").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.col("full_bytes").alias("payload_bytes"),
+        F.col("full_sha1").alias("payload_digest"),
         F.col("type").alias("record_type"),
-        field("metadata", "refersToPage").cast("long").alias("refers_to"),
+        F.when(F.col("type") == "revisit", field("original.metadata", "pageId")).cast("long").alias("refers_to"),
+        (F.col("payload_digest") == F.concat(F.lit("sha1:"), F.col("full_sha1"))).alias("digest_agrees"),
     )
