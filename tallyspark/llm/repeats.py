@@ -88,17 +88,32 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def later(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which rows have an equal key with a smaller id."""
+def later(keys: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which strings (of `size` bytes at starts, with hashes keys) are equal to one with a smaller id. Strings of equal
+    hashes are compared by their bytes, in runs, as neighbours differ in one byte only."""
     if not len(keys):
         return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((ids, keys))
     k = keys[order]
     begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    least = np.repeat(np.minimum.reduceat(ids[order], begins), np.diff(np.append(begins, len(k))))
-    out = np.empty(len(keys), bool)
-    out[order] = ids[order] > least
-    return out
+    first = np.empty(len(keys), np.int64)
+    first[order] = np.repeat(order[begins], np.diff(np.append(begins, len(k))))
+    old = ids > ids[first]
+    at = np.flatnonzero(old)
+    a, b = starts[at], starts[first[at]]
+    along = np.concatenate([[False], (np.diff(a) == 1) & (np.diff(b) == 1)])[: len(at)]
+    same = data[a + size - 1] == data[b + size - 1]
+    heads = np.flatnonzero(~along)
+    if len(heads):
+        same[heads] = (data[a[heads][:, None] + np.arange(size)] == data[b[heads][:, None] + np.arange(size)]).all(axis=1)
+    if not same.all():  # another string has the same hash: all that look repeated are compared as they are
+        twins = np.flatnonzero(np.isin(keys, keys[at]))
+        least: dict[bytes, int] = {}
+        raw = [data[s : s + size].tobytes() for s in starts[twins].tolist()]
+        for r, i in zip(raw, ids[twins].tolist(), strict=True):
+            least[r] = min(least.get(r, i), i)
+        old[twins] = [least[r] < i for r, i in zip(raw, ids[twins].tolist(), strict=True)]
+    return old
 
 
 def runs(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +208,7 @@ def _passages(least: int, groups: int, path: str, batches: Iterator[pa.RecordBat
         met = np.flatnonzero(abroad | here)
         starts = spread(first[met], count[met])
         of = np.repeat(met, count[met])
-        old = later(hashes.of(starts, least), ids[doc[of]])
+        old = later(hashes.of(starts, least), ids[doc[of]], data, starts, least)
         d, s, n = runs(seq[doc[of[old]]], starts[old] - bounds[doc[of[old]]])
         if len(d):
             yield from _rows([(1, 0, part, _pack(d.astype("<i8"), s.astype("<i8"), n.astype("<i8")))], ("kind", "g", "part", "raw"))
@@ -216,7 +231,8 @@ def _settled(least: int):
         size = count + least - 1
         begins = np.cumsum(size) - size
         of = np.repeat(np.arange(len(ids)), count)
-        old = np.flatnonzero(later(Hashes(data).of(spread(begins, count), least), ids[of]))
+        at = spread(begins, count)
+        old = np.flatnonzero(later(Hashes(data).of(at, least), ids[of], data, at, least))
         where = spread(first, count)[old]
         out = []
         for p, own in _by_group(part[of[old]]):
