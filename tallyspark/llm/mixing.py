@@ -53,11 +53,12 @@ def _tilted(cap: float) -> Column:
     return F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("x"), F.lit(math.log(cap) + 1)))))
 
 
-def solve_duals(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+def solve_duals(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
     """goals with the dual variable lam of each source, by safeguarded Newton steps on log mass.
 
     histogram: sk, size, n. goals: sk, source_size, target. Sources whose target is their cap are saturated (lam null,
-    rate cap); those with no tokens or no target need no step.
+    rate cap); those with no tokens or no target need no step. A step that leaves what is known of a variable's bounds is
+    replaced by a bisection, so the rounds suffice for any source; raises if they do not.
     """
     mean = histogram.groupBy("sk").agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
@@ -87,7 +88,7 @@ def solve_duals(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: f
             duals.df.join(mass, "sk", "left")
             .withColumn("off", off)
             .withColumns({"lo_": lo, "hi_": hi, "newton": newton})
-            .withColumn("done", ~F.col("open") | (F.abs("off") <= tolerance))
+            .withColumn("done", ~F.col("open") | (F.abs("off") <= tolerance) | (F.col("hi_") - F.col("lo_") <= 1e-13 * F.abs("hi_")))
             .select(
                 "sk", "source_size", "target", "mean",
                 F.when(F.col("done"), F.col("lam")).otherwise(step).alias("lam"),
@@ -103,6 +104,8 @@ def solve_duals(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: f
         duals.df = new.df.drop("done")
         if not waiting:
             break
+    else:
+        raise RuntimeError(f"{waiting} sources did not meet their targets within {rounds} rounds")
     full = F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))
     return duals.df.select("sk", "source_size", "target", "mean", F.when(~full, F.col("lam")).alias("lam"))
 
@@ -169,17 +172,19 @@ def words(text: str = "text") -> Column:
 
 def mixed_rows(docs: DataFrame, size: Column | None = None, key: str = "doc_id", **options) -> DataFrame:
     """docs with every row repeated as often as mix() takes it. Keys that occur on several rows share out their copies:
-    each of these rows gets the mean of them, rounded up for as many as needed. Rows without a key are taken once."""
+    each of these rows gets the mean of them, rounded up for as many as needed. Rows without a key are taken once. All
+    columns stay, whatever they are called. An empty table gives an empty result."""
     taken = mix(docs.filter(F.col(key).isNotNull()), words() if size is None else size, key=key, **options)
-    many = taken.groupBy(F.col(key).alias("__key")).agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
+    many = taken.groupBy(F.col(key).alias("k")).agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
     many = Staged(many, "copies").df
     # One row for each document: as large a table as its files are small, so it must not be broadcast.
-    out = docs.join(many.hint("merge"), F.col(key) == F.col("__key"))
-    repeated = many.filter("__rows > 1").limit(1).count() > 0
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))) if repeated else F.lit(1)
-    here = F.floor(F.col("__all") / F.col("__rows")) + F.when(nth <= F.col("__all") % F.col("__rows"), 1).otherwise(0)
-    out = out.withColumn("__n", here.cast("int")).filter("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("key"))
+    out = rows.join(many.hint("merge"), F.col("key") == F.col("k"))
+    repeated = many.filter("rows > 1").limit(1).count() > 0
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0))) if repeated else F.lit(1)
+    here = F.floor(F.col("all") / F.col("rows")) + F.when(nth <= F.col("all") % F.col("rows"), 1).otherwise(0)
+    out = out.withColumn("n", here.cast("int")).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return out.select("row.*").unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op1_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
