@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Staged, let, small, table
+from tallyspark.llm.common import BROADCAST_ROWS, Staged, let, small, table, table_bytes
 
 # The strong kinds and their patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +28,9 @@ ROLES = {"assign": "S", "access": "A", "hex": "S", "ident": "A", "opaque": "S",
 #: Code points between two parts that still belong together.
 REACH = 256
 
+#: Bytes of the table of linked spans up to which it may be broadcast.
+BROADCAST_BYTES = 8 << 20
+
 _BLOCK = 128
 
 
@@ -159,7 +162,9 @@ def _joined(found: DataFrame, linked: DataFrame, key: str) -> DataFrame:
     linked = Staged(linked, "linked").df
     same = F.col(key).eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__k2"))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return found.join(small(linked, linked.count(), 20_000), same, "left").withColumn(
+    # Rows hold all spans of a text, so bytes count as well as rows.
+    few = linked.count() if table_bytes(linked) <= BROADCAST_BYTES else BROADCAST_ROWS + 1
+    return found.join(small(linked, few, 20_000), same, "left").withColumn(
         "__all", F.array_sort(F.concat("__strong", F.coalesce("__linked", none)))
     )
 
@@ -175,11 +180,12 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     Positions count code points. A null text is empty and has no spans. Rows that repeat a key and text get equal
     results; null keys are a key of their own. Every text is scanned once and whole.
     """
-    found = Staged(_with_spans(docs.select(key, text), [key], text).select(key, "__k", "__strong", "__weak"), "spans").df
-    out = _joined(found, _linked(found, key, reach), key)
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = Staged(_with_spans(docs, ["key"], "text").select("key", "__k", "__strong", "__weak"), "spans").df
+    out = _joined(found, _linked(found, "key", reach), "key")
     count = lambda i: F.size(F.filter("__strong", lambda x: x["k"] == i)).cast("long")
     return out.select(
-        key,
+        F.col("key").alias(key),
         *[count(i).alias(f"n_{KINDS[i]}") for i in range(3)],
         F.sha2(_written(F.col("__strong")), 256).alias("base_sha256"),
         _written(F.col("__all")).alias("spans"),
@@ -188,11 +194,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
 
 def redact_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, mark: str = "[SECRET]") -> DataFrame:
     """docs with mark in place of every reported span of text; overlapping spans become one mark. All rows and columns
-    stay, null texts stay null. The rows with spans are found first; texts are not shuffled unless very many documents
-    hold linked parts."""
+    stay, whatever they are called; null texts stay null. The rows with weak candidates are found first; texts are not
+    shuffled unless very many documents hold linked parts."""
+    columns, shown = docs.columns, text
+    docs = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    key, text = "key", "text"
     found = _with_spans(docs.select(key, text), [key], text).select(key, "__k", "__strong", "__weak")
     found = Staged(found.filter(F.size("__weak") > 0), "weak").df
-    columns = docs.columns
     out = _joined(_with_spans(docs, [key], text), _linked(found, key, reach), key)
     none = F.array().cast("array<struct<s:int,e:int>>")
 
@@ -220,7 +228,7 @@ def redact_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rea
         return F.array_join(gaps, mark)
 
     safe = F.when(F.size("__all") == 0, F.col(text)).otherwise(let(merged(F.col("__all")), cut))
-    return out.withColumn(text, safe).select(*columns)
+    return out.select(*[safe.alias(c) if c.lower() == shown.lower() else F.col("row")[c].alias(c) for c in columns])
 
 
 def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
