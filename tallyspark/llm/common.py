@@ -54,18 +54,38 @@ def made_dir(spark: SparkSession, path: str) -> str:
     return store.makeQualified(where).toString()
 
 
+#: Staged tables of this process that have not been dropped yet.
+_STAGED: list[Staged] = []
+
+
+def staged_so_far() -> int:
+    """A mark for drop_staged()."""
+    return len(_STAGED)
+
+
+def drop_staged(since: int = 0, *keep: Staged) -> None:
+    """Drop the tables staged since a mark, but for some. Without a mark all of them, once results are written: results
+    that are still to be computed may read them."""
+    for s in _STAGED[since:]:
+        if s not in keep:
+            s.drop()
+
+
 class Staged:
-    """A table written to the shared folder and read back, which cuts the lineage."""
+    """A table written to the shared folder and read back, which cuts the lineage. It stays there until it is dropped."""
 
     def __init__(self, df: DataFrame, label: str, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _STAGED.append(self)
 
     def drop(self) -> None:
         """Remove the files; only once nothing reads them any more."""
         drop_path(self.spark, self.path)
+        if self in _STAGED:
+            _STAGED.remove(self)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
