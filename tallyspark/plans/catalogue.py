@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import expr as X
+from tallyspark.functions import text as W
+from tallyspark.operators import checks as K
 from tallyspark.operators import curves as C
 from tallyspark.operators import cycle as Y
 from tallyspark.operators import lists as L
@@ -204,7 +206,7 @@ def _(s, d):
 
 @query("obs_filter", RETAIL + "z AS (SELECT 1) SELECT cell_id, label FROM obs WHERE label IN ('BUILDING', 'MACHINERY')")
 def _(s, d):
-    return D.retail(s, d).obs.filter(F.col("label").cast("string").isin("BUILDING", "MACHINERY"))
+    return K.obs_filter(D.retail(s, d).obs, "label", ["BUILDING", " MACHINERY "])
 
 
 @query("cell_total_filter", RETAIL + "z AS (SELECT 1) SELECT cell_id, n AS n_ref FROM ref WHERE n >= 40")
@@ -297,11 +299,7 @@ def _(s, d):
 @query("deg_fdr")
 def _(s, d):
     rows = T.mann_whitney(D.retail(s, d).dense(), "BUILDING", "MACHINERY")
-    # Normal tail by the rational approximation of Abramowitz and Stegun 26.2.17.
-    x = F.greatest("z", F.lit(0.0))
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return rounded(T.benjamini_hochberg(rows.withColumn("p", F.least(2 * F.exp(-x * x / 2) / 2.5066282746310002 * poly, F.lit(1.0)))), "u", "z", "log2_fold_change", "p", "fdr")
+    return rounded(T.benjamini_hochberg(rows.withColumn("p", K.normal_tail(F.col("z")))), "u", "z", "log2_fold_change", "p", "fdr")
 
 
 @query("hvg_seurat")
@@ -470,10 +468,7 @@ def _(s, d):
     SELECT p_partkey, CASE WHEN len(g) = 0 THEN 'ctrl' WHEN len(g) = 1 THEN 'ctrl+' || g[1] ELSE array_to_string(g, '+') END AS condition FROM g""",
 )
 def _(s, d):
-    words = F.filter(F.split(F.lower("p_type"), " "), lambda x: (x != "") & ~x.isin("small", "control", "ctrl"))
-    g = F.array_sort(F.array_distinct(words))
-    text = F.when(F.size(g) == 0, "ctrl").when(F.size(g) == 1, F.concat(F.lit("ctrl+"), F.get(g, F.lit(0)))).otherwise(F.array_join(g, "+"))
-    return D.read(s, d, "part").select("p_partkey", text.alias("condition"))
+    return D.read(s, d, "part").select("p_partkey", W.condition(F.lower("p_type"), ["small", "control", "ctrl"], " ").alias("condition"))
 
 
 @query(
@@ -487,8 +482,7 @@ def _(s, d):
 
 @query("suffix_group", "SELECT c_custkey, try_cast(nullif(regexp_extract(c_name, '#0*(\\d+)$', 1), '') AS BIGINT) AS gem_group FROM customer")
 def _(s, d):
-    got = F.nullif(F.regexp_extract("c_name", r"#0*(\d+)$", 1), F.lit(""))
-    return D.read(s, d, "customer").select("c_custkey", got.try_cast("long").alias("gem_group"))
+    return D.read(s, d, "customer").select("c_custkey", W.suffix_number(F.col("c_name"), "#").alias("gem_group"))
 
 
 @query("annotation_text", "SELECT s_suppkey, 'balance=' || coalesce(printf('%.2f', s_acctbal), 'NA') || ', nation=' || s_nationkey AS text FROM supplier")
@@ -499,8 +493,7 @@ def _(s, d):
 
 @query("alias_check", "SELECT p_type AS alias, count(DISTINCT p_brand)::BIGINT AS genes, count(DISTINCT p_brand) > 1 AS ambiguous FROM part GROUP BY 1")
 def _(s, d):
-    rows = D.read(s, d, "part").groupBy(F.col("p_type").alias("alias")).agg(F.countDistinct("p_brand").alias("genes"))
-    return rows.withColumn("ambiguous", F.col("genes") > 1)
+    return K.alias_ambiguity(D.read(s, d, "part"), "p_type", "p_brand")
 
 
 @query("json_property", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
@@ -512,8 +505,8 @@ def _(s, d):
 def _(s, d):
     lines, parts = D.read(s, d, "lineitem"), D.read(s, d, "part").select("p_partkey", F.col("p_brand").alias("gene_id"))
     part = lambda flag, v: lines.filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("cell_id"), "l_partkey", F.lit(v).alias("v"))
-    both = part("R", 1).union(part("A", 2)).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return both.groupBy("cell_id", "gene_id").agg(F.sum("v").alias("value"))
+    named = lambda rows: rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("cell_id", "gene_id", F.col("v").alias("value"))
+    return K.layer_sum(D.retail(s, d), named(part("R", 1)), named(part("A", 2))).counts
 
 
 # Sampling
@@ -934,8 +927,7 @@ def _(s, d):
 )
 def _(s, d):
     out = M.infer(_rows(s, d), _priors(s, d), _CONFIG, channels=("posterior",))
-    rows = out.select("gene_id", "weight", F.posexplode("posterior").alias("j", "p")).groupBy("gene_id", "j")
-    return rows.agg(r6(F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("prob"))
+    return _exploded(K.aggregate_posterior(out))
 
 
 _PHASE = (
