@@ -57,6 +57,13 @@ def subset_strict(wanted: DataFrame, have: DataFrame, strict: bool = True) -> Da
     return wanted.join(have.select("gene_id"), "gene_id", "left_semi").select("pos", "gene_id")
 
 
+def usable(wanted: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The wanted genes (pos, gene_id) that every one of the tables has (a dataset's genes, a checkpoint's), in their order."""
+    for t in tables:
+        wanted = wanted.join(t.select("gene_id").distinct(), "gene_id", "left_semi")
+    return wanted.select("pos", "gene_id")
+
+
 def intersect(lists: DataFrame, order: str = "first") -> DataFrame:
     """pos, gene_id of the genes in all lists, in the order of the first list or of names."""
     n = lists.agg(F.countDistinct("list_no").alias("n"), F.min("list_no").alias("first"))

@@ -138,7 +138,8 @@ def em_step(rows: DataFrame, priors: DataFrame, config: FitConfig) -> DataFrame:
 
 def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: bool = False, channels: tuple[str, ...] = ()) -> DataFrame:
     """rows (scope, gene_id, k, n_ref, n_mean and others) with signal, posterior_entropy, prior_entropy,
-    mutual_information, map_probability (null for rates), map_support; further channels: posterior, support, prior.
+    mutual_information, map_probability (null for rates), map_support; further channels: posterior, support, prior,
+    scaled_support, map_scaled_support, map_rate (null for probabilities).
 
     Posteriors are computed once for each distinct (scope, gene, k, n_ref) and joined back. raw_exposure takes n_ref as
     it is, as aggregates of several cells do.
@@ -154,7 +155,10 @@ def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: b
 
     met = met.withColumn("s", X.let(post, summary)).withColumn("prior_entropy", X.entropy(F.col("prob")))
     at = F.get("support", F.col("s.i"))
-    extra = {"posterior": F.col("s.posterior"), "support": F.col("support"), "prior": F.col("prob")}
+    extra = {
+        "posterior": F.col("s.posterior"), "support": F.col("support"), "prior": F.col("prob"), "map_scaled_support": at * F.col("scale"),
+        "map_rate": at if rate else F.lit(None).cast("double"), "scaled_support": F.transform("support", lambda x: x * F.col("scale")),
+    }
     out = met.select(
         *keys,
         (at if rate else at * F.col("scale")).alias("signal"),

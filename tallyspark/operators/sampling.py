@@ -91,5 +91,11 @@ def aggregate(counts: DataFrame, reference: DataFrame, chosen: DataFrame, var: D
     )
 
 
+def gene_subset(var: DataFrame, n: int, seed: int) -> DataFrame:
+    """n genes in the order of their draw: pos, gene_id. A top-n, so no full sort; all genes if there are fewer."""
+    drawn = var.select("gene_id").withColumn("__k", draw_key(seed, "gene_id")).orderBy("__k", "gene_id").limit(n)
+    return drawn.select((F.row_number().over(Window.orderBy("__k", "gene_id")) - 1).alias("pos"), "gene_id")
+
+
 def ways(n: int, k: int) -> int:
     return math.comb(n, k)

@@ -12,6 +12,7 @@ from tallyspark.operators import checks as K
 from tallyspark.operators import curves as C
 from tallyspark.operators import lists as L
 from tallyspark.operators import model as M
+from tallyspark.operators import sampling as S
 from tallyspark.operators import stats as T
 from tallyspark.plans import catalogue as Q
 from tallyspark.plans import facades
@@ -214,6 +215,27 @@ def _(s, d):
     return K.confidence_mask(rows, 0.2, 0.4, 5).select("cell_id", "gene_id")
 
 
+@query("gene_slice", RETAIL + "z AS (SELECT 1) SELECT cell_id, label, k AS value FROM dense WHERE gene_id = 'Brand#12'")
+def _(s, d):
+    return D.gene_slice(D.retail(s, d), "Brand#12")
+
+
+@query("usable_genes", RETAIL + Q._WANTED_SQL + " SELECT pos, gene_id FROM w WHERE gene_id IN (SELECT gene_id FROM var) AND gene_id <> 'Brand#11'")
+def _(s, d):
+    m = D.retail(s, d)
+    return L.usable(Q._wanted(s), m.var, m.var.filter("gene_id <> 'Brand#11'"))
+
+
+@query("gene_subset", RETAIL + "z AS (SELECT 1) SELECT row_number() OVER (ORDER BY md5('9|' || gene_id), gene_id) - 1 AS pos, gene_id FROM var QUALIFY pos < 7")
+def _(s, d):
+    return S.gene_subset(D.retail(s, d).var, 7, 9).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("reindexed", RETAIL + Q._WANTED_SQL + " SELECT pos, gene_id, total FROM w LEFT JOIN tot USING (gene_id)")
+def _(s, d):
+    return D.reindexed(T.gene_totals(D.retail(s, d)).select("gene_id", "total"), Q._wanted(s), "gene_id").select("pos", "gene_id", "total")
+
+
 # Posteriors
 
 
@@ -245,6 +267,18 @@ def _(s, d):
     return rounded(_signals(s, d).select("cell_id", "gene_id", "signal", "posterior_entropy"), "signal", "posterior_entropy")
 
 
+@query("signal_moments", _SU + "SELECT gene_id, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(var_pop(v) / greatest(avg(v), 1e-12), 6) AS dispersion FROM (SELECT gene_id, ln(1 + sup * s) AS v FROM obsn JOIN su USING (gene_id, k, n), mean UNION ALL SELECT gene_id, 0 FROM dense JOIN ref USING (cell_id) WHERE n = 0) GROUP BY gene_id")
+def _(s, d):
+    layer = _signals(s, d).select("cell_id", "gene_id", T.log_signal(F.col("signal")).alias("value"))
+    return rounded(T.moments(D.retail(s, d), layer), "mean", "variance", "dispersion")
+
+
+@query("posterior_channels", _SU + "SELECT gene_id, k, n::BIGINT AS n_ref, round(sup, 9) AS map_support, round(sup * s, 6) AS map_scaled_support FROM su, mean")
+def _(s, d):
+    out = M.infer(Q._rows(s, d), Q._priors(s, d), Q._CONFIG, channels=("map_scaled_support", "map_rate", "scaled_support"))
+    return out.filter("map_rate IS NULL AND size(scaled_support) = 16").select("gene_id", "k", "n_ref", F.round("map_support", 9).alias("map_support"), r6("map_scaled_support").alias("map_scaled_support"))
+
+
 @query("distribution_rows", RETAIL + "z AS (SELECT 1) SELECT label, gene_id, count(*)::BIGINT AS n, round(avg(k), 6) AS mean, quantile_cont(k::DOUBLE, 0.5) AS median, round(quantile_cont(k::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(k::DOUBLE, 0.9), 6) AS p90, min(k)::DOUBLE AS min, max(k)::DOUBLE AS max FROM dense WHERE gene_id LIKE 'Brand#1%' GROUP BY ALL")
 def _(s, d):
     rows = D.retail(s, d).dense().filter(F.col("gene_id").startswith("Brand#1"))

@@ -77,6 +77,28 @@ def vectors(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(counts, obs, counts.select("gene_id").distinct())
 
 
+def gene_slice(m: Matrix, gene: str) -> DataFrame:
+    """cell_id, label, value of one gene in all cells; raises on a gene that the matrix lacks."""
+    if not m.var.filter(F.col("gene_id") == gene).limit(1).count():
+        raise KeyError(gene)
+    hits = m.counts.filter(F.col("gene_id") == gene).select("cell_id", "value")
+    return m.obs.select("cell_id", "label").join(hits, "cell_id", "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def reindexed(table: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """The table's rows for names (pos and key), one for each in their order's pos; null where the table has none."""
+    return names.select("pos", key).join(table, key, "left")
+
+
+def read_annotation(spark: SparkSession, path: str, key: str = "gene_id", values: list[str] | None = None) -> DataFrame:
+    """key and text (see annotation_text) of a CSV file with a header; raises on missing columns."""
+    table = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    shown = [c for c in table.columns if c != key] if values is None else values
+    if lost := [c for c in [key, *shown] if c not in table.columns]:
+        raise ValueError(f"no columns {lost} in {path}")
+    return table.select(F.col(key).cast("string").alias(key), annotation_text(table, [key], shown).alias("text"))
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """pos, value of a text file of names: trimmed, blanks dropped, the first of equal names kept, in their order."""
     lines = spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("pos"))
