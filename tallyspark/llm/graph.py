@@ -9,7 +9,7 @@ from tallyspark.llm.common import Staged, drop_staged, small, staged_so_far
 
 
 #: Edges of a node beyond which the node's least neighbour is broadcast to them instead of gathering them.
-CROWD = 4096
+CROWD = 1 << 15
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,9 +17,13 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("n")).agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("many"))
 
 
-def _told(edges: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Edges with the least neighbour m of their u, and _least(). Nodes of very many edges are few."""
-    least = Staged(_least(edges), "least").df
+def _told(edges: DataFrame, crowd: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Edges with the least neighbour m of their u, and _least(). Nodes of very many edges are few; where all edges
+    (`most` of them) are few, there are none."""
+    least = _least(edges)
+    if most <= crowd:
+        return edges.join(least.select("n", "m").hint("merge"), F.col("u") == F.col("n")).select("u", "v", "m"), least
+    least = Staged(least, "least").df
     hot = least.filter(F.col("many") > crowd).select("n", "m")
     n = hot.count()
     plain = least.select("n", "m").hint("merge")
@@ -30,14 +34,14 @@ def _told(edges: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     return some.filter("m IS NOT NULL").union(rest), least
 
 
-def _large_star(edges: DataFrame, crowd: int) -> DataFrame:
+def _large_star(edges: DataFrame, crowd: int, most: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _told(both, crowd)[0].filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _told(both, crowd, 2 * most)[0].filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, crowd: int) -> DataFrame:
+def _small_star(edges: DataFrame, crowd: int, most: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near, least = _told(down, crowd)
+    near, least = _told(down, crowd, most)
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
 
 
@@ -48,10 +52,10 @@ def components(edges: DataFrame, rounds: int = 60, crowd: int = CROWD) -> DataFr
     executor costs one round at most. The edges of a node that has more than `crowd` of them are not gathered in one task.
     """
     now = Staged(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
-    mark = None
+    mark = now.df.count(), None
     for _ in range(rounds):
         before = staged_so_far()
-        then = Staged(_small_star(_large_star(now.df, crowd), crowd).filter("u <> v").distinct(), "edges")
+        then = Staged(_small_star(_large_star(now.df, crowd, mark[0]), crowd, mark[0]).filter("u <> v").distinct(), "edges")
         now.drop()
         drop_staged(before - 1, then)
         now = then

@@ -123,7 +123,7 @@ def test_equal_hashes_of_different_strings(monkeypatch):
         assert repeats.later(keys, ids, data, starts, 6).tolist() == want
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
+@pytest.mark.parametrize("crowd", [32768, 3])
 def test_components_of_crowded_nodes(spark, crowd):
     edges = [(1, k) for k in range(2, 40)] + [(k, k + 1) for k in range(100, 120)] + [(39, 200), (7, 7)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), crowd=crowd).collect()}
