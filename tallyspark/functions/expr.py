@@ -137,8 +137,15 @@ def argmax(p: Column) -> Column:
 
 
 def cumulative(p: Column) -> Column:
-    """Running sums (for short arrays: linear steps of growing slices)."""
-    return F.transform(p, lambda _, i: total(F.slice(p, F.lit(1), i + 1)))
+    """Running sums: within blocks of 32 by growing slices, plus what the blocks before hold."""
+
+    def summed(blocks: Column) -> Column:
+        sums = F.transform(blocks, total)
+        inner = lambda b, off: F.transform(b, lambda _, i: off + total(F.slice(b, F.lit(1), i + 1)))
+        return let(sums, lambda t: F.flatten(F.transform(blocks, lambda b, i: let(total(F.slice(t, F.lit(1), i)), lambda off: inner(b, off)))))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(p) - 1) / 32), F.lit(0)).cast("int"))
+    return let(F.transform(starts, lambda i: F.slice(p, i * 32 + 1, F.lit(32))), summed)
 
 
 def quantile_index(p: Column, q: float) -> Column:

@@ -60,19 +60,33 @@ def combinations(obs: DataFrame, plan_: DataFrame, k: int, seed: int) -> DataFra
     return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).select("label", "sample_id", "cell_id")
 
 
-def unique_combinations(obs: DataFrame, plan_: DataFrame, k: int, seed: int, rounds: int = 20) -> DataFrame:
-    """combinations() without repeats: samples that repeat an earlier one are drawn again with other seeds."""
-    out, todo = None, plan_
+def unique_combinations(obs: DataFrame, plan_: DataFrame, k: int, seed: int, rounds: int = 40) -> DataFrame:
+    """combinations() without repeats. Where a class has few more combinations than samples, all are listed and drawn
+    from; else samples that repeat an earlier one are drawn again with other seeds, and the earliest draws count. Raises
+    if a class has not enough after all rounds."""
+    ways = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(1.0), lambda a, i: a * (F.col("cells") - k + i) / i)
+    few, many = plan_.filter(ways <= 4 * F.col("realized")), plan_.filter(ways > 4 * F.col("realized"))
+    cells = obs.select("label", "cell_id").join(F.broadcast(few.select("label")), "label")
+    listed = cells.select("label", F.array("cell_id").alias("cells"))
+    for _ in range(k - 1):
+        more = cells.select(F.col("label").alias("l_"), F.col("cell_id").alias("c_"))
+        met = listed.join(more, (F.col("label") == F.col("l_")) & (F.col("c_") > F.element_at("cells", -1)))
+        listed = met.select("label", F.concat("cells", F.array("c_")).alias("cells"))
+    out = listed.select("label", "cells", F.struct(F.lit(0).alias("r"), draw_key(seed, "label", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",")).alias("key")).alias("at"))
+    todo = many
     for r in range(rounds):
+        if not todo.limit(1).count():
+            break
         got = combinations(obs, todo, k, seed + 1_000_003 * r)
         sets = got.groupBy("label", "sample_id").agg(F.array_sort(F.collect_list("cell_id")).alias("cells"))
-        out = sets.select("label", "cells").distinct() if out is None else out.union(sets.select("label", "cells")).distinct()
+        sets = sets.select("label", "cells", F.struct(F.lit(r).alias("r"), F.format_string("%010d", "sample_id").alias("key")).alias("at"))
+        out = out.unionByName(sets).groupBy("label", "cells").agg(F.min("at").alias("at"))
         have = out.groupBy("label").agg(F.count(F.lit(1)).alias("have"))
-        short = plan_.join(have, "label").filter("have < realized")
-        if not short.limit(1).count():
-            break
-        todo = plan_.join(short.select("label"), "label", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("cells"))
+        todo = many.join(have, "label", "left").filter("coalesce(have, 0) < realized").select(plan_.columns)
+    else:
+        if todo.limit(1).count():
+            raise RuntimeError(f"not enough distinct samples after {rounds} rounds")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("at"))
     rows = out.withColumn("sample_id", rank).join(F.broadcast(plan_.select("label", "realized")), "label").filter("sample_id <= realized")
     return rows.select("label", "sample_id", F.explode("cells").alias("cell_id"))
 

@@ -1,18 +1,22 @@
 """Rules, texts, checks, checkpoints, facades and the command line."""
 
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import cli
+from tallyspark.functions import expr as X
 from tallyspark.functions import text as W
 from tallyspark.operators import checkpoints as P
 from tallyspark.operators import checks as K
 from tallyspark.operators import curves as C
 from tallyspark.operators import lists as L
+from tallyspark.operators import mixture as G
 from tallyspark.operators import model as M
+from tallyspark.operators import sampling as S
 from tallyspark.operators import stats as T
 from tallyspark.plans import facades
 from tallyspark.sources.matrices import Matrix
@@ -177,3 +181,29 @@ def test_label_without_priors(m):
     assert facades.extract_signals(m, priors, M.FitConfig(points=8), by_label=True).count() == 480
     with pytest.raises(ValueError):
         facades.extract_signals(m, priors, M.FitConfig(points=8), by_label=True, missing="error")
+
+
+def test_unique_samples_of_small_and_large_classes(spark):
+    obs = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(60)], "cell_id long, label string")
+    plan = S.plan(obs.withColumn("n_ref", F.lit(1)), 3, 12, False)
+    got = S.unique_combinations(obs, plan, 3, 4).groupBy("label", "sample_id").agg(F.array_sort(F.collect_list("cell_id")).alias("c")).collect()
+    for label, many in (("a", 10), ("b", 12)):
+        sets = [tuple(r["c"]) for r in got if r["label"] == label]
+        assert len(sets) == len(set(sets)) == many and all(len(set(c)) == 3 for c in sets)
+
+
+def test_slopes_of_masses():
+    edges, mean, sd = np.linspace(0, 1, 12), np.array([0.2, 0.9, 0.5]), np.array([0.05, 0.3, 2.0])
+    m, by_mean, by_sd = G.slopes(edges, mean, sd)
+    h = 1e-5
+    assert by_mean == pytest.approx((G.masses(edges, mean + h, sd) - G.masses(edges, mean - h, sd)) / (2 * h), abs=1e-5)
+    assert by_sd == pytest.approx((G.masses(edges, mean, sd + h) - G.masses(edges, mean, sd - h)) / (2 * h), abs=1e-5)
+    x = np.linspace(-7, 7, 999)
+    assert G._erf(x) == pytest.approx([math.erf(v) for v in x], abs=1e-13)
+
+
+def test_running_sums_of_long_arrays(spark):
+    values = np.random.default_rng(1).random(100)
+    rows = [(values[:n].tolist(),) for n in (1, 31, 32, 33, 64, 100)] + [([],)]
+    got = spark.createDataFrame(rows, "p array<double>").select(X.cumulative(F.col("p")).alias("c")).collect()
+    assert all(r["c"] == pytest.approx(np.cumsum(v[0]).tolist()) for r, v in zip(got, rows, strict=True))
