@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +51,12 @@ class MixtureConfig:
     min_gain: float = 1e-4
     patience: int = 2
     penalty: float = 0.0
+    # Candidates of a round that are refitted before one is chosen; further starts of the final fit; weight below which
+    # a component is tried to be left out, and the error that this may cost.
+    rerank: int = 1
+    starts: int = 0
+    prune_weight: float = 1e-3
+    prune_loss: float = 1e-4
 
 
 def edges_of(support: np.ndarray) -> np.ndarray:
@@ -86,6 +93,26 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (side(p) + side(q)) / 2)
 
 
+def distances_of(p: np.ndarray, q: np.ndarray) -> dict[str, float]:
+    """How far q is from p: Jensen-Shannon divergence, summed absolute difference, cross entropy."""
+    return {"jsd": divergence(p, q), "l1": float(np.abs(p - q).sum()), "cross_entropy": -float((p * np.log(np.maximum(q, 1e-12))).sum())}
+
+
+def check_state(support: np.ndarray, p: np.ndarray, weight: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> None:
+    """Raises on supports that do not increase, probabilities that do not sum to 1, and components whose weights do not,
+    or that lie outside the support or have no width."""
+    if len(support) < 2 or (np.diff(support) <= 0).any():
+        raise ValueError("the support must increase")
+    if (p < 0).any() or abs(p.sum() - 1) > 1e-6:
+        raise ValueError("probabilities must sum to 1")
+    if not len(weight) == len(mean) == len(sd):
+        raise ValueError("weights, means and deviations differ in number")
+    if len(weight) and ((weight < 0).any() or abs(weight.sum() - 1) > 1e-6):
+        raise ValueError("weights must sum to 1")
+    if ((mean < support[0]) | (mean > support[-1])).any() or (sd <= 0).any() or not np.isfinite(sd).all():
+        raise ValueError("components must lie within the support and have a width")
+
+
 def prepared(support: np.ndarray, prob: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Sorted support with points closer than tolerance merged, and normalised probabilities."""
     order = np.argsort(support, kind="stable")
@@ -146,6 +173,32 @@ def refit(edges: np.ndarray, p: np.ndarray, weight: np.ndarray, mean: np.ndarray
     return unpack(best[1])
 
 
+def pruned(edges: np.ndarray, p: np.ndarray, weight: np.ndarray, mean: np.ndarray, sd: np.ndarray, config: MixtureConfig):
+    """The mixture without light components, one at a time from the lightest, as long as the refitted rest loses no more
+    than prune_loss of divergence."""
+    error = divergence(p, weight @ masses(edges, mean, sd))
+    while len(weight) > 1 and weight.min() < config.prune_weight:
+        rest = np.arange(len(weight)) != weight.argmin()
+        w, m, d = refit(edges, p, weight[rest] / weight[rest].sum(), mean[rest], sd[rest], config.refit_iterations, config)
+        if divergence(p, w @ masses(edges, m, d)) > error + config.prune_loss:
+            break
+        weight, mean, sd = w, m, d
+    return weight, mean, sd
+
+
+def restarted(edges: np.ndarray, p: np.ndarray, weight: np.ndarray, mean: np.ndarray, sd: np.ndarray, iterations: int, config: MixtureConfig, seed: int = 3):
+    """The best of refits from the components as they are and from `starts` disturbed ones."""
+    rng, reach = np.random.default_rng(seed), edges[-1] - edges[0]
+    best = refit(edges, p, weight, mean, sd, iterations, config)
+    error = divergence(p, best[0] @ masses(edges, *best[1:]))
+    for _ in range(config.starts):
+        m = np.clip(mean + rng.normal(size=len(mean)) * 0.05 * reach, edges[0], edges[-1])
+        new = refit(edges, p, weight, m, sd * np.exp(rng.normal(size=len(sd)) * 0.3), iterations, config)
+        if (e := divergence(p, new[0] @ masses(edges, *new[1:]))) < error:
+            best, error = new, e
+    return best
+
+
 def selected(errors: list[float], config: MixtureConfig) -> int:
     """The number of components, from 1: the first below the threshold, or by gains or a penalty."""
     for i, e in enumerate(errors, 1):
@@ -184,9 +237,13 @@ def search(support: np.ndarray, prob: np.ndarray, config: MixtureConfig = Mixtur
         i = int(gain.argmax())
         if alpha[i] < config.min_component_mass:
             break
-        parts.append((float(alpha[i]), float(mu[i]), float(sd[i])))
-        w, m, d = (np.array(x) for x in zip(*parts, strict=True))
-        w, m, d = refit(edges, p, w / w.sum(), m, d, max(config.refit_iterations, 100 if len(parts) == 1 else 0), config)
+        tried = []
+        for c in np.argsort(-gain, kind="stable")[: max(1, config.rerank)].tolist():
+            if alpha[c] >= config.min_component_mass:
+                w, m, d = (np.array(x) for x in zip(*parts, (float(alpha[c]), float(mu[c]), float(sd[c])), strict=True))
+                w, m, d = refit(edges, p, w / w.sum(), m, d, max(config.refit_iterations, 100 if not parts else 0), config)
+                tried.append((divergence(p, w @ masses(edges, m, d)), len(tried), w, m, d))
+        _, _, w, m, d = min(tried, key=lambda t: t[:2])
         q = w @ masses(edges, m, d)
         parts = [*zip(w.tolist(), m.tolist(), d.tolist(), strict=True)]
         errors.append(divergence(p, q))
@@ -202,7 +259,11 @@ MIXTURE_SCHEMA = "scope string, gene_id string, k int, error double, components
 
 
 def _mixed(config: MixtureConfig, iterations: int):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield each(pdf)
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in pdf.itertuples():
             support, prob = np.array(r.support, float), np.array(r.prob, float)
@@ -210,7 +271,8 @@ def _mixed(config: MixtureConfig, iterations: int):
             s, p = prepared(support, prob, config.merge_tolerance)
             edges = edges_of(s)
             if len(w) and iterations:
-                w, m, d = refit(edges, p, w, m, d, iterations, config)
+                w, m, d = pruned(edges, p, *restarted(edges, p, w, m, d, iterations, config), config)
+                check_state(s, p, w, m, d)
             order = np.argsort(m, kind="stable")
             error = divergence(p, w @ masses(edges, m, d)) if len(w) else math.nan
             parts = [{"weight": float(w[i]), "mean": float(m[i]), "std": float(d[i])} for i in order]
@@ -222,10 +284,12 @@ def _mixed(config: MixtureConfig, iterations: int):
 
 def mixtures(priors: DataFrame, config: MixtureConfig = MixtureConfig(), fit: bool = False) -> DataFrame:
     """A mixture for each prior (scope, gene_id, support, prob): MIXTURE_SCHEMA. fit: refit the found components for
-    fit_iterations more. Priors are independent, so the work spreads over genes."""
+    fit_iterations more, from several starts, and leave out those that are not needed. Priors are independent, so rows
+    are dealt out evenly and need no groups."""
     ship(priors.sparkSession)
     run = _mixed(config, config.fit_iterations if fit else 0)
-    return priors.select("scope", "gene_id", "support", "prob").groupBy("scope", "gene_id").applyInPandas(run, MIXTURE_SCHEMA)
+    rows = priors.select("scope", "gene_id", "support", "prob")
+    return rows.repartition(priors.sparkSession.sparkContext.defaultParallelism, "scope", "gene_id").mapInPandas(run, MIXTURE_SCHEMA)
 
 
 def peak_indices(values: Column) -> Column:
