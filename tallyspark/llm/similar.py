@@ -27,8 +27,8 @@ from tallyspark.llm.graph import components
 #: Words of a fingerprint, each one segment.
 SEGMENTS = 24
 #: Differing bits of all of them (of 768) up to which texts belong together loosely (at similarity 0.8: 116, give or
-#: take 10).
-FAR = 200
+#: take 10), and up to which sets are compared.
+FAR, NEAR = 200, 165
 #: Bits of a segment that are indexed: so many more than the number of texts has, and the fewest and most.
 SPARE, NARROW, WIDE = 6, 24, 32
 #: Small rows (a key and two hashes) that may be broadcast.
@@ -195,10 +195,11 @@ def _listed(raw: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
 
 
-def rarest(raw: DataFrame, loose: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def rarest(raw: DataFrame, sets: DataFrame, loose: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Pairs a, b of texts of one loose group, but with different roots, that share one of their rarest shingles: of n
     shingles, sorted by how many texts hold them, a text of the required similarity holds one of the first
-    n - ceil(least * n) + 1, and that among its own first ones. Groups of two texts are settled already."""
+    n - ceil(least * n) + 1, and that among its own first ones. Groups of two texts are settled already.
+    Fingerprints that lie more than NEAR apart are left out (at similarity 0.8 one in some million)."""
     rooted = loose.select("node", F.col("root").alias("loose")).join(roots.select(F.col("node").alias("n_"), "root").hint("merge"), F.col("node") == F.col("n_"), "left")
     rooted = Staged(rooted.select("node", "loose", F.coalesce("root", "node").alias("root")), "rooted").df
     split = rooted.groupBy(F.col("loose").alias("l_")).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi")
@@ -212,10 +213,14 @@ def rarest(raw: DataFrame, loose: DataFrame, roots: DataFrame, least: float) ->
     first = Staged(first.select("node", "loose", "root", F.col("x.t").alias("t")), "rarest").df
     parts = first.groupBy("loose", "t", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("loose").alias("l_"), F.col("t").alias("t_"))
     main = parts.agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("l_", "t_", F.col("x.root").alias("main"))
-    mixed = Staged(first.join(main.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).drop("l_", "t_"), "mixed").df
+    word = lambda at: F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long")
+    bits = [F.shiftleft(word(8 * i + 1), 32).bitwiseOR(word(8 * i + 5)).alias(f"w{i}") for i in range(SEGMENTS // 2)]
+    mixed = first.join(main.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).drop("l_", "t_")
+    mixed = Staged(mixed.join(sets.select(F.col("node").alias("n_"), *bits).hint("merge"), F.col("node") == F.col("n_")).drop("n_"), "mixed").df
     # All but a shingle's largest part meet all of it: pairs within the largest one are connected anyway.
-    rest = mixed.filter("root <> main").select(F.col("loose").alias("l_"), F.col("t").alias("t_"), F.col("node").alias("b"), F.col("root").alias("r_"))
-    met = mixed.join(rest.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_")) & (F.col("root") != F.col("r_")))
+    rest = mixed.filter("root <> main").select(F.col("loose").alias("l_"), F.col("t").alias("t_"), F.col("node").alias("b"), F.col("root").alias("r_"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SEGMENTS // 2)])
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(SEGMENTS // 2)), F.lit(0))
+    met = mixed.join(rest.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_")) & (F.col("root") != F.col("r_")) & (apart <= NEAR))
     return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -245,7 +250,7 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int, least: float
     first = _verified(nearest, raw, least)
     roots = Staged(components(first), "roots").df
 
-    second = _verified(rarest(raw, loose, roots, least), raw, least)
+    second = _verified(rarest(raw, sets, loose, roots, least), raw, least)
     roots = components(first.union(second)).withColumnRenamed("node", "of").hint("merge")
     groups = rows.select("id", "d1", "d2", "node").join(roots, F.col("node") == F.col("of"), "left")
     return Staged(groups.select("id", "d1", "d2", F.coalesce("root", "node").alias("group")), "groups").df
