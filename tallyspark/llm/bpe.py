@@ -144,6 +144,10 @@ class Merges:
                     kept = kept[done:]
         yield from self.merged([self.first[b] for b in kept])
 
+    def _symbols(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """The ids of all bytes of words of these sizes, before any merge."""
+        return np.array(self.first, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+
     def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """stream() of each word, end to end, and how many ids each has; words that fit into a window pass through it
         side by side, a rule at a time each."""
@@ -153,7 +157,7 @@ class Merges:
             long = np.fromiter(self.stream([words[i]]), np.int64)
             done.append((np.full(len(long), i), long))
         fit = np.flatnonzero((sizes > 0) & (sizes < self.window))
-        ids = np.array(self.first, np.int64)[np.frombuffer(b"".join([words[i] for i in fit.tolist()]), np.uint8)]
+        ids = self._symbols([words[i] for i in fit.tolist()], sizes[fit])
         of = np.repeat(fit, sizes[fit])
         none = len(self.made)
         while len(ids):

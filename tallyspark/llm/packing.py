@@ -9,6 +9,8 @@ encoded once, and each piece finds its place from its own number.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,72 +22,118 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.llm.bpe import _NUMBER, _SPACE, _SUFFIXES, Encoder, Merges, _classes, _library, _Memory, byte_letters
 from tallyspark.llm.common import Staged, ship, table
 
-#: Words that a worker remembers, their bytes, and bytes of text that are encoded at once.
-REMEMBERED, HELD, BLOCK = 1 << 20, 32 << 20, 1 << 20
-
-
-class WordEncoder:
-    """Encodes texts with a tokenizer whose pre-tokens never hold or cross white space, so that what stands between ASCII
-    white space is encoded by itself: by the library once, then from memory."""
-
-    def __init__(self, content: bytes):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_buffer(content)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.held = 0
-        self.ids, self.at, self.width = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        self.held += sum(map(len, words))
-        coded = [c.ids for c in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        width = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(width) - width])
-        self.width = np.concatenate([self.width, width])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.int64, int(width.sum()))])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and how many each has."""
-        words = [t.split() for t in texts]
-        many = np.fromiter(map(len, words), np.int64, len(words))
-        flat = [w for each in words for w in each]
-        if len(self.number) > REMEMBERED or self.held > HELD:
-            self._forget()
-        fresh = [w for w in set(flat) if w not in self.number]
-        if fresh:
-            self._learn(fresh)
-        row = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        width = self.width[row]
-        ends = np.cumsum(width)
-        ids = self.ids[np.repeat(self.at[row] - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(many)])]
+#: Suffix of the tokens that end a word.
+_END = "</w>"
+
+
+class EndedMerges(Merges):
+    """A merge list in which a word's last byte begins as a token of its own kind."""
+
+    def __init__(self, first: list[int], last: list[int], pairs: list[tuple[int, int, int]], widths: dict[int, int]):
+        super().__init__(first, pairs, widths)
+        self.last = np.array(last, np.int64)
+
+    def _symbols(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        ids = super()._symbols(words, sizes)
+        ids[np.cumsum(sizes) - 1] = self.last[[w[-1] for w in words]]
+        return ids
+
+
+def word_points(points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pre-tokens begin and how many code points they have, in texts laid end to end, whose beginnings are given.
+
+    Does what the pattern `'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+` finds, by comparing neighbours; what is
+    between is dropped.
+    """
+    kind = _classes()[points]
+    start = np.ones(len(points) + 1, bool)
+    start[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    start[begins] = True
+    opens = np.zeros(len(points) + 1, bool)
+    opens[begins], opens[-1] = True, True
+    for i in np.flatnonzero(start[:-1] & (points == 39)).tolist():
+        for suffix in _SUFFIXES:
+            end = i + 1 + len(suffix)
+            if end <= len(points) and not opens[i + 1 : end].any() and all(points[i + 1 + k] == ord(c) for k, c in enumerate(suffix)):
+                start[i + 1 : end], start[end] = False, True
+                break
+    at = np.flatnonzero(start)
+    solid = kind[at[:-1]] != _SPACE
+    return at[:-1][solid], np.diff(at)[solid]
+
+
+class WordEncoder(Encoder):
+    """Encodes texts under a tokenizer that normalises them (NFC, lower case), drops white space and splits into words, the
+    last token of each marked as such. Pre-tokens pass the merges once and are remembered, as in the byte-level encoder."""
+
+    def __init__(self, spec: dict, content: bytes):
+        vocab = spec["model"]["vocab"]
+        letters = byte_letters()
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.size = max([*vocab.values(), *self.special.values()]) + 1
+        pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
+        widths = {i: max(len(token.removesuffix(_END)), 1) for token, i in vocab.items()}
+        self.merges = EndedMerges([vocab[c] for c in letters], [vocab[c + _END] for c in letters], pairs, widths)
+        self.library, self.memory, self.flat = _library(content), _Memory(), self._encoded
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, end to end, and how many each has; the few that are too long for a window by the library."""
+        raw = [w.encode() for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) >= self.merges.window]
+        ids, width = self.merges.encode_flat([b"" if len(w) >= self.merges.window else w for w in raw])
+        if not long:
+            return ids, width
+        others, wide = self.library([words[i] for i in long])
+        ids = np.insert(ids, np.repeat(np.concatenate([[0], np.cumsum(width)])[long], wide), others)
+        width[long] = wide
+        return ids, width
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Letters are made small one by one, whatever stands beside them; so a sigma is never a final one.
+        texts = [unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3").lower() for t in texts]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        whole = "".join(texts)
+        if not whole:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        points, ends = np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.cumsum(sizes)
+        starts, size = word_points(points, (ends - sizes)[sizes > 0])
+        ids, width = self._words(whole, points, starts, size)
+        upto = np.concatenate([[0], np.cumsum(width)])[np.searchsorted(starts, np.concatenate([[0], ends]))]
         return ids, np.diff(upto)
 
+    def _pieces(self, text: str, block: int) -> Iterator[np.ndarray]:
+        """Ids of a text without special tokens, some blocks at a time, cut at spaces, which no pre-token holds."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > block:
+                end = text.rfind(" ", at + 1, at + block)
+                end = end if end > 0 else text.find(" ", at + block)
+                end = end if end > 0 else len(text)
+            yield self._plain([text[at:end]])[0]
+            at = end
+
 
 @lru_cache(2)
 def word_encoder(content: bytes) -> WordEncoder:
     """An encoder for a tokenizer file's content; kept by the worker."""
-    return WordEncoder(content)
+    return WordEncoder(json.loads(content), content)
 
 
-def _runs_of_texts(texts: list[bytes]) -> Iterator[list[bytes]]:
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BLOCK):
-            size += len(texts[stop])
-            stop += 1
-        yield texts[at:stop]
-        at = stop
+def _whole_texts(own: WordEncoder, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The encoder's runs of texts (index of the first, ids, ids of each), those of a text that comes in several joined."""
+    held: list[np.ndarray] = []
+    for at, ids, each, more in own.batches(texts):
+        if more or held:
+            held.append(ids)
+            if more:
+                continue
+            ids, held = np.concatenate(held), []
+            each = np.array([len(ids)])
+        yield at, ids, each
 
 
 def _encoded(content, end: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +145,7 @@ def _encoded(content, end: int, window: int, batches: Iterator[pa.RecordBatch])
     names = ["task", "key", "n", "width", "ids", "full", "rest", "lengths", "counts"]
     lists = pa.list_(pa.int32()), pa.list_(pa.int64())
     for batch in batches:
-        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        at = 0
-        for run in _runs_of_texts(texts):
-            ids, each = own.encode(run)
+        for at, ids, each in _whole_texts(own, batch.column("text").to_pylist()):
             ids, each = np.insert(ids, np.cumsum(each), end), each + 1
             rest = each % window
             full = each // window
@@ -113,11 +158,10 @@ def _encoded(content, end: int, window: int, batches: Iterator[pa.RecordBatch])
             tally[0] = 0
             tally[window] += int(full.sum())
             offsets = np.concatenate([[0], np.cumsum(each) * kind.itemsize]).astype(np.int32)
-            coded = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
-            n = len(run)
+            n = len(each)
+            coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
             columns = [pa.array(np.full(n, task, np.int32)), batch.column("key")[at : at + n], pa.array(each), pa.array(np.full(n, kind.itemsize, np.int32)), coded, pa.array(before), pa.array(nth), pa.nulls(n, lists[0]), pa.nulls(n, lists[1])]
             yield pa.RecordBatch.from_arrays(columns, names)
-            at += n
     some = np.flatnonzero(tally)
     last = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())]
     yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), *last, pa.array([some.tolist()], lists[0]), pa.array([tally[some].tolist()], lists[1])], names)
