@@ -954,17 +954,68 @@ def _(s, d):
     return rounded(Y.cycle_order(Y.phases(D.retail(s, d), list(_SET))).drop("best"), "place")
 
 
+def _shapes(s, d):
+    return M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=48, max_iterations=30))
+
+
 @query("gmm_search")
 def _(s, d):
-    priors = M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=48, max_iterations=30))
-    return rounded(G.mixtures(priors, G.MixtureConfig(max_components=4)).select("gene_id", "k", "error"), "error")
+    return rounded(G.mixtures(_shapes(s, d), G.StageConfig(max_components=4)).select("gene_id", "k", F.col("jsd").alias("error")), "error")
 
 
 @query("gmm_fit")
 def _(s, d):
-    priors = M.fit_priors(_rows(s, d), _scale(s, d), M.FitConfig(points=48, max_iterations=30))
-    out = G.mixtures(priors, G.MixtureConfig(max_components=3), fit=True)
-    return out.select("gene_id", "k", r6("error").alias("error"), F.explode("components").alias("c")).select("gene_id", "k", "error", r6("c.weight").alias("weight"), r6("c.mean").alias("mean"), r6("c.std").alias("std"))
+    out = G.mixtures(_shapes(s, d), G.StageConfig(max_components=3), G.FitConfig(prunings=1))
+    parts = out.select("gene_id", "k", r6("jsd").alias("error"), F.explode("components").alias("c"))
+    return parts.select("gene_id", "k", "error", *[r6(f"c.{c}").alias(c) for c in ("weight", "mean", "std", "left", "right")])
+
+
+@query("gmm_paths")
+def _(s, d):
+    """Errors and residuals by number of components, of a search that takes whole stages, along the scaled axis."""
+    config = G.StageConfig(max_components=4, frontier="full_stage", select="marginal_gain", refit=G.RefitConfig(iterations=10, free=False))
+    out = G.mixtures(_shapes(s, d), config, axis="scaled")
+    paths = F.arrays_zip("jsd_path", "residual_mass", "residual_peak")
+    rows = out.select("gene_id", "k", F.posexplode(paths).alias("n", "x"))
+    return rows.select("gene_id", "k", (F.col("n") + 1).alias("n"), *[r6(f"x.{c}").alias(c) for c in ("jsd_path", "residual_mass", "residual_peak")])
+
+
+_PATHS = """WITH e AS (SELECT l_suppkey, l_linenumber AS n, avg(l_tax) + 0.1::DOUBLE / l_linenumber AS e FROM lineitem GROUP BY l_suppkey, l_linenumber),
+x AS (SELECT l_suppkey, list(round(e, 9) ORDER BY n) AS errors, list(n::INTEGER ORDER BY n) AS targets FROM e GROUP BY l_suppkey)
+"""
+
+
+def _error_paths(s, d):
+    each = D.read(s, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg((F.avg("l_tax") + F.lit(0.1) / F.col("l_linenumber")).alias("e"))
+    path = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("int").alias("n"), F.round("e", 9).alias("e"))))
+    return each.groupBy("l_suppkey").agg(path.alias("x")).select("l_suppkey", F.col("x.e").alias("errors"), F.col("x.n").alias("targets"))
+
+
+@query(
+    "gmm_frontier",
+    _PATHS
+    + """SELECT l_suppkey, targets[list_position(errors, list_min(errors))] AS best_prefix, 1 AS single_step, list_max(targets) AS full_stage FROM x""",
+)
+def _(s, d):
+    x = _error_paths(s, d)
+    return x.select("l_suppkey", *[G.frontier_column(F.lit(0), F.col("targets"), F.col("errors"), strategy).alias(strategy) for strategy in G.STRATEGIES])
+
+
+@query(
+    "gmm_component_count",
+    _PATHS
+    + """, i AS (SELECT l_suppkey, errors, list_position(list_transform(errors, lambda e: e <= 0.05::DOUBLE), true) AS within,
+      list_transform(range(1, len(errors)), lambda j: errors[j] - errors[j + 1]) AS gains FROM x),
+    g AS (SELECT *, list_filter(range(1, len(gains)), lambda j: gains[j] <= 0.004::DOUBLE AND gains[j + 1] <= 0.004::DOUBLE)[1] AS idle,
+      list_transform(range(1, len(errors) + 1), lambda j: errors[j] + 0.01::DOUBLE * j) AS dear FROM i)
+    SELECT l_suppkey, coalesce(nullif(within, 0), list_position(errors, list_min(errors)))::INTEGER AS threshold_first,
+      coalesce(nullif(within, 0), idle, list_position(errors, list_min(errors)))::INTEGER AS marginal_gain,
+      coalesce(nullif(within, 0), list_position(dear, list_min(dear)))::INTEGER AS penalized_error FROM g""",
+)
+def _(s, d):
+    x = _error_paths(s, d)
+    modes = [G.StageConfig(select=m, error_threshold=0.05, min_gain=0.004, patience=2, penalty=0.01) for m in G.SELECTIONS]
+    return x.select("l_suppkey", *[G.count_column(F.col("errors"), c).alias(c.select) for c in modes])
 
 
 @query("stream_scores")

@@ -87,25 +87,12 @@ def test_unique_combinations_are_all_of_them(spark):
     assert len({tuple(r["c"]) for r in got}) == 6
 
 
-def test_mixture_finds_one_peak():
-    x = np.linspace(0, 1, 49)
-    p = G.masses(G.edges_of(x), np.array([0.35]), np.array([0.07]))[0]
-    w, m, s, errors = G.search(x, p)
-    assert len(w) == 1 and errors[-1] < 0.03 and m[0] == pytest.approx(0.35, abs=0.02)
-
-
 def test_plateau_peak(spark):
-    assert G.peaks(np.array([0, 0.3, 0.3, 0.3, 0.1])) == [2]
+    assert G.peaks_of(np.array([0, 0.3, 0.3, 0.3, 0.1]), G.StageConfig()).tolist() == [2]
     c = G.peak_indices(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.3, 0.3, 0.1)]))
     assert spark.range(1).select(c).first()[0] == [2]
 
 
-def test_selection_of_components():
-    c = G.MixtureConfig(select="marginal_gain", min_gain=0.02, patience=2)
-    assert G.selected([0.3, 0.12, 0.11, 0.109], c) == 2
-    assert G.selected([0.10, 0.09, 0.085], G.MixtureConfig(select="penalized_error", penalty=0.01)) in (1, 2)
-
-
 def test_checkpoint_round_trip_and_merge(spark, tmp_path):
     rows = [("global", g, 2.0, [0.1, 0.2], [0.5, 0.5]) for g in ("a", "b")]
     p = spark.createDataFrame(rows, "scope string, gene_id string, scale double, support array<double>, prob array<double>")

@@ -1,7 +1,6 @@
 """Rules, texts, checks, checkpoints, facades and the command line."""
 
 import json
-import math
 
 import numpy as np
 import pytest
@@ -14,7 +13,6 @@ from tallyspark.operators import checkpoints as P
 from tallyspark.operators import checks as K
 from tallyspark.operators import curves as C
 from tallyspark.operators import lists as L
-from tallyspark.operators import mixture as G
 from tallyspark.operators import model as M
 from tallyspark.operators import sampling as S
 from tallyspark.operators import stats as T
@@ -192,35 +190,8 @@ def test_unique_samples_of_small_and_large_classes(spark):
         assert len(sets) == len(set(sets)) == many and all(len(set(c)) == 3 for c in sets)
 
 
-def test_slopes_of_masses():
-    edges, mean, sd = np.linspace(0, 1, 12), np.array([0.2, 0.9, 0.5]), np.array([0.05, 0.3, 2.0])
-    m, by_mean, by_sd = G.slopes(edges, mean, sd)
-    h = 1e-5
-    assert by_mean == pytest.approx((G.masses(edges, mean + h, sd) - G.masses(edges, mean - h, sd)) / (2 * h), abs=1e-5)
-    assert by_sd == pytest.approx((G.masses(edges, mean, sd + h) - G.masses(edges, mean, sd - h)) / (2 * h), abs=1e-5)
-    x = np.linspace(-7, 7, 999)
-    assert G._erf(x) == pytest.approx([math.erf(v) for v in x], abs=1e-13)
-
-
 def test_running_sums_of_long_arrays(spark):
     values = np.random.default_rng(1).random(100)
     rows = [(values[:n].tolist(),) for n in (1, 31, 32, 33, 64, 100)] + [([],)]
     got = spark.createDataFrame(rows, "p array<double>").select(X.cumulative(F.col("p")).alias("c")).collect()
     assert all(r["c"] == pytest.approx(np.cumsum(v[0]).tolist()) for r, v in zip(got, rows, strict=True))
-
-
-def test_mixtures_are_pruned_and_restarted():
-    edges = G.edges_of(np.linspace(0, 1, 60))
-    want = np.array([0.6, 0.4]) @ G.masses(edges, np.array([0.25, 0.7]), np.array([0.06, 0.1]))
-    config = G.MixtureConfig(rerank=3, starts=2)
-    w, m, d, errors = G.search(np.linspace(0, 1, 60), want, config)
-    assert errors[-1] <= 1e-3 and 2 <= len(w) <= 3
-    extra = (np.array([0.5996, 0.3998, 0.0006]), np.array([0.25, 0.7, 0.5]), np.array([0.06, 0.1, 0.02]))
-    assert len(G.pruned(edges, want, *extra, config)[0]) == 2
-    w, m, d = G.restarted(edges, want, np.array([0.5, 0.5]), np.array([0.3, 0.6]), np.array([0.1, 0.1]), 200, config)
-    G.check_state(np.linspace(0, 1, 60), want, w, m, d)
-    assert np.sort(m) == pytest.approx([0.25, 0.7], abs=0.03)
-    assert G.distances_of(want, want) == pytest.approx({"jsd": 0, "l1": 0, "cross_entropy": -float((want * np.log(want)).sum())}, abs=1e-9)
-    for bad in ((w * 2, m, d), (w, m + 5, d), (w, m, d * 0)):
-        with pytest.raises(ValueError):
-            G.check_state(np.linspace(0, 1, 60), want, *bad)
