@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.functions.order import numbered
+
 
 def draw_key(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
@@ -51,13 +53,29 @@ def plan(reference: DataFrame, k: int, n: int, balance: bool) -> DataFrame:
     return rows.select("label", "cells", "target", F.least("target", "ways").alias("realized"))
 
 
+def drawn_ranks(n: Column, k: int, *keys: Column) -> Column:
+    """k different numbers of 1..n, drawn by Floyd's method: the i-th draw is of 1..n-k+i, and where it repeats an earlier
+    one, that bound is taken itself. Draws come from md5 of the keys and i."""
+
+    def draw(i: Column) -> Column:
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in keys], i.cast("string"))), 1, 15), 16, 10).cast("long")
+        return F.pmod(h, n - k + i) + 1
+
+    def step(drawn: Column, i: Column) -> Column:
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, draw(i)), (n - k + i).cast("long")).otherwise(draw(i).cast("long"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast("array<long>"), step)
+
+
 def combinations(obs: DataFrame, plan_: DataFrame, k: int, seed: int) -> DataFrame:
-    """label, sample_id, cell_id: for each sample the k cells of its class first in its own order. The smallest `pool`
-    cells by a class-wide order would bias samples, so each sample orders the class anew; samples are few."""
-    samples = plan_.select("label", F.explode(F.sequence(F.lit(1), F.col("realized").cast("int"))).alias("sample_id"))
-    rows = obs.join(F.broadcast(samples), "label").withColumn("__k", draw_key(seed, "label", "sample_id", "cell_id"))
-    order = Window.partitionBy("label", "sample_id").orderBy("__k", "cell_id")
-    return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).select("label", "sample_id", "cell_id")
+    """label, sample_id, cell_id: for each sample k cells of its class. Each sample draws k ranks, and ranks are joined
+    with the numbered cells of the class, so rows are k for each sample, whatever the class's size."""
+    samples = plan_.select("label", "cells", F.explode(F.sequence(F.lit(1), F.col("realized").cast("int"))).alias("sample_id"))
+    ranks = drawn_ranks(F.col("cells"), k, F.lit(str(seed)), F.col("label"), F.col("sample_id"))
+    chosen = samples.select(F.col("label").alias("l_"), "sample_id", F.explode(ranks).alias("rank"))
+    cells = numbered(obs.select("label", "cell_id"), ["label"], ["cell_id"])
+    met = chosen.join(cells, F.col("l_").eqNullSafe(F.col("label")) & (F.col("rank") == F.col("pos") + 1))
+    return met.select("label", "sample_id", "cell_id")
 
 
 def unique_combinations(obs: DataFrame, plan_: DataFrame, k: int, seed: int, rounds: int = 40) -> DataFrame:

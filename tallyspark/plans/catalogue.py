@@ -554,8 +554,10 @@ def _(s, d):
 
 _COMBOS = _PLAN + (
     "smp AS (SELECT label, unnest(range(1, least(target, ways) + 1)) AS sample_id FROM plan), "
-    "cho AS (SELECT label, sample_id, cell_id FROM obs JOIN smp USING (label) "
-    "QUALIFY row_number() OVER (PARTITION BY label, sample_id ORDER BY md5('11|' || label || '|' || sample_id || '|' || cell_id), cell_id) <= 3), "
+    "num AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY cell_id) AS rank FROM obs), "
+    "drw AS (SELECT label, sample_id, list_reduce([1, 2, 3], lambda acc, i: list_append(acc, CASE WHEN list_contains(acc, 1 + ('0x' || substr(md5('11|' || label || '|' || sample_id || '|' || i), 1, 15))::BIGINT % (cells - 3 + i)) "
+    "THEN cells - 3 + i ELSE 1 + ('0x' || substr(md5('11|' || label || '|' || sample_id || '|' || i), 1, 15))::BIGINT % (cells - 3 + i) END), []::BIGINT[]) AS ranks FROM smp JOIN plan USING (label)), "
+    "cho AS (SELECT label, sample_id, cell_id FROM (SELECT label, sample_id, unnest(ranks) AS rank FROM drw) JOIN num USING (label, rank)), "
     "agg AS (SELECT label, sample_id, gene_id, sum(k)::BIGINT AS k_sum, sum(k) / 3 AS mean, 1 - count_if(k <> 0) / 3 AS zero_fraction FROM cho JOIN dense USING (label, cell_id) GROUP BY ALL), "
     "ex AS (SELECT label, sample_id, sum(n)::BIGINT AS exposure_sum FROM cho JOIN ref USING (label, cell_id) GROUP BY ALL), "
 )
