@@ -7,15 +7,18 @@ with multiplicities; zeros are one such key for each reference count, never rows
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions import expr as X
+from tallyspark.functions.order import cut
 from tallyspark.functions.ship import ship
 from tallyspark.operators.checkpoints import warm_start
 from tallyspark.operators.stats import reference_counts
@@ -39,11 +42,15 @@ class FitConfig:
     adaptive: bool = False
     adaptive_scale: float = 1.5
     adaptive_quantile: float = 0.99
+    #: Observations whose likelihoods are computed at once, and likelihoods (observations x points) that a task keeps; of
+    #: more it computes them anew in each iteration.
+    block: int = 1 << 14
+    kept: int = 1 << 24
 
     def __post_init__(self):
         if self.points < 2 or self.likelihood not in LIKELIHOODS or self.support_from not in ("observed_max", "quantile"):
             raise ValueError("invalid fit configuration")
-        if self.spacing not in ("linear", "sqrt") or self.tolerance <= 0 or self.support_scale <= 0 or self.overdispersion <= 0:
+        if self.spacing not in ("linear", "sqrt") or self.tolerance <= 0 or self.support_scale <= 0 or self.overdispersion <= 0 or self.block < 1:
             raise ValueError("invalid fit configuration")
 
 
@@ -216,24 +223,54 @@ def _likelihoods(config: FitConfig, k: np.ndarray, n: np.ndarray, support: np.nd
     return choose[:, None] + k[:, None] * np.log(p) + (n - k)[:, None] * np.log1p(-p)
 
 
+class _Blocks:
+    """Likelihoods of genes' observations, a block of observations at a time."""
+
+    def __init__(self, config: FitConfig, genes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], supports: list[np.ndarray]):
+        self.config, self.genes, self.supports = config, genes, supports
+        size = sum(len(k) * len(s) for (k, _, _), s in zip(genes, supports, strict=True))
+        self.known = [[*self._made(i)] for i in range(len(genes))] if size <= config.kept else None
+
+    def _made(self, i: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        k, n, w = self.genes[i]
+        for at in range(0, len(k), self.config.block):
+            part = slice(at, at + self.config.block)
+            yield w[part], _likelihoods(self.config, k[part], n[part], self.supports[i])
+
+    def of(self, i: int):
+        """(weights, likelihoods) of the blocks of a gene."""
+        return self._made(i) if self.known is None else self.known[i]
+
+
+def _expected(blocks, prior: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Summed posteriors, log evidence and weight of a gene's observations under a prior."""
+    total, z_sum, w_sum = np.zeros(len(prior)), 0.0, 0.0
+    known = np.log(np.maximum(prior, X.EPS))
+    for w, ll in blocks:
+        joint = ll + known
+        top = joint.max(axis=1)
+        e = np.exp(joint - top[:, None])
+        s = e.sum(axis=1)
+        z = top + np.log(s)
+        if not np.isfinite(z).all():
+            raise ValueError("observation with zero likelihood under every support point")
+        total += (w / s) @ e
+        z_sum, w_sum = z_sum + float(w @ z), w_sum + float(w.sum())
+    return total, z_sum, w_sum
+
+
 def _climb(config: FitConfig, genes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], supports: list[np.ndarray], priors: list[np.ndarray]):
     """EM for a batch of genes, which stop together. genes: k, n, weight of each."""
-    lls = [_likelihoods(config, k, n, s) for (k, n, _), s in zip(genes, supports, strict=True)]
+    blocks = _Blocks(config, genes, supports)
     history: list[float] = []
     for _ in range(10_000 if config.max_iterations is None else config.max_iterations):
         moved, z_sum, w_sum, new = 0.0, 0.0, 0.0, []
-        for (_, _, w), ll, prior in zip(genes, lls, priors, strict=True):
-            joint = ll + np.log(np.maximum(prior, X.EPS))
-            top = joint.max(axis=1)
-            e = np.exp(joint - top[:, None])
-            s = e.sum(axis=1)
-            z = top + np.log(s)
-            if not np.isfinite(z).all():
-                raise ValueError("observation with zero likelihood under every support point")
-            p = np.maximum((w / s) @ e, X.EPS)
+        for i, prior in enumerate(priors):
+            total, z, w = _expected(blocks.of(i), prior)
+            p = np.maximum(total, X.EPS)
             p /= p.sum()
             moved = max(moved, float(np.abs(p - prior).max()))
-            z_sum, w_sum = z_sum + float(w @ z), w_sum + float(w.sum())
+            z_sum, w_sum = z_sum + z, w_sum + w
             new.append(p)
         priors = new
         history.append(-z_sum / w_sum)
@@ -310,6 +347,59 @@ def fit_priors(rows: DataFrame, scale: Column, config: FitConfig = FitConfig(),
     return met.groupBy("scope", "b").applyInPandas(_fitted(config), FIT_SCHEMA)
 
 
+def _partial(config: FitConfig):
+    """Summed posteriors of a part's observations (k, n, weight) under its prior, with log evidence and weight."""
+
+    def sums(rows: pa.Table, prior: pa.Table) -> pa.Table:
+        k, n, w = (rows.column(c).to_numpy() for c in ("k", "n", "weight"))
+        support, p = (np.array(prior.column(c)[0].as_py(), float) for c in ("support", "prob"))
+        if len(k):
+            total, z, weight = _expected(_Blocks(replace(config, kept=0), [(k, n, w)], [support]).of(0), p)
+        else:
+            total, z, weight = np.zeros(len(p)), 0.0, 0.0
+        return pa.table({"scope": prior.column("s_"), "gene_id": prior.column("g_"), "u": [total.tolist()], "z": [z], "w": [weight]})
+
+    return sums
+
+
+def fit_large(rows: DataFrame, scale: Column, config: FitConfig = FitConfig(), part: int = 1 << 18) -> DataFrame:
+    """fit_priors() of genes whose observations are too many for one task, each gene stopping by itself: FIT_SCHEMA.
+
+    Observations are dealt by hash into parts of about `part`; in each iteration every part sums its posteriors, a block
+    at a time, and the parts' sums are added up point by point. What is held at once are a block's likelihoods; priors, a
+    row for each gene, go to the checkpoint folder after each iteration, so a lost executor costs tasks. Supports that
+    adapt are left to fit_priors().
+    """
+    if config.adaptive:
+        raise ValueError("large fits do not adapt supports")
+    ship(rows.sparkSession)
+    priors = cut(initial_priors(support_tops(rows, scale, config), config))
+    sizes = cut(rows.groupBy("scope", "gene_id").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")))
+    n = (F.col("n_ref") / F.col("n_mean") * scale).alias("n")
+    dealt = rows.join(sizes, ["scope", "gene_id"]).withColumn("part", F.pmod(F.xxhash64("k", "n_ref", "weight"), F.col("parts")))
+    dealt = cut(dealt.select("scope", "gene_id", "part", F.col("k").cast("double").alias("k"), n, F.col("weight").cast("double").alias("weight")))
+    done, t = None, 0
+    most = 10_000 if config.max_iterations is None else config.max_iterations
+    priors = priors.withColumns({"final_objective": F.lit(None).cast("double"), "n_iter": F.lit(0)})
+    while t < most and priors.limit(1).count():
+        t += 1
+        told = priors.select("scope", "gene_id", "support", "prob").join(sizes, ["scope", "gene_id"])
+        told = told.select(F.col("scope").alias("s_"), F.col("gene_id").alias("g_"), "support", "prob", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p_"))
+        open_ = dealt.join(priors.select("scope", "gene_id"), ["scope", "gene_id"], "left_semi")
+        sums = open_.groupBy("scope", "gene_id", "part").cogroup(told.groupBy("s_", "g_", "p_")).applyInArrow(_partial(config), "scope string, gene_id string, u array<double>, z double, w double")
+        each = sums.select("scope", "gene_id", "z", "w", F.posexplode("u").alias("j", "u"))
+        points = each.groupBy("scope", "gene_id", "j").agg(F.sum("u").alias("u"), F.sum("z").alias("z"), F.sum("w").alias("w"))
+        new = points.groupBy("scope", "gene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "u"))), lambda x: x["u"]).alias("u"), (-F.max("z") / F.max("w")).alias("objective"))
+        now = priors.drop("final_objective", "n_iter").withColumnRenamed("prob", "old").join(new, ["scope", "gene_id"]).withColumn("prob", X.normalised(F.col("u")))
+        moved = F.array_max(F.zip_with("prob", "old", lambda a, b: F.abs(a - b)))
+        now = cut(now.select("scope", "gene_id", "scale", "support", "prob", F.col("objective").alias("final_objective"), F.lit(t).alias("n_iter"), (moved < config.tolerance).alias("settled")))
+        still = now.filter("NOT settled") if t < most else now.limit(0)
+        ready = (now.filter("settled") if t < most else now).drop("settled")
+        done = ready if done is None else done.unionByName(ready)
+        priors = still.drop("settled")
+    return (priors if done is None else done).withColumn("rounds", F.lit(0))
+
+
 def scale_of(m: Matrix) -> float:
     """The default scale: the mean of positive reference counts."""
     return float(reference_counts(m).filter("n_ref > 0").agg(F.avg("n_ref")).first()[0])

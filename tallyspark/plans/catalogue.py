@@ -757,6 +757,13 @@ def _(s, d):
     return _exploded(M.em_step(rows, M.em_step(rows, _priors(s, d), _CONFIG), _CONFIG))
 
 
+@query("em_in_parts", _EM2 + " SELECT gene_id, j::INT AS j, round(q, 6) AS prob FROM p2")
+def _(s, d):
+    """Two iterations over parts of a few hundred observations, in blocks of 64."""
+    config = M.FitConfig(points=16, max_iterations=2, tolerance=1e-12, block=64)
+    return _exploded(M.fit_large(_rows(s, d), F.col("n_mean"), config, part=300))
+
+
 def _step(s, d) -> DataFrame:
     return M.em_step(_rows(s, d), _priors(s, d), _CONFIG)
 

@@ -51,7 +51,7 @@ def _(s, d):
     body = numbered_lines(s, f"{path}/dense")
     names = body.select("pos", F.split("value", ",").alias("f"))
     body.repartitionByRange("pos").sortWithinPartitions("pos").select(F.expr("substring(value, instr(value, ',') + 1)")).write.text(f"{path}/expression")
-    cells = names.filter("pos > 0").select((F.col("pos") - 1).alias("cell_index"), F.col("f")[0].cast("long").alias("cell_id"))
+    cells = names.filter("pos > 0").select((F.col("pos") - 1).alias("cell_index"), F.col("f")[0].try_cast("long").alias("cell_id"))
     cells.join(m.obs, "cell_id").select("cell_index", F.col("label").alias("identity")).write.option("header", True).csv(f"{path}/cells")
     genes = names.filter("pos = 0").select(F.posexplode(F.slice("f", F.lit(2), F.size("f"))).alias("gene_index", "Name"))
     genes.select("gene_index", F.substring("Name", 1, 7).alias("chr"), F.col("Name").alias("Geneid"), "Name").write.option("header", True).csv(f"{path}/genes")

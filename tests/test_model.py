@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,34 @@ def test_checkpoint_round_trip_and_merge(spark, tmp_path):
         C.merge_checkpoints([p, p])
     with pytest.raises(ValueError, match="differ"):
         C.merge_checkpoints([p.filter("gene_id = 'a'"), p.filter("gene_id = 'b'").withColumn("scale", F.lit(3.0))])
+
+
+@pytest.mark.parametrize("likelihood", ["binomial", "negative_binomial", "poisson"])
+def test_blocks_and_parts_give_the_same_priors(spark, likelihood):
+    rng = np.random.default_rng(4)
+    m = matrix(spark, rng.poisson(3, (40, 3)).tolist())
+    rows = M.compressed(m).cache()
+    config = M.FitConfig(points=24, max_iterations=3, likelihood=likelihood)
+    key = lambda df: {r["gene_id"]: (r["n_iter"], r["final_objective"], r["prob"]) for r in df.collect()}
+    want = key(M.fit_priors(rows, F.col("n_mean"), config))
+    for got in (
+        key(M.fit_priors(rows, F.col("n_mean"), replace(config, block=7))),
+        key(M.fit_priors(rows, F.col("n_mean"), replace(config, block=7, kept=0))),
+        key(M.fit_large(rows, F.col("n_mean"), replace(config, block=7), part=10)),
+    ):
+        assert got.keys() == want.keys()
+        for gene, (n, objective, prob) in got.items():
+            assert n == want[gene][0] and objective == pytest.approx(want[gene][1], abs=1e-9) and prob == pytest.approx(want[gene][2], abs=1e-9)
+
+
+def test_large_fits_of_several_scopes_and_of_nothing(spark):
+    rng = np.random.default_rng(5)
+    m = matrix(spark, rng.poisson(2, (30, 2)).tolist())
+    rows = M.compressed(m, True)
+    config = M.FitConfig(points=12, max_iterations=200, tolerance=0.02)
+    key = lambda df: {(r["scope"], r["gene_id"]): (r["n_iter"], r["prob"]) for r in df.collect()}
+    want, got = key(M.fit_priors(rows, F.col("n_mean"), config)), key(M.fit_large(rows, F.col("n_mean"), config, part=5))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    assert M.fit_large(rows.limit(0), F.col("n_mean"), config).count() == 0
+    with pytest.raises(ValueError, match="adapt"):
+        M.fit_large(rows, F.col("n_mean"), replace(config, adaptive=True))
