@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import expr as X
+from tallyspark.functions.order import cut
 from tallyspark.functions.text import display_source
 from tallyspark.operators.checkpoints import check_same_genes
 
@@ -41,6 +42,7 @@ def display_cutoff(priors: DataFrame, q: float, axis: str = "scaled") -> DataFra
 def label_similarity(priors: DataFrame, metric: str = "jsd", most: int = 50) -> DataFrame:
     """label_a, label_b, value: mean JSD or overlap over the first `most` genes (by name) that all labels have, with
     the two supports laid over each other (points that one lacks have probability 0 there)."""
+    priors = cut(priors)  # they are read four times
     scopes = priors.select("scope").distinct().count()
     if scopes < 2:
         raise ValueError("at least two labels are needed")

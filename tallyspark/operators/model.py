@@ -143,17 +143,14 @@ def em_step(rows: DataFrame, priors: DataFrame, config: FitConfig) -> DataFrame:
     return priors.drop("prob").join(new, ["scope", "gene_id"]).select("scope", "gene_id", "scale", "support", X.normalised(F.col("w")).alias("prob"))
 
 
-def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: bool = False, channels: tuple[str, ...] = ()) -> DataFrame:
-    """rows (scope, gene_id, k, n_ref, n_mean and others) with signal, posterior_entropy, prior_entropy,
-    mutual_information, map_probability (null for rates), map_support; further channels: posterior, support, prior,
-    scaled_support, map_scaled_support, map_rate (null for probabilities).
+#: What a posterior is told by, whatever the channels.
+SUMMARY = ("signal", "posterior_entropy", "prior_entropy", "mutual_information", "map_probability", "map_support")
 
-    Posteriors are computed once for each distinct (scope, gene, k, n_ref) and joined back. raw_exposure takes n_ref as
-    it is, as aggregates of several cells do.
-    """
-    keys = ["scope", "gene_id", "k", "n_ref"] if raw_exposure else ["scope", "gene_id", "k", "n_ref", "n_mean"]
+
+def summarised(keys: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: bool = False, channels: tuple[str, ...] = ()) -> DataFrame:
+    """keys (scope, gene_id, k, n_ref, n_mean unless raw_exposure) with the posterior's SUMMARY and channels."""
     n = F.col("n_ref").cast("double") if raw_exposure else F.col("n_ref") / F.col("n_mean") * F.col("scale")
-    met = rows.select(*keys).distinct().join(priors, ["scope", "gene_id"])
+    met = keys.join(priors, ["scope", "gene_id"])
     post = X.posterior(log_likelihood(config, F.col("k").cast("double"), n, F.col("support")), F.col("prob"))
     rate = config.likelihood == "poisson"
 
@@ -166,8 +163,8 @@ def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: b
         "posterior": F.col("s.posterior"), "support": F.col("support"), "prior": F.col("prob"), "map_scaled_support": at * F.col("scale"),
         "map_rate": at if rate else F.lit(None).cast("double"), "scaled_support": F.transform("support", lambda x: x * F.col("scale")),
     }
-    out = met.select(
-        *keys,
+    return met.select(
+        *keys.columns,
         (at if rate else at * F.col("scale")).alias("signal"),
         F.col("s.h").alias("posterior_entropy"),
         "prior_entropy",
@@ -176,7 +173,69 @@ def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: b
         at.alias("map_support"),
         *[extra[c].alias(c) for c in channels],
     )
-    return rows.join(out, keys)
+
+
+def infer(rows: DataFrame, priors: DataFrame, config: FitConfig, raw_exposure: bool = False, channels: tuple[str, ...] = ()) -> DataFrame:
+    """rows (scope, gene_id, k, n_ref, n_mean and others) with signal, posterior_entropy, prior_entropy,
+    mutual_information, map_probability (null for rates), map_support; further channels: posterior, support, prior,
+    scaled_support, map_scaled_support, map_rate (null for probabilities).
+
+    Posteriors are computed once for each distinct (scope, gene, k, n_ref) and joined back. raw_exposure takes n_ref as
+    it is, as aggregates of several cells do. For the cells of a matrix see signals(), which makes no rows of zeros.
+    """
+    keys = ["scope", "gene_id", "k", "n_ref"] if raw_exposure else ["scope", "gene_id", "k", "n_ref", "n_mean"]
+    return rows.join(summarised(rows.select(*keys).distinct(), priors, config, raw_exposure, channels), keys)
+
+
+@dataclass(frozen=True)
+class Signals:
+    """Posteriors of a matrix, factored: rows of non-zero counts (cell_id, gene_id, k and values), and what a count of zero
+    comes to (scope, gene_id, n_ref, n_mean and values), a row for each gene and reference count, whatever the cells.
+
+    cells: cell_id, label, scope, n_ref, n_mean of the cells of positive reference. genes: the matrix's gene_id.
+    """
+
+    hits: DataFrame
+    zeros: DataFrame
+    cells: DataFrame
+    genes: DataFrame
+    values: tuple[str, ...]
+
+    def expanded(self, most: int = 1024) -> DataFrame:
+        """cell_id, scope, gene_id, k, n_ref, n_mean and values of all cells and genes with a prior. Zeros are laid out for
+        each reference count once, in chunks of about `most` genes; cells meet them there, and their own rows go in
+        between, so that what is shuffled is sparse and the full grid is written where it is made."""
+        n = self.genes.agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks"))
+        chunk = F.pmod(F.xxhash64("gene_id"), F.greatest(F.col("chunks"), F.lit(1)))
+        fields = F.struct("gene_id", "k", *self.values)
+        hits = self.hits.crossJoin(F.broadcast(n)).groupBy("cell_id", chunk.alias("chunk")).agg(F.collect_list(fields).alias("own"))
+        zeros = self.zeros.withColumn("k", F.lit(0).cast(dict(self.hits.dtypes)["k"])).crossJoin(F.broadcast(n))
+        zeros = zeros.groupBy("scope", "n_ref", chunk.alias("chunk")).agg(F.collect_list(fields).alias("none"))
+        cells = self.cells.crossJoin(F.broadcast(n)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("chunks"), F.lit(1)) - 1)))
+        met = cells.join(hits, ["cell_id", "chunk"], "left").join(zeros, ["scope", "n_ref", "chunk"])
+        taken = F.transform("own", lambda x: x["gene_id"])
+        rest = F.when(F.col("own").isNull(), F.col("none")).otherwise(F.concat("own", F.filter("none", lambda z: ~F.array_contains(taken, z["gene_id"]))))
+        rows = met.select("cell_id", "scope", "n_ref", "n_mean", F.explode(rest).alias("x"))
+        return rows.select("cell_id", "scope", "x.gene_id", "x.k", "n_ref", "n_mean", *[f"x.{c}" for c in self.values])
+
+
+def signals(m: Matrix, priors: DataFrame, config: FitConfig, reference: DataFrame | None = None, by_label: bool = False, channels: tuple[str, ...] = (), cells: DataFrame | None = None) -> Signals:
+    """Posteriors of all cells of positive reference and of all genes with a prior, see Signals and infer(). cells: the
+    cells with their scope and n_mean, where scopes are not the labels or one for all."""
+    if cells is None:
+        ref = reference_counts(m) if reference is None else reference
+        scope = F.concat(F.lit("label:"), F.coalesce(F.col("label").cast("string"), F.lit("nan"))) if by_label else F.lit("global")
+        ref = ref.withColumn("scope", scope).filter("n_ref > 0")
+        cells = ref.join(F.broadcast(ref.groupBy("scope").agg(F.avg("n_ref").alias("n_mean"))), "scope")  # a row for each scope
+    cells = cells.select("cell_id", "label", "scope", "n_ref", "n_mean")
+    keys = ["scope", "gene_id", "k", "n_ref", "n_mean"]
+    values = (*SUMMARY, *channels)
+    seen = m.counts.filter("value <> 0").select("cell_id", "gene_id", F.col("value").alias("k")).join(cells.drop("label"), "cell_id")
+    hits = seen.join(summarised(seen.select(*keys).distinct(), priors, config, channels=channels), keys)
+    kind = dict(m.counts.dtypes)["value"]
+    each = cells.select("scope", "n_ref", "n_mean").distinct().join(priors.select("scope", "gene_id"), "scope")
+    zeros = summarised(each.select("scope", "gene_id", F.lit(0).cast(kind).alias("k"), "n_ref", "n_mean"), priors, config, channels=channels).drop("k")
+    return Signals(hits.select("cell_id", "gene_id", "k", *values), zeros, cells, m.var.select("gene_id"), values)
 
 
 def gene_nll(rows: DataFrame, priors: DataFrame, config: FitConfig) -> DataFrame:

@@ -18,6 +18,7 @@ from tallyspark.operators import model as M
 from tallyspark.operators import sampling as S
 from tallyspark.operators import stats as T
 from tallyspark.sources import matrices as D
+from tallyspark.sources.context import SHARED
 from tallyspark.streaming.scoring import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -598,11 +599,16 @@ def _(s, d):
 
 
 def _rows(s, d) -> DataFrame:
-    return M.compressed(D.retail(s, d))
+    return SHARED.held(s, ("compressed", d), lambda: M.compressed(D.retail(s, d)))
+
+
+def _label_rows(s, d) -> DataFrame:
+    return SHARED.held(s, ("compressed by label", d), lambda: M.compressed(D.retail(s, d), by_label=True))
 
 
 def _scale(s, d) -> F.Column:
-    return F.lit(M.scale_of(D.retail(s, d)))
+    """The mean of positive references, which compressed observations carry along."""
+    return F.col("n_mean")
 
 
 def _priors(s, d, config: M.FitConfig = _CONFIG) -> DataFrame:
@@ -652,8 +658,7 @@ _SUMMARY = (
     round(sup, 6) AS map_probability FROM obsn JOIN su USING (gene_id, k, n), mean""",
 )
 def _(s, d):
-    rows = M.observations(D.retail(s, d)).filter("n_ref > 0")
-    out = M.infer(rows, _priors(s, d), _CONFIG)
+    out = M.signals(D.retail(s, d), _priors(s, d), _CONFIG).expanded()
     return rounded(
         out.select("cell_id", "gene_id", "signal", "posterior_entropy", "prior_entropy", "mutual_information", "map_probability"),
         "signal", "posterior_entropy", "prior_entropy", "mutual_information", "map_probability",
@@ -711,7 +716,7 @@ def _(s, d):
     SELECT 'label:' || label AS scope, gene_id, k, n::BIGINT AS n_ref, round(-sum(pp * ln(greatest(pp, 1e-12))), 6) AS posterior_entropy FROM z3 GROUP BY ALL""",
 )
 def _(s, d):
-    rows = M.compressed(D.retail(s, d), by_label=True)
+    rows = _label_rows(s, d)
     priors = M.initial_priors(M.support_tops(rows, F.col("n_mean"), _CONFIG), _CONFIG)
     return M.infer(rows, priors, _CONFIG).select("scope", "gene_id", "k", "n_ref", r6("posterior_entropy").alias("posterior_entropy"))
 
@@ -800,7 +805,7 @@ def _(s, d):
 
 @query("fit_by_label")
 def _(s, d):
-    out = M.fit_priors(M.compressed(D.retail(s, d), True), F.col("n_mean"), M.FitConfig(points=32, max_iterations=20))
+    out = M.fit_priors(_label_rows(s, d), F.col("n_mean"), M.FitConfig(points=32, max_iterations=20))
     return out.select("scope", "gene_id", "n_iter", r6("final_objective").alias("final_objective"))
 
 
@@ -848,7 +853,7 @@ _LABELS = (
 
 
 def _label_priors(s, d) -> DataFrame:
-    rows = M.compressed(D.retail(s, d), by_label=True)
+    rows = _label_rows(s, d)
     return M.em_step(rows, M.initial_priors(M.support_tops(rows, F.col("n_mean"), _CONFIG), _CONFIG), _CONFIG)
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources.context import SHARED
+
 
 @dataclass(frozen=True)
 class Matrix:
@@ -37,12 +39,13 @@ def retail(spark: SparkSession, sf_dir: str) -> Matrix:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    counts = (
+    made = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("o_custkey").alias("cell_id"), F.col("p_brand").alias("gene_id"))
         .agg(F.count(F.lit(1)).alias("value"))
     )
+    counts = SHARED.held(spark, ("retail", sf_dir), lambda: made)
     obs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("label"))
     return Matrix(counts, obs, parts.select(F.col("p_brand").alias("gene_id")).distinct())
 
