@@ -294,16 +294,29 @@ _MW = (
 
 @query("deg_mannwhitney", _MW)
 def _(s, d):
-    return rounded(T.mann_whitney(D.retail(s, d).dense(), "BUILDING", "MACHINERY"), "u", "z", "log2_fold_change")
+    return rounded(T.mann_whitney_sparse(D.retail(s, d), "BUILDING", "MACHINERY"), "u", "z", "log2_fold_change")
 
 
 @query("deg_fdr")
 def _(s, d):
-    rows = T.mann_whitney(D.retail(s, d).dense(), "BUILDING", "MACHINERY")
+    rows = T.mann_whitney_sparse(D.retail(s, d), "BUILDING", "MACHINERY")
     return rounded(T.benjamini_hochberg(rows.withColumn("p", K.normal_tail(F.col("z")))), "u", "z", "log2_fold_change", "p", "fdr")
 
 
-@query("hvg_seurat")
+def seurat_sql(values: str) -> str:
+    """SQL of the seurat flavour over values v (a row for each cell of a gene), as CTEs up to hv(gene_id, score)."""
+    return f"""sg AS (SELECT gene_id, ln(1 + avg(v)) AS x, ln(greatest(var_samp(v) / greatest(avg(v), 1e-12), 1e-12)) AS d FROM {values} GROUP BY gene_id),
+    sb AS (SELECT *, least(coalesce(floor((x - min(x) OVER ()) / nullif((max(x) OVER () - min(x) OVER ()) / 20, 0)), 0), 19) AS bin FROM sg),
+    hv AS (SELECT gene_id, coalesce((d - avg(d) OVER b) / nullif(stddev_samp(d) OVER b, 0), 1) AS score FROM sb WINDOW b AS (PARTITION BY bin))"""
+
+
+@query(
+    "hvg_seurat",
+    RETAIL
+    + "n4 AS (SELECT d.gene_id, exp(ln(1 + d.k / greatest(n, 1.0::DOUBLE) * 1e4)) - 1 AS v FROM dense d JOIN ref USING (cell_id)), "
+    + seurat_sql("n4")
+    + " SELECT gene_id, round(score, 6) AS dispersions_norm FROM hv",
+)
 def _(s, d):
     return rounded(T.hvg_seurat(D.retail(s, d)), "dispersions_norm")
 
@@ -553,15 +566,31 @@ def _(s, d):
     return S.plan(T.reference_counts(D.retail(s, d)), 3, 5, True)
 
 
-_COMBOS = _PLAN + (
-    "smp AS (SELECT label, unnest(range(1, least(target, ways) + 1)) AS sample_id FROM plan), "
-    "num AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY cell_id) AS rank FROM obs), "
-    "drw AS (SELECT label, sample_id, list_reduce([1, 2, 3], lambda acc, i: list_append(acc, CASE WHEN list_contains(acc, 1 + ('0x' || substr(md5('11|' || label || '|' || sample_id || '|' || i), 1, 15))::BIGINT % (cells - 3 + i)) "
-    "THEN cells - 3 + i ELSE 1 + ('0x' || substr(md5('11|' || label || '|' || sample_id || '|' || i), 1, 15))::BIGINT % (cells - 3 + i) END), []::BIGINT[]) AS ranks FROM smp JOIN plan USING (label)), "
-    "cho AS (SELECT label, sample_id, cell_id FROM (SELECT label, sample_id, unnest(ranks) AS rank FROM drw) JOIN num USING (label, rank)), "
-    "agg AS (SELECT label, sample_id, gene_id, sum(k)::BIGINT AS k_sum, sum(k) / 3 AS mean, 1 - count_if(k <> 0) / 3 AS zero_fraction FROM cho JOIN dense USING (label, cell_id) GROUP BY ALL), "
-    "ex AS (SELECT label, sample_id, sum(n)::BIGINT AS exposure_sum FROM cho JOIN ref USING (label, cell_id) GROUP BY ALL), "
-)
+def combos_sql(k: int = 3, seed: int = 11, exposure: str = "n") -> str:
+    """SQL of the samples of k cells, by Floyd's draws of ranks: cho, and sums over them, agg and ex. Needs plan, obs, ref."""
+    draw = f"1 + ('0x' || substr(md5('{seed}|' || label || '|' || sample_id || '|' || i), 1, 15))::BIGINT % (cells - {k} + i)"
+    return (
+        "smp AS (SELECT label, unnest(range(1, least(target, ways) + 1)) AS sample_id FROM plan), "
+        "num AS (SELECT label, cell_id, row_number() OVER (PARTITION BY label ORDER BY cell_id) AS rank FROM obs), "
+        f"drw AS (SELECT label, sample_id, list_reduce({[*range(1, k + 1)]}, lambda acc, i: list_append(acc, CASE WHEN list_contains(acc, {draw}) "
+        f"THEN cells - {k} + i ELSE {draw} END), []::BIGINT[]) AS ranks FROM smp JOIN plan USING (label)), "
+        "cho AS (SELECT label, sample_id, cell_id FROM (SELECT label, sample_id, unnest(ranks) AS rank FROM drw) JOIN num USING (label, rank)), "
+        f"agg AS (SELECT label, sample_id, gene_id, sum(k)::BIGINT AS k_sum, sum(k) / {k} AS mean, 1 - count_if(k <> 0) / {k} AS zero_fraction FROM cho JOIN dense USING (label, cell_id) GROUP BY ALL), "
+        f"ex AS (SELECT label, sample_id, sum({exposure}) AS exposure_sum FROM cho JOIN ref USING (label, cell_id) GROUP BY ALL), "
+    )
+
+
+#: Posteriors of samples under the uniform priors; after POSTERIOR, a plan and combos_sql().
+_BULK = """kj AS (SELECT label, sample_id, gene_id, k_sum, j, p, q, k_sum * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (exposure_sum - k_sum) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)) + ln(q) AS z
+    FROM agg JOIN ex USING (label, sample_id) JOIN grid USING (gene_id)),
+km AS (SELECT *, exp(z - max(z) OVER w) AS e FROM kj WINDOW w AS (PARTITION BY label, sample_id, gene_id)),
+kp AS (SELECT *, e / sum(e) OVER (PARTITION BY label, sample_id, gene_id) AS pp FROM km),
+ks AS (SELECT label, sample_id, gene_id, any_value(k_sum) AS k_sum, arg_min(p, j) FILTER (pp = mp) * (SELECT s FROM mean) AS signal, -sum(pp * ln(greatest(pp, 1e-12))) AS h, -sum(q * ln(q)) AS h0
+    FROM (SELECT *, max(pp) OVER (PARTITION BY label, sample_id, gene_id) AS mp FROM kp) GROUP BY ALL) """
+
+_COMBOS = _PLAN + combos_sql()
+#: The plan of kbulk_* with posteriors.
+_BULK_SQL = POSTERIOR + _COMBOS[len(RETAIL) :] + _BULK
 
 
 def _kbulk(s, d) -> DataFrame:
@@ -577,7 +606,7 @@ def _(s, d):
     return S.combinations(m.obs, S.plan(T.reference_counts(m), 3, 5, True), 3, 11)
 
 
-@query("kbulk_mean", _COMBOS + "z AS (SELECT 1) SELECT label, sample_id::INT AS sample_id, gene_id, k_sum, round(mean, 6) AS mean, round(zero_fraction, 6) AS zero_fraction, exposure_sum FROM agg JOIN ex USING (label, sample_id)")
+@query("kbulk_mean", _COMBOS + "z AS (SELECT 1) SELECT label, sample_id::INT AS sample_id, gene_id, k_sum, round(mean, 6) AS mean, round(zero_fraction, 6) AS zero_fraction, exposure_sum::BIGINT AS exposure_sum FROM agg JOIN ex USING (label, sample_id)")
 def _(s, d):
     return rounded(_kbulk(s, d), "mean", "zero_fraction")
 
@@ -588,7 +617,10 @@ def _(s, d):
     return S.unique_combinations(m.obs, S.plan(T.reference_counts(m), 3, 5, True), 3, 11)
 
 
-@query("kbulk_signals")
+@query(
+    "kbulk_signals",
+    _BULK_SQL + "SELECT label, sample_id::INT AS sample_id, gene_id, round(signal, 6) AS signal, round(h, 6) AS posterior_entropy, round(greatest(h0 - h, 0), 6) AS mutual_information FROM ks",
+)
 def _(s, d):
     rows = _kbulk(s, d).select(F.lit("global").alias("scope"), "label", "sample_id", "gene_id", F.col("k_sum").alias("k"), F.col("exposure_sum").alias("n_ref"))
     out = M.infer(rows, _priors(s, d), _CONFIG, raw_exposure=True)
@@ -1032,7 +1064,7 @@ def _(s, d):
     return x.select("l_suppkey", *[G.count_column(F.col("errors"), c).alias(c.select) for c in modes])
 
 
-@query("stream_scores")
+@query("stream_scores", POSTERIOR + _SUMMARY + "SELECT gene_id, k, n::BIGINT AS n_ref, round(sup * s, 6) AS signal, round(h, 6) AS posterior_entropy FROM su, mean")
 def _(s, d):
     rows = _rows(s, d)
     mean = float(rows.agg(F.max("n_mean")).first()[0])
@@ -1040,7 +1072,14 @@ def _(s, d):
     return rounded(out, "signal", "posterior_entropy")
 
 
-@query("kbulk_server")
+@query(
+    "kbulk_server",
+    POSTERIOR
+    + "plan AS (SELECT label, count(*)::BIGINT AS cells, 24::BIGINT AS target, 24::BIGINT AS ways FROM ref GROUP BY label HAVING count(*) >= 8), "
+    + combos_sql(8, 5, "n / m * (SELECT s FROM mean)").replace("JOIN ref USING (label, cell_id)", "JOIN (SELECT *, avg(n) OVER (PARTITION BY label) AS m FROM ref) USING (label, cell_id)")
+    + _BULK
+    + "SELECT label, gene_id, round(avg(signal), 6) AS mean, round(stddev_pop(signal), 6) AS std, round(avg(h), 6) AS entropy FROM ks GROUP BY ALL",
+)
 def _(s, d):
     m = D.retail(s, d)
     ref = T.exposure(T.reference_counts(m), M.scale_of(m), ["label"]).select("cell_id", "label", F.col("n_eff").alias("n_ref"))

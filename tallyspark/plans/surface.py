@@ -21,27 +21,25 @@ from tallyspark.sources import matrices as D
 
 # Rules and texts
 
-#: Names that the built-in rules are tried on.
-NAMES = (
-    "MALAT1 FTL FTH1 MT-CO1 RPL3 MRPS2 HBA1 HBB HBC1 HBEGF HSPA8 HSP90AA1 HSPG2 DNAJA1 DNAJ FOS FOSB FOSL1 JUN JUNB JUND EGR1 EGR5 IER2 IER5L DUSP1 DUSP11 CD3E GAPDH "
-    "Malat1 Ftl1 mt-Co1 Rpl3 Hbb-bs Hspa8 Dnaja1 Fosb Jund Egr2 Ier3 Dusp4 Actb rplA rpmB rrsA rrfH tufA fusA groEL groL dnaK dnaKx clpP cspA cspZ tsf infA ssrA rrnA tufB groES clpC sigA hbs hbsU gltA"
-).split()
-
-
-def _rule_sql(species: str) -> str:
-    exact, prefixes, patterns = L.RULES[species]
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    tests = [f"name IN ({', '.join(map(quoted, exact))})", *[f"starts_with(name, {quoted(p)})" for p in prefixes], *[f"regexp_full_match(name, {quoted(p)})" for p in patterns]]
-    return " OR ".join(tests)
-
-
 @query(
     "nuisance_builtin",
-    "WITH n(name) AS (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") "
-    + " UNION ALL ".join(f"SELECT '{s}' AS species, name AS gene_id FROM n WHERE NOT ({_rule_sql(s)})" for s in sorted(L.RULES)),
-)
+    """WITH g AS (SELECT DISTINCT CASE p_size % 12 WHEN 0 THEN 'MT-' || p_size WHEN 1 THEN 'RPL' || p_size WHEN 2 THEN 'MALAT1' WHEN 3 THEN 'HB' || chr((65 + p_size % 5)::INT) || p_size % 10
+      WHEN 4 THEN 'HSPA' || p_size WHEN 5 THEN 'DNAJB' || p_size WHEN 6 THEN 'FOSB' WHEN 7 THEN 'rpl' || p_size WHEN 8 THEN 'Dusp' || p_size WHEN 9 THEN 'sig' || chr((65 + p_size % 26)::INT)
+      WHEN 10 THEN 'Mrps' || p_size ELSE p_brand END AS gene_id FROM part)
+    SELECT 'human' AS species, gene_id FROM g WHERE NOT (gene_id IN ('MALAT1', 'NEAT1', 'XIST', 'FTL', 'FTH1') OR gene_id[:3] IN ('MT-', 'RPL', 'RPS') OR gene_id[:4] IN ('MRPL', 'MRPS')
+      OR regexp_full_match(gene_id, 'HB[A-Z][0-9]?|HSP(90|A|B|D|E|H)[A-Za-z0-9_]*|DNAJ[A-C][0-9]+|FOS[BL]?|JUN[BD]?|EGR[1-4]|IER[1-5][A-Z]?|DUSP[1-9][0-9]?'))
+    UNION ALL SELECT 'mouse', gene_id FROM g WHERE NOT (gene_id IN ('Malat1', 'Neat1', 'Xist', 'Ftl1', 'Fth1') OR gene_id[:3] IN ('mt-', 'Rpl', 'Rps') OR gene_id[:4] IN ('Mrpl', 'Mrps')
+      OR regexp_full_match(gene_id, 'Hb[a-z].*|Hsp(90|a|b|d|e|h)[A-Za-z0-9_]*|Dnaj[a-c][0-9]+|Fos[bl]?|Jun[bd]?|Egr[1-4]|Ier[1-5][a-z]?|Dusp[1-9][0-9]?'))
+    UNION ALL SELECT 'ecoli', gene_id FROM g WHERE NOT (gene_id IN ('tsf', 'infA', 'infB', 'infC', 'ssrA') OR gene_id[:3] IN ('rpl', 'rps', 'rpm')
+      OR regexp_full_match(gene_id, 'rr[slf][A-H]|tuf[AB]?|fus[A-Z]?|gro[ELS]+|dna[KJ][A-Za-z0-9_]*|clp[ABPX][A-Za-z0-9_]*|csp[A-I]'))
+    UNION ALL SELECT 'bsub', gene_id FROM g WHERE NOT (gene_id IN ('tsf', 'infA', 'infB', 'infC', 'ssrA') OR gene_id[:3] IN ('rpl', 'rps', 'rpm')
+      OR regexp_full_match(gene_id, 'rrn[A-Z]|tuf[A-Z]?|fus[A-Z]?|groE[SL][A-Za-z0-9_]*|dna[KJ][A-Za-z0-9_]*|clp[CEPQXY][A-Za-z0-9_]*|csp[A-Z]|sig[A-Z]|hbs[A-Za-z0-9_]*'))""",
+)
 def _(s, d):
-    names = s.createDataFrame([(n,) for n in NAMES], "gene_id string")
+    """Names made of part sizes and brands, of which each species' rules leave some."""
+    size = F.col("p_size")
+    made = {0: F.concat(F.lit("MT-"), size), 1: F.concat(F.lit("RPL"), size), 2: F.lit("MALAT1"), 3: F.concat(F.lit("HB"), F.chr(65 + size % 5), size % 10), 4: F.concat(F.lit("HSPA"), size), 5: F.concat(F.lit("DNAJB"), size), 6: F.lit("FOSB"), 7: F.concat(F.lit("rpl"), size), 8: F.concat(F.lit("Dusp"), size), 9: F.concat(F.lit("sig"), F.chr(65 + size % 26)), 10: F.concat(F.lit("Mrps"), size)}
+    names = D.read(s, d, "part").select(F.coalesce(*[F.when(size % 12 == k, v) for k, v in made.items()], F.col("p_brand")).alias("gene_id")).distinct()
     out = None
     for species in sorted(L.RULES):
         one = L.filtered(names, L.RULES[species]).select(F.lit(species).alias("species"), "gene_id")
@@ -198,6 +196,10 @@ def _(s, d):
     return rounded(_tests(s, d).select("gene_id", "p", "fdr", "log2_fold_change"), "p", "fdr", "log2_fold_change")
 
 
+Q.ORACLE_SQL["deg_fdr"] = _P + """ SELECT gene_id, round(u.u, 6) AS u, round((abs(u.u - n1 * n2 / 2) - 0.5::DOUBLE) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z,
+    round(fold, 6) AS log2_fold_change, round(p, 6) AS p, round(fdr, 6) AS fdr FROM ff JOIN u USING (gene_id)"""
+
+
 @query("deg_export", _P + " SELECT 'BUILDING' AS \"group\", gene_id, round(fdr, 6) AS fdr, row_number() OVER (ORDER BY round(fdr, 9), gene_id)::INT AS rank FROM ff WHERE round(fdr, 9) <= 1 AND abs(fold) >= 0.01 QUALIFY rank <= 5")
 def _(s, d):
     tests = _tests(s, d).withColumns({"group": F.lit("BUILDING"), "fdr": F.round("fdr", 9)})
@@ -257,7 +259,7 @@ def _(s, d):
     return rounded(K.loss_weight_mean(_signals(s, d), 16), "weight_mean")
 
 
-@query("support_size", _SU + "SELECT 16::BIGINT AS points")
+@query("support_size", _SU + "SELECT max(m)::BIGINT AS points FROM (SELECT gene_id, count(*) AS m FROM grid GROUP BY gene_id)")
 def _(s, d):
     return K.support_size(_signals(s, d))
 
@@ -273,10 +275,10 @@ def _(s, d):
     return rounded(T.moments(D.retail(s, d), layer), "mean", "variance", "dispersion")
 
 
-@query("posterior_channels", _SU + "SELECT gene_id, k, n::BIGINT AS n_ref, round(sup, 9) AS map_support, round(sup * s, 6) AS map_scaled_support FROM su, mean")
+@query("posterior_channels", _SU + "SELECT gene_id, k, n::BIGINT AS n_ref, round(sup, 9) AS map_support, round(sup * s, 6) AS map_scaled_support, NULL::DOUBLE AS map_rate, round(sc, 6) AS scaled_sum FROM su JOIN (SELECT gene_id, sum(p * s) AS sc FROM grid, mean GROUP BY gene_id) USING (gene_id), mean")
 def _(s, d):
     out = M.infer(Q._rows(s, d), Q._priors(s, d), Q._CONFIG, channels=("map_scaled_support", "map_rate", "scaled_support"))
-    return out.filter("map_rate IS NULL AND size(scaled_support) = 16").select("gene_id", "k", "n_ref", F.round("map_support", 9).alias("map_support"), r6("map_scaled_support").alias("map_scaled_support"))
+    return out.select("gene_id", "k", "n_ref", F.round("map_support", 9).alias("map_support"), r6("map_scaled_support").alias("map_scaled_support"), "map_rate", r6(X.total(F.col("scaled_support"))).alias("scaled_sum"))
 
 
 @query("distribution_rows", RETAIL + "z AS (SELECT 1) SELECT label, gene_id, count(*)::BIGINT AS n, round(avg(k), 6) AS mean, quantile_cont(k::DOUBLE, 0.5) AS median, round(quantile_cont(k::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(k::DOUBLE, 0.9), 6) AS p90, min(k)::DOUBLE AS min, max(k)::DOUBLE AS max FROM dense WHERE gene_id LIKE 'Brand#1%' GROUP BY ALL")
@@ -302,7 +304,10 @@ def _(s, d):
     return rounded(out.select("cell_id", "k", "signal", "posterior_entropy"), "signal", "posterior_entropy")
 
 
-@query("extract_kbulk")
+@query(
+    "extract_kbulk",
+    Q._BULK_SQL + "SELECT label, sample_id::INT AS sample_id, gene_id, k_sum, round(signal, 6) AS signal, round(h, 6) AS posterior_entropy FROM ks",
+)
 def _(s, d):
     out = facades.extract_kbulk(D.retail(s, d), Q._priors(s, d), Q._CONFIG, 3, 5, 11)
     return rounded(out.select("label", "sample_id", "gene_id", "k_sum", "signal", "posterior_entropy"), "signal", "posterior_entropy")
@@ -333,7 +338,11 @@ def _(s, d):
     return T.hvg(D.retail(s, d), "seurat_v3").select("gene_id", F.round("score", 4).alias("score"))
 
 
-@query("signal_hvg")
+@query(
+    "signal_hvg",
+    _SU.rstrip() + ", sv AS (SELECT gene_id, sup * s AS v FROM obsn JOIN su USING (gene_id, k, n), mean UNION ALL SELECT gene_id, 0 FROM dense JOIN ref USING (cell_id) WHERE n = 0), "
+    + Q.seurat_sql("sv") + " SELECT gene_id, round(score, 4) AS score FROM hv",
+)
 def _(s, d):
     out = facades.rank_genes(D.retail(s, d), "signal-hvg", signals=_signals(s, d))
     return out.select("gene_id", F.round("score", 4).alias("score"))
