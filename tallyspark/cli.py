@@ -14,22 +14,29 @@ from tallyspark.operators import curves as C
 from tallyspark.operators import lists as L
 from tallyspark.operators.checks import check_counts, check_names, option_values
 from tallyspark.operators.model import FitConfig
+from tallyspark.operators.stats import reference_counts, scale_diagnostics
 from tallyspark.plans import facades
 from tallyspark.sources.matrices import Matrix, read_list
+from tallyspark.sources.versions import commit, current
 
 
 def read_matrix(spark: SparkSession, path: str) -> Matrix:
     """A matrix written by write_matrix(), checked."""
-    m = Matrix(*[spark.read.parquet(f"{path}/{t}") for t in ("counts", "obs", "var")])
+    folder = current(spark, path)
+    m = Matrix(*[spark.read.parquet(f"{folder}/{t}") for t in ("counts", "obs", "var")])
     check_names(m.var)
     check_counts(m)
     return m
 
 
 def write_matrix(m: Matrix, path: str) -> None:
-    """Three tables; a committed write replaces what was there."""
-    for name, rows in (("counts", m.counts), ("obs", m.obs), ("var", m.var)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    """Three tables, which together replace what was there once all are written."""
+
+    def tables(folder: str) -> None:
+        for name, rows in (("counts", m.counts), ("obs", m.obs), ("var", m.var)):
+            rows.write.parquet(f"{folder}/{name}")
+
+    commit(m.counts.sparkSession, path, tables)
 
 
 def read_rules(path: str) -> tuple:
@@ -70,8 +77,9 @@ def parser() -> argparse.ArgumentParser:
         ("--likelihood", {"default": "binomial"}), ("--scale", {"type": float}), ("--genes", {"help": "file of names"}), ("--cells", {"type": int}), ("--warm-start", {}),
         ("--shard", {"type": int}), ("--shards", {"type": int, "default": 1}),
     )
-    job("extract-signals", matrix, store, out, ("--by-label", {"action": "store_true"}))
-    job("extract-kbulk", matrix, store, out, seed, ("--k", {"type": int, "default": 8}), ("--samples", {"type": int, "default": 24}), ("--by-label", {"action": "store_true"}))
+    shape = ("--distribution", {"choices": P.DISTRIBUTIONS, "help": "of posteriors; the checkpoint's if not given"})
+    job("extract-signals", matrix, store, out, shape, ("--by-label", {"action": "store_true"}))
+    job("extract-kbulk", matrix, store, out, seed, shape, ("--k", {"type": int, "default": 8}), ("--samples", {"type": int, "default": 24}), ("--by-label", {"action": "store_true"}))
     job("rank-genes", matrix, out, ("--method", {"choices": facades.RANKINGS, "default": "variance"}), ("--flavour", {"default": "seurat"}), ("--top", {"type": int}), ("--checkpoint", {}))
     job("filter-genes", ("names", {}), out, ("--species", {"choices": sorted([*L.RULES, "none"]), "default": "none"}), ("--rules", {}))
     job("merge-checkpoints", ("checkpoints", {"nargs": "+"}), out)
@@ -92,10 +100,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         sample = None if a.cells is None else (a.cells, a.seed)
         shard = None if a.shard is None else (a.shard, a.shards)
         priors = facades.fit_checkpoint(read_matrix(spark, a.matrix), a.mode, config, a.scale, genes, sample, warm, shard)
-        C.save_checkpoint(priors, a.output, {"source": a.matrix, "fit_mode": a.mode, "likelihood": a.likelihood, "fit_config": {"likelihood": a.likelihood, "points": a.points}})
+        meta = {"source": a.matrix, "fit_mode": a.mode, "likelihood": a.likelihood, "fit_config": {"likelihood": a.likelihood, "points": a.points}}
+        mean = scale_diagnostics(reference_counts(read_matrix(spark, a.matrix))).first()["mean_reference"]
+        C.save_checkpoint(priors, a.output, meta | {"mean_reference": mean})
     elif a.job in ("extract-signals", "extract-kbulk"):
         priors, meta = C.load_checkpoint(spark, a.checkpoint)
-        config, m = FitConfig(likelihood=P.likelihood_of(meta), overdispersion=P.overdispersion_of(meta)), read_matrix(spark, a.matrix)
+        likelihood = a.distribution or P.likelihood_of(meta)
+        P.check_distribution(meta, likelihood)
+        config, m = FitConfig(likelihood=likelihood, overdispersion=P.overdispersion_of(meta)), read_matrix(spark, a.matrix)
         if a.job == "extract-signals":
             rows = facades.extract_signals(m, priors, config, a.by_label)
         else:

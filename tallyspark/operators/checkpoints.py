@@ -66,6 +66,9 @@ def check_meta(metas: list[dict]) -> None:
         for key in SHARED:
             if m.get(key) != metas[0].get(key):
                 raise ValueError(f"checkpoint {i} differs in {key!r}")
+        means = [x.get("mean_reference") for x in (metas[0], m)]
+        if None not in means and abs(means[0] - means[1]) > 1e-9 * max(1.0, abs(means[0])):
+            raise ValueError(f"checkpoint {i} was fitted for another mean reference count: {means[1]}, not {means[0]}")
 
 
 def merged(shards: list[tuple[DataFrame, dict]], wanted: DataFrame | None = None, allow_partial: bool = False) -> DataFrame:
@@ -109,16 +112,17 @@ def check_distribution(meta: dict, likelihood: str) -> None:
         raise ValueError(f"priors fitted for {fitted} do not go with {likelihood}")
 
 
-def fit_scale(explicit: float | None, priors: DataFrame | None, label: str | None, mean_reference: float) -> float:
-    """The scale of a new fit: as given, else that of the label's priors, else of the global ones, else the mean
-    reference count."""
+def with_fit_scale(rows: DataFrame, explicit: float | None = None, priors: DataFrame | None = None) -> DataFrame:
+    """rows (scope, n_mean and others) with fit_scale: as given, else that of the scope's priors, else of the global ones,
+    else the mean reference count. Scales are a row for each scope."""
     if explicit is not None:
-        return float(explicit)
-    if priors is not None:
-        for scope in ([f"label:{label}"] if label is not None else []) + ["global"]:
-            if found := priors.filter(F.col("scope") == scope).select("scale").limit(1).collect():
-                return float(found[0]["scale"])
-    return float(mean_reference)
+        return rows.withColumn("fit_scale", F.lit(float(explicit)))
+    if priors is None:
+        return rows.withColumn("fit_scale", F.col("n_mean").cast("double"))
+    own = priors.groupBy(F.col("scope").alias("s_")).agg(F.max("scale").alias("own_scale"))
+    all_ = priors.filter("scope = 'global'").agg(F.max("scale").alias("all_scale"))
+    met = rows.join(F.broadcast(own), F.col("scope") == F.col("s_"), "left").crossJoin(F.broadcast(all_))
+    return met.withColumn("fit_scale", F.coalesce("own_scale", "all_scale", F.col("n_mean").cast("double"))).drop("s_", "own_scale", "all_scale")
 
 
 def check_overlap(reference_genes: DataFrame, var: DataFrame) -> DataFrame:
@@ -129,6 +133,19 @@ def check_overlap(reference_genes: DataFrame, var: DataFrame) -> DataFrame:
     return out
 
 
+def suggested_label(labels: DataFrame, obs: DataFrame, columns: list[str]) -> str | None:
+    """The column of obs in which the most of a checkpoint's labels (column label) occur, the first of equal ones; None if
+    none has any."""
+    each = [obs.select(F.col(c).cast("string").alias("label")).distinct().join(labels.select("label").distinct(), "label", "left_semi").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.lit(i)) for i, c in enumerate(columns)]
+    if not each:
+        return None
+    out = each[0]
+    for one in each[1:]:
+        out = out.unionByName(one)
+    best = out.orderBy(F.desc("n"), "c").first()
+    return columns[best["c"]] if best["n"] else None
+
+
 def warm_start(priors: DataFrame, old: DataFrame, batches: DataFrame, same_likelihood: bool = True) -> DataFrame:
     """priors (scope, gene_id, scale, support, prob) with the probabilities of old ones on the new supports. A batch of a
     scope (scope, gene_id, b) starts warm as a whole or not at all: its label's priors count if there are any, else the

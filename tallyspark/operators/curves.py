@@ -11,6 +11,7 @@ from tallyspark.functions import expr as X
 from tallyspark.functions.order import cut
 from tallyspark.functions.text import display_source
 from tallyspark.operators.checkpoints import check_same_genes
+from tallyspark.sources.versions import commit, current
 
 #: Version that a checkpoint must bear.
 SCHEMA_VERSION = "1"
@@ -61,15 +62,23 @@ def label_similarity(priors: DataFrame, metric: str = "jsd", most: int = 50) ->
 
 
 def save_checkpoint(priors: DataFrame, path: str, meta: dict) -> None:
-    """Tables priors (partitioned by scope) and meta."""
+    """Tables priors (partitioned by scope) and meta, which together replace what was there once both are written. meta
+    gets the defaults that readers rely on: a likelihood, and the mode that the scopes show."""
     spark = priors.sparkSession
-    priors.write.mode("overwrite").partitionBy("scope").parquet(f"{path}/priors")
-    text = json.dumps(meta | {"schema_version": SCHEMA_VERSION}, sort_keys=True)
-    spark.createDataFrame([(text,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    kinds = {r["k"] for r in priors.select((F.col("scope") == "global").alias("k")).distinct().collect()}
+    mode = {frozenset({True}): "global", frozenset({False}): "by-label"}.get(frozenset(kinds), "both")
+    text = json.dumps({"likelihood": "binomial", "fit_mode": mode, "fit_config": {}} | meta | {"schema_version": SCHEMA_VERSION}, sort_keys=True)
+
+    def tables(folder: str) -> None:
+        priors.write.partitionBy("scope").parquet(f"{folder}/priors")
+        spark.createDataFrame([(text,)], "meta string").coalesce(1).write.parquet(f"{folder}/meta")
+
+    commit(spark, path, tables)
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(priors, meta); raises on another version."""
+    path = current(spark, path)
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     if meta.get("schema_version") != SCHEMA_VERSION:
         raise ValueError(f"checkpoint version {meta.get('schema_version')!r}; {SCHEMA_VERSION!r} is needed")
@@ -81,20 +90,6 @@ def inspect(priors: DataFrame) -> DataFrame:
     return priors.groupBy("scope").agg(F.countDistinct("gene_id").alias("genes"), F.max(F.size("support")).alias("points"), F.min("scale").alias("scale_min"), F.max("scale").alias("scale_max"))
 
 
-def merge_checkpoints(shards: list[DataFrame]) -> DataFrame:
-    """All priors of shards; raises on a gene that two of them hold, and on scales that differ."""
-    out = None
-    for i, p in enumerate(shards):
-        p = p.withColumn("shard", F.lit(i))
-        out = p if out is None else out.unionByName(p)
-    bad = out.groupBy("scope", "gene_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
-    if bad:
-        raise ValueError(f"gene in two shards: {bad[0]['gene_id']}")
-    if out.groupBy("scope").agg((F.max("scale") - F.min("scale")).alias("d")).filter("d > 1e-12").limit(1).count():
-        raise ValueError("scales of shards differ")
-    return out.drop("shard")
-
-
 def check_priors(priors: DataFrame, rate: bool = False) -> None:
     """Raises on probabilities that are negative or do not sum to 1, on supports out of their domain (0 to 1, and for
     rates from 0), and on scopes that do not hold the same genes."""

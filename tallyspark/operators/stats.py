@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.functions.order import cut, numbered
+from tallyspark.functions.ship import ship
 from tallyspark.sources.matrices import Matrix
 
 
@@ -289,16 +291,17 @@ def hvg_cell_ranger(m: Matrix) -> DataFrame:
     return out.select("gene_id", F.coalesce((F.col("d") - F.col("m")) / F.nullif("mad", F.lit(0.0)), F.lit(0.0)).alias("dispersions_norm"))
 
 
-def _smooth(x: np.ndarray, y: np.ndarray, span: float = 0.3, block: int = 256) -> np.ndarray:
-    """Local regression of degree 2 with tricube weights, at each x."""
-    n = len(x)
-    k = min(n, max(3, math.ceil(span * n)))
+def _smooth(x: np.ndarray, y: np.ndarray, at: np.ndarray | None = None, k: int | None = None, block: int = 256) -> np.ndarray:
+    """Local regression of degree 2 with tricube weights over the k nearest points (0.3 of all), at each x or those of at."""
+    k = min(len(x), max(3, math.ceil(0.3 * len(x)))) if k is None else k
+    centres = x if at is None else x[at]
+    n = len(centres)
     out = np.empty(n)
     for a in range(0, n, block):
-        d = np.abs(x[a : a + block, None] - x)
+        d = np.abs(centres[a : a + block, None] - x)
         reach = np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1 : k], 1e-12)
         w = np.clip(1 - (d / reach) ** 3, 0, None) ** 3
-        off = x - x[a : a + block, None]
+        off = x - centres[a : a + block, None]
         moments_ = np.stack([(w * off**p).sum(axis=1) for p in range(5)], axis=1)
         left = moments_[:, np.arange(3)[:, None] + np.arange(3)] + 1e-12 * np.eye(3)
         right = np.stack([(w * off**p * y).sum(axis=1) for p in range(3)], axis=1)
@@ -306,24 +309,36 @@ def _smooth(x: np.ndarray, y: np.ndarray, span: float = 0.3, block: int = 256) -
     return out
 
 
-def _expected(pdf: pd.DataFrame) -> pd.DataFrame:
-    some = (pdf["variance"] > 0).to_numpy()
-    sd = np.zeros(len(pdf))
-    if some.sum() > 3:
-        x, y = np.log10(pdf["mean"].to_numpy()[some]), np.log10(pdf["variance"].to_numpy()[some])
-        sd[some] = np.sqrt(10 ** _smooth(x, y))
-    else:
-        sd[some] = np.sqrt(pdf["variance"].to_numpy()[some])
-    return pdf[["gene_id", "mean"]].assign(sd=sd)
+def smoothed(points: DataFrame, span: float = 0.3, block: int = 512) -> DataFrame:
+    """points (id, x, y) with fit: local regression of degree 2 with tricube weights over the nearest share `span` of all
+    points. Points are numbered by x, and a block of them is fitted by one task, which gets the points that can be among
+    their nearest: as many places to either side as a neighbourhood has points."""
+    ship(points.sparkSession)
+    n = points.count()
+    k = min(n, max(3, math.ceil(span * n)))
+    placed = numbered(points.select("id", "x", "y"), [], ["x", "id"])
+    last = max(n - 1, 0) // block
+    first = F.greatest(F.floor((F.col("pos") - k) / block), F.lit(0))
+    reach = F.sequence(first.cast("int"), F.least(F.floor((F.col("pos") + k) / block), F.lit(last)).cast("int"))
+    dealt = placed.withColumn("block", F.explode(reach))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        own = (pdf["pos"] // block == pdf["block"]).to_numpy()
+        return pd.DataFrame({"id": pdf["id"][own], "fit": _smooth(pdf["x"].to_numpy(), pdf["y"].to_numpy(), own, k)})
+
+    return dealt.groupBy("block").applyInPandas(fit, points.select("id").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", fit double")
 
 
 def hvg_seurat_v3(m: Matrix) -> DataFrame:
     """gene_id, variances_norm: variance of counts standardised by what the mean leads to expect (a local regression of
-    log variance on log mean), values clipped at sqrt(cells) deviations. A row for each gene enters the regression."""
+    log variance on log mean, over sorted blocks of genes), values clipped at sqrt(cells) deviations."""
     cells = m.obs.agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    stats = moments(m, m.counts).crossJoin(F.broadcast(cells)).select(F.lit(0).alias("one"), "gene_id", "mean", (F.col("variance") * n / (n - 1)).alias("variance"))
-    fitted = stats.groupBy("one").applyInPandas(_expected, "gene_id string, mean double, sd double")
+    stats = cut(moments(m, m.counts).crossJoin(F.broadcast(cells)).select("gene_id", "mean", (F.col("variance") * n / (n - 1)).alias("variance")))
+    some = stats.filter("variance > 0").select(F.col("gene_id").alias("id"), F.log10("mean").alias("x"), F.log10("variance").alias("y"))
+    fits = smoothed(some) if some.limit(4).count() > 3 else some.select("id", F.col("y").alias("fit"))
+    fitted = stats.join(fits, F.col("gene_id") == F.col("id"), "left").select("gene_id", "mean", F.coalesce(F.sqrt(F.pow(F.lit(10.0), F.col("fit"))), F.lit(0.0)).alias("sd"))
     rows = m.counts.join(fitted, "gene_id").crossJoin(F.broadcast(cells))
     clip = F.least(F.col("value").cast("double"), F.col("mean") + F.col("sd") * F.sqrt(n))
     sums = rows.groupBy("gene_id").agg(F.sum(clip).alias("s"), F.sum(clip * clip).alias("ss"))

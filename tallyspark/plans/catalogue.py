@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import expr as X
 from tallyspark.functions import text as W
+from tallyspark.operators import checkpoints as P
 from tallyspark.operators import checks as K
 from tallyspark.operators import curves as C
 from tallyspark.operators import cycle as Y
@@ -903,7 +904,7 @@ def _(s, d):
 def _(s, d):
     p = _step(s, d)
     halves = [p.filter(F.crc32("gene_id") % 2 == i) for i in (0, 1)]
-    return C.merge_checkpoints(halves).select("gene_id", F.size("support").alias("points"), r6(X.total(F.col("prob"))).alias("mass"))
+    return P.merged([(h, {"likelihood": "binomial"}) for h in halves]).select("gene_id", F.size("support").alias("points"), r6(X.total(F.col("prob"))).alias("mass"))
 
 
 @query("checkpoint_inspect", _EM1 + " SELECT 'global' AS scope, count(DISTINCT gene_id)::BIGINT AS genes, 16 AS points, round(max(s), 6) AS scale_min, round(max(s), 6) AS scale_max FROM p1, mean")

@@ -45,7 +45,7 @@ def fit_checkpoint(
     warm: DataFrame | None = None, shard: tuple[int, int] | None = None, batch: int = 1,
 ) -> DataFrame:
     """Priors of all scopes of a mode. genes: which are fitted (pos, gene_id; all cells' totals stay the reference);
-    sample: number of cells and seed; shard: this one of so many, by place in the list of genes."""
+    sample: number of cells and seed; scale: of all scopes, else that of the warm priors, else the mean reference; shard: this one of so many, by place in the list of genes."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     used = m if sample is None else Matrix(m.counts.join(S.subsample(m.obs, *sample).select("cell_id"), "cell_id", "left_semi"), S.subsample(m.obs, *sample), m.var)
@@ -55,7 +55,7 @@ def fit_checkpoint(
     fits = []
     for by_label in {"global": [False], "by-label": [True], "both": [False, True]}[mode]:
         rows = M.compressed(used, by_label).join(listed.select("gene_id"), "gene_id", "left_semi")
-        fits.append(M.fit_priors(rows, F.col("n_mean") if scale is None else F.lit(float(scale)), config, batch, warm))
+        fits.append(M.fit_priors(P.with_fit_scale(rows, scale, warm), F.col("fit_scale"), config, batch, warm))
     return P.assembled(*fits)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import checkpoints as P
 from tallyspark.operators import curves as C
 from tallyspark.operators import mixture as G
 from tallyspark.operators import model as M
@@ -101,10 +102,15 @@ def test_checkpoint_round_trip_and_merge(spark, tmp_path):
     C.save_checkpoint(p, str(tmp_path / "c"), {"likelihood": "binomial"})
     back, meta = C.load_checkpoint(spark, str(tmp_path / "c"))
     assert back.count() == 2 and meta["likelihood"] == "binomial"
-    with pytest.raises(ValueError, match="two shards"):
-        C.merge_checkpoints([p, p])
+    assert meta["fit_mode"] == "global"
+    with pytest.raises(ValueError):
+        P.merged([(p, {}), (p, {})])
     with pytest.raises(ValueError, match="differ"):
-        C.merge_checkpoints([p.filter("gene_id = 'a'"), p.filter("gene_id = 'b'").withColumn("scale", F.lit(3.0))])
+        P.merged([(p.filter("gene_id = 'a'"), {}), (p.filter("gene_id = 'b'").withColumn("scale", F.lit(3.0)), {})])
+    halves = [p.filter(f"gene_id = '{g}'") for g in "ab"]
+    with pytest.raises(ValueError, match="mean reference"):
+        P.merged([(halves[0], {"mean_reference": 5.0}), (halves[1], {"mean_reference": 5.1})])
+    assert P.merged([(halves[0], {"mean_reference": 5.0}), (halves[1], {"mean_reference": 5.0})]).count() == 2
 
 
 @pytest.mark.parametrize("likelihood", ["binomial", "negative_binomial", "poisson"])

@@ -131,7 +131,13 @@ def test_invalid_priors(spark):
         P.merged([(good, {})], spark.createDataFrame([("y",)], "gene_id string"))
     with pytest.raises(KeyError):
         P.get_prior(good, "a")
-    assert P.fit_scale(None, good, "a", 5.0) == 1.0 and P.fit_scale(None, None, None, 5.0) == 5.0 and P.fit_scale(2.0, good, None, 5.0) == 2.0
+    rows = spark.createDataFrame([("label:a", 5.0), ("global", 5.0)], "scope string, n_mean double")
+    both = good.union(spark.createDataFrame([("label:a", "x", 3.0, [0.0, 1.0], [0.5, 0.5])], kind))
+    scales = lambda *given: [r["fit_scale"] for r in P.with_fit_scale(rows, *given).orderBy("scope").collect()]
+    assert scales() == [5.0, 5.0] and scales(2.0, both) == [2.0, 2.0] and scales(None, good) == [1.0, 1.0] and scales(None, both) == [1.0, 3.0]
+    obs = spark.createDataFrame([("a", "q"), ("b", "a"), ("c", "b")], "one string, two string")
+    labels = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    assert P.suggested_label(labels, obs, ["two", "one"]) == "one" and P.suggested_label(labels.limit(0), obs, ["one"]) is None
     assert P.likelihood_of({"fit_config": {"likelihood": "poisson"}, "posterior_distribution": "binomial"}) == "poisson"
     with pytest.raises(ValueError):
         P.check_distribution({"posterior_distribution": "poisson"}, "binomial")
@@ -195,3 +201,28 @@ def test_running_sums_of_long_arrays(spark):
     rows = [(values[:n].tolist(),) for n in (1, 31, 32, 33, 64, 100)] + [([],)]
     got = spark.createDataFrame(rows, "p array<double>").select(X.cumulative(F.col("p")).alias("c")).collect()
     assert all(r["c"] == pytest.approx(np.cumsum(v[0]).tolist()) for r, v in zip(got, rows, strict=True))
+
+
+def test_sorted_blocks_smooth_as_the_whole_does(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=300), 2)  # with ties
+    y = 2 + 3 * x - x**2 + rng.normal(size=300)
+    points = spark.createDataFrame([(f"g{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id string, x double, y double").repartition(5)
+    got = {r["id"]: r["fit"] for r in T.smoothed(points, block=17).collect()}
+    assert [got[f"g{i:03d}"] for i in range(300)] == pytest.approx(T._smooth(x, y).tolist(), abs=1e-9)
+
+
+def test_sketches_of_quantiles_are_within_their_error(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_linenumber", F.col("l_extendedprice").cast("double").alias("v"))
+    by, shares = ["l_linenumber"], (0.1, 0.5, 0.9)
+    sketch = {r["l_linenumber"]: r["q"] for r in K.quantiles_of(lines, by, "v", shares, "sketch").collect()}
+    ranks = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("v") <= F.element_at(F.create_map(*[F.lit(x) for k, q in sketch.items() for x in (k, q[i])]), F.col("l_linenumber"))).alias(f"r{i}") for i in range(3)]).collect()
+    assert len(ranks) == 7 and all(abs(r[f"r{i}"] / r["n"] - s) < 2.3 / K.SKETCH**0.9 * 1.5 for r in ranks for i, s in enumerate(shares))
+    parts = K.sketched(lines.withColumn("part", F.rand(1) < 0.3), ["part", *by], "v")
+    whole = K.merged_sketches(parts, by).select(*by, F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("q")).collect()
+    exact = {r["l_linenumber"]: r["q"][0] for r in K.quantiles_of(lines, by, "v", (0.5,), "auto").collect()}
+    assert all(r["q"] == pytest.approx(exact[r["l_linenumber"]], rel=0.05) for r in whole)
+    summary = K.value_summary(lines, by, "v", "sketch").collect()
+    assert all(r["median"] == pytest.approx(exact[r["l_linenumber"]], rel=0.05) and r["max"] >= r["p90"] >= r["median"] for r in summary)
+    with pytest.raises(ValueError, match="unknown method"):
+        K.quantiles_of(lines, by, "v", shares, "x")
