@@ -5,14 +5,17 @@ each word's upper bits are a segment of the index. Of a segment's Hamming ball o
 copies fall into: flips of the bits that the fewest shingles decide. Two texts meet where their parts of the balls do.
 Complete distances of fingerprints are verified first, then the complete sets of shingles.
 
-A bucket of the index links its members to its smallest one only, and what these links join loosely has a middle, the text nearest to the majority of its bits (the original, where copies were edited each for itself). Every
+A bucket of the index links its members to its smallest one only, and what these links join loosely has a middle, the
+text nearest to the majority of its bits (the original, where copies were edited each for itself). Every
 text is compared with its nearest candidate and with the middle. Of a loose group that this leaves in several parts,
-texts of different parts are compared if their sets share one of their rarest shingles, which sets of the required
-similarity must; so no pair of a loose group is lost, and groups of copies cost rows in proportion to their size.
+texts of different parts are compared if their differences from the group's usual shingles share one of the rarest,
+which sets of the required similarity must; so no pair of a loose group is lost, and copies of a template cost rows in
+proportion to their number, as what each was edited to is its own.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -27,8 +30,8 @@ from tallyspark.llm.graph import components
 #: Words of a fingerprint, each one segment.
 SEGMENTS = 24
 #: Differing bits of all of them (of 768) up to which texts belong together loosely (at similarity 0.8: 116, give or
-#: take 10), and up to which sets are compared.
-FAR, NEAR = 200, 165
+#: take 10).
+FAR = 200
 #: Bits of a segment that are indexed: so many more than the number of texts has, and the fewest and most.
 SPARE, NARROW, WIDE = 6, 24, 32
 #: Small rows (a key and two hashes) that may be broadcast.
@@ -195,33 +198,81 @@ def _listed(raw: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
 
 
-def rarest(raw: DataFrame, sets: DataFrame, loose: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b of texts of one loose group, but with different roots, that share one of their rarest shingles: of n
-    shingles, sorted by how many texts hold them, a text of the required similarity holds one of the first
-    n - ceil(least * n) + 1, and that among its own first ones. Groups of two texts are settled already.
-    Fingerprints that lie more than NEAR apart are left out (at similarity 0.8 one in some million)."""
+def _differences(raw: pa.Array, usual: pa.Array) -> pa.Array:
+    """What either of two sets holds alone."""
+    each = [np.setxor1d(np.frombuffer(x, "<i8"), np.array(y, np.int64)) for x, y in zip(raw.to_pylist(), usual.to_pylist(), strict=True)]
+    offsets = np.cumsum([0, *map(len, each)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+
+
+def rarest(raw: DataFrame, loose: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of texts of one loose group that may be of the required similarity, or that tell what such pairs would.
+
+    Sets are told by what they differ in, n shingles, from the group's usual set: that of the shingles which over half of
+    its texts hold. a and b are alike if and only if they differ in no more than m = (|a| + |b|) (1 - least) / (1 + least).
+    So their differences from the usual set share at least c = (n_a + n_b - m) / 2, and so one among the first
+    n_a - c + 1 of a and n_b - c + 1 of b, sorted by how many texts have them. Texts made from one template, each edited
+    for itself, differ from it in shingles that no other text has, which come first; so they meet nobody. Where c is not
+    above 0, the two are alike, as they are both near the usual set; then either is alike to the text that is nearest to
+    it in n - |.| (1 - least) / (1 + least), so all are compared with that one. Groups of two texts are settled already.
+    """
     rooted = loose.select("node", F.col("root").alias("loose")).join(roots.select(F.col("node").alias("n_"), "root").hint("merge"), F.col("node") == F.col("n_"), "left")
     rooted = Staged(rooted.select("node", "loose", F.coalesce("root", "node").alias("root")), "rooted").df
-    split = rooted.groupBy(F.col("loose").alias("l_")).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi")
-    split = Staged(rooted.join(split.select("l_").hint("merge"), F.col("loose") == F.col("l_"), "left_semi"), "split").df
-    held = raw.join(split.select(F.col("node").alias("n_"), "loose", "root").hint("merge"), F.col("node") == F.col("n_")).select("node", "loose", "root", F.explode(F.arrow_udf(_listed, "array<long>")(F.col("raw"))).alias("t"))
-    held = Staged(held, "shingles").df
-    many = held.groupBy(F.col("loose").alias("l_"), F.col("t").alias("t_")).agg(F.count(F.lit(1)).alias("texts"))
-    counted = held.join(many.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).groupBy("node", "loose", "root").agg(F.array_sort(F.collect_list(F.struct("texts", "t"))).alias("x"))
-    length = F.size("x") - F.ceil(F.size("x") * F.lit(least) - 1e-9).cast("int") + 1
-    first = counted.select("node", "loose", "root", F.explode(F.slice("x", F.lit(1), length)).alias("x")).filter("x.texts > 1")
-    first = Staged(first.select("node", "loose", "root", F.col("x.t").alias("t")), "rarest").df
-    parts = first.groupBy("loose", "t", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("loose").alias("l_"), F.col("t").alias("t_"))
-    main = parts.agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("l_", "t_", F.col("x.root").alias("main"))
-    word = lambda at: F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long")
-    bits = [F.shiftleft(word(8 * i + 1), 32).bitwiseOR(word(8 * i + 5)).alias(f"w{i}") for i in range(SEGMENTS // 2)]
-    mixed = first.join(main.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).drop("l_", "t_")
-    mixed = Staged(mixed.join(sets.select(F.col("node").alias("n_"), *bits).hint("merge"), F.col("node") == F.col("n_")).drop("n_"), "mixed").df
-    # All but a shingle's largest part meet all of it: pairs within the largest one are connected anyway.
-    rest = mixed.filter("root <> main").select(F.col("loose").alias("l_"), F.col("t").alias("t_"), F.col("node").alias("b"), F.col("root").alias("r_"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SEGMENTS // 2)])
-    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(SEGMENTS // 2)), F.lit(0))
-    met = mixed.join(rest.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_")) & (F.col("root") != F.col("r_")) & (apart <= NEAR))
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    split = rooted.groupBy(F.col("loose").alias("l_")).agg(F.count(F.lit(1)).alias("group"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("group > 2 AND lo <> hi")
+    split = Staged(split.select("l_", "group"), "split").df
+    own = rooted.join(split.hint("merge"), F.col("loose") == F.col("l_")).drop("l_")
+    own = raw.select(F.col("node").alias("b_"), "raw").join(own.hint("merge"), F.col("b_") == F.col("node")).drop("b_")
+    own = Staged(own, "split-sets", "none").df
+    held = own.select("loose", "group", F.explode(F.arrow_udf(_listed, "array<long>")("raw")).alias("t"))
+    held = held.groupBy("loose", "t").agg(F.count(F.lit(1)).alias("texts"), F.max("group").alias("group")).filter(2 * F.col("texts") > F.col("group"))
+    usual = split.select("l_").join(held.groupBy("loose").agg(F.collect_list("t").alias("usual")).hint("merge"), F.col("l_") == F.col("loose"), "left")
+    usual = Staged(usual.select("l_", F.coalesce("usual", F.array().cast("array<long>")).alias("usual")), "usual").df
+    size = (F.octet_length("raw") / 8).cast("int")
+    differ = F.arrow_udf(_differences, "array<long>")(F.col("raw"), F.col("usual"))
+    own = own.join(usual.hint("merge"), F.col("loose") == F.col("l_"))
+    own = Staged(own.select("node", "loose", "root", size.alias("size"), differ.alias("x")).withColumn("n", F.size("x")), "differences").df
+
+    held = own.select("node", "loose", F.explode("x").alias("t"))
+    many = held.groupBy(F.col("loose").alias("l_"), F.col("t").alias("t_")).agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    shared = held.join(many.hint("merge"), (F.col("loose") == F.col("l_")) & (F.col("t") == F.col("t_"))).groupBy(F.col("node").alias("n_")).agg(F.array_sort(F.collect_list(F.struct("texts", "t"))).alias("y"))
+    share = F.lit((1 - least) / (1 + least))
+    near = own.groupBy(F.col("loose").alias("l_")).agg(F.min(F.struct((F.col("n") - F.col("size") * share).alias("off"), F.col("node").alias("best"))).alias("z"), F.ceil(F.max("size") / 12).cast("int").alias("w"))
+    near = Staged(near.select("l_", "z.*", "w"), "nearest-usual").df
+    rows = own.drop("x").join(shared.hint("merge"), F.col("node") == F.col("n_"), "left").join(near.hint("merge"), F.col("loose") == F.col("l_"))
+    rows = rows.withColumn("alone", F.col("n") - F.coalesce(F.size("y"), F.lit(0))).drop("n_", "l_")
+    rows = Staged(rows, "shared").df
+    star = rows.filter((F.col("node") != F.col("best")) & (F.col("off") + F.col("n") - F.col("size") * share <= 1e-6)).select(F.col("best").alias("a"), F.col("node").alias("b"))
+
+    # A text meets others by classes of size and of n, as c grows with both: at a place `at` of its differences only those
+    # whose n is no larger than m + n - 2 at, m for the largest size of the class.
+    most = F.col("size") * F.lit((1 - least) / least) + 1e-6
+    step = math.log(1.1)
+    grade = lambda size: F.floor(F.ln(size) / step)
+    first = F.posexplode(F.slice("y", F.lit(1), F.greatest(F.floor(F.col("reach")).cast("int") + 1 - F.col("alone"), F.lit(0))))
+
+    def laid(reach: Column, mark: str) -> DataFrame:
+        out = rows.filter("y IS NOT NULL").withColumn("reach", reach).select("node", "loose", "root", "size", "n", "w", "alone", first.alias("i", "z"))
+        out = out.withColumn("at", F.col("alone") + F.col("i")).withColumn("grade2", F.explode(F.sequence(grade(F.col("size") * least), grade(F.col("size") / least))))
+        largest = F.least(F.exp((F.col("grade2") + 1) * step), F.col("size") / least)
+        m = (F.col("size") + largest) * share + 1e-6
+        bound = m + F.col("n") - 2 * F.col("at")
+        low, high = (F.col("n").cast("double"), bound) if mark == "f" else (F.greatest(F.col("n") - m, F.lit(0.0)), F.least(F.col("n").cast("double"), bound))
+        out = out.withColumns({"low": low, "high": high}).filter("low <= high")
+        out = out.withColumn("class2", F.explode(F.sequence(F.floor(F.col("low") / F.col("w")), F.floor(F.col("high") / F.col("w")))))
+        out = out.withColumns({"class": F.floor(F.col("n") / F.col("w")), "grade": grade(F.col("size"))})
+        return out.select(*[F.col(c).alias(f"{c}_{mark}") for c in ("node", "loose", "root", "size", "n", "at", "class", "class2", "grade", "grade2")], F.col("z.t").alias(f"t_{mark}"))
+
+    fewer, more = laid(most / 2, "f"), laid(most, "m")
+    c = F.ceil((F.col("n_f") + F.col("n_m") - (F.col("size_f") + F.col("size_m")) * share - 1e-6) / 2)
+    met = fewer.join(
+        more.hint("merge"),
+        (F.col("loose_f") == F.col("loose_m")) & (F.col("t_f") == F.col("t_m")) & (F.col("class_f") == F.col("class2_m")) & (F.col("class2_f") == F.col("class_m"))
+        & (F.col("grade_f") == F.col("grade2_m")) & (F.col("grade2_f") == F.col("grade_m"))
+        & (F.col("root_f") != F.col("root_m")) & ((F.col("n_f") < F.col("n_m")) | ((F.col("n_f") == F.col("n_m")) & (F.col("node_f") < F.col("node_m"))))
+        & (F.least("size_f", "size_m") >= F.lit(least) * F.greatest("size_f", "size_m") - 1e-6) & (F.col("at_f") <= F.col("n_f") - c) & (F.col("at_m") <= F.col("n_m") - c),
+    )
+    both = met.select(F.col("node_f").alias("a"), F.col("node_m").alias("b")).union(star)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, key: str, text: str, size: int, least: float) -> DataFrame:
@@ -250,7 +301,7 @@ def similar_groups(docs: DataFrame, key: str, text: str, size: int, least: float
     first = _verified(nearest, raw, least)
     roots = Staged(components(first), "roots").df
 
-    second = _verified(rarest(raw, sets, loose, roots, least), raw, least)
+    second = _verified(rarest(raw, loose, roots, least), raw, least)
     roots = components(first.union(second)).withColumnRenamed("node", "of").hint("merge")
     groups = rows.select("id", "d1", "d2", "node").join(roots, F.col("node") == F.col("of"), "left")
     return Staged(groups.select("id", "d1", "d2", F.coalesce("root", "node").alias("group")), "groups").df
