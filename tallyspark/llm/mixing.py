@@ -172,7 +172,8 @@ def words(text: str = "text") -> Column:
 
 def mixed_rows(docs: DataFrame, size: Column | None = None, key: str = "doc_id", **options) -> DataFrame:
     """docs with every row repeated as often as mix() takes it. Keys that occur on several rows share out their copies:
-    each of these rows gets the mean of them, rounded up for as many as needed. Rows without a key are taken once. All
+    each of these rows gets the mean of them, rounded up for as many as needed, in an order by what they hold, so that
+    reruns agree. Rows without a key are taken once. All
     columns stay, whatever they are called. An empty table gives an empty result."""
     taken = mix(docs.filter(F.col(key).isNotNull()), words() if size is None else size, key=key, **options)
     many = taken.groupBy(F.col(key).alias("k")).agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
@@ -181,7 +182,7 @@ def mixed_rows(docs: DataFrame, size: Column | None = None, key: str = "doc_id",
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("key"))
     out = rows.join(many.hint("merge"), F.col("key") == F.col("k"))
     repeated = many.filter("rows > 1").limit(1).count() > 0
-    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0))) if repeated else F.lit(1)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("row"), F.to_json("row"))) if repeated else F.lit(1)
     here = F.floor(F.col("all") / F.col("rows")) + F.when(nth <= F.col("all") % F.col("rows"), 1).otherwise(0)
     out = out.withColumn("n", here.cast("int")).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return out.select("row.*").unionByName(docs.filter(F.col(key).isNull()))
