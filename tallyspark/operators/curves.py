@@ -106,10 +106,11 @@ def full_matrix(signals: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame
     return obs.select("cell_id").crossJoin(F.broadcast(var.select("gene_id"))).join(signals.select("cell_id", "gene_id", "signal"), ["cell_id", "gene_id"], "left")
 
 
-def curve_rows(checkpoints: dict[str, DataFrame], genes: DataFrame, axis: str = "auto", missing: str = "error", rate: bool = False) -> DataFrame:
+def curve_rows(checkpoints: dict[str, DataFrame], genes: DataFrame, axis: str = "auto", missing: str = "error", rate: bool | None = None) -> DataFrame:
     """Points of the curves of genes (pos, gene_id) in several checkpoints, one row each: source, checkpoint, scope,
     label, gene_id, gene_pos, j, support, scaled_support, x, prob, cdf, scale. missing: "error" raises on a gene that no
-    source has, "skip" leaves it out. axis auto: support for rates, else scaled."""
+    source has, "skip" leaves it out. axis auto: support for rates, else scaled; rate, if it is not given: whether any
+    support goes beyond 1."""
     if missing not in ("error", "skip"):
         raise ValueError(f"unknown policy {missing!r}")
     all_ = None
@@ -120,6 +121,8 @@ def curve_rows(checkpoints: dict[str, DataFrame], genes: DataFrame, axis: str =
         raise ValueError("at least one checkpoint is needed")
     if missing == "error" and (lost := genes.join(all_.select("gene_id").distinct(), "gene_id", "left_anti").limit(1).collect()):
         raise ValueError(f"no source has the gene {lost[0]['gene_id']}")
+    if axis == "auto" and rate is None:
+        rate = bool(all_.filter(F.exists("support", lambda p: p > 1)).limit(1).count())
     source = display_source(F.col("scope"), F.col("checkpoint") if len(checkpoints) > 1 else None)
     label = F.when(F.col("scope") != "global", F.expr("substring(scope, 7)"))
     scaled = F.transform("support", lambda x: x * F.col("scale"))

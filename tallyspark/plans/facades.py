@@ -74,9 +74,10 @@ def extract_signals(m: Matrix, priors: DataFrame, config: M.FitConfig, by_label:
     return M.infer(rows, priors, config, channels=channels)
 
 
-def extract_kbulk(m: Matrix, priors: DataFrame, config: M.FitConfig, k: int, n: int, seed: int, balance: bool = True, unique: bool = False, by_label: bool = False) -> DataFrame:
+def extract_kbulk(m: Matrix, priors: DataFrame, config: M.FitConfig, k: int, n: int, seed: int, balance: bool = True, unique: bool = False, by_label: bool = False, layers: bool = False) -> DataFrame:
     """Signals of aggregates of k cells of a class: label, sample_id, gene_id, k_sum, mean, zero_fraction, signal and
-    entropies. by_label: under the label's priors, which all labels must have."""
+    entropies. by_label: under the label's priors, which all labels must have. layers: all layers of an output file, with
+    their other names (map_mu, map_p, raw_counts)."""
     reference = T.reference_counts(m)
     plan = S.plan(reference, k, n, balance)
     chosen = (S.unique_combinations if unique else S.combinations)(m.obs, plan, k, seed)
@@ -86,7 +87,12 @@ def extract_kbulk(m: Matrix, priors: DataFrame, config: M.FitConfig, k: int, n:
     if by_label and (lost := rows.select("scope").distinct().join(priors.select("scope").distinct(), "scope", "left_anti").limit(1).collect()):
         raise ValueError(f"no priors for {lost[0]['scope']}")
     out = M.infer(rows, priors, config, raw_exposure=True)
-    return out.select("label", "sample_id", "gene_id", "k_sum", "mean", "zero_fraction", "signal", "posterior_entropy", "mutual_information")
+    few = ["label", "sample_id", "gene_id", "k_sum", "mean", "zero_fraction", "signal", "posterior_entropy", "mutual_information"]
+    if not layers:
+        return out.select(few)
+    rate = F.col("map_support") if config.likelihood == "poisson" else F.lit(None).cast("double")
+    others = {"map_mu": F.col("signal"), "map_p": F.col("map_probability"), "map_rate": rate, "raw_counts": F.col("k_sum")}
+    return out.select(*few, "map_probability", "map_support", "prior_entropy", *[c.alias(name) for name, c in others.items()])
 
 
 def gene_analysis(m: Matrix, gene: str, mode: str, config: M.FitConfig = M.FitConfig(), priors: DataFrame | None = None) -> DataFrame:

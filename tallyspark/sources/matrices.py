@@ -93,13 +93,35 @@ def reindexed(table: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return names.select("pos", key).join(table, key, "left")
 
 
-def read_annotation(spark: SparkSession, path: str, key: str = "gene_id", values: list[str] | None = None) -> DataFrame:
-    """key and text (see annotation_text) of a CSV file with a header; raises on missing columns."""
-    table = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    shown = [c for c in table.columns if c != key] if values is None else values
-    if lost := [c for c in [key, *shown] if c not in table.columns]:
-        raise ValueError(f"no columns {lost} in {path}")
-    return table.select(F.col(key).cast("string").alias(key), annotation_text(table, [key], shown).alias("text"))
+def read_annotations(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """name, gene_id, source and text (see annotation_text) of annotation files: CSV with a header, a column gene, and what
+    says which curve a row is about: source, or label (blank or NA: global), behind a checkpoint if there is one. Of rows
+    for one gene and source the last counts. Raises on blank names, genes, sources and checkpoints, and on files without a
+    gene or a value column."""
+    out = None
+    for name, path in tables.items():
+        if not name.strip():
+            raise ValueError(f"annotation table name cannot be blank: {path}")
+        table = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        values = [c for c in table.columns if c not in ("gene", "label", "source", "checkpoint")]
+        if "gene" not in table.columns or not values:
+            raise ValueError(f"{path} needs a column gene and columns of values")
+        cell = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+        needed = ["gene"] + [c for c in ("source",) if c in table.columns] + [c for c in ("checkpoint",) if c in table.columns and "source" not in table.columns]
+        for c in needed:
+            if table.filter(cell(c) == "").limit(1).count():
+                raise ValueError(f"{path} has a blank {c}")
+        scope = F.lit("global") if "label" not in table.columns else F.when(cell("label").isin("", "NA", "NaN", "nan"), F.lit("global")).otherwise(F.concat(F.lit("label:"), cell("label")))
+        if "source" in table.columns:
+            source = cell("source")
+        else:
+            source = F.concat(cell("checkpoint"), F.lit("/"), scope) if "checkpoint" in table.columns else scope
+        rows = table.select(F.lit(name.strip()).alias("name"), cell("gene").alias("gene_id"), source.alias("source"), annotation_text(table, ["gene"], values).alias("text"), F.monotonically_increasing_id().alias("at"))
+        one = rows.groupBy("name", "gene_id", "source").agg(F.max_by("text", "at").alias("text"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("at least one annotation file is needed")
+    return out
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -139,7 +161,9 @@ def annotation_text(table: DataFrame, keys: list[str], values: list[str]) -> Col
 
     def one(c: str) -> Column:
         kind = dict(table.dtypes)[c]
-        text = F.format_string("%.2f", F.col(c)) if kind in ("double", "float") else F.col(c).cast("string")
+        number = F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c).try_cast("double")))
+        text = F.when(~F.isnan(F.col(c)), number) if kind in ("double", "float") else F.col(c).cast("string")
+        text = F.when(F.col(c).try_cast("double").isNotNull(), number).otherwise(text) if kind == "string" else text
         return F.concat(F.lit(f"{c}="), F.coalesce(text, F.lit("NA")))
 
     return F.concat_ws(", ", *[one(c) for c in values])
