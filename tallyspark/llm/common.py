@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar, Token
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,22 +55,60 @@ def made_dir(spark: SparkSession, path: str) -> str:
     return store.makeQualified(where).toString()
 
 
-#: Staged tables of this process that have not been dropped yet.
-_STAGED: list[Staged] = []
+class Scope:
+    """Owns the tables and folders that are staged while it is open in this thread, and drops them when it closes, but for
+    those it is told to keep: `with Scope(): query(...).write...` leaves nothing behind. Scopes nest; what is staged
+    belongs to the innermost one. Other threads have scopes of their own."""
 
+    def __init__(self) -> None:
+        self.held: list[Staged | Folder] = []
 
-def staged_so_far() -> int:
-    """A mark for drop_staged()."""
-    return len(_STAGED)
+    def __enter__(self) -> Scope:
+        self._token = _OPEN.set(self)
+        return self
 
-
-def drop_staged(since: int = 0, *keep: Staged) -> None:
-    """Drop the tables staged since a mark, but for some. Without a mark all of them, once results are written: results
-    that are still to be computed may read them."""
-    for s in _STAGED[since:]:
-        if s not in keep:
+    def __exit__(self, *_) -> None:
+        _OPEN.reset(self._token)
+        for s in self.held:
             s.drop()
 
+    def keep(self, *some: Staged | Folder) -> None:
+        """Leave some to the scope around this one."""
+        for s in some:
+            if s in self.held:
+                self.held.remove(s)
+                if (outer := self._token.old_value) is not Token.MISSING and outer is not None:
+                    outer.held.append(s)
+                else:
+                    _LOOSE.append(s)
+
+
+_OPEN: ContextVar[Scope | None] = ContextVar("open", default=None)
+#: What was staged outside of any scope and has not been dropped yet.
+_LOOSE: list[Staged | Folder] = []
+
+
+def _own(s: Staged | Folder) -> None:
+    scope = _OPEN.get()
+    (_LOOSE if scope is None else scope.held).append(s)
+
+
+def drop_staged() -> None:
+    """Drop what was staged outside of any scope, once results are written: what is still to be computed may read it."""
+    while _LOOSE:
+        _LOOSE.pop().drop()
+
+
+class Folder:
+    """A folder of files that an operator writes by itself, dropped like a staged table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        _own(self)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.path)
+
 
 class Staged:
     """A table written to the shared folder and read back, which cuts the lineage. It stays there until it is dropped."""
@@ -77,15 +116,13 @@ class Staged:
     def __init__(self, df: DataFrame, label: str, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        _own(self)
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _STAGED.append(self)
 
     def drop(self) -> None:
-        """Remove the files; only once nothing reads them any more."""
+        """Remove the files; only once nothing reads them any more. A second time it does nothing."""
         drop_path(self.spark, self.path)
-        if self in _STAGED:
-            _STAGED.remove(self)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Staged, drop_staged, small, staged_so_far
+from tallyspark.llm.common import Scope, Staged, small
 
 
 #: Edges of a node beyond which the node's least neighbour is broadcast to them instead of gathering them.
@@ -54,10 +54,10 @@ def components(edges: DataFrame, rounds: int = 60, crowd: int = CROWD) -> DataFr
     now = Staged(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
     mark = now.df.count(), None
     for _ in range(rounds):
-        before = staged_so_far()
-        then = Staged(_small_star(_large_star(now.df, crowd, mark[0]), crowd, mark[0]).filter("u <> v").distinct(), "edges")
+        with Scope() as scope:
+            then = Staged(_small_star(_large_star(now.df, crowd, mark[0]), crowd, mark[0]).filter("u <> v").distinct(), "edges")
+            scope.keep(then)
         now.drop()
-        drop_staged(before - 1, then)
         now = then
         new = now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Staged, shared_dir, ship, small, table
+from tallyspark.llm.common import Folder, Staged, shared_dir, ship, small, table
 from tallyspark.llm.tokenfiles import _file_system
 
 #: Bytes of an anchor gram, of text in a part, and of text for each group of anchors or passages.
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, key: str = "doc_id", text:
     parts, groups = max(1, -(-total // PART)), max(1, -(-total // GROUP))
     rest = known.filter(~F.coalesce(again, F.lit(False))).select("key", "id", "text", F.pmod(F.xxhash64("id", "h1"), F.lit(parts)).cast("int").alias("part"))
     rest = Staged(rest.repartition(parts, "part").sortWithinPartitions("part").withColumn("seq", F.monotonically_increasing_id()), "texts").df
-    base = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
+    base = Folder(spark, f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}").path
     texts = rest.select("part", "seq", "id", "text")
     told = texts.mapInArrow(lambda b: _told(least, groups, b), "g int, part int, raw binary")
     shared = told.groupBy("g").applyInPandas(_shared, "part int, raw binary")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm.bpe import encoder
-from tallyspark.llm.common import Staged, made_dir, shared_dir, ship, small, table
+from tallyspark.llm.common import Folder, Staged, made_dir, shared_dir, ship, small, table
 
 MAGIC = b"TLYTOK1\n"
 #: Ids of a block (more only where one document has more), encoded bytes at which a file ends, ids for one writing task.
@@ -244,6 +244,6 @@ def op5_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to token files and read back."""
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = Folder(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}").path
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, path)

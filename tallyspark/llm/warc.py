@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Staged, made_dir, shared_dir, ship, small, table
+from tallyspark.llm.common import Folder, Staged, made_dir, shared_dir, ship, small, table
 from tallyspark.llm.tokenfiles import _file_system
 
 #: Compressed bytes at which an archive ends, and parsed bytes at which a batch of records does.
@@ -215,7 +215,7 @@ def with_payloads(captures: DataFrame) -> DataFrame:
 
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, read back and assembled. digest_agrees: whether the header's digest is the payload's."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = Folder(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").path
     write_warc(table(spark, sf_dir, "pages"), path)
     read = Staged(read_warc(spark, path).withColumn("content", F.when(F.col("type") == "metadata", F.col("content"))), "records").df
     rows = with_payloads(transactions(read))
