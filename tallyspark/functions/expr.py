@@ -123,8 +123,19 @@ def confidence(p: Column) -> Column:
     return F.greatest(1 - entropy(p) / F.ln(F.size(p)), F.lit(0.0))
 
 
-def weighted_jsd(p: Column, q: Column) -> Column:
-    return jsd(p, q) * (confidence(p) + confidence(q)) / 2
+def normalised_jsd(p: Column, q: Column) -> Column:
+    """JSD of values that are first clamped to at least EPS and normalised."""
+    return let(F.struct(normalised(p).alias("p"), normalised(q).alias("q")), lambda x: clipped_jsd(x["p"], x["q"]))
+
+
+def entropy_confidence(entropy_: Column, points: Column) -> Column:
+    """1 - H / ln M of an entropy over M points, between 0 and 1."""
+    return 1 - F.least(F.greatest(entropy_ / (F.ln(points) + EPS), F.lit(0.0)), F.lit(1.0))
+
+
+def weighted_jsd(posterior: Column, prior: Column, confidence_: Column) -> Column:
+    """JSD of a mean posterior and its prior, times the mean confidence of the posteriors (entropy_confidence())."""
+    return jsd(posterior, prior) * confidence_
 
 
 def overlap(p: Column, q: Column) -> Column:
@@ -169,7 +180,9 @@ def interpolated(support: Column, p: Column, grid: Column) -> Column:
 
 
 def smoothed(p: Column, sigma: float) -> Column:
-    """Convolution with a Gaussian kernel of three sigmas, edges replicated."""
+    """Convolution with a Gaussian kernel of three sigmas, edges replicated, then normalised; as it is for sigma 0."""
+    if sigma <= 0:
+        return p
     reach = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
     kernel = [x / sum(kernel) for x in kernel]
@@ -182,7 +195,7 @@ def smoothed(p: Column, sigma: float) -> Column:
             out = out + t
         return out
 
-    return F.transform(p, at)
+    return let(F.transform(p, at), lambda c: let(F.greatest(total(c), F.lit(EPS)), lambda s: F.transform(c, lambda x: x / s)))
 
 
 def gaussian_prior(support: Column, mean: Column, sd: Column) -> Column:
@@ -190,6 +203,16 @@ def gaussian_prior(support: Column, mean: Column, sd: Column) -> Column:
     return normalised(F.transform(support, lambda s: F.exp(-0.5 * F.pow((s - mean) / F.greatest(sd, F.lit(EPS)), F.lit(2.0)))))
 
 
+def moment_matched(support: Column, p: Column) -> Column:
+    """The Gaussian on the grid that has a prior's mean and deviation."""
+
+    def matched(w: Column) -> Column:
+        mean = total(F.zip_with(w, support, lambda a, x: a * x))
+        return let(mean, lambda m: gaussian_prior(support, m, F.sqrt(F.greatest(total(F.zip_with(w, support, lambda a, x: a * F.pow(x - m, F.lit(2.0)))), F.lit(EPS)))))
+
+    return let(normalised(p), matched)
+
+
 def bin_edges(support: Column) -> Column:
     """Midpoints between support points, with the first and last point as outer edges."""
     mids = F.transform(F.sequence(F.lit(0), F.size(support) - 2), lambda i: (F.get(support, i) + F.get(support, i + 1)) / 2)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import expr as X
 from tallyspark.functions.order import shared_path
+from tallyspark.operators import checks as K
+from tallyspark.operators import model as M
 from tallyspark.plans import answers as A
 from tallyspark.plans import catalogue as Q
 from tallyspark.plans import facades
@@ -76,3 +79,74 @@ def _(s, d):
     rows = D.read(s, d, "supplier").join(D.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows.select(F.col("s_name").alias("gene"), F.col("n_name").alias("label"), F.col("s_acctbal").cast("double").alias("bal"), F.col("s_suppkey").alias("key"), F.col("n_name").alias("nation")).write.option("header", True).csv(path)
     return D.read_annotations(s, {"retail": path}).select("source", "name", "gene_id", "text")
+
+
+# Divergences, smoothing and matched moments of shares of a supplier's lines by line number.
+
+_SHARES = """WITH n AS (SELECT l_suppkey, l_linenumber AS j, count(*)::DOUBLE AS a, sum(l_quantity)::DOUBLE AS b FROM lineitem GROUP BY l_suppkey, l_linenumber),
+g AS (SELECT l_suppkey, j, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT DISTINCT l_suppkey FROM n) CROSS JOIN (SELECT unnest(range(1, 8)) AS j) LEFT JOIN n USING (l_suppkey, j)),
+x AS (SELECT l_suppkey, j, a / sum(a) OVER w AS p, b / sum(b) OVER w AS q FROM g WINDOW w AS (PARTITION BY l_suppkey))
+"""
+
+
+def _shares(s, d):
+    counts = D.read(s, d, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [*range(1, 8)]).agg(F.count(F.lit(1)).alias("a"), F.sum("l_quantity").alias("b"))
+    listed = lambda mark: F.array(*[F.coalesce(F.col(f"`{j}_{mark}`").cast("double"), F.lit(0.0)) for j in range(1, 8)])
+    part = lambda c: X.let(X.total(c), lambda t: F.transform(c, lambda x: x / t))
+    return counts.select("l_suppkey", part(listed("a")).alias("p"), part(listed("b")).alias("q"))
+
+
+@query(
+    "divergence_variants",
+    _SHARES
+    + """, c AS (SELECT l_suppkey, j, p, q, greatest(p, 1e-12) / sum(greatest(p, 1e-12)) OVER w AS pn, greatest(q, 1e-12) / sum(greatest(q, 1e-12)) OVER w AS qn FROM x WINDOW w AS (PARTITION BY l_suppkey))
+    SELECT l_suppkey, round(sum(p * ln((p + 1e-12) / ((p + q) / 2 + 1e-12)) + q * ln((q + 1e-12) / ((p + q) / 2 + 1e-12))) / 2, 9) AS with_eps,
+      round(sum(p * ln(greatest(p, 1e-12) / greatest((p + q) / 2, 1e-12)) + q * ln(greatest(q, 1e-12) / greatest((p + q) / 2, 1e-12))) / 2, 9) AS clipped,
+      round(sum(pn * ln(pn / ((pn + qn) / 2)) + qn * ln(qn / ((pn + qn) / 2))) / 2, 9) AS normalised FROM c GROUP BY l_suppkey""",
+)
+def _(s, d):
+    x = _shares(s, d)
+    p, q = F.col("p"), F.col("q")
+    return x.select("l_suppkey", *[F.round(f(p, q), 9).alias(n) for n, f in (("with_eps", X.jsd), ("clipped", X.clipped_jsd), ("normalised", X.normalised_jsd))])
+
+
+@query(
+    "smoothed_shares",
+    _SHARES
+    + """, k AS (SELECT d, exp(-0.5 * (d / 0.8) ** 2) AS w FROM (SELECT unnest(range(-3, 4)) AS d)), m AS (SELECT x.l_suppkey, x.j, sum(y.p * w) / (SELECT sum(w) FROM k) AS v FROM x CROSS JOIN k
+    JOIN x y ON y.l_suppkey = x.l_suppkey AND y.j = least(greatest(x.j + d, 1), 7) GROUP BY x.l_suppkey, x.j)
+    SELECT l_suppkey, j::INT AS j, round(v / sum(v) OVER (PARTITION BY l_suppkey), 9) AS p FROM m""",
+)
+def _(s, d):
+    rows = _shares(s, d).select("l_suppkey", F.posexplode(X.smoothed(F.col("p"), 0.8)).alias("j", "v"))
+    return rows.select("l_suppkey", (F.col("j") + 1).alias("j"), F.round("v", 9).alias("p"))
+
+
+@query(
+    "moment_matched_shares",
+    _SHARES
+    + """, n2 AS (SELECT l_suppkey, j, greatest(p, 1e-12) / sum(greatest(p, 1e-12)) OVER (PARTITION BY l_suppkey) AS p FROM x), mm AS (SELECT l_suppkey, sum(p * j) AS m FROM n2 GROUP BY 1),
+    vv AS (SELECT l_suppkey, m, sqrt(greatest(sum(p * (j - m) ** 2), 1e-12)) AS sd FROM n2 JOIN mm USING (l_suppkey) GROUP BY l_suppkey, m),
+    gg AS (SELECT l_suppkey, j, greatest(exp(-0.5 * ((j - m) / sd) ** 2), 1e-12) AS v FROM n2 JOIN vv USING (l_suppkey))
+    SELECT l_suppkey, j::INT AS j, round(v / sum(v) OVER (PARTITION BY l_suppkey), 9) AS p FROM gg""",
+)
+def _(s, d):
+    grid = F.array(*[F.lit(float(j)) for j in range(1, 8)])
+    rows = _shares(s, d).select("l_suppkey", F.posexplode(X.moment_matched(grid, F.col("p"))).alias("j", "v"))
+    return rows.select("l_suppkey", (F.col("j") + 1).alias("j"), F.round("v", 9).alias("p"))
+
+
+@query(
+    "weighted_divergence",
+    Q.POSTERIOR
+    + """w AS (SELECT gene_id, k, n, count(*) AS w FROM obsn GROUP BY ALL), hh AS (SELECT gene_id, k, n, -sum(pp * ln(greatest(pp, 1e-12))) AS h FROM soft GROUP BY ALL),
+    cf AS (SELECT gene_id, sum(w * (1 - least(greatest(h / (ln(16) + 1e-12), 0), 1))) / sum(w) AS c FROM hh JOIN w USING (gene_id, k, n) GROUP BY gene_id),
+    mp AS (SELECT gene_id, j, sum(w * pp) / sum(w) AS p, any_value(q) AS q FROM soft JOIN w USING (gene_id, k, n) GROUP BY gene_id, j)
+    SELECT gene_id, round(c * sum(p * ln((p + 1e-12) / ((p + q) / 2 + 1e-12)) + q * ln((q + 1e-12) / ((p + q) / 2 + 1e-12))) / 2, 6) AS value FROM mp JOIN cf USING (gene_id) GROUP BY gene_id, c""",
+)
+def _(s, d):
+    out = M.infer(Q._rows(s, d), Q._priors(s, d), Q._CONFIG, channels=("posterior", "prior"))
+    sure = F.sum(F.col("weight") * X.entropy_confidence(F.col("posterior_entropy"), F.size("prior"))) / F.sum("weight")
+    each = out.groupBy("gene_id").agg(sure.alias("sure"), F.first("prior").alias("prior"))
+    both = K.aggregate_posterior(out.select("gene_id", "weight", "posterior")).join(each, "gene_id")
+    return both.select("gene_id", r6(X.weighted_jsd(F.col("prob"), F.col("prior"), F.col("sure"))).alias("value"))
