@@ -157,7 +157,9 @@ def test_command_line(spark, m, tmp_path):
     m, _ = m
     at = lambda name: str(tmp_path / name)
     cli.write_matrix(m, at("m"))
-    cli.main(["fit-priors", at("m"), "--output", at("c"), "--mode", "both", "--points", "8"], spark)
+    cli.main(["fit-priors", at("m"), "--output", at("c"), "--mode", "both", "--points", "8", "--spacing", "sqrt", "--max-iterations", "20", "--summary", at("fit.json")], spark)
+    told = json.loads((tmp_path / "fit.json").read_text())
+    assert {r["scope"] for r in told["scopes"]} >= {"global"} and told["mean_reference"] > 0 and told["fit_config"]["spacing"] == "sqrt"
     cli.main(["fit-priors", at("m"), "--output", at("w"), "--points", "8", "--warm-start", at("c"), "--shard", "0", "--shards", "2"], spark)
     cli.main(["fit-priors", at("m"), "--output", at("v"), "--points", "8", "--shard", "1", "--shards", "2"], spark)
     cli.main(["merge-checkpoints", at("w"), at("v"), "--output", at("all")], spark)
@@ -165,7 +167,10 @@ def test_command_line(spark, m, tmp_path):
     cli.main(["extract-signals", at("m"), "--checkpoint", at("c"), "--output", at("s"), "--by-label"], spark)
     signals = spark.read.parquet(at("s"))
     assert signals.count() == 480 and signals.filter("signal < 0 OR scope = 'global'").count() == 0
-    cli.main(["extract-kbulk", at("m"), "--checkpoint", at("c"), "--output", at("k"), "--k", "3", "--samples", "2"], spark)
+    cli.main(["extract-kbulk", at("m"), "--checkpoint", at("c"), "--output", at("k"), "--k", "3", "--samples", "2", "--layers"], spark)
+    assert {"map_mu", "map_p", "raw_counts", "prior_entropy"} <= set(spark.read.parquet(at("k")).columns)
+    with pytest.raises(ValueError):
+        cli.main(["extract-signals", at("m"), "--checkpoint", at("c"), "--output", at("x"), "--distribution", "poisson"], spark)
     assert spark.read.parquet(at("k")).select("label", "sample_id").distinct().count() == 4
     cli.main(["rank-genes", at("m"), "--output", at("r"), "--method", "total", "--top", "3"], spark)
     assert spark.read.option("header", True).csv(at("r")).count() == 3
