@@ -142,7 +142,10 @@ def _digests(text: str) -> list[Column]:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """a, b and apart (differing bits, FAR at most) of each text b (node, fp, firm) with the smallest text of its buckets."""
+    """a, b and apart (differing bits, FAR at most) of texts (node, fp, firm) that share buckets of the index: enough pairs
+    to connect what buckets join. Each text meets the smallest text of all its buckets first; where that leaves a bucket
+    with texts of several groups, those of the others meet one of its first group. So a text of a large group of copies,
+    whose buckets begin with many different texts, costs one pair and not one for each of these."""
     n = sets.count()
     width = min(WIDE, max(NARROW, n.bit_length() + SPARE))
     flips = 3 + (width - NARROW) // 4
@@ -150,8 +153,15 @@ def candidates(sets: DataFrame) -> DataFrame:
     index = sets.select("node", F.explode(key).alias("key"))
     met = index.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = Staged(met.select("of", "least"), "buckets").df
-    members = index.join(met.hint("merge"), F.col("key") == F.col("of")).filter("node <> least")
-    return _near(members.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), sets)
+    first = index.join(met.hint("merge"), F.col("key") == F.col("of")).groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a <> b")
+    near = _near(first.select("a", "b"), sets)
+    roots = Staged(components(near), "first-roots").df.select(F.col("node").alias("n_"), "root")
+    rooted = sets.join(roots.hint("merge"), F.col("node") == F.col("n_"), "left").select("node", F.coalesce("root", "node").alias("root"), "fp", "firm")
+    index = rooted.select("node", "root", F.explode(key).alias("key"))
+    across = index.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("root", "node")).alias("x"), F.max("root").alias("hi")).filter("x.root <> hi")
+    across = Staged(across.select("of", "x"), "mixed-buckets").df
+    more = index.join(across.hint("merge"), F.col("key") == F.col("of")).filter(F.col("root") != F.col("x.root"))
+    return near.union(_near(more.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct(), sets))
 
 
 def _sketch() -> Column:
