@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.order import cut, numbered, numbered_lines
+from tallyspark.functions.ship import ship
 from tallyspark.functions.text import cleaned
 from tallyspark.sources.matrices import Matrix
 
@@ -67,60 +73,109 @@ def write_matrix_bundle(m: Matrix, path: str) -> None:
         rows.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").text(f"{path}/{name}")
 
 
-def write_dense(m: Matrix, path: str, delimiter: str = ",", genes_first: bool = False) -> None:
-    """The matrix as a text table with a cell a line and a gene a column, or the other way round, in the order of names."""
+def write_dense(m: Matrix, path: str, delimiter: str = ",", genes_first: bool = False, chunk: int = 1 << 14) -> None:
+    """The matrix as a text table with a cell a line and a gene a column, or the other way round, in the order of names.
+
+    Lines are made in chunks of columns, each from its non-zero values in their order with as many zeros between them as
+    there are places, so the work grows with the values and the text, whatever the width.
+    """
     line, column = ("gene_id", "cell_id") if genes_first else ("cell_id", "gene_id")
     obs, var = m.obs.select(F.col("cell_id").cast("string").alias("cell_id")), m.var.select("gene_id")
     lines, columns = (var, obs) if genes_first else (obs, var)
     places = cut(numbered(columns, [], [column]))
-    names = F.array_sort(F.collect_list(F.struct("pos", column)))
-    head = places.agg(names.alias("x")).select(F.lit("").alias("o"), F.concat_ws(delimiter, F.lit(line), F.array_join(f"x.{column}", delimiter)).alias("value"))
-    counts = m.counts.filter("value <> 0").withColumn("cell_id", F.col("cell_id").cast("string"))
-    held = counts.join(places, column).groupBy(F.col(line).alias("o_")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
     width = places.count()
-    values = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(width - 1, 0)).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i).cast("string"), F.lit("0")))
-    rows = lines.join(held, F.col(line) == F.col("o_"), "left").select(F.col(line).alias("o"), F.concat_ws(delimiter, F.col(line), F.array_join(values, delimiter)).alias("value"))
+    of = F.floor(F.col("pos") / chunk).alias("c")
+
+    def joined(parts: DataFrame, by: list[str]) -> DataFrame:
+        """Texts of the chunks (c, text) of each of `by`, in their order."""
+        return parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]), delimiter).alias("text"))
+
+    names = places.groupBy(of).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda x: x[column]), delimiter).alias("text"))
+    head = joined(names, []).select(F.lit("").alias("o"), F.concat_ws(delimiter, F.lit(line), F.when(F.lit(width > 0), F.col("text"))).alias("value"))
+    counts = m.counts.filter("value <> 0").withColumn("cell_id", F.col("cell_id").cast("string"))
+    held = counts.join(places, column).groupBy(F.col(line).alias("o_"), of).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("string").alias("v")))).alias("x"))
+    begin, end = F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.lit(width))
+    zeros = lambda n: F.repeat(F.lit("0" + delimiter), n.cast("int"))
+    before = lambda i: F.coalesce(F.get("x", i - 1)["pos"] + 1, F.col("begin"))
+    values = F.array_join(F.transform("x", lambda x, i: F.concat(zeros(x["pos"] - before(i)), x["v"])), delimiter)
+    rest = F.col("end") - F.element_at("x", -1)["pos"] - 1
+    text = F.when(F.col("x").isNull(), F.concat(zeros(F.col("end") - F.col("begin") - 1), F.lit("0"))).otherwise(F.concat(values, F.repeat(F.lit(delimiter + "0"), rest.cast("int"))))
+    chunks = m.var.sparkSession.range(max(1, -(-width // chunk))).select(F.col("id").alias("c"))
+    grid = lines.select(F.col(line).alias("o")).crossJoin(F.broadcast(chunks)).join(held.withColumnRenamed("c", "c_"), (F.col("o") == F.col("o_")) & (F.col("c") == F.col("c_")), "left")
+    parts = grid.select("o", "c", "x", begin.alias("begin"), end.alias("end")).select("o", "c", text.alias("text"))
+    rows = joined(parts, ["o"]).select("o", F.concat_ws(delimiter, "o", F.when(F.lit(width > 0), F.col("text"))).alias("value"))
     sorted_ = head.withColumn("p", F.lit(0)).unionByName(rows.withColumn("p", F.lit(1))).repartitionByRange("p", "o").sortWithinPartitions("p", "o")
     sorted_.select("value").write.mode("overwrite").text(path)
 
 
-def _wide(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, DataFrame]:
-    """(line, name, at, value) of all non-zero values of a wide table with a header and a name in front of each line, and
-    (at, column) of its header. Lines are not given columns of their own, so tables may be of any width."""
+def _cut_lines(delimiter: str, fields: int):
+    """Lines (pos, value) as rows of at most so many fields: pos, size (fields of the line), name (its first field), at
+    (from 0, of the first field of this row behind the name) and piece."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = delimiter.encode()
+        for batch in batches:
+            rows: list[tuple] = []
+            for pos, value in zip(batch.column("pos").to_pylist(), batch.column("value").cast(pa.binary()), strict=True):
+                line = value.as_py().removesuffix(b"\r")
+                # Where fields end, without the fields themselves, which take far more room than their text.
+                ends = np.flatnonzero(np.frombuffer(line, np.uint8) == d[0]) if len(d) == 1 else np.array([m.start() for m in re.finditer(re.escape(d), line)], np.int64)
+                name = line if not len(ends) else line[: ends[0]]
+                for i in range(0, max(len(ends), 1), fields):
+                    begin, end = (int(ends[i]) + len(d), int(ends[i + fields]) if i + fields < len(ends) else len(line)) if len(ends) else (0, 0)
+                    rows.append((pos, len(ends) + 1, name, i, line[begin:end] if len(ends) else None))
+                    if len(rows) >= 1024:
+                        yield _batch(rows)
+                        rows = []
+            if rows:
+                yield _batch(rows)
+
+    return pieces
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([c.cast(pa.string()) if c.type == pa.binary() else c for c in columns], ["pos", "size", "name", "at", "piece"])
+
+
+def _wide(spark: SparkSession, path: str, delimiter: str, fields: int = 1 << 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(line, name) of the lines of a wide table with a header and a name in front of each line, (name, at, value) of all
+    its non-zero values, and (at, column) of its header. Lines are not given columns of their own, so tables may be of any
+    width; they are cut into pieces of so many fields, and no line's fields are held at once."""
+    ship(spark)
     lines = _held(numbered_lines(spark, path))
     first = lines.agg(F.min("pos").alias("p")).first()["p"]
     if first is None:
         raise ValueError(f"{path} is empty")
-    named = lines.select("pos", _fields(F.regexp_replace("value", "\\r$", ""), delimiter).alias("f"))
-    header = named.filter(F.col("pos") == first).select(F.posexplode("f").alias("at", "column")).filter("at > 0")
-    header = header.select((F.col("at") - 1).alias("at"), cleaned(F.col("column")).alias("column"))
-    if not header.limit(1).count():
+    cut_up = lambda some: some.select("pos", "value").mapInArrow(_cut_lines(delimiter, fields), "pos long, size long, name string, at long, piece string")
+    top = cut_up(lines.filter(F.col("pos") == first))
+    width = top.agg(F.max("size").alias("n")).first()["n"]
+    if width < 2:
         raise ValueError(f"the header of {path} is malformed")
-    rows = named.filter(F.col("pos") > first)
-    width = header.count() + 1
-    if bad := rows.filter(F.size("f") != width).limit(1).collect():
-        raise ValueError(f"line {bad[0]['pos']} of {path} has {len(bad[0]['f'])} fields, not {width}")
-    return rows.select(F.col("pos").alias("line"), cleaned(F.col("f")[0]).alias("name"), "f"), header
-
-
-def _values(rows: DataFrame) -> DataFrame:
-    values = F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x, i: F.struct(i.alias("at"), F.nullif(F.trim(x), F.lit("")).cast("double").alias("value")))
-    some = F.filter(values, lambda x: x["value"] != 0)
-    return rows.select("name", F.explode(some).alias("x")).select("name", "x.at", "x.value")
+    header = top.select("at", F.posexplode(_fields(F.col("piece"), delimiter)).alias("i", "column"))
+    header = header.select((F.col("at") + F.col("i")).cast("int").alias("at"), cleaned(F.col("column")).alias("column"))
+    pieces = cut_up(lines.filter(F.col("pos") > first))
+    if bad := pieces.filter(F.col("size") != width).select("pos", "size").limit(1).collect():
+        raise ValueError(f"line {bad[0]['pos']} of {path} has {bad[0]['size']} fields, not {width}")
+    values = F.transform(_fields(F.col("piece"), delimiter), lambda x, i: F.struct(i.alias("i"), F.nullif(F.trim(x), F.lit("")).cast("double").alias("value")))
+    some = pieces.select("name", "at", F.explode(F.filter(values, lambda x: x["value"] != 0)).alias("x"))
+    counts = some.select(cleaned(F.col("name")).alias("name"), (F.col("at") + F.col("x.i")).cast("int").alias("at"), F.col("x.value").alias("value"))
+    return pieces.filter("at = 0").select(F.col("pos").alias("line"), cleaned(F.col("name")).alias("name")), counts, header
 
 
 def read_genes_by_cells(spark: SparkSession, path: str, delimiter: str = "\t") -> Matrix:
     """A dense text table with a gene a line and a cell a column. Blank lines are no genes; empty fields are zero."""
-    rows, header = _wide(spark, path, delimiter)
-    counts = _values(rows).join(header, "at").select(F.col("column").alias("cell_id"), F.col("name").alias("gene_id"), "value")
+    rows, values, header = _wide(spark, path, delimiter)
+    counts = values.join(header, "at").select(F.col("column").alias("cell_id"), F.col("name").alias("gene_id"), "value")
     obs = header.select(F.col("column").alias("cell_id"), F.lit(None).cast("string").alias("label"), F.col("at").cast("long").alias("pos"))
     return Matrix(counts, obs, numbered(rows.select("line", F.col("name").alias("gene_id")), [], ["line"]).select("gene_id", "pos"))
 
 
 def read_cells_by_genes(spark: SparkSession, path: str, delimiter: str = ",") -> Matrix:
     """A dense text table with a cell a line and a gene a column."""
-    rows, header = _wide(spark, path, delimiter)
-    counts = _values(rows).join(header, "at").select(F.col("name").alias("cell_id"), F.col("column").alias("gene_id"), "value")
+    rows, values, header = _wide(spark, path, delimiter)
+    counts = values.join(header, "at").select(F.col("name").alias("cell_id"), F.col("column").alias("gene_id"), "value")
     obs = numbered(rows.select("line", F.col("name").alias("cell_id")), [], ["line"]).select("cell_id", F.lit(None).cast("string").alias("label"), "pos")
     return Matrix(counts, obs, header.select(F.col("column").alias("gene_id"), F.col("at").cast("long").alias("pos")))
 

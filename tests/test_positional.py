@@ -116,3 +116,23 @@ def test_draws_of_a_hot_class(spark):
     got = S.combinations(obs, S.plan(obs.withColumn("n_ref", F.lit(1)), 4, 50, False), 4, 1).groupBy("label", "sample_id").agg(F.collect_set("cell_id").alias("c")).collect()
     assert len(got) == 100 and all(len(r["c"]) == 4 and all((c < 900) == (r["label"] == "a") for c in r["c"]) for r in got)
     assert isinstance(Matrix(obs, obs, obs), Matrix)
+
+
+def test_wide_tables_are_written_and_read_in_chunks(spark, tmp_path):
+    """Chunks of columns that are full, empty, single and cut off, both ways round; lines without any value."""
+    values = {("c00", "g1"): 1.5, ("c02", "g1"): 2.0, ("c03", "g1"): 3.0, ("c09", "g1"): 4.0, ("c10", "g1"): 5.0, ("c06", "g3"): 6.0}
+    counts = spark.createDataFrame([(*k, v) for k, v in values.items()], "cell_id string, gene_id string, value double")
+    obs = spark.createDataFrame([(f"c{i:02d}", None) for i in range(11)], "cell_id string, label string")
+    m = Matrix(counts, obs, spark.createDataFrame([("g1",), ("g2",), ("g3",)], "gene_id string"))
+    for chunk in (3, 100):
+        by_gene, by_cell = str(tmp_path / f"g{chunk}"), str(tmp_path / f"c{chunk}")
+        N.write_dense(m, by_gene, "\t", genes_first=True, chunk=chunk)
+        N.write_dense(m, by_cell, chunk=chunk)
+        assert [r["value"].split("\t") for r in O.numbered_lines(spark, by_gene).orderBy("pos").collect()] == [
+            ["gene_id", *(f"c{i:02d}" for i in range(11))], *[[g, *(str(values.get((f"c{i:02d}", g), 0)) for i in range(11))] for g in ("g1", "g2", "g3")],
+        ]
+        for back in (N.read_genes_by_cells(spark, by_gene), N.read_cells_by_genes(spark, by_cell)):
+            assert counts_of(back) == values and back.obs.count() == 11 and back.var.count() == 3
+    rows, found, header = N._wide(spark, str(tmp_path / "g100"), "\t", fields=4)
+    assert {(r["name"], r["at"]): r["value"] for r in found.collect()} == {(g, int(c[1:])): v for (c, g), v in values.items()}
+    assert rows.count() == 3 and [r["at"] for r in header.orderBy("at").collect()] == list(range(11))
