@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import expr as X
-from tallyspark.operators.model import FitConfig, log_likelihood
+from tallyspark.operators.model import FitConfig, effective, log_likelihood
 
 
 def score_stream(counts: DataFrame, priors: DataFrame, mean_reference: float, config: FitConfig) -> DataFrame:
     """counts (gene_id, k, n_ref and others; streaming or not) with signal and posterior_entropy, by a stateless
     stream-static join. priors hold one scope; they are as many rows as genes, so they are broadcast."""
-    n = F.col("n_ref") / F.lit(mean_reference) * F.col("scale")
+    n = effective("scale", F.lit(mean_reference))
     met = counts.join(F.broadcast(priors.select("gene_id", "scale", "support", "prob")), "gene_id")
     post = X.posterior(log_likelihood(config, F.col("k").cast("double"), n, F.col("support")), F.col("prob"))
     summary = X.let(post, lambda p: F.struct(X.argmax(p).alias("i"), X.entropy(p).alias("h")))

@@ -231,3 +231,15 @@ def test_sketches_of_quantiles_are_within_their_error(spark):
     assert all(r["median"] == pytest.approx(exact[r["l_linenumber"]], rel=0.05) and r["max"] >= r["p90"] >= r["median"] for r in summary)
     with pytest.raises(ValueError, match="unknown method"):
         K.quantiles_of(lines, by, "v", shares, "x")
+
+
+def test_cells_without_counts_leave_signals_alone(spark):
+    """The mean reference is that of cells with counts, in all cells' signals as in the fit."""
+    counts = spark.createDataFrame([(c, g, 1 + (c + i) % 4) for c in range(6) for i, g in enumerate("xyz")], "cell_id long, gene_id string, value long")
+    var = spark.createDataFrame([(g,) for g in "xyz"], "gene_id string")
+    few, many = (Matrix(counts, spark.createDataFrame([(i, "a") for i in range(n)], "cell_id long, label string"), var) for n in (6, 9))
+    config = M.FitConfig(points=8)
+    priors = M.initial_priors(M.support_tops(M.compressed(few), F.col("n_mean"), config), config).localCheckpoint()
+    for run in (lambda m: facades.extract_signals(m, priors, config), lambda m: facades.gene_analysis(m, "x", "checkpoint", config, priors)):
+        a, b = (sorted((r["cell_id"], r["gene_id"], r["signal"], r["posterior_entropy"]) for r in run(m).collect()) for m in (few, many))
+        assert a == b and len(a) > 0
