@@ -243,3 +243,13 @@ def test_cells_without_counts_leave_signals_alone(spark):
     for run in (lambda m: facades.extract_signals(m, priors, config), lambda m: facades.gene_analysis(m, "x", "checkpoint", config, priors)):
         a, b = (sorted((r["cell_id"], r["gene_id"], r["signal"], r["posterior_entropy"]) for r in run(m).collect()) for m in (few, many))
         assert a == b and len(a) > 0
+
+
+def test_equally_likely_points_tie(spark):
+    """Points p and 1 - p are equally likely for half of an exposure; the first counts, whatever the mean reference."""
+    keys = [("global", "g", k, 2 * k, n) for k in range(1, 40) for n in (40.002666844456296, 39.9, 7.3, 13.7, 3.1)]
+    rows = spark.createDataFrame(keys, "scope string, gene_id string, k long, n_ref long, n_mean double")
+    priors = rows.select("scope", "gene_id", F.col("n_mean").alias("scale"), X.linear_grid(F.lit(1.0), 16).alias("support"), X.uniform(16).alias("prob")).distinct()
+    for n in {k[4] for k in keys}:
+        got = M.infer(rows.filter(F.col("n_mean") == n), priors.filter(F.col("scale") == n), M.FitConfig(points=16)).collect()
+        assert len(got) == 39 and {r["map_support"] for r in got} == {7 / 15}
