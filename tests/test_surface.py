@@ -253,3 +253,15 @@ def test_equally_likely_points_tie(spark):
     for n in {k[4] for k in keys}:
         got = M.infer(rows.filter(F.col("n_mean") == n), priors.filter(F.col("scale") == n), M.FitConfig(points=16)).collect()
         assert len(got) == 39 and {r["map_support"] for r in got} == {7 / 15}
+
+
+def test_gene_fit_keeps_cells_beyond_their_reference(spark):
+    """A cell with more of the gene than of all others is told without a signal, and the others as if it were not there."""
+    rows = [(c, g, 1 + (c + i) % 3) for c in range(8) for i, g in enumerate("xyz")]
+    var = spark.createDataFrame([(g,) for g in "xyz"], "gene_id string")
+    config = M.FitConfig(points=8, max_iterations=3)
+    counts = spark.createDataFrame([*rows, (8, "x", 5), (8, "y", 2)], "cell_id long, gene_id string, value long")
+    obs = spark.createDataFrame([(i, "a") for i in range(9)], "cell_id long, label string")
+    got = {r["cell_id"]: r for r in facades.gene_analysis(Matrix(counts, obs, var), "x", "fit", config).collect()}
+    assert len(got) == 9 and got[8]["k"] == 5 and got[8]["signal"] is None and got[8]["posterior_entropy"] is None
+    assert all(got[i]["signal"] is not None for i in range(8))
