@@ -4,6 +4,8 @@ from tallyspark.sources import matrices as D
 from tallyspark.operators.model import FitConfig
 from tallyspark.streaming.scoring import score_stream
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_list_keeps_first_and_order(spark, tmp_path):
     (tmp_path / "l.txt").write_text(" b \n\na\nb\n")
@@ -35,3 +37,24 @@ def test_stream_scores(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["signal"] for r in spark.table("scored").collect()] == [2.0]
+
+
+def test_spread_grows_with_files(spark, tmp_path, monkeypatch):
+    """A table of more files' bytes is dealt over more tasks, whatever the session's number of shuffle partitions, and the
+    retail matrix stays the same."""
+    whole = D.read(spark, SF, "lineitem")
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert D.spread(whole, whole, "l_orderkey").rdd.getNumPartitions() == whole.rdd.getNumPartitions()
+    plain = {tuple(r) for r in D.retail(spark, SF).counts.collect()}
+    monkeypatch.setattr(D, "TASK_BYTES", D.expected_bytes(whole) // (4 * before) + 1)
+    assert D.spread(whole, whole, "l_orderkey").rdd.getNumPartitions() > before
+    D.SHARED.forget(spark, ("retail", SF))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not D.broadcasts(D.read(spark, SF, "part"))
+        counts = D.retail(spark, SF).counts
+        assert {tuple(r) for r in counts.collect()} == plain
+        assert counts.rdd.getNumPartitions() > before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        D.SHARED.forget(spark, ("retail", SF))
