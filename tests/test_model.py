@@ -142,3 +142,31 @@ def test_large_fits_of_several_scopes_and_of_nothing(spark):
     assert M.fit_large(rows.limit(0), F.col("n_mean"), config).count() == 0
     with pytest.raises(ValueError, match="adapt"):
         M.fit_large(rows, F.col("n_mean"), replace(config, adaptive=True))
+
+
+def _counted(df, seen):
+    def passed(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    return df.mapInPandas(passed, df.schema)
+
+
+def test_assembled_fits_run_once(spark):
+    rows = [("global", g, 2.0, [0.1, 0.2], [0.5, 0.5]) for g in ("a", "b")]
+    p = spark.createDataFrame(rows, "scope string, gene_id string, scale double, support array<double>, prob array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    both = P.assembled(_counted(p, seen), p.withColumn("scope", F.lit("label:x")))
+    P.check_same_genes(both)
+    assert both.count() == 4 and seen.value == 2
+
+
+def test_compressed_of_some_genes(spark):
+    m = matrix(spark, [[1, 0, 2], [0, 0, 3], [1, 4, 2], [0, 0, 0]], ["a", "b", "a", "b"])
+    for by_label in (False, True):
+        some = M.compressed(m, by_label, m.var.filter("gene_id <> 'g1'"))
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, M.compressed(m, by_label).filter("gene_id <> 'g1'").collect()))
+    assert {(r["gene_id"], r["k"], r["n_ref"]): r["weight"] for r in some.collect()} == {
+        ("g2", 0, 3): 1, ("g2", 4, 7): 1, ("g3", 2, 3): 1, ("g3", 2, 7): 1, ("g3", 3, 3): 1, ("g2", 0, 3): 1,
+    }
