@@ -162,6 +162,14 @@ def test_assembled_fits_run_once(spark):
     assert both.count() == 4 and seen.value == 2
 
 
+def test_unique_combinations_plan_once(spark):
+    m = matrix(spark, [[1]] * 12)
+    plan = S.plan(T.reference_counts(m), 2, 5, False)
+    seen = spark.sparkContext.accumulator(0)
+    got = S.unique_combinations(m.obs, _counted(plan, seen), 2, 0).collect()
+    assert len(got) == 10 and seen.value == 1
+
+
 def test_compressed_of_some_genes(spark):
     m = matrix(spark, [[1, 0, 2], [0, 0, 3], [1, 4, 2], [0, 0, 0]], ["a", "b", "a", "b"])
     for by_label in (False, True):
