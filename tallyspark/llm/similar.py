@@ -16,6 +16,7 @@ proportion to their number, as what each was edited to is its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -32,6 +33,9 @@ SEGMENTS = 24
 #: Differing bits of all of them (of 768) up to which texts belong together loosely (at similarity 0.8: 116, give or
 #: take 10).
 FAR = 200
+#: Of 64 of these bits so many, beyond which two texts met in a bucket by chance: texts that meet so grow with the square
+#: of their number, and differ in 32, give or take 4. Texts of similarity 0.8 differ in 10, give or take 3.
+UNLIKE = 26
 #: Bits of a segment that are indexed: so many more than the number of texts has, and the fewest and most.
 SPARE, NARROW, WIDE = 6, 24, 32
 #: Small rows (a key and two hashes) that may be broadcast.
@@ -124,9 +128,13 @@ def _apart(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32), pa.int32())
 
 
+def _held(values: pa.Array, kind: str) -> Iterator[np.ndarray]:
+    """Each binary value as an array over the batch's own memory: sets of a batch's rows are not copied all at once."""
+    return (np.frombuffer(v.as_buffer(), kind) for v in values)
+
+
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-    return pa.array([similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in pairs], pa.float64())
+    return pa.array([similarity(x, y) for x, y in zip(_held(a, "<u8"), _held(b, "<u8"), strict=True)], pa.float64())
 
 
 def _sets(size: int):
@@ -144,7 +152,8 @@ def _digests(text: str) -> list[Column]:
 def candidates(sets: DataFrame) -> DataFrame:
     """a, b and apart (differing bits, FAR at most) of texts (node, fp, firm) that share buckets of the index: enough pairs
     to connect what buckets join. Each text meets the smallest text of all its buckets first; where that leaves a bucket
-    with texts of several groups, those of the others meet one of its first group. So a text of a large group of copies,
+    with texts of several groups, those of the others meet one of its first group, unless 64 bits of their fingerprints tell
+    that chance brought them there, which would make pairs by the square of the number of texts. So a text of a large group of copies,
     whose buckets begin with many different texts, costs one pair and not one for each of these."""
     n = sets.count()
     width = min(WIDE, max(NARROW, n.bit_length() + SPARE))
@@ -153,17 +162,27 @@ def candidates(sets: DataFrame) -> DataFrame:
     index = sets.select("node", F.explode(key).alias("key"))
     met = index.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = Staged(met.select("of", "least"), "buckets").df
-    first = index.join(met.hint("merge"), F.col("key") == F.col("of")).groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a <> b")
+    # What shares no bucket, most of the index, goes no further.
+    held = Staged(index.join(met.hint("merge"), F.col("key") == F.col("of")).select("node", "key", "least"), "held").df
+    first = held.groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a <> b")
     near = _near(first.select("a", "b"), sets)
     roots = Staged(components(near), "first-roots").df.select(F.col("node").alias("n_"), "root")
-    rooted = sets.join(roots.hint("merge"), F.col("node") == F.col("n_"), "left").select("node", F.coalesce("root", "node").alias("root"), "fp", "firm")
-    index = rooted.select("node", "root", F.explode(key).alias("key"))
-    across = index.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("root", "node")).alias("x"), F.max("root").alias("hi")).filter("x.root <> hi")
+    rooted = sets.select("node", _spot().alias("spot")).join(roots.hint("merge"), F.col("node") == F.col("n_"), "left")
+    rooted = rooted.select(F.col("node").alias("m_"), F.coalesce("root", "node").alias("root"), "spot")
+    index = held.select("node", "key").join(rooted.hint("merge"), F.col("node") == F.col("m_")).select("node", "root", "spot", "key")
+    across = index.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("root", "node", "spot")).alias("x"), F.max("root").alias("hi")).filter("x.root <> hi")
     across = Staged(across.select("of", "x"), "mixed-buckets").df
-    more = index.join(across.hint("merge"), F.col("key") == F.col("of")).filter(F.col("root") != F.col("x.root"))
+    unlike = F.bit_count(F.col("spot").bitwiseXOR(F.col("x.spot"))) > UNLIKE
+    more = index.join(across.hint("merge"), (F.col("key") == F.col("of")) & (F.col("root") != F.col("x.root")) & ~unlike)
     return near.union(_near(more.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct(), sets))
 
 
+def _spot() -> Column:
+    """64 bits of a fingerprint that narrow indexes leave out: the last byte of its first 8 words (which lie in memory
+    with the last byte first)."""
+    return F.conv(F.hex(F.concat(*[F.substring("fp", 4 * k + 1, 1) for k in range(8)])), 16, -10).cast("long")
+
+
 def _sketch() -> Column:
     """The first 64 bits of a fingerprint."""
     word = lambda at: F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long")
@@ -202,17 +221,20 @@ def _verified(pairs: DataFrame, raw: DataFrame, least: float) -> DataFrame:
     return Staged(both.select("a", "b", F.arrow_udf(_alike, "double")(F.col("raw_a"), F.col("raw_b")).alias("s")).filter(F.col("s") >= least - 1e-12).select("a", "b"), "links").df
 
 
-def _listed(raw: pa.Array) -> pa.Array:
-    each = [np.frombuffer(r, "<i8") for r in raw.to_pylist()]
+def _lists(each: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, each)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
 
 
+def _listed(raw: pa.Array) -> pa.Array:
+    return _lists([*_held(raw, "<i8")])
+
+
 def _differences(raw: pa.Array, usual: pa.Array) -> pa.Array:
-    """What either of two sets holds alone."""
-    each = [np.setxor1d(np.frombuffer(x, "<i8"), np.array(y, np.int64)) for x, y in zip(raw.to_pylist(), usual.to_pylist(), strict=True)]
-    offsets = np.cumsum([0, *map(len, each)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+    """What either of two sets holds alone. Rows of a group come with the same usual set, as numbers of Python these would
+    take some five times the room."""
+    flat, ends = usual.values.to_numpy(), usual.offsets.to_numpy()
+    return _lists([np.setxor1d(x, flat[a:b]) for x, a, b in zip(_held(raw, "<i8"), ends[:-1], ends[1:], strict=True)])
 
 
 def rarest(raw: DataFrame, loose: DataFrame, roots: DataFrame, least: float) -> DataFrame:

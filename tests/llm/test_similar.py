@@ -106,3 +106,27 @@ def test_a_template_costs_no_pairs(spark, monkeypatch, n_texts):
                         compared[mark, r["loose"], z["t"], *key] += 1
     pairs = sum(c * compared[("m", *k[1:])] for k, c in compared.items() if k[0] == "f")
     assert len(texts) >= n_texts / 2 and pairs <= 0.01 * n_texts**2  # of texts with few edits of their own
+
+
+def test_texts_that_meet_by_chance_are_not_compared(spark, monkeypatch):
+    """F pipeline: in a narrow index unrelated texts share buckets, by the square of their number."""
+    for name, value in (("NARROW", 14), ("SPARE", 0)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    texts += [" ".join(edited(rng, t.split(), 1)) for t in texts[:20]]
+    compared, near = [], similar._near
+    monkeypatch.setattr(similar, "_near", lambda pairs, sets: compared.append(pairs.count()) or near(pairs, sets))
+    kept = {r["doc_id"] for r in similar.keep_one(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert kept == set(groups_of(texts)) and compared[0] <= len(texts) and compared[1] <= 5 * len(texts)
+
+
+def test_sets_are_read_where_they_lie():
+    import pyarrow as pa
+
+    sets = [np.array(x, "<i8") for x in ([1, 2, 3], [], [2, 9], [5])]
+    raw = pa.array([x.tobytes() for x in sets], pa.binary())
+    usual = pa.array([[7], [1, 2], [3], [2, 4], [5]], pa.list_(pa.int64())).slice(1)  # rows of a batch may begin anywhere
+    assert similar._differences(raw, usual).to_pylist() == [[3], [3], [4, 9], []]
+    assert similar._listed(raw.slice(2)).to_pylist() == [[2, 9], [5]]
+    assert similar._alike(raw, raw.take(pa.array([0, 2, 2, 2]))).to_pylist()[2:] == [1.0, 0.0]
