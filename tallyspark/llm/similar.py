@@ -208,7 +208,9 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("node").alias("a_"), F.col("fp").alias("fp_a"))
     two = sets.select(F.col("node").alias("b_"), F.col("fp").alias("fp_b"))
     both = pairs.join(one.hint("merge"), F.col("a") == F.col("a_")).join(two.hint("merge"), F.col("b") == F.col("b_"))
-    apart = both.select("a", "b", F.arrow_udf(_apart, "int")(F.col("fp_a"), F.col("fp_b")).alias("apart"))
+    # Told not to be deterministic, as else the filter gets an evaluation of its own, with workers of its own.
+    told = F.arrow_udf(_apart, "int").asNondeterministic()(F.col("fp_a"), F.col("fp_b"))
+    apart = both.select("a", "b", told.alias("apart"))
     return Staged(apart.filter(F.col("apart") <= FAR), "near").df
 
 

@@ -130,3 +130,18 @@ def test_sets_are_read_where_they_lie():
     assert similar._differences(raw, usual).to_pylist() == [[3], [3], [4, 9], []]
     assert similar._listed(raw.slice(2)).to_pylist() == [[2, 9], [5]]
     assert similar._alike(raw, raw.take(pa.array([0, 2, 2, 2]))).to_pylist()[2:] == [1.0, 0.0]
+
+
+def test_fingerprints_are_compared_once(spark, monkeypatch):
+    """A filter that is pushed below the comparison makes it again, in Python workers of its own."""
+    plans = []
+
+    class Planned(Staged):
+        def __init__(self, df, label, codec="zstd"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            super().__init__(df, label, codec)
+
+    monkeypatch.setattr(similar, "Staged", Planned)
+    sets = spark.createDataFrame([(1, b"a"), (2, b"b")], "node long, fp binary")
+    assert similar._near(spark.createDataFrame([(1, 2)], "a long, b long"), sets).count() == 1
+    assert plans[0].count("ArrowEvalPython") == 1
