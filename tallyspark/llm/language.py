@@ -44,6 +44,9 @@ ROUNDS, RATE = 2, 0.4
 #: UTF-8 bytes of a chunk, tokens that are worked on at once, bytes of ids for one training task, words of chunks that
 #: are counted together.
 CHUNK, STEP, TASK_BYTES, BATCH_WORDS = 8 << 20, 1 << 15, 256 << 20, 2 << 20
+#: Tokens whose scores are made at once, so that they stay in a core's cache, and the largest score of which exp(), and the
+#: sum of 32 of these, is a 32-bit float of full precision.
+BLOCK, PLAIN = 1 << 11, 80.0
 END = b"\n"
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -53,63 +56,112 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
-def context_rows(values: np.ndarray, place: np.ndarray, distances: tuple[int, ...], salt: int, rows: int) -> np.ndarray:
-    """A row for each token, hashed from the values at these distances before it. place: the token's number in its text;
-    what stands before a text's beginning counts as one and the same value."""
-    n = len(values)
-    h = np.full(n, np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    for d in distances:
-        back = np.ones(n, np.uint64)
-        back[d:] = values[: max(n - d, 0)]
-        h = (h ^ np.where(place >= d, back, np.uint64(1))) * _MIX
+class _Before(dict):
+    """The values at a distance before each token. place: the token's number in its text; what stands before a text's
+    beginning counts as one and the same value."""
+
+    def __init__(self, values: np.ndarray, place: np.ndarray):
+        self.values, self.place = values, place
+
+    def __missing__(self, d: int) -> np.ndarray:
+        n = len(self.values)
+        self[d] = back = np.ones(n, np.uint64)
+        back[d:] = self.values[: max(n - d, 0)]
+        back[self.place < d] = 1
+        return back
+
+
+def context_rows(before: _Before, distances: tuple[int, ...], salt: int, rows: int) -> np.ndarray:
+    """A row for each token, hashed from the values at these distances before it."""
+    h = before[distances[0]] ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    for i, d in enumerate(distances):
+        if i:
+            h ^= before[d]
+        h *= _MIX
         h ^= h >> np.uint64(32)
-    return (h % np.uint64(rows)).astype(np.int64)
+    h = h & np.uint64(rows - 1) if rows & (rows - 1) == 0 else h % np.uint64(rows)
+    return h.view(np.int64)
 
 
 def feature_rows(hashes: np.ndarray, classes: np.ndarray, place: np.ndarray, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Rows of the class features and of the slot features (each class has rows of its own), for tokens laid end to end."""
     named = classes.astype(np.uint64) + np.uint64(2)
-    first = [context_rows(hashes, place, d, i + 1, rows) for i, d in enumerate(WORD_FEATURES)]
-    first += [context_rows(named, place, d, i + 11, rows) for i, d in enumerate(CLASS_FEATURES)]
+    words, groups = _Before(hashes, place), _Before(named, place)
+    first = [context_rows(words, d, i + 1, rows) for i, d in enumerate(WORD_FEATURES)]
+    first += [context_rows(groups, d, i + 11, rows) for i, d in enumerate(CLASS_FEATURES)]
     own = rows // CLASSES
-    return first, [classes * own + context_rows(hashes, place, d, i + 21, own) for i, d in enumerate(SLOT_FEATURES)]
-
-
-def shifted(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Scores (tokens x outcomes) up to a constant for each token, the largest 0. bias: of outcomes, or of tokens and
-    outcomes; weights: feature, row, outcome."""
-    z = bias + weights[0].take(rows[0], axis=0)
-    for w, r in zip(weights[1:], rows[1:], strict=True):
-        z += w.take(r, axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def log_scores(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray], outcomes: np.ndarray) -> np.ndarray:
+    return first, [classes * own + context_rows(words, d, i + 21, own) for i, d in enumerate(SLOT_FEATURES)]
+
+
+def plain(bias: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether no score can be beyond PLAIN."""
+    return bool(np.abs(bias).max() + sum(np.abs(w).max() for w in weights) <= PLAIN)
+
+
+def _scores(bias: np.ndarray, of: np.ndarray | None, weights: np.ndarray, rows: list[np.ndarray], powers: bool) -> Iterator[tuple[slice, np.ndarray]]:
+    """Scores (tokens x outcomes) up to a constant for each token, the largest 0, for BLOCK tokens at a time, in memory
+    that the next ones take over. bias: of outcomes, or row and outcome (of: each token's row); weights: feature, row,
+    outcome. powers: bias and weights are exp() of what they were, and so are the scores."""
+    n, many = len(rows[0]), weights.shape[2]
+    whole, other = np.empty((2, min(BLOCK, n), many), weights.dtype)
+    join = np.multiply if powers else np.add
+    for a in range(0, n, BLOCK):
+        part = slice(a, min(a + BLOCK, n))
+        z, more = whole[: part.stop - a], other[: part.stop - a]
+        weights[0].take(rows[0][part], axis=0, out=z, mode="clip")
+        for w, r in zip(weights[1:], rows[1:], strict=True):
+            join(z, w.take(r[part], axis=0, out=more, mode="clip"), out=z)
+        join(z, bias if of is None else bias.take(of[part], axis=0), out=z)
+        if not powers:
+            z -= z.max(axis=1, keepdims=True)
+        yield part, z
+
+
+def log_scores(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray], outcomes: np.ndarray, of: np.ndarray | None = None, powers: bool = False) -> np.ndarray:
     """Log probability of each token's outcome."""
-    z = shifted(bias, weights, rows)
-    own = z[np.arange(len(outcomes)), outcomes]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    out, ones = np.empty(len(outcomes), weights.dtype), np.ones(weights.shape[2], weights.dtype)
+    for part, z in _scores(bias, of, weights, rows, powers):
+        own = z[np.arange(len(z)), outcomes[part]]
+        out[part] = np.log(own) - np.log(z @ ones) if powers else own - np.log(np.exp(z, out=z) @ ones)
+    return out
 
 
-def shares(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Probabilities (outcomes x tokens)."""
-    z = shifted(bias, weights, rows)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z.T.astype(np.float64, order="C")
+def shares(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray], of: np.ndarray | None = None, powers: bool = False, room: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities (outcomes x tokens). room: where they may lie, for as many tokens at least."""
+    out = (np.empty((weights.shape[2], len(rows[0]))) if room is None else room)[:, : len(rows[0])]
+    ones = np.ones(weights.shape[2], weights.dtype)
+    for part, z in _scores(bias, of, weights, rows, powers):
+        if not powers:
+            np.exp(z, out=z)
+        out[:, part] = z.T
+        out[:, part] *= 1 / (z @ ones).astype(np.float64)
+    return out
 
 
 class Model:
-    """Weights of both softmaxes. bias: class; inner: class and slot."""
+    """Weights of both softmaxes. bias: class; inner: class and slot. powers: whether the first and the second are exp() of
+    their weights."""
+
+    def __init__(self, bias: np.ndarray, inner: np.ndarray, outer_weights: np.ndarray, inner_weights: np.ndarray, powers: tuple[bool, bool] = (False, False)):
+        self.bias, self.inner, self.outer_weights, self.inner_weights, self.powers = bias, inner, outer_weights, inner_weights, powers
+
+    def settled(self) -> Model:
+        """The same model to score with: where no score is large, weights are multiplied instead of added, which spares
+        exp() of every token's 32 scores."""
+        one, two = (self.bias, self.outer_weights), (self.inner, self.inner_weights)
+        powers = (plain(*one), plain(*two))
+        (bias, outer), (inner, slots) = ([np.exp(x) for x in w] if p else w for w, p in zip((one, two), powers, strict=True))
+        return Model(bias, inner, outer, slots, powers)
 
-    def __init__(self, bias: np.ndarray, inner: np.ndarray, outer_weights: np.ndarray, inner_weights: np.ndarray):
-        self.bias, self.inner, self.outer_weights, self.inner_weights = bias, inner, outer_weights, inner_weights
+    def expected(self, first: list[np.ndarray], second: list[np.ndarray], classes: np.ndarray, room: np.ndarray) -> Iterator[np.ndarray]:
+        """Probabilities of classes, then in the same room of slots in each token's class."""
+        yield shares(self.bias, self.outer_weights, first, None, self.powers[0], room)
+        yield shares(self.inner, self.inner_weights, second, classes, self.powers[1], room)
 
     def leaf_scores(self, first: list[np.ndarray], second: list[np.ndarray], classes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Log probability of each token's class and slot."""
-        outer = log_scores(self.bias, self.outer_weights, first, classes)
-        return outer + log_scores(self.inner[classes], self.inner_weights, second, slots)
+        outer = log_scores(self.bias, self.outer_weights, first, classes, None, self.powers[0])
+        return outer + log_scores(self.inner, self.inner_weights, second, slots, classes, self.powers[1])
 
 
 def _counts(rows: list[np.ndarray], mass: np.ndarray, into: np.ndarray) -> None:
@@ -320,15 +372,18 @@ def _gathered(many_batches: int):
 def _pieces(row: dict, rows: int, only_learned: bool):
     """(first rows, second rows, classes, slots, token numbers) for STEP tokens of a chunk at a time."""
     ids, _, place, learned = _laid(row)
-    hashes, leaf = np.frombuffer(row["hashes"], np.uint64)[ids], np.frombuffer(row["leaves"], "<i2").astype(np.int64)[ids]
-    classes, slots = leaf // SLOTS, leaf % SLOTS
+    leaf = np.frombuffer(row["leaves"], "<i2").astype(np.int64)
+    of_word = np.frombuffer(row["hashes"], np.uint64), leaf // SLOTS, leaf % SLOTS
     context = max(d for f in (*WORD_FEATURES, *CLASS_FEATURES, *SLOT_FEATURES) for d in f)
     for a in range(0, len(ids), STEP):
         b, start = min(a + STEP, len(ids)), max(0, a - context)
-        first, second = feature_rows(hashes[start:b], classes[start:b], place[start:b], rows)
-        some = np.flatnonzero(learned[a:b]) if only_learned else np.arange(b - a)
-        pick = some + a - start
-        yield [r[pick] for r in first], [r[pick] for r in second], classes[a:b][some], slots[a:b][some], some + a
+        hashes, classes, slots = (x[ids[start:b]] for x in of_word)  # of a piece only, as they take 8 bytes a token each
+        pieces = feature_rows(hashes, classes, place[start:b], rows)
+        if only_learned and not learned[a:b].all():
+            pick = np.flatnonzero(learned[a:b]) + a - start
+        else:
+            pick = slice(a - start, None)
+        yield [r[pick] for r in pieces[0]], [r[pick] for r in pieces[1]], classes[pick], slots[pick], np.arange(start, b)[pick]
 
 
 def _summed(model, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,6 +391,7 @@ def _summed(model, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     given = model.value
     outer = np.zeros((len(WORD_FEATURES) + len(CLASS_FEATURES), CLASSES, rows))
     inner = np.zeros((len(SLOT_FEATURES), SLOTS, rows))
+    room = np.empty((max(CLASSES, SLOTS), STEP + 8))  # outcomes a power of two apart would crowd the same lines of the cache
     for batch in batches:
         for row in batch.to_pylist():
             for first, second, classes, slots, _ in _pieces(row, rows, True):
@@ -345,8 +401,8 @@ def _summed(model, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                     _observed(first, classes, outer)
                     _observed(second, slots, inner)
                 else:
-                    _counts(first, shares(given.bias, given.outer_weights, first), outer)
-                    _counts(second, shares(given.inner[classes], given.inner_weights, second), inner)
+                    for rows_of, mass, into in zip((first, second), given.expected(first, second, classes, room), (outer, inner), strict=True):
+                        _counts(rows_of, mass, into)
     flat = np.concatenate([x.transpose(0, 2, 1).astype(np.float32).ravel() for x in (outer, inner)])
     task = TaskContext.get().partitionId() if TaskContext.get() else 0
     blocks = [flat[i : i + (1 << 18)].tobytes() for i in range(0, len(flat), 1 << 18)]
@@ -363,7 +419,7 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sums(ready: DataFrame, model: Model | None, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all training tokens: feature, row, outcome, for classes and for slots."""
-    given = ready.sparkSession.sparkContext.broadcast(model)  # of MOST_ROWS at most
+    given = ready.sparkSession.sparkContext.broadcast(model and model.settled())  # of MOST_ROWS at most
     kind = "block int, salt int, raw binary"
     told = ready.select("held", "sizes", "ids", "hashes", "leaves").mapInArrow(lambda b: _summed(given, rows, b), kind)
     # Added up in two steps, so that no task gets the counts of all tasks.
@@ -459,7 +515,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: in
             expected, expected_inner = _sums(learning, model, many)
             model.outer_weights = stepped(model.outer_weights, seen, expected)
             model.inner_weights = stepped(model.inner_weights, seen_inner, expected_inner)
-    given = context.broadcast((model, many, n_all, n_words, leaf_mass))
+    given = context.broadcast((model.settled(), many, n_all, n_words, leaf_mass))
     scored = ready.mapInArrow(lambda b: _scored(given, b), f"key {kind}, held boolean, n_tokens long, n_known long, base double, score double")
     return scored.select(
         F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",

@@ -105,3 +105,19 @@ def test_scores_do_not_depend_on_splits_and_use_word_order(spark):
     in_order, shuffled = ([r["score"] / r["n_tokens"] for r in got if (r["doc_id"] < 250) is k] for k in (True, False))
     assert min(in_order) > max(shuffled) and min(in_order) > -0.4
     assert all(r["score"] > r["base_score"] for r in got if r["doc_id"] < 250)
+
+
+def test_products_of_powers_score_as_sums_of_weights():
+    rng, rows, n = np.random.default_rng(5), 64, 3 * language.BLOCK + 7
+    model = small_model(rng, rows)
+    hashes, classes = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, language.CLASSES, n)
+    slots = rng.integers(0, language.SLOTS, n)
+    first, second = language.feature_rows(hashes, classes, np.arange(n), rows)
+    settled = model.settled()
+    assert settled.powers == (True, True)
+    assert settled.leaf_scores(first, second, classes, slots) == pytest.approx(model.leaf_scores(first, second, classes, slots), abs=1e-9)
+    room = np.empty((language.CLASSES, n + 8))
+    a, b = ([x.copy() for x in m.expected(first, second, classes, room)] for m in (model, settled))
+    assert all(x == pytest.approx(y, abs=1e-12) for x, y in zip(a, b, strict=True))
+    model.outer_weights[0, 0, 0] = 1e3  # exp() of which is beyond any float
+    assert model.settled().powers == (False, True) and np.isfinite(model.settled().leaf_scores(first, second, classes, slots)).all()
