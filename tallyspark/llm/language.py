@@ -246,6 +246,46 @@ def _coded(batches: Iterator[pa.RecordBatch], chunk_bytes: int = CHUNK) -> Itera
         yield made()
 
 
+def _counted(least: int, named: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training counts of a chunk's words that occur so often there, of all or of those that are named."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            words, n = np.frombuffer(row["hashes"], "<i8"), np.frombuffer(row["n"], "<i4").astype(np.int64)
+            some = n >= least
+            if named is not None:
+                some &= np.isin(words, named)
+            yield pa.RecordBatch.from_arrays([pa.array(words[some]), pa.array(n[some])], ["word", "n"])
+
+
+def frequent(coded: DataFrame, most: int, named: int = 1 << 16) -> np.ndarray:
+    """The hashes of the `most` words that training tokens hold most often, of equally frequent ones those with the
+    smaller hash (as a signed number).
+
+    Chunks list the words that are frequent there; so many words have the sums of these at least, the smallest of which is
+    a bound. A word of that count has its share of it in one chunk or more, so words that reach the share nowhere are out,
+    and so are those that cannot reach the bound with what the other chunks may hold. What is left, some more than `most`,
+    is counted in all chunks; if more than `named` are left, then all words are.
+    """
+    chunks = coded.count()
+    best = lambda df: [r["n"] for r in df.orderBy(F.desc("n")).limit(most).collect()]
+
+    def counts(least: int, names: np.ndarray | None = None) -> DataFrame:
+        rows = coded.select("hashes", "n").mapInArrow(lambda b: _counted(least, names, b), "word long, n long")
+        return rows.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
+
+    listed = coded.select(F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy("x.often").agg(F.sum("x.often_n").alias("n"))
+    sums = best(listed)
+    bound = sums[-1] if len(sums) == most else 0
+    least = max(1, -(-bound // max(1, chunks)))
+    names = None
+    if least > 1:
+        may = counts(least).filter(F.col("n") + (chunks - F.col("chunks")) * (least - 1) >= bound)
+        left = [r["word"] for r in may.select("word").limit(named + 1).collect()]
+        names = np.array(left, np.int64) if len(left) <= named else None
+    top = counts(1, names).orderBy(F.desc("n"), "word").limit(most).collect()
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+
+
 def _laid(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, text of each token, place in it, and whether it is learned from."""
     ids, sizes = np.frombuffer(row["ids"], "<i4"), np.frombuffer(row["sizes"], "<i4").astype(np.int64)
@@ -470,8 +510,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: in
     staged = Staged(rows.mapInArrow(_coded, shape), "coded")
     coded = staged.df
 
-    often = coded.select(F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy(F.col("x.often").alias("word")).agg(F.sum("x.often_n").alias("n"))
-    top = np.array([r["word"] for r in often.orderBy(F.desc("n"), "word").limit(HEADS).collect()], np.int64).view(np.uint64)
+    top = frequent(coded, HEADS)
     heads = context.broadcast(top)
     near = coded.select("held", "sizes", "ids", "hashes").mapInArrow(lambda b: _neighbours(heads, b), "raw binary")
     near = near.groupBy(F.pmod(F.xxhash64("raw"), F.lit(32)).alias("salt")).applyInPandas(_squares, "raw binary").collect()  # 32 at most
