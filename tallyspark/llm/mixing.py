@@ -3,8 +3,8 @@
 Rates of documents stay as close as possible (in relative entropy, at document level) to taking each document once,
 while each source's tokens meet a target and no document exceeds a cap. The optimum is an exponential tilt of the
 document's size, min(cap, exp(lambda_s * size / mean_s)), with one dual variable for each source. The rate depends on
-source and size only, so Newton's iterations run over the histogram of sizes by source: one distributed aggregation
-each, with the dual variables in a DataFrame of their own. Rates become whole copies at last: within a source, from
+source and size only, so Newton's iterations run over the histogram of sizes, each source's in one group of distinct sizes,
+with the dual variables in a DataFrame of their own. Rates become whole copies at last: within a source, from
 long documents to short ones, each size takes the number of extra copies that brings the running total nearest.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,61 +54,49 @@ def _tilted(cap: float) -> Column:
     return F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("x"), F.lit(math.log(cap) + 1)))))
 
 
+def _dual(cap: float, tolerance: float, rounds: int):
+    def dual(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The dual variable of a source, from its histogram of sizes."""
+        size, n = pdf["size"].to_numpy(float), pdf["n"].to_numpy(float)
+        source, target = float(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
+        mass, mean, lam = size * n, float((size * n).sum() / n.sum()), 0.0
+        done = not (source > 0 and 0 < target < source * (cap * (1 - 1e-12)))
+        if not done:
+            x, lo, hi = size / mean, -math.inf, math.log(cap) * mean / float(size[size > 0].min())
+            for _ in range(rounds):
+                rate = np.minimum(cap, np.exp(np.minimum(lam * x, math.log(cap) + 1)))
+                g, dg = float((mass * rate).sum()), float((mass * x * rate)[rate < cap].sum())
+                off = math.log(g / target) if g > 0 else -math.inf
+                lo, hi = lam if off < 0 else lo, lam if off > 0 else hi
+                done = abs(off) <= tolerance or hi - lo <= 1e-13 * abs(hi)
+                if done:
+                    break
+                step = lam - off * g / dg if dg > 0 else math.nan
+                if not lo < step < hi:
+                    step = 2 * lam - 1 if lo == -math.inf else (lo + hi) / 2
+                lam = step
+        return pd.DataFrame({"sk": pdf["sk"].iloc[:1], "source_size": pdf["source_size"].iloc[:1], "target": [target], "mean": [mean], "lam": [lam], "done": [done]})
+
+    return dual
+
+
 def solve_duals(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
     """goals with the dual variable lam of each source, by safeguarded Newton steps on log mass.
 
     histogram: sk, size, n. goals: sk, source_size, target. Sources whose target is their cap are saturated (lam null,
     rate cap); those with no tokens or no target need no step. A step that leaves what is known of a variable's bounds is
-    replaced by a bisection, so the rounds suffice for any source; raises if they do not.
+    replaced by a bisection, so the rounds suffice for any source; raises if they do not. A source's steps need nothing of
+    other sources, so each takes them all where its histogram is (as for the quota): steps that were jobs of their own
+    left the driver more plans the more there were.
     """
-    mean = histogram.groupBy("sk").agg(
-        (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
-    )
-    start = goals.join(mean, "sk").select(
-        "sk", "source_size", "target", "mean",
-        F.lit(0.0).alias("lam"),
-        F.lit(float("-inf")).alias("lo"),
-        (math.log(cap) * F.col("mean") / F.col("least")).alias("hi"),
-        ((F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < F.col("source_size") * (cap * (1 - 1e-12)))).alias("open"),
-    )
-    duals = Staged(start, "duals")
-    for _ in range(rounds):
-        rows = histogram.join(duals.df.filter("open").select("sk", "mean", "lam"), "sk").withColumn("x", F.col("size") / F.col("mean"))
-        rate = _tilted(cap)
-        mass = rows.groupBy("sk").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("g"),
-            F.sum(F.when(rate < cap, F.col("n") * F.col("size") * F.col("x") * rate).otherwise(0.0)).alias("dg"),
-        )
-        off = F.ln(F.col("g") / F.col("target"))
-        lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.when(F.col("dg") > 0, F.col("lam") - off * F.col("g") / F.col("dg"))
-        middle = F.when(F.col("lo_") == float("-inf"), 2 * F.col("lam") - 1.0).otherwise((F.col("lo_") + F.col("hi_")) / 2)
-        step = F.when((F.col("newton") > F.col("lo_")) & (F.col("newton") < F.col("hi_")), F.col("newton")).otherwise(middle)
-        moved = (
-            duals.df.join(mass, "sk", "left")
-            .withColumn("off", off)
-            .withColumns({"lo_": lo, "hi_": hi, "newton": newton})
-            .withColumn("done", ~F.col("open") | (F.abs("off") <= tolerance) | (F.col("hi_") - F.col("lo_") <= 1e-13 * F.abs("hi_")))
-            .select(
-                "sk", "source_size", "target", "mean",
-                F.when(F.col("done"), F.col("lam")).otherwise(step).alias("lam"),
-                F.when(F.col("open"), F.col("lo_")).otherwise(F.col("lo")).alias("lo"),
-                F.when(F.col("open"), F.col("hi_")).otherwise(F.col("hi")).alias("hi"),
-                "open", "done",
-            )
-        )
-        new = Staged(moved, "duals")
-        duals.drop()
-        waiting = new.df.filter("NOT done").count()
-        duals = new
-        duals.df = new.df.drop("done")
-        if not waiting:
-            break
-    else:
+    ship(histogram.sparkSession)
+    kind = f"sk string, source_size {dict(goals.dtypes)['source_size']}, target double, mean double, lam double, done boolean"
+    duals = Staged(histogram.join(goals, "sk").groupBy("sk").applyInPandas(_dual(cap, tolerance, rounds), kind), "duals").df
+    waiting = duals.filter("NOT done").count()
+    if waiting:
         raise RuntimeError(f"{waiting} sources did not meet their targets within {rounds} rounds")
     full = F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))
-    return duals.df.select("sk", "source_size", "target", "mean", F.when(~full, F.col("lam")).alias("lam"))
+    return duals.select("sk", "source_size", "target", "mean", F.when(~full, F.col("lam")).alias("lam"))
 
 
 def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +132,7 @@ def mix(
     parts = Staged(sized.groupBy("sk", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "parts").df
     histogram = Staged(parts.groupBy("sk", "size").agg(F.sum("n").alias("n")), "histogram").df
     goals = targets(histogram.groupBy("sk").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
-    duals = Staged(solve_duals(histogram, goals, cap), "solved").df
+    duals = solve_duals(histogram, goals, cap)
     rate = F.when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(_tilted(cap))
     rated = (
         histogram.join(duals, "sk")
