@@ -36,8 +36,13 @@ FAR = 200
 #: Of 64 of these bits so many, beyond which two texts met in a bucket by chance: texts that meet so grow with the square
 #: of their number, and differ in 32, give or take 4. Texts of similarity 0.8 differ in 10, give or take 3.
 UNLIKE = 26
-#: Bits of a segment that are indexed: so many more than the number of texts has, and the fewest and most.
-SPARE, NARROW, WIDE = 6, 24, 32
+#: Bits of a segment that are indexed: so many more than the number of texts has, and the fewest and most. A bit more for
+#: twice the texts, from 2^16 on and up to 2^24: a text meets others by chance in 2.5 times as many buckets for five times
+#: the texts (more segments are flipped), not in five times as many.
+SPARE, NARROW, WIDE = 8, 24, 32
+#: Segments in which a bit more is flipped, for each bit of width beyond the fewest: pairs at 0.80 to 0.83 that share a
+#: bucket are 2996 of 3000 at 24 bits, and 2995 at 26 bits, with one flip more in 6 segments (2990 without).
+MORE = 4
 #: Small rows (a key and two hashes) that may be broadcast.
 MOST = 200_000
 
@@ -110,14 +115,19 @@ def _signed(size: int):
     return sign
 
 
-def _keys(width: int, flips: int):
+def keyed(sums: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
+    """Keys of a text in an index of that width: the ball of 3 flips, of more in some segments where it is wider."""
+    flips, more = divmod(MORE * (width - NARROW), SEGMENTS) if width > NARROW else (0, 0)
+    keys = ball(sums, words, width, 3 + flips).reshape(SEGMENTS, -1)[more:].ravel()
+    return np.concatenate([ball(sums, words, width, 4 + flips).reshape(SEGMENTS, -1)[:more].ravel(), keys]) if more else keys
+
+
+def _keys(width: int):
     def keys(fp: pa.Array, firm: pa.Array) -> pa.Array:
         out = []
         for f, m in zip(fp.to_pylist(), firm.to_pylist(), strict=True):
-            out.append(ball(np.frombuffer(m, np.uint8).reshape(SEGMENTS, 32).astype(np.int16), np.frombuffer(f, "<u4"), width, flips))
-        many = SEGMENTS << flips
-        flat = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * many, pa.int32()), pa.array(flat))
+            out.append(keyed(np.frombuffer(m, np.uint8).reshape(SEGMENTS, 32).astype(np.int16), np.frombuffer(f, "<u4"), width).view(np.int64))
+        return _lists(out)
 
     return keys
 
@@ -157,14 +167,13 @@ def candidates(sets: DataFrame) -> DataFrame:
     whose buckets begin with many different texts, costs one pair and not one for each of these."""
     n = sets.count()
     width = min(WIDE, max(NARROW, n.bit_length() + SPARE))
-    flips = 3 + (width - NARROW) // 4
-    key = F.arrow_udf(_keys(width, flips), "array<long>")(F.col("fp"), F.col("firm"))
+    key = F.arrow_udf(_keys(width), "array<long>")(F.col("fp"), F.col("firm"))
     index = sets.select("node", F.explode(key).alias("key"))
-    met = index.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = Staged(met.select("of", "least"), "buckets").df
-    # What shares no bucket, most of the index, goes no further.
-    held = Staged(index.join(met.hint("merge"), F.col("key") == F.col("of")).select("node", "key", "least"), "held").df
-    first = held.groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a <> b")
+    # Of the whole index, keys alone are counted first; what shares no bucket, most of it, goes no further.
+    met = Staged(index.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("of"), "buckets").df
+    held = Staged(index.join(met.hint("merge"), F.col("key") == F.col("of")).select("node", "key"), "held").df
+    least = held.groupBy(F.col("key").alias("bucket")).agg(F.min("node").alias("least"))
+    first = held.join(least.hint("merge"), F.col("key") == F.col("bucket")).groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).filter("a <> b")
     near = _near(first.select("a", "b"), sets)
     roots = Staged(components(near), "first-roots").df.select(F.col("node").alias("n_"), "root")
     rooted = sets.select("node", _spot().alias("spot")).join(roots.hint("merge"), F.col("node") == F.col("n_"), "left")

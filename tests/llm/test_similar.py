@@ -145,3 +145,25 @@ def test_fingerprints_are_compared_once(spark, monkeypatch):
     sets = spark.createDataFrame([(1, b"a"), (2, b"b")], "node long, fp binary")
     assert similar._near(spark.createDataFrame([(1, 2)], "a long, b long"), sets).count() == 1
     assert plans[0].count("ArrowEvalPython") == 1
+
+
+def test_wider_indexes_find_as_much_and_meet_less_by_chance():
+    """F pipeline: rows of the index that share a bucket by chance grew with the square of the texts below 2^18 of them."""
+    rng = random.Random(18)
+    near = []
+    while len(near) < 300:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        a, b = (similar.shingles(" ".join(t).encode(), 5) for t in (base, edited(rng, base, rng.choice([3, 4]))))
+        if 0.8 <= similar.similarity(a, b) <= 0.83:
+            near.append([similar.signed_sums(x) for x in (a, b)])
+    width = lambda n: min(similar.WIDE, max(similar.NARROW, n.bit_length() + similar.SPARE))
+    chance = {}
+    for n in (41_000, 205_000, 1_000_000, 12_000_000):
+        keys = lambda s, n=n: similar.keyed(np.abs(s), similar.packed(s), width(n))
+        met = sum(bool(np.intersect1d(keys(a), keys(b)).size) for a, b in near)
+        assert met >= 0.985 * len(near)
+        own = keys(near[0][0])
+        by_segment = np.bincount((own.astype(np.uint64) >> np.uint64(32)).astype(int), minlength=similar.SEGMENTS)
+        assert len(np.unique(own)) == len(own)
+        chance[n] = (by_segment.astype(float) ** 2).sum() * n / 2 ** width(n)  # buckets that a text shares with an unrelated one
+    assert all(chance[n] <= chance[41_000] * (n / 41_000) ** 0.6 for n in chance)  # of each text; before in proportion to n
