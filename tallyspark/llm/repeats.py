@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Folder, Staged, shared_dir, ship, small, table
+from tallyspark.llm.common import Folder, Staged, drop_path, shared_dir, ship, small, table
 from tallyspark.llm.tokenfiles import _file_system
 
 #: Least bytes of an anchor gram, bytes of text in a part, and of text for each group of passages (half a group of anchors).
@@ -417,6 +417,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, key: str = "doc_id", text:
     shared = told.groupBy("g").applyInPandas(_shared(block), "block int, raw binary")
     shared.repartition("block").write.partitionBy("block").parquet(f"{base}/anchors")
     found = Staged(texts.mapInArrow(lambda b: _passages(least, groups, block, f"{base}/anchors", b), "kind int, g int, block int, raw binary"), "passages", "none").df
+    drop_path(spark, f"{base}/anchors")  # only passages, which are written now, read them
     met = found.filter("kind = 0").groupBy("g").applyInPandas(_settled(least, block), "block int, raw binary")
     met.union(found.filter("kind = 1").select("block", "raw")).repartition("block").write.partitionBy("block").parquet(f"{base}/runs")
     cut = texts.mapInArrow(lambda b: _cut(least, block, f"{base}/runs", b), "seq long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
